@@ -178,6 +178,21 @@ NO_SIGNAL_READING = (
     "Use the quality assessment for separate data-quality evidence.",
 )
 
+# --- Fixed values: report sentences -------------------------------------------------
+NO_GRADE = "No overall grade"
+GRADE_SUFFIX = " by configured checks"
+MATCHES_NOTE = ("Retail field matches: ", ". Ambiguous names are excluded from retail rules.")
+INPUTS_NOTE = (
+    "Retail validity had complete quantity and price inputs for ", " rows (",
+    "% of the dataset). Missing inputs are covered by completeness.",
+)
+COMPARISONS_NOTE = ("Retail consistency comparisons: ", ".")
+CONCENTRATION_NOTE = (
+    "Completeness starts from ", " / 100 filled-cell coverage. ", " is missing in ",
+    "% of rows, so concentrated missingness deducts ",
+    " points from the completeness dimension (maximum 15).",
+)
+
 # --- Fixed values: display labels --------------------------------------------------
 METHOD_LABELS = {"iqr": "IQR", "z_score": "Z-score", "isolation_forest": "Isolation Forest"}
 REPORT_NAME_PREFIX = "Data Quality Report - "

@@ -30,6 +30,10 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def never() -> Column:
+    return F.lit(False)
+
+
 def text_number(text: Column) -> Column:
     """Text to double; malformed text becomes NULL instead of an error."""
     return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))

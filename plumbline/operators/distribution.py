@@ -124,31 +124,24 @@ def full_histogram(df: DataFrame, column: str) -> DataFrame:
     return histogram(df, column, low, high)
 
 
-def central_range(df: DataFrame, column: str) -> tuple[float, float, float, float]:
-    """Lowest and highest value inside the 1 % to 99 % quantiles, then minimum and maximum."""
+def central_histogram(df: DataFrame, column: str) -> DataFrame:
+    """Histogram of the values between the 1 % and 99 % quantiles, both included, with the number
+    of values outside and the extremes of the whole column."""
+    require_column(df, column)
     rows, low, high = value_range(df, column)
     if not rows:
         raise ValueError(K.NO_FINITE_REASON)
     scale = max(abs(low), abs(high))
-    if not scale:
-        return 0.0, 0.0, low, high
-    scaled = df.select((_value(column) / F.lit(scale)).alias("scaled"))
-    lower, upper = (q * scale for q in exact_quantiles(scaled, {"scaled": rows}, [0.01, 0.99])["scaled"])
+    lower = upper = 0.0
+    if scale:
+        scaled = df.select((_value(column) / F.lit(scale)).alias("scaled"))
+        quantiles = exact_quantiles(scaled, {"scaled": rows}, [0.01, 0.99])["scaled"]
+        lower, upper = (q * scale for q in quantiles)
     value = finite_or_null(_value(column))
     central = F.when(value.between(lower, upper), value)
-    inner = df.agg(F.min(central), F.max(central)).first()
-    return inner[0], inner[1], low, high
-
-
-def central_histogram(df: DataFrame, column: str) -> DataFrame:
-    """Histogram of the typical range, with the number of values outside it and the extremes."""
-    require_column(df, column)
-    inner_low, inner_high, low, high = central_range(df, column)
-    bins = histogram(df, column, inner_low, inner_high)
-    value = finite_or_null(_value(column))
-    outside = df.agg(F.count_if(~value.between(inner_low, inner_high))).first()[0]
-    return bins.select(
-        "*", F.lit(outside).cast("bigint").alias("outside_central_count"),
+    inner = df.agg(F.min(central), F.max(central), F.count(central)).first()
+    return histogram(df, column, inner[0], inner[1]).select(
+        "*", F.lit(rows - inner[2]).cast("bigint").alias("outside_central_count"),
         F.lit(low).alias("minimum"), F.lit(high).alias("maximum"),
     )
 
@@ -168,10 +161,10 @@ def time_buckets(df: DataFrame, column: str) -> DataFrame:
         raise ValueError(K.NO_DATES_REASON)
     unit = "year" if facts["last"].year - facts["first"].year > K.YEAR_BUCKET_SPAN else "month"
     counted = (
-        df.select(F.date_trunc(unit, moment).cast("timestamp_ntz").alias("start")).dropna()
+        df.select(F.trunc(moment.cast("date"), unit).alias("start")).dropna()
         .groupBy("start").agg(F.count("*").alias("value_count"))
     )
-    first, last = (F.date_trunc(unit, F.lit(facts[k])).cast("timestamp_ntz") for k in ("first", "last"))
+    first, last = (F.trunc(F.lit(facts[k].date()), unit) for k in ("first", "last"))
     periods = df.sparkSession.range(1).select(
         F.explode(F.sequence(first, last, F.expr(f"interval 1 {unit}"))).alias("start")
     )

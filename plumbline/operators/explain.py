@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import constants as K
 from plumbline.functions.names import Roles, resolve_roles
-from plumbline.functions.scalars import cancellation_marker, finite_or_null, quoted, to_number
+from plumbline.functions.scalars import cancellation_marker, finite_or_null, never, quoted, to_number
 from plumbline.operators.anomaly import FOREST, Review
 from plumbline.sources.rows import ROW_NUMBER
 
-NO = F.lit(False)
-
-
 def evidence_entries(found: Review) -> Column:
     """Array of evidence structs, one per signal, in signal order."""
     entries = []
@@ -77,14 +74,14 @@ def interpretation(found: Review, roles: Roles | None = None) -> Column:
         return finite_or_null(to_number(df, roles.matches[role])) if roles.has(role) else F.lit(None).cast("double")
 
     quantity, price = number("quantity"), number("unit_price")
-    returned = F.coalesce(quantity < 0, NO)
+    returned = F.coalesce(quantity < 0, never())
     has_invoice = K.INVOICE_HEADER in found.source_columns
-    marked = cancellation_marker(quoted(K.INVOICE_HEADER)) if has_invoice else NO
+    marked = cancellation_marker(quoted(K.INVOICE_HEADER)) if has_invoice else never()
     return (
-        F.when(F.coalesce(price < 0, NO), _reading(K.NEGATIVE_PRICE_READING))
+        F.when(F.coalesce(price < 0, never()), _reading(K.NEGATIVE_PRICE_READING))
         .when(returned & marked, _reading(K.RETURN_READING))
         .when(returned & F.lit(has_invoice), _reading(K.NEGATIVE_QUANTITY_READING))
-        .when(F.coalesce(price == 0, NO), _reading(K.ZERO_PRICE_READING))
+        .when(F.coalesce(price == 0, never()), _reading(K.ZERO_PRICE_READING))
         .when(F.col("votes") > 0, _reading(K.FLAGGED_READING))
         .otherwise(_reading(K.NO_SIGNAL_READING if found.evaluated else K.NOT_EVALUATED_READING))
     )

@@ -18,6 +18,7 @@ from plumbline.functions.scalars import (
     cancellation_marker,
     grade,
     is_finite,
+    never,
     percent_text,
     quoted,
     says_no_discount,
@@ -29,9 +30,6 @@ from plumbline.operators.uniqueness import duplicate_count
 from plumbline.sources.rows import ROW_NUMBER, data_columns
 from plumbline.sources.storage import pin
 
-NO = F.lit(False)
-
-
 @dataclass(frozen=True)
 class RowRules:
     """Row predicates of the validity and line-total rules; absent rules are constant false."""
@@ -65,15 +63,15 @@ def row_rules(df: DataFrame, roles: Roles) -> RowRules:
 
     quantity, price, total = number("quantity"), number("unit_price"), number("line_total")
     if quantity is None or price is None:
-        return RowRules(quantity, price, total, NO, NO, NO, NO, NO, NO, NO, None, NO)
+        return RowRules(quantity, price, total, never(), never(), never(), never(), never(), never(), never(), None, never())
 
-    negative_quantity = NO
+    negative_quantity = never()
     if checks_cancellations(roles):
         negative_quantity = (
-            is_finite(quantity) & F.coalesce(quantity < 0, NO)
+            is_finite(quantity) & F.coalesce(quantity < 0, never())
             & ~cancellation_marker(quoted(K.INVOICE_HEADER))
         )
-    comparable, expected, mismatch = NO, None, NO
+    comparable, expected, mismatch = never(), None, never()
     if total is not None:
         comparable = is_finite(quantity) & is_finite(price) & is_finite(total)
         expected = quantity * price
@@ -84,14 +82,14 @@ def row_rules(df: DataFrame, roles: Roles) -> RowRules:
             comparable = comparable & is_finite(tax)
             expected = expected + tax
         tolerance = F.greatest(F.lit(K.TOTAL_TOLERANCE), F.lit(K.TOTAL_TOLERANCE_SHARE) * F.abs(total))
-        mismatch = comparable & F.coalesce(F.abs(total - expected) > tolerance, NO)
+        mismatch = comparable & F.coalesce(F.abs(total - expected) > tolerance, never())
     return RowRules(
         quantity, price, total,
         bad_quantity=present(df, roles.matches["quantity"]) & ~is_finite(quantity),
         bad_price=present(df, roles.matches["unit_price"]) & ~is_finite(price),
         negative_quantity=negative_quantity,
-        negative_price=is_finite(price) & F.coalesce(price < 0, NO),
-        zero_price=F.coalesce(price == 0, NO),
+        negative_price=is_finite(price) & F.coalesce(price < 0, never()),
+        zero_price=F.coalesce(price == 0, never()),
         complete=is_finite(quantity) & is_finite(price),
         comparable=comparable, expected=expected, mismatch=mismatch,
     )
@@ -170,7 +168,7 @@ def _kept(affected: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(100 * (1 - affected / whole), 2))
 
 
-def _scored(assessment: Assessment) -> DataFrame:
+def scored(assessment: Assessment) -> DataFrame:
     """The facts row with every derived score beside it."""
     names, roles = assessment.names, assessment.roles
     rows = F.col("rows_count")
@@ -232,7 +230,7 @@ def _scored(assessment: Assessment) -> DataFrame:
 
 
 def completeness(assessment: Assessment) -> DataFrame:
-    return _scored(assessment).select(
+    return scored(assessment).select(
         "missing_values",
         F.round("coverage", 2).alias("cell_coverage_score"),
         F.col("worst.name").alias("worst_column"),
@@ -244,11 +242,11 @@ def completeness(assessment: Assessment) -> DataFrame:
 
 
 def uniqueness(assessment: Assessment) -> DataFrame:
-    return _scored(assessment).select("duplicate_rows", F.col("uniqueness").alias("score"))
+    return scored(assessment).select("duplicate_rows", F.col("uniqueness").alias("score"))
 
 
 def validity(assessment: Assessment) -> DataFrame:
-    return _scored(assessment).select(
+    return scored(assessment).select(
         F.col("validity").alias("score"),
         "invalid_rows",
         F.col("bad_quantity").alias("malformed_quantity"),
@@ -285,13 +283,13 @@ def consistency_checks(assessment: Assessment) -> DataFrame:
         ),
     )
     return (
-        _scored(assessment).filter(F.col("rows_count") > 0)
+        scored(assessment).filter(F.col("rows_count") > 0)
         .select(F.inline(checks)).filter(F.col("score").isNotNull())
     )
 
 
 def consistency(assessment: Assessment) -> DataFrame:
-    return _scored(assessment).select(
+    return scored(assessment).select(
         F.col("consistency").alias("score"),
         F.when(F.col("codes_checked") > 0, F.col("codes_checked")).alias("checked_stock_codes"),
         F.when(F.col("codes_checked") > 0, F.col("codes_affected")).alias("inconsistent_stock_codes"),
@@ -313,7 +311,7 @@ def quality_dimensions(assessment: Assessment) -> DataFrame:
         )
         for i, name in enumerate(K.DIMENSIONS, 1)
     ])
-    return _scored(assessment).select(F.inline(dimensions)).withColumn(
+    return scored(assessment).select(F.inline(dimensions)).withColumn(
         "dimension_grade", grade(F.col("score"))
     )
 
@@ -328,7 +326,7 @@ def overall_quality(assessment: Assessment) -> DataFrame:
         for i, (n, s, _) in enumerate(scores)
     ])))
     return (
-        _scored(assessment)
+        scored(assessment)
         .withColumn("mean", weighted / F.nullif(weight, F.lit(0.0)))
         .withColumn("lowest", lowest)
         .withColumn("overall_quality_score", F.round(

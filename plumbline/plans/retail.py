@@ -11,7 +11,7 @@ RETAIL_COLUMNS = [
     "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID",
     "Country", "LineNumber", "SuppKey", "OrderKey", "PartKey", "LineTotal",
 ]
-ROW_KEYS = ["OrderKey", "PartKey", "SuppKey", "LineNumber", "Copy"]
+ROW_KEYS = ["OrderKey", "PartKey", "SuppKey", "LineNumber", "LineTotal", "InvoiceDate", "Copy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,7 @@ def stored_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order lines, numbered in key order and stored once per application."""
-    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
     return store_once(
         spark, f"lineitem{sf_dir}",
         lambda: number_by(table(spark, sf_dir, "lineitem"), keys, "lineitem-sorted"),

@@ -73,7 +73,7 @@ def number_csv(df: DataFrame, label: str) -> DataFrame:
     """
     staged = store(
         df.select(
-            "*",
+            *[F.col(f"`{c}`") for c in df.columns if c != "_metadata"],
             F.col("_metadata.file_path").alias(_PART),
             F.col("_metadata.file_block_start").alias("__offset"),
             F.monotonically_increasing_id().alias(_SEQUENCE),
