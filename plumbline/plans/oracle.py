@@ -165,7 +165,7 @@ scored AS (
       AS consistency
   FROM penalised),
 dimensions AS (
-  SELECT 1 AS ordinal, 'completeness' AS dimension, 0.3 AS weight, completeness AS score,
+  SELECT 1 AS ordinal, 'completeness' AS dimension, CAST(0.3 AS DOUBLE) AS weight, completeness AS score,
     CASE WHEN penalty > 0 THEN {text(K.CONCENTRATED_REASON)} ELSE {text(K.NOT_CONCENTRATED_REASON)} END AS reason FROM scored
   UNION ALL SELECT 2, 'uniqueness', 0.25, uniqueness, NULL FROM scored
   UNION ALL SELECT 3, 'validity', 0.25, validity, {text(K.VALIDITY_CANCELLATION_REASON)} FROM scored
@@ -285,7 +285,7 @@ flagged AS (
 """
 COUNTS = """
 method_counts AS (
-  SELECT row_number() OVER (ORDER BY b.method, b.field_order) AS ordinal, b.method, b.field, 'evaluated' AS status,
+  SELECT CAST(row_number() OVER (ORDER BY b.method, b.field_order) AS INT) AS ordinal, b.method, b.field, 'evaluated' AS status,
     CAST(NULL AS VARCHAR) AS reason, b.evaluated_rows, count(h.row_number) AS flagged_rows
   FROM bounds b LEFT JOIN hits h ON b.method = h.method AND b.field = h.field
   GROUP BY b.method, b.field, b.field_order, b.evaluated_rows)
@@ -525,7 +525,7 @@ FROM stems""",
         f"SELECT ordinal, dimension, weight, score, CAST(NULL AS VARCHAR) AS status, reason, "
         f"{grade('score')} AS dimension_grade FROM dimensions"),
     "quality_empty": union(
-        f"SELECT {i} AS ordinal, '{d}' AS dimension, {K.DIMENSION_WEIGHTS[d]} AS weight, CAST(NULL AS DOUBLE) AS score, "
+        f"SELECT {i} AS ordinal, '{d}' AS dimension, CAST({K.DIMENSION_WEIGHTS[d]} AS DOUBLE) AS weight, CAST(NULL AS DOUBLE) AS score, "
         f"'not_evaluated' AS status, {text(K.NO_ROWS_REASON)} AS reason, CAST(NULL AS VARCHAR) AS dimension_grade "
         f"FROM orders HAVING count(*) FILTER (o_totalprice < 0) = 0"
         for i, d in enumerate(K.DIMENSIONS, 1)),
@@ -550,7 +550,7 @@ FROM stems""",
     "anomaly_votes": anomalies("SELECT row_number, votes, signals FROM readings"),
     "anomaly_queue": anomalies("SELECT row_number, votes, signals FROM flagged ORDER BY votes DESC, row_number"),
     "anomaly_page": anomalies(
-        "SELECT row_number, votes, (SELECT CASE WHEN count(*) > 40 THEN 40 END FROM flagged) AS next_offset "
+        "SELECT row_number, votes, (SELECT CAST(CASE WHEN count(*) > 40 THEN 40 END AS BIGINT) FROM flagged) AS next_offset "
         "FROM flagged ORDER BY votes DESC, row_number LIMIT 20 OFFSET 20"),
     "anomaly_retail_context": anomalies(
         f"SELECT count(*) FILTER ({QTY} < 0 AND starts_with(InvoiceNo, 'C')) AS flagged_negative_quantity_with_cancellation, "
@@ -571,7 +571,7 @@ FROM stems""",
                        "ELSE CAST(l_discount AS VARCHAR) END AS label FROM lineitem GROUP BY l_discount ORDER BY value",
     "histogram_full": "WITH" + histogram("lineitem", "l_extendedprice") + "\nSELECT * FROM bins",
     "histogram_events": "WITH" + histogram("events", "value", places=6) + "\nSELECT * FROM bins",
-    "histogram_constant": "SELECT CAST(1 AS BIGINT) AS bin, 0.0 AS lower_edge, 0.5 AS upper_edge, count(*) AS value_count "
+    "histogram_constant": "SELECT CAST(1 AS BIGINT) AS bin, CAST(0 AS DOUBLE) AS lower_edge, CAST(0.5 AS DOUBLE) AS upper_edge, count(*) AS value_count "
                           "FROM documents WHERE n_chars - length(text) = 0",
     "histogram_central": "WITH" + histogram("events", "value", extra="value BETWEEN q01 AND q99", places=6) +
                          "\nSELECT bins.*, n - kept_rows AS outside_central_count, minimum, maximum FROM bins, whole, limits",
