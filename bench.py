@@ -41,10 +41,10 @@ def session() -> SparkSession:
 
 
 def profile_all(df):
-    types = profile.logical_types(df)
-    kinds = {k: [n for n, t in types.items() if t == k] for k in set(types.values())}
+    kinds = {}
+    for row in profile.column_profile(df).collect():
+        kinds.setdefault(row["logical_type"], []).append(row["column_name"])
     profile.profile_summary(df).collect()
-    profile.column_profile(df, types).collect()
     profile.column_samples(df).collect()
     profile.numeric_summary(df, kinds["numeric"]).collect()
     profile.date_range(df, kinds["datetime"]).collect()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -16,6 +17,7 @@ from plumbline.functions.names import is_identifier
 from plumbline.functions.scalars import (
     cancellation_marker,
     finite_or_null,
+    is_finite,
     quoted,
     to_number,
 )
@@ -73,6 +75,7 @@ def _number(name: str) -> Column:
 
 
 def field_stats(df: DataFrame, fields: list[str]) -> dict[str, FieldStats]:
+    """Counts, extremes and moments of the finite values; one aggregate per 32 fields."""
     stats = {}
     for start in range(0, len(fields), STATS_FIELDS_PER_PASS):
         chunk = fields[start:start + STATS_FIELDS_PER_PASS]
@@ -130,6 +133,15 @@ class Review:
         return self.forest is not None or any(b.evaluated for b in self.bounds)
 
 
+def _outside(df: DataFrame, bound: Bound) -> Column:
+    """Strictly outside the bounds; missing and non-finite values never are."""
+    value = quoted(bound.field).cast("double")
+    hit = (value < bound.lower) | (value > bound.upper)
+    if isinstance(df.schema[bound.field].dataType, (T.FloatType, T.DoubleType)):
+        hit = hit & is_finite(value)
+    return F.coalesce(hit, F.lit(False))
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """Give Python scoring every core when a small table arrives in a few partitions."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -155,15 +167,15 @@ def review(df: DataFrame, with_forest: bool = True) -> Review:
             rows = _spread(df)
             score = forest.score(rows)
     rows = rows.withColumn("forest_score", score)
-    flags = [
-        F.when((_number(b.field) < b.lower) | (_number(b.field) > b.upper), b.signal)
-        for b in bounds if b.evaluated
-    ]
+    flags = [(b.signal, _outside(df, b)) for b in bounds if b.evaluated]
     if forest:
-        flags.append(F.when(F.col("forest_score") < 0, FOREST))
-    rows = rows.withColumn(
-        "signals", F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
-    ).withColumn("votes", F.size("signals").cast("bigint"))
+        flags.append((FOREST, F.coalesce(F.col("forest_score") < 0, F.lit(False))))
+    # Votes are counted apart from the names, so that the filter on them stays in generated code.
+    rows = rows.withColumns({
+        "votes": reduce(lambda a, b: a + b, [hit.cast("bigint") for _, hit in flags], F.lit(0).cast("bigint")),
+        "signals": F.array_compact(F.array(*[F.when(hit, name) for name, hit in flags]))
+        if flags else F.array().cast("array<string>"),
+    })
     flagged = rows.filter(F.col("votes") > 0)
     if forest:
         flagged = store(flagged, "flagged")

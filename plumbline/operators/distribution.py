@@ -9,6 +9,7 @@ from plumbline.functions.scalars import INFINITY, finite_or_null, quoted, six_di
 from plumbline.operators.profile import as_date, logical_types, present, value_text
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.sources.rows import ROW_NUMBER
+from plumbline.sources.storage import pin
 
 
 def require_column(df: DataFrame, column: str) -> None:
@@ -188,20 +189,19 @@ def _category_counts(df: DataFrame, column: str) -> DataFrame:
 def category_top_other(df: DataFrame, column: str, top: int = K.TOP_CATEGORIES) -> DataFrame:
     """(position, value, count): the most common values and one "Other" row for the rest.
 
-    The top is a top-k over the counts; the remainder is a subtraction, so the many rare values
-    are never ranked. Position 0 of the result is the remainder.
+    The top is a top-k over the counts and is kept, being at most ``top`` rows. The remainder is a
+    subtraction, so the many rare values are never ranked. It has position 0.
     """
     counts = _category_counts(df, column)
-    leading = counts.orderBy(F.col("value_count").desc(), "value").limit(top)
-    by_count = Window.orderBy(F.col("value_count").desc(), "value")  # over at most twelve rows
+    leading = pin(counts.orderBy(F.col("value_count").desc(), "value").limit(top))
+    by_count = Window.orderBy(F.col("value_count").desc(), "value")  # over the kept rows only
     ranked = leading.withColumn("position", F.row_number().over(by_count).cast("bigint"))
-    rest = (
-        counts.agg(F.sum("value_count").alias("signed"))
-        .unionAll(leading.agg(-F.sum("value_count")))
+    filled = df.agg(F.count_if(present(df, column)).alias("signed"))
+    other = (
+        filled.unionAll(leading.agg(-F.sum("value_count")))
         .agg(F.sum("signed").alias("value_count"))
-    )
-    other = rest.filter(F.col("value_count") > 0).select(
-        F.lit(0).cast("bigint").alias("position"), F.lit("Other").alias("value"), "value_count"
+        .filter(F.col("value_count") > 0)
+        .select(F.lit(0).cast("bigint").alias("position"), F.lit("Other").alias("value"), "value_count")
     )
     return ranked.select("position", "value", "value_count").unionByName(other)
 

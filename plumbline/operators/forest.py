@@ -26,6 +26,7 @@ from plumbline.constants import (
 )
 from plumbline.functions.scalars import finite_or_null, quoted
 from plumbline.sources.rows import ROW_NUMBER
+from plumbline.sources.storage import pin
 
 # Executors need not have this package installed: its small helpers travel with each task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -79,18 +80,20 @@ def forest_sample(df: DataFrame, gate: ForestGate, rows: int = FOREST_TRAINING_R
     The digest is uniform, so a bound on it leaves little more than the wanted rows before the
     top-k; without that bound each task would send its own full top-k to one merge. The sample is
     the same with and without the bound, which is widened in the unlikely case of too few rows.
+    The result is kept as literal rows: it is bounded by ``rows``.
     """
     matrix = _matrix(df, gate.fields)
     keyed = matrix.withColumn(
         _SAMPLE_KEY, F.md5(F.concat_ws("-", F.col(ROW_NUMBER).cast("string"), F.lit(str(SEED))))
     )
+    wanted = min(rows, gate.complete_rows)
     share = (rows + 10 * math.sqrt(rows)) / max(gate.complete_rows, 1)
-    while share < 1:
-        bounded = keyed.filter(F.col(_SAMPLE_KEY) < f"{int(share * 16 ** 8):08x}")
-        if bounded.count() >= rows:
-            return bounded.orderBy(_SAMPLE_KEY).limit(rows).drop(_SAMPLE_KEY)
+    while True:
+        bounded = keyed if share >= 1 else keyed.filter(F.col(_SAMPLE_KEY) < f"{int(share * 16 ** 8):08x}")
+        sample = pin(bounded.orderBy(_SAMPLE_KEY).limit(rows).drop(_SAMPLE_KEY))
+        if share >= 1 or sample.count() >= wanted:
+            return sample
         share *= 2
-    return keyed.orderBy(_SAMPLE_KEY).limit(rows).drop(_SAMPLE_KEY)
 
 
 def _grow(tree: int, rows: np.ndarray) -> list[tuple]:
@@ -118,10 +121,10 @@ def _grow(tree: int, rows: np.ndarray) -> list[tuple]:
 def forest_model(sample: DataFrame, trees: int = FOREST_TREES) -> DataFrame:
     """Node table of all trees; each tree sees up to 256 rows of the sample."""
     features = [c for c in sample.columns if c.startswith("x")]
-    ranked = Window.partitionBy("tree").orderBy("draw")
+    ranked = Window.partitionBy("tree").orderBy("draw", ROW_NUMBER)
     drawn = (
         sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", F.md5(F.concat_ws("-", F.col(ROW_NUMBER).cast("string"), F.col("tree").cast("string"), F.lit(str(SEED)))))
+        .withColumn("draw", F.xxhash64(ROW_NUMBER, "tree", F.lit(SEED)))
         .withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= FOREST_TREE_ROWS)
     )
@@ -207,7 +210,6 @@ def fit_forest(df: DataFrame, gate: ForestGate) -> Forest | None:
         return None
     sample = forest_sample(df, gate)
     rows = sample.orderBy(ROW_NUMBER).toPandas()  # at most 10,000 rows by construction
-    sample = df.sparkSession.createDataFrame(rows)
     nodes = forest_model(sample).toPandas()  # at most 100 trees of 511 nodes
     arrays = node_arrays(nodes, min(FOREST_TREE_ROWS, len(rows)))
     training = _score(arrays, rows.drop(columns=ROW_NUMBER).to_numpy(dtype=float).T.copy())

@@ -24,8 +24,6 @@ from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.uniqueness import duplicate_count
 from plumbline.sources.rows import ROW_NUMBER, data_columns
 
-FACTS = "ordinal int, column_name string, data_type string, rows_count bigint, missing_count bigint"
-
 
 def value_text(df: DataFrame, name: str) -> Column:
     """A cell as report text: ISO timestamps, no text for missing or NaN."""
@@ -105,33 +103,30 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return _long(df, names, []).groupBy("ordinal", "value").agg(F.count("*").alias("value_count"))
 
 
-def _native_distinct(df: DataFrame, names: list[str]) -> DataFrame:
-    """(ordinal, unique count) for columns of one type, kept in that type so keys stay narrow."""
+def _distinct_text(df: DataFrame, name: str) -> Column:
+    """Text that differs exactly where the values do; both zeros are one value."""
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(quoted(name)), quoted(name) + F.lit(0.0)).cast("string")
+    return quoted(name).cast("string")
+
+
+def column_unique(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(ordinal, column, unique count) of all columns in one pass.
+
+    A hot value collapses in its own task before the shuffle.
+    """
+    names = data_columns(df) if names is None else names
     every = data_columns(df)
     cells = F.array(*[
-        F.struct(
-            F.lit(every.index(n) + 1).alias("ordinal"),
-            F.when(present(df, n), quoted(n)).alias("value"),
-        )
-        for n in names
+        F.struct(F.lit(every.index(n) + 1).alias("ordinal"), _distinct_text(df, n).alias("value")) for n in names
     ])
-    return (
+    counted = (
         df.select(F.inline(cells))
         .filter(F.col("value").isNotNull())
         .groupBy("ordinal", "value").agg(F.lit(1).alias("one"))
         .groupBy("ordinal").agg(F.count("*").alias("unique_count"))
     )
-
-
-def column_unique(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(ordinal, unique count). A hot value collapses in its own task before the shuffle."""
-    names = data_columns(df) if names is None else names
-    by_type: dict[str, list[str]] = {}
-    for name in names:
-        by_type.setdefault(df.schema[name].dataType.simpleString(), []).append(name)
-    counted = reduce(DataFrame.unionByName, [_native_distinct(df, same) for same in by_type.values()])
-    every = data_columns(df)
-    # One row per column: the zero rows keep all-missing columns in the result.
+    # One row per column: it keeps all-missing columns in the result.
     listed = df.sparkSession.createDataFrame(
         [(every.index(n) + 1, n) for n in names], "ordinal int, column_name string"
     )
@@ -193,38 +188,49 @@ def date_parse_ratio(df: DataFrame) -> DataFrame:
     )
 
 
-def logical_types(df: DataFrame) -> dict[str, str]:
-    """Logical type per column. Only unnamed text columns need to look at the data."""
-    names, types = data_columns(df), {}
-    for name in names:
-        kind = df.schema[name].dataType
-        if is_identifier(name):
-            types[name] = "identifier"
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            types[name] = "datetime"
-        elif isinstance(kind, (T.NumericType, T.BooleanType)):
-            types[name] = "numeric"
-    open_names = [n for n in names if n not in types]
-    if not open_names:
-        return types
-    probe = df.select(ROW_NUMBER, *[quoted(n) for n in open_names])
-    ratios = {
-        r["ordinal"]: r["parsed_values"] / r["probed_values"] for r in date_parse_ratio(probe).collect()
+def _known_type(df: DataFrame, name: str) -> str | None:
+    """The logical type that header and column type settle, or None where values must be read."""
+    kind = df.schema[name].dataType
+    if is_identifier(name):
+        return "identifier"
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return "datetime"
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return "numeric"
+    return None
+
+
+def _dated_columns(df: DataFrame, names: list[str]) -> set[str]:
+    """Text columns whose first thousand values are nearly all dates."""
+    if not names:
+        return set()
+    ratios = date_parse_ratio(df.select(ROW_NUMBER, *[quoted(n) for n in names])).collect()
+    return {
+        names[r["ordinal"] - 1] for r in ratios
+        if r["parsed_values"] / r["probed_values"] >= DATE_PROBE_SHARE
     }
-    dated = [n for i, n in enumerate(open_names, 1) if ratios.get(i, 0) >= DATE_PROBE_SHARE]
-    types.update({n: "datetime" for n in dated})
-    counted = [n for n in open_names if n not in dated]
-    if counted:
+
+
+def _by_distinct(unique: int, rows: int) -> str:
+    few = unique <= CATEGORY_MAX_DISTINCT or (rows and unique / rows <= CATEGORY_MAX_SHARE)
+    return "categorical" if few else "text"
+
+
+def logical_types(df: DataFrame) -> dict[str, str]:
+    """Logical type per column. Only unsettled text columns are read."""
+    names = data_columns(df)
+    types = {n: _known_type(df, n) for n in names}
+    unsettled = [n for n in names if types[n] is None]
+    types.update(dict.fromkeys(_dated_columns(df, unsettled), "datetime"))
+    unsettled = [n for n in unsettled if types[n] is None]
+    if unsettled:
         rows = df.count()
-        for r in column_unique(probe, counted).collect():
-            few = r["unique_count"] <= CATEGORY_MAX_DISTINCT
-            repeated = rows and r["unique_count"] / rows <= CATEGORY_MAX_SHARE
-            types[r["column_name"]] = "categorical" if few or repeated else "text"
+        for r in column_unique(df, unsettled).collect():
+            types[r["column_name"]] = _by_distinct(r["unique_count"], rows)
     return types
 
 
-def logical_type_table(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    types = types or logical_types(df)
+def logical_type_table(types: dict[str, str], df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [(i, n, types[n]) for i, n in enumerate(data_columns(df), 1)],
         "ordinal int, column_name string, logical_type string",
@@ -300,12 +306,22 @@ def top_values(df: DataFrame, names: list[str], k: int = TOP_VALUES) -> DataFram
     )
 
 
-def column_profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """One row per column: type names, missing and distinct counts."""
-    return (
-        column_missing(df)
-        .join(column_unique(df).drop("column_name"), "ordinal")
-        .join(logical_type_table(df, types).drop("column_name"), "ordinal")
-        .select("ordinal", "column_name", "data_type", "logical_type", "missing_count",
-                "missing_percentage", "unique_count")
+def column_profile(df: DataFrame) -> DataFrame:
+    """One row per column: type names, missing and distinct counts.
+
+    The counts come from one pass each and are collected, one row per column, because the logical
+    type of a text column depends on them.
+    """
+    facts = column_missing(df).join(column_unique(df).drop("column_name"), "ordinal").collect()
+    types = {n: _known_type(df, n) for n in data_columns(df)}
+    types.update(dict.fromkeys(_dated_columns(df, [n for n, t in types.items() if t is None]), "datetime"))
+    return df.sparkSession.createDataFrame(
+        [
+            (r["ordinal"], r["column_name"], r["data_type"],
+             types[r["column_name"]] or _by_distinct(r["unique_count"], r["rows_count"]),
+             r["missing_count"], r["missing_percentage"], r["unique_count"])
+            for r in sorted(facts)
+        ],
+        "ordinal int, column_name string, data_type string, logical_type string, missing_count bigint, "
+        "missing_percentage double, unique_count bigint",
     )

@@ -116,15 +116,15 @@ def product_descriptions(df: DataFrame, roles: Roles) -> DataFrame:
 
 @dataclass(frozen=True)
 class Assessment:
-    """One row of facts about a table, with the headers they belong to."""
+    """One row of counters and the scores derived from them, with the headers they belong to."""
 
-    facts: DataFrame
+    scores: DataFrame
     names: list[str]
     roles: Roles
 
     def pinned(self) -> Assessment:
-        """Evaluate the facts once for several result tables."""
-        return Assessment(pin(self.facts), self.names, self.roles)
+        """Evaluate that row once for several result tables."""
+        return Assessment(pin(self.scores), self.names, self.roles)
 
 
 def assess(df: DataFrame, roles: Roles | None = None) -> Assessment:
@@ -156,7 +156,7 @@ def assess(df: DataFrame, roles: Roles | None = None) -> Assessment:
         if name not in union.columns:
             union = union.withColumn(name, F.lit(0).cast("bigint"))
     facts = union.agg(*[F.coalesce(F.max(name), F.lit(0)).alias(name) for name in wanted])
-    return Assessment(facts, names, roles)
+    return Assessment(_scored(facts, names, roles), names, roles)
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -168,32 +168,31 @@ def _kept(affected: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(100 * (1 - affected / whole), 2))
 
 
-def scored(assessment: Assessment) -> DataFrame:
-    """The facts row with every derived score beside it."""
-    names, roles = assessment.names, assessment.roles
+def _scored(facts: DataFrame, names: list[str], roles: Roles) -> DataFrame:
+    """The counters with every derived score beside them."""
     rows = F.col("rows_count")
     has_rows = rows > 0
     missing = [F.col(f"missing_{i}") for i in range(len(names))]
-    total_missing = reduce(lambda a, b: a + b, missing, F.lit(0))
     worst = F.array_max(F.array(*[
         F.struct(count.alias("count"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
         for i, (count, name) in enumerate(zip(missing, names))
     ]))
     frame = (
-        assessment.facts
-        .withColumn("missing_values", total_missing.cast("bigint"))
-        .withColumn("coverage", F.when(has_rows, 100 * (1 - F.col("missing_values") / (rows * len(names)))))
-        .withColumn("worst", F.when(F.col("missing_values") > 0, worst))
+        facts
+        .withColumn("missing_values", reduce(lambda a, b: a + b, missing, F.lit(0)).cast("bigint"))
+        .withColumns({
+            "coverage": F.when(has_rows, 100 * (1 - F.col("missing_values") / (rows * len(names)))),
+            "worst": F.when(F.col("missing_values") > 0, worst),
+            "uniqueness": _kept(F.col("duplicate_rows"), rows),
+        })
         .withColumn("worst_percent", F.when(
             has_rows, F.when(F.col("missing_values") > 0, _percent(F.col("worst.count"), rows)).otherwise(0.0)))
         .withColumn("penalty", F.least(
             F.lit(K.CONCENTRATION_CAP),
             F.lit(K.CONCENTRATION_WEIGHT)
             * F.greatest(F.lit(0.0), F.col("worst_percent") - (100 - F.col("coverage")))))
-        .withColumn("completeness", F.when(
-            has_rows, F.round(F.greatest(F.lit(0.0), F.col("coverage") - F.col("penalty")), 2)))
-        .withColumn("uniqueness", _kept(F.col("duplicate_rows"), rows))
     )
+    completeness = F.when(has_rows, F.round(F.greatest(F.lit(0.0), F.col("coverage") - F.col("penalty")), 2))
 
     if roles.has("quantity", "unit_price"):
         quantity, price = (names.index(roles.matches[r]) for r in ("quantity", "unit_price"))
@@ -212,25 +211,25 @@ def scored(assessment: Assessment) -> DataFrame:
     totals = _kept(F.col("totals_affected"), F.col("totals_checked"))
     both = F.array_compact(F.array(product, totals))
     mean = F.round(F.aggregate(both, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(both), F.lit(0)), 2)
-    return (
-        frame
-        .withColumn("validity", validity)
-        .withColumn("product_score", product)
-        .withColumn("totals_score", totals)
-        .withColumn("consistency", mean)
-        .withColumn("reasons", F.struct(
-            F.when(F.col("penalty") > 0, K.CONCENTRATED_REASON)
-            .otherwise(K.NOT_CONCENTRATED_REASON).alias("completeness"),
+    concentrated = F.when(F.col("penalty") > 0, K.CONCENTRATED_REASON).otherwise(K.NOT_CONCENTRATED_REASON)
+    return frame.withColumns({
+        "completeness": completeness,
+        "validity": validity,
+        "product_score": product,
+        "totals_score": totals,
+        "consistency": mean,
+        "reasons": F.struct(
+            concentrated.alias("completeness"),
             F.lit(None).cast("string").alias("uniqueness"),
             validity_reason.alias("validity"),
             F.when(mean.isNull(), K.CONSISTENCY_MISSING_REASON)
             .otherwise(K.CONSISTENCY_REASON).alias("consistency"),
-        ))
-    )
+        ),
+    })
 
 
 def completeness(assessment: Assessment) -> DataFrame:
-    return scored(assessment).select(
+    return assessment.scores.select(
         "missing_values",
         F.round("coverage", 2).alias("cell_coverage_score"),
         F.col("worst.name").alias("worst_column"),
@@ -242,11 +241,11 @@ def completeness(assessment: Assessment) -> DataFrame:
 
 
 def uniqueness(assessment: Assessment) -> DataFrame:
-    return scored(assessment).select("duplicate_rows", F.col("uniqueness").alias("score"))
+    return assessment.scores.select("duplicate_rows", F.col("uniqueness").alias("score"))
 
 
 def validity(assessment: Assessment) -> DataFrame:
-    return scored(assessment).select(
+    return assessment.scores.select(
         F.col("validity").alias("score"),
         "invalid_rows",
         F.col("bad_quantity").alias("malformed_quantity"),
@@ -283,13 +282,13 @@ def consistency_checks(assessment: Assessment) -> DataFrame:
         ),
     )
     return (
-        scored(assessment).filter(F.col("rows_count") > 0)
+        assessment.scores.filter(F.col("rows_count") > 0)
         .select(F.inline(checks)).filter(F.col("score").isNotNull())
     )
 
 
 def consistency(assessment: Assessment) -> DataFrame:
-    return scored(assessment).select(
+    return assessment.scores.select(
         F.col("consistency").alias("score"),
         F.when(F.col("codes_checked") > 0, F.col("codes_checked")).alias("checked_stock_codes"),
         F.when(F.col("codes_checked") > 0, F.col("codes_affected")).alias("inconsistent_stock_codes"),
@@ -311,7 +310,7 @@ def quality_dimensions(assessment: Assessment) -> DataFrame:
         )
         for i, name in enumerate(K.DIMENSIONS, 1)
     ])
-    return scored(assessment).select(F.inline(dimensions)).withColumn(
+    return assessment.scores.select(F.inline(dimensions)).withColumn(
         "dimension_grade", grade(F.col("score"))
     )
 
@@ -326,7 +325,7 @@ def overall_quality(assessment: Assessment) -> DataFrame:
         for i, (n, s, _) in enumerate(scores)
     ])))
     return (
-        scored(assessment)
+        assessment.scores
         .withColumn("mean", weighted / F.nullif(weight, F.lit(0.0)))
         .withColumn("lowest", lowest)
         .withColumn("overall_quality_score", F.round(
@@ -394,7 +393,7 @@ def quality_issues(assessment: Assessment) -> DataFrame:
         for i, (dimension, level, column, count, message) in enumerate(issues, 1)
     ])
     # The divisors are zero only where nothing is affected, and those entries are never built.
-    return assessment.facts.filter(rows > 0).select(F.inline(F.array_compact(listed)))
+    return assessment.scores.filter(rows > 0).select(F.inline(F.array_compact(listed)))
 
 
 def severity_rank(level: Column) -> Column:

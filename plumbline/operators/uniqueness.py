@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.scalars import quoted
 from plumbline.sources.rows import ROW_NUMBER, data_columns
+from plumbline.sources.storage import store
 
+BROADCAST_DIGESTS = 1_000_000  # eight bytes each
 _DIGEST = "__digest"
 
 
@@ -25,35 +27,42 @@ def _digest(df: DataFrame, names: list[str]) -> Column:
 
 
 def _repeated_digests(df: DataFrame, names: list[str]) -> DataFrame:
-    return (
-        df.select(_digest(df, names).alias(_DIGEST))
-        .groupBy(_DIGEST).agg(F.count("*").alias("copies"))
-        .filter(F.col("copies") > 1)
-        .select(_DIGEST)
-    )
+    """Digests that occur more than once, stored: eight bytes per row are all that is shuffled."""
+    counted = df.select(_digest(df, names).alias(_DIGEST)).groupBy(_DIGEST).agg(F.count("*").alias("copies"))
+    return store(counted.filter(F.col("copies") > 1).select(_DIGEST), "repeated")
+
 
+def _candidates(df: DataFrame, names: list[str]) -> DataFrame | None:
+    """Rows that may have a copy: all duplicates and the odd hash collision; None if there are none.
 
-def _candidates(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows whose digest occurs more than once: every duplicate, plus the odd hash collision."""
+    A checked number of digests is broadcast, so only candidates leave the scan. Beyond it, much
+    of the table is repeated and every row is a candidate: grouping whole rows, combined inside
+    each task first, is then the cheaper way.
+    """
+    repeated = _repeated_digests(df, names)
+    found = repeated.count()
+    if not found:
+        return None
     cells = [_cell(df, n).alias(f"k{i}") for i, n in enumerate(names)]
     keep = [ROW_NUMBER] if ROW_NUMBER in df.columns else []
-    return df.select(*keep, *cells, _digest(df, names).alias(_DIGEST)).join(
-        _repeated_digests(df, names), _DIGEST, "left_semi"
-    )
+    rows = df.select(*keep, *cells, _digest(df, names).alias(_DIGEST))
+    if found <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(repeated), _DIGEST, "left_semi")
+    return rows.drop(_DIGEST)
 
 
 def duplicate_count(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row: how many rows repeat an earlier one.
 
-    Only an eight-byte digest per row is shuffled, pre-aggregated. The rows behind repeated
-    digests are then compared cell by cell, so a collision cannot count as a duplicate. A row
-    copied a million times is summed inside each task before it travels.
+    The rows behind repeated digests are compared cell by cell, so a collision cannot count as a
+    duplicate. A row copied a million times is summed inside each task before it travels.
     """
     names = data_columns(df) if names is None else names
-    keys = [f"k{i}" for i in range(len(names))]
+    candidates = _candidates(df, names)
+    if candidates is None:
+        return df.sparkSession.createDataFrame([(0,)], "duplicate_rows bigint")
     return (
-        _candidates(df, names)
-        .groupBy(*keys).agg((F.count("*") - 1).alias("repeats"))
+        candidates.groupBy(*[f"k{i}" for i in range(len(names))]).agg((F.count("*") - 1).alias("repeats"))
         .agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("duplicate_rows"))
     )
 
@@ -66,9 +75,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     """
     names = data_columns(df)
     candidates = _candidates(df, names)
+    if candidates is None:
+        return df.filter(F.lit(False)).select(ROW_NUMBER, *[quoted(n) for n in names])
     firsts = candidates.groupBy(*[f"k{i}" for i in range(len(names))]).agg(
         F.min(ROW_NUMBER).alias(ROW_NUMBER)
     )
-    return candidates.join(firsts, ROW_NUMBER, "left_anti").select(
+    return candidates.join(firsts.select(ROW_NUMBER), ROW_NUMBER, "left_anti").select(
         ROW_NUMBER, *[F.col(f"k{i}").alias(name) for i, name in enumerate(names)]
     )

@@ -201,7 +201,8 @@ def numeric_fields(spark, sf):
 
 @query
 def logical_types(spark, sf):
-    return profile.logical_type_table(stored_retail(spark, sf))
+    df = stored_retail(spark, sf)
+    return profile.logical_type_table(profile.logical_types(df), df)
 
 
 def stored_order_dates(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from plumbline import constants as K
 from plumbline.functions.scalars import display_label, number_text, report_text
 from plumbline.operators.anomaly import Review, anomaly_queue, method_counts, retail_context, review
 from plumbline.operators.explain import evidence_entries, interpretation
-from plumbline.operators.profile import column_profile, logical_types
+from plumbline.operators.profile import column_profile
 from plumbline.operators.quality import (
     Assessment,
     assess,
@@ -20,7 +20,6 @@ from plumbline.operators.quality import (
     quality_dimensions,
     quality_issues,
     severity_rank,
-    scored,
 )
 from plumbline.sources.rows import ROW_NUMBER
 from plumbline.sources.storage import pin
@@ -43,7 +42,7 @@ def report_headline(assessment: Assessment, found: Review) -> DataFrame:
     issues = quality_issues(assessment).filter(F.col("severity") == "high")
     facts = _fold(
         overall_quality(assessment).select("rows_count", "overall_quality_score", "quality_grade"),
-        scored(assessment).select("missing_values", "duplicate_rows"),
+        assessment.scores.select("missing_values", "duplicate_rows"),
         found.flagged.agg(F.count("*").alias("flagged_rows")),
         issues.agg(
             F.count("*").alias("high_findings"), F.min_by("message", "ordinal").alias("first_high_finding")
@@ -121,7 +120,7 @@ def report_methods(counts: DataFrame) -> DataFrame:
 def report_notes(assessment: Assessment) -> DataFrame:
     """(ordinal, note): matched fields, validity inputs, comparisons, concentrated missing cells."""
     roles = assessment.roles
-    frame = scored(assessment).filter(F.col("rows_count") > 0)
+    frame = assessment.scores.filter(F.col("rows_count") > 0)
     notes = []
     if roles.matches:
         listed = "; ".join(f"{r.replace('_', ' ')}: {c}" for r, c in roles.matches.items())
@@ -195,7 +194,7 @@ def build_report(df: DataFrame, with_forest: bool = True) -> Report:
     assessment = assess(df).pinned()
     found = review(df, with_forest)
     counts = pin(method_counts(found))
-    profile = pin(column_profile(df, logical_types(df)))
+    profile = column_profile(df)
     tables = {
         "headline": report_headline(assessment, found),
         "dimensions": report_dimensions(assessment).orderBy("ordinal"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.constants import EMPTY_UPLOAD_REASON, MISSING_TEXTS
 from plumbline.functions.scalars import quoted, text_number
@@ -12,33 +12,61 @@ from plumbline.sources.rows import data_columns, number_csv
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,19}\s*$"
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 REJECTED = "rejected"
+CORRUPT = "__corrupt"
+
+
+def has_multi_line_fields(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field spans lines: some line then holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every field as text; missing texts as NULL."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False,
-                         enforceSchema=False, emptyValue="", nullValue="")
+    """Every field as text, missing texts as NULL, the raw text of rows that do not fit the header.
+
+    Files are split among tasks unless a field spans lines, which needs whole files.
+    """
+    reader = spark.read.options(
+        header=True, quote='"', escape='"', emptyValue="", nullValue="",
+        multiLine=has_multi_line_fields(spark, path),
+    )
+    names = reader.csv(path, inferSchema=False).columns
+    fields = [T.StructField(n, T.StringType()) for n in [*names, CORRUPT]]
+    raw = reader.csv(path, schema=T.StructType(fields), columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
     return raw.select(*[
-        F.when(~quoted(n).isin(*MISSING_TEXTS), quoted(n)).alias(n) for n in raw.columns
-    ], "_metadata")
-
-
-def infer_types(text: DataFrame, columns: list[str]) -> dict[str, str]:
-    """The narrowest type that holds every non-missing value; all-missing columns are doubles."""
-    if not columns:
-        return {}
-    counts = text.agg(*[
-        F.struct(
-            F.count(value),
-            F.count_if(value.rlike(INTEGER_PATTERN) & F.trim(value).try_cast("bigint").isNotNull()),
-            F.count(text_number(value)),
-            F.count_if(value.isin(*BOOLEAN_TEXTS)),
-        ).alias(str(i))
-        for i, value in enumerate(map(quoted, columns))
-    ]).first()
+        F.when(~quoted(n).isin(*MISSING_TEXTS), quoted(n)).alias(n) for n in names
+    ], CORRUPT, "_metadata")
+
+
+def _source_columns(text: DataFrame) -> list[str]:
+    return [n for n in text.columns if n not in (CORRUPT, "_metadata")]
+
+
+def infer_types(text: DataFrame) -> dict[str, str]:
+    """The narrowest type that holds every non-missing value; all-missing columns are doubles.
+
+    A row with more fields than the header makes the file unreadable; a shorter row is filled up
+    with missing values.
+    """
+    columns = _source_columns(text)
+    unquoted = F.regexp_replace(CORRUPT, '"[^"]*"', "")
+    facts = text.agg(
+        F.max(F.size(F.split(unquoted, ","))).alias("widest"),
+        *[
+            F.struct(
+                F.count(value),
+                F.count_if(value.rlike(INTEGER_PATTERN) & F.trim(value).try_cast("bigint").isNotNull()),
+                F.count(text_number(value)),
+                F.count_if(value.isin(*BOOLEAN_TEXTS)),
+            ).alias(str(i))
+            for i, value in enumerate(map(quoted, columns))
+        ],
+    ).first()
+    if (facts["widest"] or 0) > len(columns):
+        raise ValueError(f"Expected {len(columns)} fields, saw {facts['widest']}.")
     types = {}
     for i, name in enumerate(columns):
-        filled, whole, number, truth = counts[str(i)]
+        filled, whole, number, truth = facts[str(i)]
         types[name] = (
             "double" if not filled
             else "bigint" if whole == filled
@@ -61,17 +89,14 @@ def _typed(name: str, kind: str) -> Column:
 def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
     """A delimited file with inferred column types (one pass to infer, one to read)."""
     text = read_text_csv(spark, path)
-    names = [n for n in text.columns if n != "_metadata"]
-    types = infer_types(text, names)
-    return text.select(*[_typed(n, types[n]) for n in names])
+    return text.select(*[_typed(n, kind) for n, kind in infer_types(text).items()])
 
 
 def read_numbered_csv(spark: SparkSession, path: str, label: str) -> DataFrame:
     """The same with source-order row numbers."""
     text = read_text_csv(spark, path)
-    names = [n for n in text.columns if n != "_metadata"]
-    types = infer_types(text, names)
-    return number_csv(text.select(*[_typed(n, types[n]) for n in names], "_metadata"), label)
+    typed = [_typed(n, kind) for n, kind in infer_types(text).items()]
+    return number_csv(text.select(*typed, "_metadata"), label)
 
 
 def ingest_csv(spark: SparkSession, path: str, target: str) -> DataFrame:

@@ -14,7 +14,7 @@ ROW_NUMBER = "row_number"
 _SEQUENCE = "__sequence"
 _PART = "__part"
 _START = "__start"
-MAX_BROADCAST_FILES = 100_000  # about 10 MB of paths; beyond it the join shuffles and AQE splits
+MAX_BROADCAST_FILES = 100_000  # about 10 MB of paths; beyond it the join is shuffled
 _LOW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -85,6 +85,8 @@ def number_csv(df: DataFrame, label: str) -> DataFrame:
     )
     before = Window.orderBy(_PART, "__offset").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn(_START, F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
+    if splits.count() <= MAX_BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return (
         staged.join(starts, [_PART, "__offset"])
         .withColumn(

@@ -19,7 +19,8 @@ def test_profile_of_mixed_columns(numbered):
     types = P.logical_types(table)
     assert types == {"UserID": "identifier", "Day": "datetime", "Kind": "categorical", "Amount": "numeric",
                      "Flag": "numeric"}
-    facts = {r["column_name"]: r for r in P.column_profile(table, types).collect()}
+    assert types == {r["column_name"]: r["logical_type"] for r in P.column_profile(table).collect()}
+    facts = {r["column_name"]: r for r in P.column_profile(table).collect()}
     assert facts["Amount"]["missing_count"] == 10 and facts["Amount"]["missing_percentage"] == 25.0
     assert facts["Kind"]["unique_count"] == 2 and facts["UserID"]["unique_count"] == 40
     samples = [r["value"] for r in P.column_samples(table).filter("ordinal = 4").orderBy("position").collect()]
@@ -116,6 +117,19 @@ def test_csv_types_and_missing_texts(spark, tmp_path):
     assert rows[1]["number"] == float("inf")
 
 
+def test_csv_fields_may_span_lines(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('n,note\n1,"two\nlines"\n2,"a, ""b"""\n3\n')
+    found = readers.read_numbered_csv(spark, str(path), "multi").orderBy("row_number").collect()
+    assert [(r["row_number"], r["n"], r["note"]) for r in found] == [(1, 1, "two\nlines"), (2, 2, 'a, "b"'), (3, 3, None)]
+
+
+def test_csv_with_too_many_fields_is_rejected(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text('a,b\n1,2\n"x, y",4,5\n')
+    rejected = readers.ingest_csv(spark, str(tmp_path / "wide.csv"), str(tmp_path / "out")).first()
+    assert rejected["status"] == "rejected" and "Expected 2 fields, saw 3" in rejected["reason"]
+
+
 def test_ingest_rejects_empty_and_unreadable(spark, tmp_path):
     (tmp_path / "header.csv").write_text("Quantity,UnitPrice\n")
     rejected = readers.ingest_csv(spark, str(tmp_path / "header.csv"), str(tmp_path / "a")).first()
