@@ -133,7 +133,7 @@ class Review:
         return self.forest is not None or any(b.evaluated for b in self.bounds)
 
 
-def _outside(df: DataFrame, bound: Bound) -> Column:
+def outside(df: DataFrame, bound: Bound) -> Column:
     """Strictly outside the bounds; missing and non-finite values never are."""
     value = quoted(bound.field).cast("double")
     hit = (value < bound.lower) | (value > bound.upper)
@@ -167,7 +167,7 @@ def review(df: DataFrame, with_forest: bool = True) -> Review:
             rows = _spread(df)
             score = forest.score(rows)
     rows = rows.withColumn("forest_score", score)
-    flags = [(b.signal, _outside(df, b)) for b in bounds if b.evaluated]
+    flags = [(b.signal, outside(df, b)) for b in bounds if b.evaluated]
     if forest:
         flags.append((FOREST, F.coalesce(F.col("forest_score") < 0, F.lit(False))))
     # Votes are counted apart from the names, so that the filter on them stays in generated code.

@@ -7,45 +7,55 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import constants as K
 from plumbline.functions.names import Roles, resolve_roles
 from plumbline.functions.scalars import cancellation_marker, finite_or_null, never, quoted, to_number
-from plumbline.operators.anomaly import FOREST, Review
+from plumbline.operators.anomaly import FOREST, Review, outside
 from plumbline.sources.rows import ROW_NUMBER
 
+EVIDENCE_TYPE = (
+    "array<struct<method:string,field:string,observed_value:double,direction:string,"
+    "boundary:double,distance_from_boundary:double,message:string>>"
+)
+
+
 def evidence_entries(found: Review) -> Column:
     """Array of evidence structs, one per signal, in signal order."""
-    entries = []
-    for b in found.bounds:
-        if not b.evaluated:
-            continue
-        value = finite_or_null(quoted(b.field).cast("double"))
-        label = K.METHOD_LABELS[b.method]
-        for direction, boundary, hit in (
-            ("below", b.lower, value < b.lower), ("above", b.upper, value > b.upper)
-        ):
-            entries.append(F.when(hit, F.struct(
-                F.lit(b.method).alias("method"),
-                F.lit(b.field).alias("field"),
-                value.alias("observed_value"),
-                F.lit(direction).alias("direction"),
-                F.lit(boundary).alias("boundary"),
-                F.round(F.abs(value - F.lit(boundary)), 6).alias("distance_from_boundary"),
-                F.lit(f"{b.field} is {direction} the {label} boundary.").alias("message"),
-            )))
+    crossed = F.array_compact(F.array(*[
+        F.when(outside(found.rows, b), F.struct(
+            F.lit(b.method).alias("method"), F.lit(b.field).alias("field"),
+            F.lit(K.METHOD_LABELS[b.method]).alias("label"), quoted(b.field).cast("double").alias("value"),
+            F.lit(b.lower).alias("lower"), F.lit(b.upper).alias("upper"),
+        ))
+        for b in found.bounds if b.evaluated
+    ]))
+
+    def evidence(e: Column) -> Column:
+        below = e["value"] < e["lower"]
+        boundary = F.when(below, e["lower"]).otherwise(e["upper"])
+        direction = F.when(below, "below").otherwise("above")
+        return F.struct(
+            e["method"].alias("method"), e["field"].alias("field"), e["value"].alias("observed_value"),
+            direction.alias("direction"), boundary.alias("boundary"),
+            F.round(F.abs(e["value"] - boundary), 6).alias("distance_from_boundary"),
+            F.concat(e["field"], F.lit(" is "), direction, F.lit(" the "), e["label"], F.lit(" boundary."))
+            .alias("message"),
+        )
+
+    entries = (
+        F.transform(crossed, evidence) if any(b.evaluated for b in found.bounds)
+        else F.array().cast(EVIDENCE_TYPE)
+    )
     if found.forest:
-        entries.append(F.when(F.col("forest_score") < 0, F.struct(
+        score = F.round("forest_score", 6)
+        unusual = F.when(F.col("forest_score") < 0, F.struct(
             F.lit(FOREST).alias("method"),
             F.lit(", ".join(found.forest.fields)).alias("field"),
-            F.round("forest_score", 6).alias("observed_value"),
+            score.alias("observed_value"),
             F.lit("below").alias("direction"),
             F.lit(0.0).alias("boundary"),
-            F.abs(F.round("forest_score", 6)).alias("distance_from_boundary"),
+            F.abs(score).alias("distance_from_boundary"),
             F.lit(K.FOREST_EVIDENCE).alias("message"),
-        )))
-    if not entries:
-        return F.array().cast(
-            "array<struct<method:string,field:string,observed_value:double,direction:string,"
-            "boundary:double,distance_from_boundary:double,message:string>>"
-        )
-    return F.array_compact(F.array(*entries))
+        ))
+        entries = F.concat(entries, F.array_compact(F.array(unusual)))
+    return entries
 
 
 def anomaly_evidence(found: Review) -> DataFrame:

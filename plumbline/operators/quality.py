@@ -342,58 +342,60 @@ def overall_quality(assessment: Assessment) -> DataFrame:
 
 
 def quality_issues(assessment: Assessment) -> DataFrame:
-    """(ordinal, dimension, severity, column, affected, message) in rule order."""
-    names, roles = assessment.names, assessment.roles
-    rows = F.col("rows_count")
-    nothing = F.lit(None).cast("string")
-    issues: list[tuple] = []
-
-    for i, name in enumerate(names):
-        count = F.col(f"missing_{i}")
-        percent = F.round(_percent(count, rows), 2)
-        issues.append(("completeness", severity(percent), F.lit(name), count, F.concat(
-            F.lit(f"{name} is missing in "), percent_text(percent), F.lit("% of records."))))
-
-    repeats = F.col("duplicate_rows")
-    issues.append(("uniqueness", severity(_percent(repeats, rows)), nothing, repeats,
-                   F.concat(repeats.cast("string"), F.lit(" duplicate rows were detected."))))
+    """(ordinal, dimension, severity, column, affected, message) in rule order.
 
+    Every possible issue is listed with its counter, its base and the two halves of its message;
+    severity and text are then worked out once for those that affect something.
+    """
+    roles = assessment.roles
+    # dimension, column, affected, base, message before and after the figure, figure, fixed severity
+    issues: list[tuple] = [
+        ("completeness", name, f"missing_{i}", "rows_count", f"{name} is missing in ", "% of records.", "percent", None)
+        for i, name in enumerate(assessment.names)
+    ]
+    issues.append(("uniqueness", None, "duplicate_rows", "rows_count", "", " duplicate rows were detected.", "count", None))
     if roles.has("quantity", "unit_price"):
         quantity, price = roles.matches["quantity"], roles.matches["unit_price"]
-        for count, column, message in (
-            ("negative_quantity", quantity, K.NEGATIVE_QUANTITY_ISSUE),
-            ("negative_price", price, K.NEGATIVE_PRICE_ISSUE),
-        ):
-            issues.append(("validity", severity(_percent(F.col(count), rows)), F.lit(column),
-                           F.col(count), F.lit(message)))
-        for count, column in (("bad_quantity", quantity), ("bad_price", price)):
-            issues.append(("validity", severity(_percent(F.col(count), rows)), F.lit(column), F.col(count),
-                           F.concat(F.lit(f"{column} contains "), F.col(count).cast("string"),
-                                    F.lit(" nonnumeric or non-finite values."))))
-        issues.append(("validity", F.lit("info"), F.lit(price), F.col("zero_price"), F.lit(K.ZERO_PRICE_ISSUE)))
-
+        issues += [
+            ("validity", quantity, "negative_quantity", "rows_count", K.NEGATIVE_QUANTITY_ISSUE, "", None, None),
+            ("validity", price, "negative_price", "rows_count", K.NEGATIVE_PRICE_ISSUE, "", None, None),
+            *[("validity", column, count, "rows_count", f"{column} contains ",
+               " nonnumeric or non-finite values.", "count", None)
+              for column, count in ((quantity, "bad_quantity"), (price, "bad_price"))],
+            ("validity", price, "zero_price", "rows_count", K.ZERO_PRICE_ISSUE, "", None, "info"),
+        ]
     if roles.has("product_id", "product_name"):
         code, name = roles.matches["product_id"], roles.matches["product_name"]
-        issues.append(("consistency", severity(_percent(F.col("codes_affected"), F.col("codes_checked"))),
-                       nothing, F.col("codes_affected"),
-                       F.lit(f"{code} values associated with multiple {name} values were detected.")))
+        issues.append(("consistency", None, "codes_affected", "codes_checked",
+                       f"{code} values associated with multiple {name} values were detected.", "", None, None))
     if roles.has("quantity", "unit_price", "line_total"):
         quantity, price, total = (roles.matches[r] for r in ("quantity", "unit_price", "line_total"))
         formula = f"{quantity} × {price}" + (" + tax" if roles.has("tax_amount") else "")
-        affected = F.col("totals_affected")
-        issues.append(("consistency", severity(_percent(affected, F.col("totals_checked"))), F.lit(total),
-                       affected, F.concat(affected.cast("string"), F.lit(
-                           f" comparable {total} values differ from {formula}."))))
+        issues.append(("consistency", total, "totals_affected", "totals_checked", "",
+                       f" comparable {total} values differ from {formula}.", "count", None))
 
     listed = F.array(*[
-        F.when(count > 0, F.struct(
-            F.lit(i).alias("ordinal"), F.lit(dimension).alias("dimension"), level.alias("severity"),
-            column.alias("column_name"), count.cast("bigint").alias("affected_records"),
-            message.alias("message")))
-        for i, (dimension, level, column, count, message) in enumerate(issues, 1)
+        F.struct(
+            F.lit(i).alias("ordinal"), F.lit(dimension).alias("dimension"),
+            F.lit(column).cast("string").alias("column_name"),
+            F.col(counter).cast("bigint").alias("affected_records"), F.col(base).alias("whole"),
+            F.lit(lead).alias("lead"), F.lit(tail).alias("tail"),
+            F.lit(figure or "none").alias("figure"), F.lit(fixed).cast("string").alias("fixed"),
+        )
+        for i, (dimension, column, counter, base, lead, tail, figure, fixed) in enumerate(issues, 1)
     ])
-    # The divisors are zero only where nothing is affected, and those entries are never built.
-    return assessment.scores.filter(rows > 0).select(F.inline(F.array_compact(listed)))
+    found = assessment.scores.select(F.inline(listed)).filter(F.col("affected_records") > 0)
+    percent = _percent(F.col("affected_records"), F.col("whole"))
+    shown = F.round(percent, 2)  # missing cells are judged by the rounded share, as it is shown
+    figure = (
+        F.when(F.col("figure") == "percent", percent_text(percent))
+        .when(F.col("figure") == "count", F.col("affected_records").cast("string")).otherwise("")
+    )
+    judged = F.when(F.col("figure") == "percent", severity(shown)).otherwise(severity(percent))
+    return found.select(
+        "ordinal", "dimension", F.coalesce("fixed", judged).alias("severity"), "column_name", "affected_records",
+        F.concat("lead", figure, "tail").alias("message"),
+    )
 
 
 def severity_rank(level: Column) -> Column:

@@ -51,5 +51,8 @@ def store_once(spark: SparkSession, label: str, build: Callable[[], DataFrame])
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Keep a frame of aggregated facts, whose size is bounded by the schema, as literal rows."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """Keep a frame of aggregated facts, whose size is bounded by the schema, as literal rows.
+
+    Through Arrow the rows become a local relation, so what is projected from them runs no job.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
