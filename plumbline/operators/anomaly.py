@@ -142,12 +142,6 @@ def outside(df: DataFrame, bound: Bound) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Give Python scoring every core when a small table arrives in a few partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def review(df: DataFrame, with_forest: bool = True) -> Review:
     """Detect anomalies in a numbered table.
 
@@ -158,15 +152,13 @@ def review(df: DataFrame, with_forest: bool = True) -> Review:
     stats = field_stats(df, fields)
     bounds = anomaly_bounds(df, stats)
     gate = forest = None
-    rows = df
     score = F.lit(None).cast("double")
     if with_forest:
         gate = forest_gate(df, {f: (s.rows, s.varies) for f, s in stats.items()})
         forest = fit_forest(df, gate)
         if forest:
-            rows = _spread(df)
-            score = forest.score(rows)
-    rows = rows.withColumn("forest_score", score)
+            score = forest.score(df)
+    rows = df.withColumn("forest_score", score)
     flags = [(b.signal, outside(df, b)) for b in bounds if b.evaluated]
     if forest:
         flags.append((FOREST, F.coalesce(F.col("forest_score") < 0, F.lit(False))))

@@ -11,6 +11,8 @@ from plumbline.operators.quantiles import exact_quantiles
 from plumbline.sources.rows import ROW_NUMBER
 from plumbline.sources.storage import pin
 
+DISCRETE_PROBE_ROWS = 1_000
+
 
 def require_column(df: DataFrame, column: str) -> None:
     if column not in df.columns:
@@ -46,11 +48,14 @@ def numeric_usability(df: DataFrame, columns: list[str]) -> DataFrame:
 def is_discrete(df: DataFrame, column: str) -> bool:
     """At least 20 finite values and at most 12 distinct ones.
 
-    The distinct count stops mattering at 13, so a limit ends it early.
+    Some early rows with more distinct values settle it; only a column that looks discrete there
+    is read whole, and its distinct values are few in every task.
     """
     values = df.select(finite_or_null(_value(column)).alias("value")).dropna()
-    distinct = values.distinct().limit(K.MAX_DISCRETE_VALUES + 1).count()
-    return distinct <= K.MAX_DISCRETE_VALUES and len(values.take(K.MIN_DISCRETE_ROWS)) == K.MIN_DISCRETE_ROWS
+    early = values.take(DISCRETE_PROBE_ROWS)
+    if len(early) < K.MIN_DISCRETE_ROWS or len({r["value"] for r in early}) > K.MAX_DISCRETE_VALUES:
+        return False
+    return values.distinct().count() <= K.MAX_DISCRETE_VALUES
 
 
 def discrete_counts(df: DataFrame, column: str) -> DataFrame:

@@ -110,22 +110,29 @@ def _distinct_text(df: DataFrame, name: str) -> Column:
     return quoted(name).cast("string")
 
 
-def column_unique(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def column_unique(
+    df: DataFrame, names: list[str] | None = None, relative_error: float | None = None
+) -> DataFrame:
     """(ordinal, column, unique count) of all columns in one pass.
 
-    A hot value collapses in its own task before the shuffle.
+    A hot value collapses in its own task before the shuffle. With a relative error the counts are
+    sketched instead, and only the sketches are shuffled.
     """
     names = data_columns(df) if names is None else names
     every = data_columns(df)
     cells = F.array(*[
         F.struct(F.lit(every.index(n) + 1).alias("ordinal"), _distinct_text(df, n).alias("value")) for n in names
     ])
-    counted = (
-        df.select(F.inline(cells))
-        .filter(F.col("value").isNotNull())
-        .groupBy("ordinal", "value").agg(F.lit(1).alias("one"))
-        .groupBy("ordinal").agg(F.count("*").alias("unique_count"))
-    )
+    long = df.select(F.inline(cells)).filter(F.col("value").isNotNull())
+    if relative_error is None:
+        counted = (
+            long.groupBy("ordinal", "value").agg(F.lit(1).alias("one"))
+            .groupBy("ordinal").agg(F.count("*").alias("unique_count"))
+        )
+    else:
+        counted = long.groupBy("ordinal").agg(
+            F.approx_count_distinct("value", relative_error).alias("unique_count")
+        )
     # One row per column: it keeps all-missing columns in the result.
     listed = df.sparkSession.createDataFrame(
         [(every.index(n) + 1, n) for n in names], "ordinal int, column_name string"

@@ -57,13 +57,25 @@ def checks_cancellations(roles: Roles) -> bool:
     return roles.get("transaction_id") == K.INVOICE_HEADER
 
 
+NUMBER_ROLES = ("quantity", "unit_price", "line_total", "tax_amount")
+
+
+def with_numbers(df: DataFrame, roles: Roles) -> DataFrame:
+    """The table with the number of each retail role beside it, so that text is parsed once a row."""
+    return df.withColumns({
+        f"__{role}": to_number(df, roles.matches[role]) for role in NUMBER_ROLES if roles.has(role)
+    })
+
+
 def row_rules(df: DataFrame, roles: Roles) -> RowRules:
+    """Rules over a table that ``with_numbers`` has prepared."""
+
     def number(role: str) -> Column | None:
-        return to_number(df, roles.matches[role]) if roles.has(role) else None
+        return F.col(f"__{role}") if roles.has(role) else None
 
     quantity, price, total = number("quantity"), number("unit_price"), number("line_total")
     if quantity is None or price is None:
-        return RowRules(quantity, price, total, never(), never(), never(), never(), never(), never(), never(), None, never())
+        return RowRules(quantity, price, total, *[never()] * 7, None, never())
 
     negative_quantity = never()
     if checks_cancellations(roles):
@@ -130,7 +142,8 @@ class Assessment:
 def assess(df: DataFrame, roles: Roles | None = None) -> Assessment:
     names = data_columns(df)
     roles = roles or resolve_roles(names)
-    rules = row_rules(df, roles)
+    numbered = with_numbers(df, roles)
+    rules = row_rules(numbered, roles)
     counters = {
         **{f"missing_{i}": ~present(df, name) for i, name in enumerate(names)},
         "bad_quantity": rules.bad_quantity,
@@ -144,8 +157,8 @@ def assess(df: DataFrame, roles: Roles | None = None) -> Assessment:
         "totals_affected": rules.mismatch,
     }
     parts = [
-        df.agg(F.count("*").alias("rows_count"),
-               *[F.count_if(test).alias(name) for name, test in counters.items()]),
+        numbered.agg(F.count("*").alias("rows_count"),
+                     *[F.count_if(test).alias(name) for name, test in counters.items()]),
         duplicate_count(df, names),
     ]
     if roles.has("product_id", "product_name"):
@@ -415,7 +428,8 @@ def ranked_issues(issues: DataFrame) -> DataFrame:
 def invalid_rows(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     """The invalid rows with the rules they break."""
     roles = roles or resolve_roles(data_columns(df))
-    rules = row_rules(df, roles)
+    numbered = with_numbers(df, roles)
+    rules = row_rules(numbered, roles)
     broken = F.array_compact(F.array(
         F.when(rules.negative_quantity, "negative_quantity"),
         F.when(rules.negative_price, "negative_price"),
@@ -423,7 +437,7 @@ def invalid_rows(df: DataFrame, roles: Roles | None = None) -> DataFrame:
         F.when(rules.bad_price, "malformed_price"),
     ))
     keep = [ROW_NUMBER] if ROW_NUMBER in df.columns else []
-    return df.filter(rules.invalid).select(
+    return numbered.filter(rules.invalid).select(
         *keep, *[quoted(n) for n in data_columns(df)], F.concat_ws(", ", broken).alias("rules_broken")
     )
 
@@ -431,11 +445,12 @@ def invalid_rows(df: DataFrame, roles: Roles | None = None) -> DataFrame:
 def line_total_mismatches(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     """Comparable rows whose total differs from its inputs beyond the tolerance."""
     roles = roles or resolve_roles(data_columns(df))
-    rules = row_rules(df, roles)
+    numbered = with_numbers(df, roles)
+    rules = row_rules(numbered, roles)
     if rules.expected is None:
         raise ValueError("Line totals need quantity, unit price and line total columns.")
     keep = [ROW_NUMBER] if ROW_NUMBER in df.columns else []
-    return df.filter(rules.mismatch).select(
+    return numbered.filter(rules.mismatch).select(
         *keep,
         rules.quantity.alias("quantity"), rules.price.alias("unit_price"),
         rules.total.alias("line_total"),

@@ -48,6 +48,12 @@ def test_all_missing_column_has_no_values(numbered):
     assert counts == {"Empty": 0, "Value": 1}
 
 
+def test_sketched_distinct_counts(numbered):
+    table = numbered([(i, "x") for i in range(2_000)], "N bigint, S string")
+    counts = {r["column_name"]: r["unique_count"] for r in P.column_unique(table, relative_error=0.02).collect()}
+    assert abs(counts["N"] - 2_000) < 200 and counts["S"] == 1
+
+
 def test_first_values_widen_to_late_cells(numbered):
     rows = [(None if i < 5_000 else f"v{i}", i) for i in range(6_000)]
     table = numbered(rows, "Late string, N bigint")
