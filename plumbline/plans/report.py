@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import constants as K
@@ -190,11 +192,16 @@ class Report:
 
 
 def build_report(df: DataFrame, with_forest: bool = True) -> Report:
-    """All report tables of a numbered table. Facts and flags are computed once and shared."""
-    assessment = assess(df).pinned()
-    found = review(df, with_forest)
+    """All report tables of a numbered table. Facts and flags are computed once and shared.
+
+    Quality, anomalies and profile do not depend on each other, so their jobs run side by side.
+    """
+    with ThreadPoolExecutor(3) as pool:
+        quality = pool.submit(inheritable_thread_target(lambda: assess(df).pinned()))
+        anomalies = pool.submit(inheritable_thread_target(lambda: review(df, with_forest)))
+        columns = pool.submit(inheritable_thread_target(lambda: column_profile(df)))
+        assessment, found, profile = quality.result(), anomalies.result(), columns.result()
     counts = pin(method_counts(found))
-    profile = column_profile(df)
     tables = {
         "headline": report_headline(assessment, found),
         "dimensions": report_dimensions(assessment).orderBy("ordinal"),
