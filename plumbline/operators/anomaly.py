@@ -23,12 +23,13 @@ from plumbline.functions.scalars import (
 )
 from plumbline.operators.forest import Forest, ForestGate, fit_forest, forest_gate
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.sources.rows import ROW_NUMBER, data_columns
+from plumbline.sources.rows import ROW_NUMBER, data_columns, number_by
 from plumbline.sources.storage import store
 
 METHODS = ("iqr", "z_score")
 FOREST = "isolation_forest"
 STATS_FIELDS_PER_PASS = 32
+NEAR_PAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -231,15 +232,22 @@ def anomaly_queue(found: Review) -> DataFrame:
 
 
 def anomaly_page(found: Review, offset: int = 0, limit: int = K.DEFAULT_PAGE) -> DataFrame:
-    """One page of the queue (a top-k, not a sort), with the offset of the next page or NULL."""
+    """One page of the queue, with the offset of the next page or NULL.
+
+    Near pages are a top-k. A top-k keeps offset + limit rows per task, so for far pages the queue
+    is sorted, stored and numbered, and the page is a range of positions.
+    """
     if offset < 0 or not 1 <= limit <= K.MAX_PAGE:
         raise ValueError(f"The offset must not be negative and the limit must be 1 to {K.MAX_PAGE}.")
     total = found.flagged.count()
     following = offset + limit if offset + limit < total else None
-    page = found.flagged.orderBy(*review_order())
-    if offset:
-        page = page.offset(offset)
-    return page.limit(limit).withColumn("next_offset", F.lit(following).cast("bigint"))
+    if offset <= NEAR_PAGES:
+        page = found.flagged.orderBy(*review_order()).offset(offset).limit(limit)
+    else:
+        queue = number_by(found.flagged, review_order(), "queue", name="__position")
+        inside = (F.col("__position") > offset) & (F.col("__position") <= offset + limit)
+        page = queue.filter(inside).orderBy("__position").drop("__position")
+    return page.withColumn("next_offset", F.lit(following).cast("bigint"))
 
 
 def anomaly_summary(found: Review) -> DataFrame:

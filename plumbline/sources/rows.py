@@ -18,7 +18,7 @@ MAX_BROADCAST_FILES = 100_000  # about 10 MB of paths; beyond it the join is shu
 _LOW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def _dense(staged: DataFrame) -> DataFrame:
+def _dense(staged: DataFrame, name: str) -> DataFrame:
     """Replace stored (partition, position) identifiers by dense numbers."""
     part = F.shiftright(F.col(_SEQUENCE), _LOW_BITS)
     position = F.col(_SEQUENCE).bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
@@ -29,19 +29,21 @@ def _dense(staged: DataFrame) -> DataFrame:
     return (
         staged.withColumn(_PART, part)
         .join(F.broadcast(starts), _PART)
-        .withColumn(ROW_NUMBER, (F.col(_START) + position + 1).cast("bigint"))
+        .withColumn(name, (F.col(_START) + position + 1).cast("bigint"))
         .drop(_PART, _START, _SEQUENCE)
     )
 
 
-def number_by(df: DataFrame, keys: list[str | Column], label: str) -> DataFrame:
+def number_by(
+    df: DataFrame, keys: list[str | Column], label: str, name: str = ROW_NUMBER
+) -> DataFrame:
     """Row numbers in key order.
 
     The sorted rows are stored before they are counted: a lost executor may not re-draw the sort
     boundaries between the two reads.
     """
     return _dense(
-        store(df.orderBy(*keys).withColumn(_SEQUENCE, F.monotonically_increasing_id()), label)
+        store(df.orderBy(*keys).withColumn(_SEQUENCE, F.monotonically_increasing_id()), label), name
     )
 
 

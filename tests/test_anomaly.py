@@ -38,6 +38,15 @@ def test_pages_partition_the_queue(numbered):
         A.anomaly_page(found, 0, 101)
 
 
+def test_far_pages_equal_near_pages(numbered, monkeypatch):
+    rows = [(10 + i % 3, 20 + i % 4) for i in range(40)] + [(500 + i, 900 - i) for i in range(6)]
+    found = A.review(numbered(rows, "Quantity bigint, UnitPrice bigint"))
+    near = [r["row_number"] for r in A.anomaly_page(found, 2, 3).collect()]
+    monkeypatch.setattr(A, "NEAR_PAGES", 0)
+    far = A.anomaly_page(found, 2, 3).collect()
+    assert [r["row_number"] for r in far] == near and "__position" not in far[0]
+
+
 def test_readings(numbered):
     rows = [("C1", -10, 2), ("A2", -10, 2), ("A3", 1, -1), ("A4", 1, 0)]
     found = A.review(numbered(rows, "InvoiceNo string, Quantity bigint, UnitPrice bigint"))
