@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import mixing, sharding
+from plumbline.llm import (
+    decontaminate, mixing, secret_scan, sharding, simhash, span_dedup, suffix_dedup, topk, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -30,6 +32,46 @@ def op1_mix_sources(spark, sf):
     )
 
 
+@query
+def op2_decontaminate(spark, sf):
+    return decontaminate.contamination_table(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op3_secrets(spark, sf):
+    return secret_scan.secret_table(table(spark, sf, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark, sf):
+    return suffix_dedup.suffix_table(table(spark, sf, "documents"))
+
+
+@query
+def op5_span_dedup(spark, sf):
+    return span_dedup.span_table(table(spark, sf, "documents"))
+
+
+@query
+def op6_simhash(spark, sf):
+    return simhash.simhash_table(table(spark, sf, "documents"))
+
+
+@query
+def op7_toxicity(spark, sf):
+    return toxicity.toxicity_table(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op8_top_products(spark, sf):
+    return topk.embedding_neighbours(table(spark, sf, "embeddings"))
+
+
+@query
+def op9_warc(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 @query
 def op10_shards(spark, sf):
     return sharding.shard_table(table(spark, sf, "documents"), 40)
