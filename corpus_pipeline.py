@@ -1,15 +1,35 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Every stage works on all rows its predecessor kept and returns the columns of documents; the last one
+adds the shard. Null and empty texts, null sources and ids pass through the stages as their operators
+define; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, sharding
+from plumbline.llm import decontaminate, mixing, sharding, simhash, toxicity
 from plumbline.sources.storage import store
 
 SHARDS = 40
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class-conditional models do not call toxic."""
+    return toxicity.ordinary_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the least doc_id."""
+    return simhash.first_documents(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold too few words of benchmark windows to count as contaminated."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights: each document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -21,16 +41,19 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", simhash_stage),
+    ("decontamination", decontamination_stage),
     ("mixing", mixing_stage),
     ("sharding", sharding_stage),
 ]
 
-# Stages with trained models and hash fingerprints have no counterpart in SQL.
+# Stages with trained models and XXH64 fingerprints have no counterpart in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; empty tables pass through."""
+    """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
