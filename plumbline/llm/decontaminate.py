@@ -8,7 +8,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.shared import plain_words
+from plumbline.llm.shared import packed, plain_words, unpacked
 from plumbline.sources.storage import store
 
 WINDOW_WORDS = 13
@@ -116,15 +116,15 @@ def find_contamination(
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(1, math.ceil(size / table_bytes))
     struct = MATCHES.replace(" ", ":", 1).replace(", items ", ",items:").replace(", n_words ", ",n_words:")
-    found = documents.withColumn(column, F.lit(None).cast(f"struct<{struct}>"))
+    found = packed(documents, text=F.col(text), found=F.lit(None).cast(f"struct<{struct}>"))
     for part in range(parts):
         share = items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == part)
         match = _matcher(spark, build_tables([tuple(r) for r in share.collect()], window))
-        previous: Column = F.col(column)
-        found = found.withColumn(column, match(F.col(text), previous["hits"], previous["items"]))
+        previous: Column = F.col("found")
+        found = found.withColumn("found", match(F.col("text"), previous["hits"], previous["items"]))
         if part < parts - 1:
             found = store(found, "decontaminate")
-    return found
+    return found.select(*unpacked(found, (column,)), F.col("found").alias(column))
 
 
 def hit_words(found: Column) -> Column:
@@ -153,5 +153,6 @@ def contamination_table(documents: DataFrame, benchmark: DataFrame) -> DataFrame
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    marked = find_contamination(documents, benchmark, column="_contamination")
-    return marked.filter(~is_contaminated(F.col("_contamination"))).select(*documents.columns)
+    marked = find_contamination(packed(documents, text=F.col("text")), benchmark)
+    clean = marked.filter(~is_contaminated(F.col("contamination")))
+    return clean.select(*unpacked(clean))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.llm.shared import md5_block
+from plumbline.llm.shared import md5_block, packed, text_hash, unpacked
 from plumbline.sources.storage import store
 
 WEIGHTS = (5, 2, 1)
@@ -23,7 +23,7 @@ def identity(df: DataFrame, source: str = "source") -> DataFrame:
     """What tells documents apart. Rows equal in all of it are one document with several rows."""
     return df.select(
         "doc_id", F.col(source).alias("source"), word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"),
+        text_hash(F.col("text")).alias("text_hash"),
     )
 
 
@@ -138,9 +138,8 @@ def mixed_counts(documents: DataFrame, weights=WEIGHTS, repeats: int = REPEATS,
 def mixed_documents(documents: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, share: float = 1.0) -> DataFrame:
     """The documents of the mix: every one as often as the mix takes it, all columns kept."""
     counts = mixed_counts(documents, weights, repeats, share).filter("copies > 0")
-    right = counts.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "copies")
-    keyed = documents.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    right = right.withColumnRenamed("copies", "_copies")
-    same = (keyed["doc_id"].eqNullSafe(right["_d"]) & keyed["source"].eqNullSafe(right["_s"]) & (keyed["_key"] == right["_h"]))
-    turns = keyed.join(right, same).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    return turns.select(*[turns[c] for c in documents.columns])
+    right = counts.select(F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.col("text_hash").alias("hash"), "copies")
+    rows = packed(documents, doc_id=F.col("doc_id"), source=F.col("source"), key=text_hash(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("origin")) & (F.col("key") == F.col("hash"))
+    turns = rows.join(right, same).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return turns.select(*unpacked(turns))

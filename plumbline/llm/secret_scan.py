@@ -9,6 +9,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.llm.shared import packed, unpacked
 from plumbline.sources.storage import store
 
 MOST_STRINGS = 64
@@ -167,12 +168,11 @@ def find_secrets(documents: DataFrame, text: str = "text", rules: list[Rule] = R
 
     A null text is empty. Every rule with mandatory trigrams is matched only in texts that the index
     gives for it; a rule without is matched in all. Texts are found again by a 64-bit hash: were two
-    to share it, one more text would be matched, with the same result. Columns named ``_key``,
-    ``_text``, ``_kinds`` or ``secrets`` are not kept.
+    to share it, one more text would be matched, with the same result. Other columns
+    stay, but one named ``secrets`` is replaced.
     """
-    keyed = documents.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn(
-        "_key", F.xxhash64(*[F.col(c) for c in documents.columns if c == "doc_id"], "_text")
-    )
+    whole = F.coalesce(F.col(text), F.lit(""))
+    keyed = packed(documents, _text=whole, _key=F.xxhash64(*[F.col(c) for c in documents.columns if c == "doc_id"], whole))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     indexed = {kind: query for kind, query in queries.items() if query != ANYTHING}
     trigrams = sorted({t for query in indexed.values() for needed in query for t in needed})
@@ -185,8 +185,7 @@ def find_secrets(documents: DataFrame, text: str = "text", rules: list[Rule] = R
         if rule.kind in indexed else match_spans(F.col("_text"), rule, rank)
         for rank, rule in enumerate(rules)
     ]
-    kept = [c for c in documents.columns if c not in ("_key", "_text", "_kinds", "secrets")]
-    return joined.select(*kept, F.array_sort(F.concat(*parts)).alias("secrets"))
+    return joined.select(*unpacked(joined, ("secrets",)), F.array_sort(F.concat(*parts)).alias("secrets"))
 
 
 def span_text(spans: Column, rules: list[Rule] = RULES) -> Column:

@@ -21,6 +21,22 @@ def md5_block(key: Column, digits: int = 2) -> Column:
     return F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, digits)
 
 
+def packed(df: DataFrame, **extra: Column) -> DataFrame:
+    """The rows as one struct column ``row`` beside computed columns: no name of theirs can clash."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(own, *[column.alias(name) for name, column in extra.items()])
+
+
+def unpacked(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns that ``packed`` put away, but for those a new column replaces."""
+    return [F.col("row").getField(c).alias(c) for c in df.schema["row"].dataType.names if c not in without]
+
+
+def text_hash(text: Column) -> Column:
+    """64-bit hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def remove_table(df: DataFrame) -> None:
     """Delete the files of a table that ``store`` wrote and nothing reads any more."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.components import component_roots
+from plumbline.llm.shared import packed, text_hash, unpacked
 from plumbline.sources.storage import store
 
 SHINGLE_WORDS = 3
@@ -203,8 +204,8 @@ def near_groups(documents: DataFrame, size: int = SHINGLE_WORDS, bits: int = MOS
     Equal fingerprints are one node, so copies never meet in pairs. Null and empty texts have the
     fingerprint zero and link like any other. Empty tables give empty tables.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    found = store(documents.select("doc_id", text_hash.alias("text_hash"), fingerprint_column(F.col("text"), size).alias("fp")), "prints")
+    hashed = text_hash(F.col("text")).alias("text_hash")
+    found = store(documents.select("doc_id", hashed, fingerprint_column(F.col("text"), size).alias("fp")), "prints")
     member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     nodes = store(found.groupBy("fp").agg(F.min(member).alias("first")), "nodes")
     roots = component_roots(near_links(nodes, bits))
@@ -225,8 +226,8 @@ def first_documents(documents: DataFrame, size: int = SHINGLE_WORDS, bits: int =
     first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.text_hash") == F.col("text_hash"))
     stay = groups.filter(first).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_rows"))
     stay = store(stay, "stay")
-    keyed = documents.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_d"]) & (keyed["_text_hash"] == stay["_h"]))
+    rows = packed(documents, doc_id=F.col("doc_id"), key=text_hash(F.col("text")))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_h")))
     if not stay.filter("_rows > 1").isEmpty():  # equal rows: only one of them stays
         kept = kept.dropDuplicates(["_d", "_h"])
-    return kept.select(*[kept[c] for c in documents.columns])
+    return kept.select(*unpacked(kept))

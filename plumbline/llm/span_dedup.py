@@ -10,10 +10,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm.shared import packed, text_hash, unpacked
 from plumbline.sources.storage import store
 
 SPAN_SENTENCES = 3
 SPAN_WORDS = 20
+LAST_ID = 2**63 - 1
 LONG_SENTENCE = 16
 CUT_EVERY = 8
 SENTENCE_END = re.compile(r"[.!?]+[^\w\s]*\s+|\n+")
@@ -93,8 +95,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     counted with partial sums, so one that a third of all documents share is one row in the join.
     ``twin`` tells texts of one doc_id apart; rows equal in both are one document.
     """
-    twin = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    texts = documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("doc_id"), twin.alias("twin"), "text")
+    texts = documents.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("doc_id"), text_hash(F.col("text")).alias("twin"), "text")
 
     def spans(batches):
         for batch in batches:
@@ -118,19 +119,17 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     A span is a run of at least ``SPAN_SENTENCES`` sentences and ``SPAN_WORDS`` words; sentences inside
     any but its first occurrence go. Texts shorter than a span keep everything. Other columns stay.
     """
-    hits = store(repeated_spans(documents), "spans").select(F.col("doc_id").alias("_d"), F.col("twin").alias("_t"), F.col("starts").alias("_starts"))
-    keyed = documents.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))).withColumn(
-        "_twin", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    )
-    joined = keyed.join(hits, (F.col("_key") == F.col("_d")) & (F.col("_twin") == F.col("_t")), "left")
+    hits = store(repeated_spans(documents), "spans")
+    rows = packed(documents, doc_id=F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), twin=text_hash(F.col("text")))
+    joined = rows.join(hits, ["doc_id", "twin"], "left")
 
     @F.pandas_udf("kept_text string, n_sentences bigint, n_removed bigint, n_removed_words bigint")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         rows = [without_spans(t, s) for t, s in zip(texts, starts)]
         return pd.DataFrame(rows, columns=["kept_text", "n_sentences", "n_removed", "n_removed_words"])
 
-    own = [c for c in documents.columns if c not in ("kept_text", "n_sentences", "n_removed", "n_removed_words")]
-    return joined.withColumn("_cut", cut.asNondeterministic()("text", "_starts")).select(*own, "_cut.*")
+    done = joined.withColumn("cut", cut.asNondeterministic()(F.col("row").getField("text"), "starts"))
+    return done.select(*unpacked(done, ("kept_text", "n_sentences", "n_removed", "n_removed_words")), "cut.*")
 
 
 def span_table(documents: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm.shared import plain_words
+from plumbline.llm.shared import packed, plain_words, unpacked
 from plumbline.sources.storage import store
 
 CLASSES = ("ordinary", "toxic")
@@ -268,9 +268,9 @@ def score_documents(
     model, sample = fit_models(documents, labels, rows)
     tested = sample.filter("calibrates").select("class", evidence_column(spark, model, F.col("text")).alias("x")).toPandas()
     slope, offset = calibrate(tested["x"].to_numpy(float), tested["class"].to_numpy(int) == 1)
-    found = documents.withColumn("_evidence", evidence_column(spark, model, F.col(text)))
-    curve = 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("_evidence") + F.lit(offset))))
-    return found.withColumn(score, curve).drop("_evidence")
+    found = packed(documents, evidence=evidence_column(spark, model, F.col(text)))
+    curve = 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(offset))))
+    return found.select(*unpacked(found, (score,)), curve.alias(score))
 
 
 def toxicity_table(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,5 +282,6 @@ def toxicity_table(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def ordinary_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents below the threshold, with their own columns."""
-    scored = score_documents(documents, labels, score="_score")
-    return scored.filter(F.col("_score") < THRESHOLD).select(*documents.columns)
+    rows = packed(documents, doc_id=F.col("doc_id"), text=F.col("text"))
+    kept = score_documents(rows, labels).filter(F.col("score") < THRESHOLD)
+    return kept.select(*unpacked(kept))
