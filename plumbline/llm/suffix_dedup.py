@@ -1,9 +1,9 @@
 """Removal of repeated 50-byte strings with a sparse suffix array.
 
-All windows of 50 bytes would be far more than the text. Here every window is found through one of its
-anchors: a position whose 16-byte hash is the least among the 16-grams of some window. Equal windows have
-equal anchors at equal places, so it is enough to sort the suffixes that start at anchors, each with
-the bytes around it: 34 before, 50 from the anchor on.
+All windows of 50 bytes would be far more than the text. Here every window belongs to an anchor: the
+position in it whose 16-byte hash is the least. Equal windows have equal anchors at equal places, so it is
+enough to sort the suffixes that start at anchors, each with the bytes of its windows around it: up to 34
+before, up to 50 from the anchor on.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ GRAM = 16
 BEFORE = WINDOW - GRAM  # windows of an anchor start up to so many bytes before it
 CONTEXT = BEFORE + WINDOW
 OFFSETS = BEFORE + 1
-BATCH_BYTES = 16 << 20  # text of one task's group
-SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20  # text of one task's group
+SLICE_BYTES = 2 << 20
 KEYS_PER_BUCKET = 4 << 20
-CONTEXT_SHARE = 4  # batches whose shared contexts meet in one range
+CONTEXT_SHARE = 6  # batches whose shared contexts meet in one range
 SPLITTER_SAMPLE = 1 << 14  # bounds what the driver reads to choose the splitters
 ALL_OFFSETS = (1 << OFFSETS) - 1
 LAST_ID = 2**63 - 1
@@ -49,10 +49,11 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed | np.uint64(1)  # never 0
 
 
-def _slice_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchors of texts laid end to end; windows over an end of a text do not count."""
+def _slice_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(position, hash, least and greatest offset of its windows) of the anchors of texts laid end to
+    end; windows over an end of a text do not count. Positions of one hash in a window share it."""
     if len(data) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     hashes = _gram_hashes(data)
     lowest = _slide(hashes, OFFSETS, np.minimum)  # by window start
     real = np.zeros(len(lowest) + 1, np.int64)
@@ -63,11 +64,22 @@ def _slice_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     edge = np.zeros(BEFORE, np.uint64)
     chosen = _slide(np.concatenate([edge, lowest, edge]), OFFSETS, np.maximum) == hashes
     at = np.flatnonzero(chosen)
-    return at, hashes[at]
+    hashes = hashes[at]
+    # Runs of windows with one least hash; an anchor's own run is the last one of its hash that begins by it.
+    begins = np.flatnonzero(np.concatenate([[True], lowest[1:] != lowest[:-1]]))
+    finishes = np.append(begins[1:], len(lowest)) - 1
+    run = np.searchsorted(begins, at, side="right") - 1
+    while True:
+        foreign = lowest[begins[run]] != hashes
+        if not foreign.any():
+            break
+        run[foreign] -= 1
+    return at, hashes, at - np.minimum(finishes[run], at), at - np.maximum(begins[run], at - BEFORE)
 
 
 class Batch:
-    """The texts of a group as bytes, sorted by doc_id, with their anchors: document, position, hash."""
+    """The texts of a group as bytes, sorted by doc_id, with their anchors: document, position, hash,
+    and the offsets from ``near`` to ``far`` at which their windows start before them."""
 
     def __init__(self, table: pa.Table):
         ids = np.array([LAST_ID if i is None else i for i in table["doc_id"].to_pylist()], np.int64)
@@ -79,24 +91,21 @@ class Batch:
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
-        places, hashes, first = [], [], 0
+        found, first = [], 0
         while first < len(sizes):
             last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + SLICE_BYTES)))
             last = min(last, len(sizes))
             begin, end = self.starts[first], self.starts[last]
-            at, value = _slice_anchors(self.data[begin:end], self.starts[first:last] - begin, self.starts[first + 1:last + 1] - begin)
-            places.append(at + begin)
-            hashes.append(value)
+            at, *rest = _slice_anchors(self.data[begin:end], self.starts[first:last] - begin, self.starts[first + 1:last + 1] - begin)
+            found.append((at + begin, *rest))
             first = last
-        self.at = np.concatenate(places) if places else np.empty(0, np.int64)
-        self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.at, self.hash, self.near, self.far = (np.concatenate(parts) for parts in zip(*found))
         self.doc = np.searchsorted(self.starts, self.at, side="right") - 1
 
     def contexts(self, chosen: np.ndarray) -> np.ndarray:
-        """The bytes around anchors, 0 beyond their text, and how many of them are text on both sides."""
-        at, doc = self.at[chosen], self.doc[chosen]
-        left = np.minimum(at - self.starts[doc], BEFORE)
-        right = np.minimum(self.starts[doc + 1] - at, WINDOW)
+        """The bytes of the anchors' windows, 0 beyond them, and their greatest and least offset."""
+        at, left, near = self.at[chosen], self.far[chosen], self.near[chosen]
+        right = WINDOW - near
         steps = np.arange(-BEFORE, WINDOW)
         out = np.zeros((len(at), CONTEXT + 2), np.uint8)
         for begin in range(0, len(at), 1 << 15):
@@ -104,7 +113,7 @@ class Batch:
             place = at[part, None] + steps
             inside = (steps >= -left[part, None]) & (steps < right[part, None])
             out[part, :CONTEXT] = np.where(inside, self.data[np.clip(place, 0, max(len(self.data) - 1, 0))], 0)
-        out[:, CONTEXT], out[:, CONTEXT + 1] = left, right
+        out[:, CONTEXT], out[:, CONTEXT + 1] = left, near
         return out
 
 
@@ -178,7 +187,7 @@ def shared_offsets(contexts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     one, owner, heads = one[open_], owner[open_], heads[open_]
     flags = np.zeros(len(heads), np.uint64)
     for offset in range(OFFSETS):
-        real = np.flatnonzero((one[:, CONTEXT] >= offset) & (one[:, CONTEXT + 1] >= WINDOW - offset))
+        real = np.flatnonzero((one[:, CONTEXT] >= offset) & (one[:, CONTEXT + 1] <= offset))
         if len(real):
             windows = one[real, BEFORE - offset:BEFORE - offset + WINDOW]
             found = _least_by_group(*multikey_order(windows), owner[real])
@@ -195,10 +204,9 @@ def shared_offsets(contexts: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _cover(batch: Batch, chosen: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Which bytes of the batch the flagged windows cover."""
     marks = np.zeros(len(batch.data) + 1, np.int64)
-    at, doc = batch.at[chosen], batch.doc[chosen]
-    left, right = at - batch.starts[doc], batch.starts[doc + 1] - at
+    at, near, far = batch.at[chosen], batch.near[chosen], batch.far[chosen]
     for offset in range(OFFSETS):
-        hit = ((masks >> np.uint64(offset)) & np.uint64(1)).astype(bool) & (left >= offset) & (right >= WINDOW - offset)
+        hit = ((masks >> np.uint64(offset)) & np.uint64(1)).astype(bool) & (far >= offset) & (near <= offset)
         start = at[hit] - offset
         np.add.at(marks, start, 1)
         np.add.at(marks, start + WINDOW, -1)
@@ -321,7 +329,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         at = [np.flatnonzero(place == n) for n in numbers]
         where = left["batch"][0].as_py()
         return _table(_SENT, range=numbers.tolist(), batch=[where] * len(at), part=[contexts[i].tobytes() for i in at],
-                      docs=[shared.owner[i].tobytes() for i in at], numbers=[i.astype(np.int64).tobytes() for i in at])
+                      docs=[shared.owner[i].tobytes() for i in at], numbers=[i.astype(np.int32).tobytes() for i in at])
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -330,7 +338,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         masks = shared_offsets(contexts, docs)
         back, at = [], 0
         for r in rows:
-            numbers = np.frombuffer(r["numbers"], np.int64)
+            numbers = np.frombuffer(r["numbers"], np.int32)
             own = masks[at:at + len(numbers)]
             at += len(numbers)
             back.append((r["batch"], numbers[own > 0].tobytes(), own[own > 0].tobytes()))
@@ -342,7 +350,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         batch, shared = shared_of(left, right)
         flags = np.zeros(len(shared.heads), np.uint64)
         for r in replied(right, 1):
-            flags[np.frombuffer(r["numbers"], np.int64)] = np.frombuffer(r["masks"], np.uint64)
+            flags[np.frombuffer(r["numbers"], np.int32)] = np.frombuffer(r["masks"], np.uint64)
         covered = _cover(batch, shared.chosen, shared.masks(flags))
         removed, spans, kept = [], [], []
         for number, text in enumerate(batch.texts):
