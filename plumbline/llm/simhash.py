@@ -170,8 +170,8 @@ def near_links(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     spark = prints.sparkSession
     total = prints.count()
     shards = min(max(1, math.ceil(total / SHARD_ROWS)), SAMPLE_ROWS // SAMPLE_PER_SHARD)
-    sample = prints.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"]
-    tree = build_tree(sample.to_numpy(np.int64).view(np.uint64), shards)
+    sample = prints.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toArrow()["fp"]
+    tree = build_tree(sample.to_numpy().astype(np.int64).view(np.uint64), shards)
     shared = spark.sparkContext.broadcast(tree)
 
     def send(batches):

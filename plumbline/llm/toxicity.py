@@ -135,11 +135,17 @@ def _vocabulary(sample: DataFrame) -> dict[bytes, int]:
             yield pd.DataFrame({"word": list(seen), "documents": list(seen.values())})
 
     counts = sample.mapInPandas(per_batch, "word binary, documents long").groupBy("word").agg(F.sum("documents").alias("n"))
-    words = counts.filter(F.col("n") >= LEAST_DOCUMENTS).select("word").toPandas()["word"]  # bounded by the sample
-    return {bytes(word): number for number, word in enumerate(sorted(words), 1)}
+    words = counts.filter(F.col("n") >= LEAST_DOCUMENTS).select("word").toArrow()["word"]  # bounded by the sample
+    return {word: number for number, word in enumerate(sorted(words.to_pylist()), 1)}
 
 
-def _pair_counts(sample: DataFrame, numbers) -> pd.DataFrame:
+def _columns(frame: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a bounded frame, through Arrow."""
+    table = frame.toArrow()
+    return {name: table[name].to_numpy() for name in table.column_names}
+
+
+def _pair_counts(sample: DataFrame, numbers) -> dict[str, np.ndarray]:
     """(class, pair, n): how often a word follows another in the texts the models learn from."""
 
     def per_batch(batches):
@@ -156,7 +162,7 @@ def _pair_counts(sample: DataFrame, numbers) -> pd.DataFrame:
 
     learnt = sample.filter(~F.col("calibrates")).select("class", "text")
     counts = learnt.mapInPandas(per_batch, "class int, pair long, n long")
-    return counts.groupBy("class", "pair").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
+    return _columns(counts.groupBy("class", "pair").agg(F.sum("n").alias("n")))  # bounded by the sample
 
 
 def shared_contexts(documents: DataFrame, numbers) -> DataFrame:
@@ -195,9 +201,9 @@ def fit_models(documents: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLA
     numbers = spark.sparkContext.broadcast(vocabulary)
     size = len(vocabulary) + 1
     counts = _pair_counts(sample, numbers)
-    masks = shared_contexts(documents, numbers).toPandas()  # one row per known word: bounded by the sample
+    masks = _columns(shared_contexts(documents, numbers))  # one row per known word: bounded by the sample
     places = np.zeros(size, np.uint64)
-    places[masks["word"].to_numpy(np.int64)] = masks["contexts"].to_numpy(np.int64).view(np.uint64)
+    places[masks["word"]] = masks["contexts"].astype(np.int64).view(np.uint64)
     empty = CONTEXT_BITS - np.bitwise_count(places).astype(float)
     spread = -CONTEXT_BITS * np.log(np.maximum(empty, 0.5) / CONTEXT_BITS) + 1.0  # linear counting
     shared = spread / spread.sum()
@@ -205,8 +211,8 @@ def fit_models(documents: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLA
     backoff, words = np.ones((size, 2)), np.empty((size, 2))
     masses = []
     for kind in range(2):
-        own = counts[counts["class"] == kind]
-        pair, n = own["pair"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
+        own = counts["class"] == kind
+        pair, n = counts["pair"][own].astype(np.int64), counts["n"][own].astype(np.int64)
         context, word = pair // size, pair % size
         off = _discounted(n, _discounts(n))
         totals = np.bincount(context, n, size)
@@ -266,8 +272,9 @@ def score_documents(
     """
     spark = documents.sparkSession
     model, sample = fit_models(documents, labels, rows)
-    tested = sample.filter("calibrates").select("class", evidence_column(spark, model, F.col("text")).alias("x")).toPandas()
-    slope, offset = calibrate(tested["x"].to_numpy(float), tested["class"].to_numpy(int) == 1)
+    tested = sample.filter("calibrates").select("class", evidence_column(spark, model, F.col("text")).alias("x"))
+    known = _columns(tested)
+    slope, offset = calibrate(known["x"].astype(float), known["class"] == 1)
     found = packed(documents, evidence=evidence_column(spark, model, F.col(text)))
     curve = 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(offset))))
     return found.select(*unpacked(found, (score,)), curve.alias(score))
