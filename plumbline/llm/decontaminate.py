@@ -8,7 +8,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.shared import packed, plain_words, unpacked
+from plumbline.llm.shared import packed, plain_words, share, unpacked
 from plumbline.sources.storage import store
 
 WINDOW_WORDS = 13
@@ -83,13 +83,13 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _matcher(spark, tables: list[ShiftTables]):
-    shared = spark.sparkContext.broadcast(tables)
+    shared = share(spark, tables)
 
     def match(texts: pd.Series, earlier: pd.Series, known: pd.Series) -> pd.DataFrame:
         rows = []
         for text, spans, items in zip(texts, earlier, known):
             words = plain_words(text.encode("utf-8", "surrogatepass") if text else None)
-            found = [hit for table in shared.value for hit in table.search(words)]
+            found = [hit for table in shared() for hit in table.search(words)]
             every = [(s, e) for s, e, _ in found] + [(x["start"], x["end"]) for x in (spans if spans is not None else [])]
             ids = set(items if items is not None else []).union(*[i for _, _, i in found])
             rows.append(([{"start": s, "end": e} for s, e in _union(every)], sorted(ids), len(words)))

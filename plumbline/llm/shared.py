@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pickle
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Words of ASCII letters and digits and of every non-ASCII byte; A-Z become a-z.
 _WORD_BYTES = bytes(
@@ -16,6 +19,31 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+def plain_word_parts(text: str | None, size: int = 1 << 20):
+    """The same words of a whole text in lists, each from about ``size`` bytes: a long text is never
+    held as single words."""
+    data = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES) if text else b""
+    start = 0
+    while start < len(data):
+        end = data.find(b" ", start + size) if start + size < len(data) else len(data)
+        end = len(data) if end < 0 else end
+        yield data[start:end].split()
+        start = end
+
+
+def share(spark: SparkSession, value):
+    """A function that gives a broadcast value in any task; the value's classes travel with it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def read():
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return read
+
+
 def md5_block(key: Column, digits: int = 2) -> Column:
     """The leading hex digits of a key's MD5: an even block that SQL engines agree on."""
     return F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, digits)

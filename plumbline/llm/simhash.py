@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.components import component_roots
-from plumbline.llm.shared import packed, text_hash, unpacked
+from plumbline.llm.shared import packed, share, text_hash, unpacked
 from plumbline.sources.storage import store
 
 SHINGLE_WORDS = 3
@@ -172,12 +172,12 @@ def near_links(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     shards = min(max(1, math.ceil(total / SHARD_ROWS)), SAMPLE_ROWS // SAMPLE_PER_SHARD)
     sample = prints.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toArrow()["fp"]
     tree = build_tree(sample.to_numpy().astype(np.int64).view(np.uint64), shards)
-    shared = spark.sparkContext.broadcast(tree)
+    shared = share(spark, tree)
 
     def send(batches):
         for batch in batches:
             fps = batch["fp"].to_numpy(np.int64)
-            at, shard, home = route(shared.value, fps.view(np.uint64), bits)
+            at, shard, home = route(shared(), fps.view(np.uint64), bits)
             yield pd.DataFrame({"shard": shard.astype(np.int32), "fp": fps[at], "home": home})
 
     sent = store(prints.select("fp").mapInPandas(send, "shard int, fp bigint, home boolean"), "visitors")

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.shared import packed, plain_words, unpacked
+from plumbline.llm.shared import packed, plain_word_parts, share, unpacked
 from plumbline.sources.storage import store
 
 CLASSES = ("ordinary", "toxic")
 ROWS_PER_CLASS = 3_000  # the bound of the labelled sample: rows of each class
 CALIBRATION_SHARE = 3  # one in so many sampled rows only calibrates
-LEAST_DOCUMENTS = 2  # words of fewer sampled documents are the unknown word
-CONTEXT_BITS = 64
+RARE_SHARE = 0.015  # expressions in such a share of a class's documents, or in
+RARE_LEAST = 2  # so many of them, or fewer, are left to the shared counts
+CONTEXT_DOCUMENTS = 20  # pairs count only after contexts that both classes have so often
+COPY_KEYS = 4
+COPY_WORDS = 5
+SHARED_PAIRS = 0.5  # of a pair's backoff that goes to the shared pairs, so that a passage is no class's own
+SURPLUS = 3.0  # and so is what a class has less than so many times as often as expected
 THRESHOLD = 0.7
 SLICE_WORDS = 1 << 18
 NEWTON_STEPS = 50
@@ -28,90 +33,84 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 3 == 1
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return plain_words(text.encode("utf-8", "surrogatepass") if text else None)
-
-
 @dataclass
 class Model:
-    """Word numbers, and for each class (columns): what the discounted counts leave of a word after a
-    context (``pairs``), the weight of the backoff after a context, and the backoff distribution.
-    Word 0 is the unknown word."""
+    """Word numbers, and for each class (columns): the likelihood of a word after a context where the
+    class's pairs say something of their own (``pairs``), else the weight of the backoff after a context
+    and the words it backs off to. Word 0 stands for the words that are not known."""
 
     numbers: dict[bytes, int]
     pairs: np.ndarray  # context * words + word, sorted
-    pair_mass: np.ndarray
+    pair_words: np.ndarray
     backoff: np.ndarray
     words: np.ndarray
 
-    def ratios(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log of the toxic over the ordinary likelihood of each word after the one before it."""
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[first] = 0  # the start of a text is an unknown context
-        weight = self.backoff[before]
-        likelihood = weight * self.words[ids]
+    def ratios(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Log of the toxic over the ordinary likelihood of words after contexts."""
+        likelihood = self.backoff[context] * self.words[word]
         if len(self.pairs):
-            key = before * len(self.words) + ids
+            key = context * len(self.words) + word
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             seen = self.pairs[at] == key
-            likelihood[seen] += self.pair_mass[at[seen]]
+            likelihood[seen] = self.pair_words[at[seen]]
         logs = np.log(likelihood)
         return logs[:, 1] - logs[:, 0]
 
     def evidence(self, texts) -> np.ndarray:
-        """Length-normalised log-likelihood ratio of every text; 0 without words."""
-        sums, counts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        pending: list = []
+        """Log-likelihood ratio of every text over its number of expressions; 0 without words.
+
+        As in training, an expression (a word with the one before it) counts once a text. The first
+        word follows an unknown one.
+        """
+        size = len(self.words)
+        out = np.zeros(len(texts))
+        waiting: list[tuple[int, np.ndarray]] = []
+        total = 0
 
         def settle() -> None:
-            ids = np.concatenate([p[1] for p in pending])
-            starts = np.cumsum([0, *[len(p[1]) for p in pending[:-1]]])
-            fresh = np.array([p[2] for p in pending])
-            ratio = self.ratios(ids, starts[fresh])
-            for (row, part, _), total in zip(pending, np.add.reduceat(ratio, starts)):
-                sums[row] += total
-                counts[row] += len(part)
-            pending.clear()
-
-        waiting = 0
+            keys = np.concatenate([k for _, k in waiting])
+            starts = np.cumsum([0, *[len(k) for _, k in waiting[:-1]]])
+            sums = np.add.reduceat(self.ratios(keys // size, keys % size), starts)
+            for (row, k), value in zip(waiting, sums):
+                out[row] = value / len(k)
+            waiting.clear()
+
         for row, text in enumerate(texts):
-            words = words_of(text)
-            for begin in range(0, len(words), SLICE_WORDS):
-                part = words[max(0, begin - 1):begin + SLICE_WORDS] if begin else words[:SLICE_WORDS]
-                ids = np.fromiter(map(self.numbers.get, part, repeat(0)), np.int64, len(part))
-                if begin:  # the word before the slice gives only the context
-                    if pending:
-                        settle()
-                    ratio = self.ratios(ids, np.array([0]))
-                    sums[row] += ratio[1:].sum()
-                    counts[row] += len(ids) - 1
-                    continue
-                pending.append((row, ids, True))
-                waiting += len(ids)
-                if waiting >= SLICE_WORDS:
+            ids = text_ids(text, self.numbers)
+            if len(ids):
+                waiting.append((row, np.unique(np.concatenate([[0], ids[:-1]]) * size + ids)))
+                total += len(ids)
+                if total >= SLICE_WORDS:
                     settle()
-                    waiting = 0
-        if pending:
+                    total = 0
+        if waiting:
             settle()
-        return sums / np.maximum(counts, 1)
+        return out
+
 
+def _ids(words, numbers: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts of counts 0, 1, 2 and 3 or more, from how many events were seen once to four times."""
-    seen = [float((counts == k).sum()) for k in range(5)]
-    share = seen[1] / max(seen[1] + 2 * seen[2], 1.0)
-    found = [0.0] + [k - (k + 1) * share * seen[k + 1] / seen[k] if seen[k] else share * k for k in (1, 2, 3)]
-    return np.array([0.0] + [min(max(d, 0.05 * k), 0.98 * k) for k, d in zip((1, 2, 3), found[1:])])
 
+def text_ids(text: str | None, numbers: dict[bytes, int]) -> np.ndarray:
+    """The numbers of a whole text's words."""
+    parts = [_ids(words, numbers) for words in plain_word_parts(text)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
-def _discounted(counts: np.ndarray, least: np.ndarray) -> np.ndarray:
-    return least[np.minimum(counts, 3).astype(int)]
+
+def _rare(documents: int) -> float:
+    return max(RARE_LEAST, RARE_SHARE * documents)
+
+
+def _excess(found: np.ndarray, expected: np.ndarray, documents: int) -> np.ndarray:
+    """What the discount leaves of a class's counts: nothing of rare expressions, nor of those that the
+    class has hardly more often than the shared counts lead to expect."""
+    return np.maximum(found - np.maximum(_rare(documents), SURPLUS * expected), 0.0)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(class, calibrates, text) of at most ``rows`` labelled documents of each class, the first by the MD5
-    of their id, whole texts. Several labels of one document count as toxic if one says so."""
+    of their id, whole texts, without near copies. Several labels of one document count as toxic if one says so."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("class"))
     digest = F.md5(F.col("doc_id").cast("string"))
@@ -121,21 +120,51 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataF
     sample = picked[0].union(picked[1]).withColumn(
         "calibrates", F.conv(F.substring("digest", 9, 4), 16, 10).cast("int") % CALIBRATION_SHARE == 0
     )
-    texts = documents.select("doc_id", "text")
-    return texts.join(F.broadcast(sample), "doc_id").select("class", "calibrates", "text")  # at most 2 * rows
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * rows
+    return _without_copies(texts).select("class", "calibrates", "text")
+
+
+def copy_keys(text: str | None) -> list[int]:
+    """The least hash of the text's runs of words under a few seeds; near copies share one nearly always."""
+    words = [w for part in plain_word_parts(text) for w in part]
+    runs = [b" ".join(words[i:i + COPY_WORDS]) for i in range(max(1, len(words) - COPY_WORDS + 1))]
+    return [min(xxhash.xxh64_intdigest(run, seed) for run in runs) >> 1 for seed in range(COPY_KEYS)]
+
+
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """One text of each group of near copies: counts of documents mean little where copies count. The
+    sample's rows bound the groups."""
+    names = [f"key{i}" for i in range(COPY_KEYS)]
+
+    def keyed(batches):
+        for batch in batches:
+            keys = np.array([copy_keys(t) for t in batch["text"]], np.int64).reshape(-1, COPY_KEYS)
+            yield batch.assign(**{name: keys[:, i] for i, name in enumerate(names)})
+
+    schema = texts.schema.simpleString()[7:-1].replace(":", " ")
+    marked = texts.mapInPandas(keyed, schema + "".join(f", {name} long" for name in names))
+    first = F.lit(True)
+    for name in names:
+        place = F.row_number().over(Window.partitionBy(name).orderBy("digest", "doc_id"))
+        marked = marked.withColumn(f"at_{name}", place)
+        first = first & (F.col(f"at_{name}") == 1)
+    return marked.filter(first)
 
 
 def _vocabulary(sample: DataFrame) -> dict[bytes, int]:
+    """Numbers of the words that the smaller class's rare ones must stay below."""
+    sizes = [r["count"] for r in sample.filter(~F.col("calibrates")).groupBy("class").count().collect()]
+
     def per_batch(batches):
         for batch in batches:
             seen: dict[bytes, int] = {}
             for text in batch["text"]:
-                for word in set(words_of(text)):
+                for word in set().union(*plain_word_parts(text)):
                     seen[word] = seen.get(word, 0) + 1
             yield pd.DataFrame({"word": list(seen), "documents": list(seen.values())})
 
     counts = sample.mapInPandas(per_batch, "word binary, documents long").groupBy("word").agg(F.sum("documents").alias("n"))
-    words = counts.filter(F.col("n") >= LEAST_DOCUMENTS).select("word").toArrow()["word"]  # bounded by the sample
+    words = counts.filter(F.col("n") > _rare(min(sizes, default=0))).select("word").toArrow()["word"]  # bounded by the sample
     return {word: number for number, word in enumerate(sorted(words.to_pylist()), 1)}
 
 
@@ -145,18 +174,19 @@ def _columns(frame: DataFrame) -> dict[str, np.ndarray]:
     return {name: table[name].to_numpy() for name in table.column_names}
 
 
-def _pair_counts(sample: DataFrame, numbers) -> dict[str, np.ndarray]:
-    """(class, pair, n): how often a word follows another in the texts the models learn from."""
+def _class_counts(sample: DataFrame, numbers) -> dict[str, np.ndarray]:
+    """(class, pair, n): documents to learn from that have a word after a context, by class. Pair -1
+    counts the documents, a pair with context -1 those that have the word at all."""
 
     def per_batch(batches):
-        size = len(numbers.value) + 1
+        size = len(numbers()) + 1
         for batch in batches:
             for kind, group in batch.groupby("class"):
-                keys = []
+                keys = [np.full(len(group), -1)]
                 for text in group["text"]:
-                    words = words_of(text)
-                    ids = np.fromiter(map(numbers.value.get, words, repeat(0)), np.int64, len(words))
-                    keys.append(np.concatenate([[0], ids[:-1]]) * size + ids if len(ids) else ids)
+                    ids = text_ids(text, numbers())
+                    pairs = ids[:-1] * size + ids[1:]
+                    keys += [np.unique(pairs[(ids[:-1] > 0) & (ids[1:] > 0)]), np.unique(ids) - size - 1]
                 pair, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pd.DataFrame({"class": kind, "pair": pair, "n": n})
 
@@ -165,82 +195,91 @@ def _pair_counts(sample: DataFrame, numbers) -> dict[str, np.ndarray]:
     return _columns(counts.groupBy("class", "pair").agg(F.sum("n").alias("n")))  # bounded by the sample
 
 
-def shared_contexts(documents: DataFrame, numbers) -> DataFrame:
-    """(word, contexts): the words that precede each known word anywhere in the corpus, hashed to
-    ``CONTEXT_BITS`` places of a bit mask. Tasks combine their own masks before the shuffle."""
+def shared_counts(documents: DataFrame, numbers) -> DataFrame:
+    """(word, documents): in how many documents of the whole corpus each known word is, with word -1 for
+    the number of documents and word 0 for all words that are not known, once a document each.
+    Tasks add up their own counts before the shuffle."""
 
     def per_task(batches):
-        size = len(numbers.value) + 1
-        masks, one = np.zeros(size, np.uint64), np.uint64(1)
+        counts = np.zeros(len(numbers()) + 2, np.int64)
         for batch in batches:
             for text in batch["text"]:
-                words = words_of(text)
-                for begin in range(0, len(words) - 1, SLICE_WORDS):
-                    part = words[begin:begin + SLICE_WORDS + 1]
-                    ids = np.fromiter(map(numbers.value.get, part, repeat(0)), np.int64, len(part))
-                    known = np.flatnonzero(ids[1:])
-                    places = np.array([zlib.crc32(part[i]) & (CONTEXT_BITS - 1) for i in known], np.uint64)
-                    np.bitwise_or.at(masks, ids[1:][known], one << places)
-        word = np.flatnonzero(masks)
-        yield pd.DataFrame({"word": word, "contexts": masks[word].view(np.int64)})
+                counts += np.bincount(_ids(set().union(*plain_word_parts(text)), numbers()) + 1, minlength=len(counts))
+                counts[0] += 1
+        yield pd.DataFrame({"word": np.arange(-1, len(counts) - 1), "documents": counts})
 
-    parts = documents.select("text").mapInPandas(per_task, "word long, contexts long")
-    return parts.groupBy("word").agg(F.bit_or("contexts").alias("contexts"))
+    parts = documents.select("text").mapInPandas(per_task, "word long, documents long")
+    return parts.groupBy("word").agg(F.sum("documents").alias("documents"))
 
 
 def fit_models(documents: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> tuple[Model, DataFrame]:
     """The two models, and the stored sample, part of which is left to calibrate them.
 
-    P(word | context) discounts the class's pair counts and gives what is taken off to the class's
-    distribution of words; that one discounts in how many contexts the class has the word and gives
-    the rest to the shared distribution: in how many contexts the whole corpus has it.
+    As Kneser-Ney counts contexts, not uses, an expression counts once a document. P(word | context)
+    discounts the class's pairs and gives what is taken off to the class's words; these are discounted
+    in turn, down to what the class has beyond the shared expectation, and the rest goes to the shared
+    distribution over all documents. So words that only a language or a source favours, and rare
+    ones, weigh the same in both models.
     """
     spark = documents.sparkSession
     sample = store(labelled_sample(documents, labels, rows), "toxicity-sample")
     vocabulary = _vocabulary(sample)
-    numbers = spark.sparkContext.broadcast(vocabulary)
+    numbers = share(spark, vocabulary)
     size = len(vocabulary) + 1
-    counts = _pair_counts(sample, numbers)
-    masks = _columns(shared_contexts(documents, numbers))  # one row per known word: bounded by the sample
-    places = np.zeros(size, np.uint64)
-    places[masks["word"]] = masks["contexts"].astype(np.int64).view(np.uint64)
-    empty = CONTEXT_BITS - np.bitwise_count(places).astype(float)
-    spread = -CONTEXT_BITS * np.log(np.maximum(empty, 0.5) / CONTEXT_BITS) + 1.0  # linear counting
-    shared = spread / spread.sum()
-
-    backoff, words = np.ones((size, 2)), np.empty((size, 2))
-    masses = []
+    counts = _class_counts(sample, numbers)
+    everywhere = _columns(shared_counts(documents, numbers))  # one row per known word
+    held = np.zeros(size + 1)
+    held[everywhere["word"].astype(np.int64) + 1] = everywhere["documents"]
+    corpus, held = max(held[0], 1.0), held[1:]
+    shared = (held + 1.0) / (held + 1.0).sum()
+
+    backoff, words = np.ones((size, 2)), np.tile(shared[:, None], (1, 2))
+    found = []
     for kind in range(2):
         own = counts["class"] == kind
         pair, n = counts["pair"][own].astype(np.int64), counts["n"][own].astype(np.int64)
-        context, word = pair // size, pair % size
-        off = _discounted(n, _discounts(n))
-        totals = np.bincount(context, n, size)
-        kept = np.bincount(context, off, size)
-        seen = totals > 0
-        backoff[seen, kind] = kept[seen] / totals[seen]
-        masses.append((pair, (n - off) / np.maximum(totals[context], 1)))
-        spreads = np.bincount(word, minlength=size).astype(float)
-        taken = _discounted(spreads, _discounts(spreads))
-        whole = max(spreads.sum(), 1.0)
-        rest = taken.sum() / whole if len(pair) else 1.0
-        words[:, kind] = (spreads - taken) / whole + rest * shared
-    pairs = np.unique(np.concatenate([p for p, _ in masses])) if masses else np.empty(0, np.int64)
-    mass = np.zeros((len(pairs), 2))
-    for kind, (pair, value) in enumerate(masses):
-        mass[np.searchsorted(pairs, pair), kind] = value
-    backoff[0] = 1.0  # nothing is learnt of what follows a word that is not known
+        whole = int(n[pair == -1].sum())
+        single = np.zeros(size)
+        single[pair[pair < -1] + size + 1] = n[pair < -1]
+        excess = _excess(single, whole * held / corpus, whole)
+        excess[0] = 0.0
+        total = max(single.sum(), 1.0)
+        words[:, kind] = excess / total + (1 - excess.sum() / total) * shared
+        found.append((whole, pair[pair >= 0], n[pair >= 0]))
+
+    pairs = np.unique(np.concatenate([p for _, p, _ in found]))
+    seen = np.zeros((len(pairs), 2))
+    for kind, (_, pair, n) in enumerate(found):
+        seen[np.searchsorted(pairs, pair), kind] = n
+    sizes = np.array([max(whole, 1) for whole, _, _ in found], float)
+    usual = (seen / sizes) @ class_shares(labels)  # share of all documents that have the pair
+    totals = np.stack([np.maximum(np.bincount(pairs // size, seen[:, k], size), 1.0) for k in range(2)], axis=1)
+    trusted = (totals.min(axis=1) >= CONTEXT_DOCUMENTS)[pairs // size]
+    mass = np.zeros(seen.shape)
+    for kind in range(2):
+        excess = _excess(seen[:, kind], sizes[kind] * usual, int(sizes[kind]))
+        mass[:, kind] = np.where(trusted, excess, 0.0) / totals[pairs // size, kind]
+        backoff[:, kind] -= np.bincount(pairs // size, mass[:, kind], size)
     worth = mass.sum(axis=1) > 0
-    zero = pairs // size == 0
-    return Model(vocabulary, pairs[worth & ~zero], mass[worth & ~zero], backoff, words), sample
+    context, word = pairs[worth] // size, pairs[worth] % size
+    after = usual[worth] / np.maximum(np.bincount(pairs // size, usual, size), 1e-12)[context]
+    below = SHARED_PAIRS * after[:, None] + (1 - SHARED_PAIRS) * words[word]
+    return Model(vocabulary, pairs[worth], mass[worth] + backoff[context] * below, backoff, words), sample
+
+
+def class_shares(labels: DataFrame) -> np.ndarray:
+    """How many of the labels that may be learnt from are of each class, as shares."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    counts = known.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    return np.array(counts, float) / max(sum(counts), 1)
 
 
 def evidence_column(spark: SparkSession, model: Model, text: Column) -> Column:
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     @F.pandas_udf("double")
     def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.evidence(list(texts)))
+        return pd.Series(shared().evidence(list(texts)))
 
     return evidence.asNondeterministic()(text)  # or a filter would run it twice
 
