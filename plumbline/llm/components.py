@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.shared import remove_table
-from plumbline.sources.storage import store
+from plumbline.sources.storage import discard, store
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -46,7 +45,7 @@ def component_roots(links: DataFrame) -> DataFrame:
     while True:
         moved = _small_star(_large_star(links)).filter("a <> b").distinct()
         following = store(moved, "stars")
-        remove_table(links)
+        discard(links)
         links, after = following, _state(following)
         if after == before:
             return links

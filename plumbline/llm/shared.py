@@ -1,4 +1,4 @@
-"""What several operators of this package need: words of bytes, row blocks, removal of tables."""
+"""What several operators of this package need: words of bytes, row blocks."""
 
 from __future__ import annotations
 
@@ -63,12 +63,3 @@ def unpacked(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
 def text_hash(text: Column) -> Column:
     """64-bit hash of a text; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def remove_table(df: DataFrame) -> None:
-    """Delete the files of a table that ``store`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)

@@ -40,14 +40,16 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Pages with ``_digest``, ``_bytes`` and ``_refers``: of payloads that are equal (length and SHA-1)
     and have ``least_bytes`` or more, the largest page_id is the response, the others refer to it.
 
-    Groups are combined in each task; only digests that occur twice are joined back, so a payload
-    that a third of all pages share is one row against many, which Spark can split.
+    Groups are combined in each task and digests that occur twice are stored, so that Spark knows their
+    size and moves the pages only where they are many; a payload that a third of all pages share is
+    then one row against many, which Spark can split.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     known = pages.select("page_id", "url", "html", base32_sha1(payload).alias("_digest"), F.octet_length(payload).cast("bigint").alias("_bytes"))
     groups = known.filter(F.col("_bytes") >= least_bytes).groupBy("_digest", "_bytes").agg(
         F.max("page_id").alias("_newest"), F.count("*").alias("_pages")
     ).filter("_pages > 1").drop("_pages")
+    groups = store(groups, "warc-revisits")
     joined = known.join(groups, ["_digest", "_bytes"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_newest")) & F.col("_newest").isNotNull(), F.col("_newest"))
     return joined.select("page_id", "url", "html", "_digest", "_bytes", refers.alias("_refers"))
@@ -113,7 +115,7 @@ def _parsed(value: Column) -> dict[str, Column]:
     """What a piece says if it is a record: its header's fields and the payload, as far as the piece has it."""
     header = F.substring_index(value, END, 1)
     head_bytes = F.octet_length(header).cast("bigint")
-    body = F.substring(value.cast("binary"), 1, 2147483647)
+    body = value.cast("binary")
     length = _field(header, "Content-Length", r"(\d{1,15})[ \t]*(?:\r|\n|$)").cast("bigint")
     http_bytes = F.octet_length(F.substring_index(value, END, 2)).cast("bigint") + len(END)
     payload = F.substr(body, (http_bytes + 1).cast("int"), F.greatest(head_bytes + len(END) + length - http_bytes, F.lit(0)).cast("int"))
