@@ -24,7 +24,6 @@ NO_DISCOUNT_TEXTS = ("false", "0", "no")
 IQR_MULTIPLIER = 1.5
 Z_THRESHOLD = 3.0
 FOREST_CONTAMINATION = 0.01
-FOREST_TRAINING_ROWS = 10_000
 FOREST_TREES = 100
 FOREST_TREE_ROWS = 256
 FOREST_MIN_ROWS = 20
@@ -33,7 +32,6 @@ MAX_PAGE = 100
 SEED = 42
 
 # --- Fixed values: profile and distributions ---------------------------------------
-DATE_PROBE_VALUES = 1_000
 DATE_PROBE_SHARE = 0.95
 CATEGORY_MAX_DISTINCT = 50
 CATEGORY_MAX_SHARE = 0.05
@@ -44,13 +42,9 @@ TOP_CATEGORIES = 12
 MAX_DISCRETE_VALUES = 12
 MIN_DISCRETE_ROWS = 20
 SHARE_MAX_GROUPS = 6
-RANKING_ROWS = 12
 YEAR_BUCKET_SPAN = 3
 
-# --- Fixed values: report limits ---------------------------------------------------
-REPORT_COLUMNS = 40
-REPORT_FINDINGS = 50
-REPORT_METHODS = 30
+# --- Fixed values: report examples -------------------------------------------------
 REPORT_EXAMPLES = 5
 
 # --- Fixed values: identifier name tokens ------------------------------------------
@@ -97,6 +91,7 @@ DATE_FORMATS = (
 )
 
 # --- Fixed values: reasons and messages --------------------------------------------
+NO_FIELDS_REASON = "No usable fields"
 NO_ROWS_REASON = "The dataset has no data rows."
 CONCENTRATED_REASON = "Concentrated missing values reduce the score by up to 15 points."
 NOT_CONCENTRATED_REASON = "No extra deduction for concentrated missing values."
@@ -139,6 +134,10 @@ NO_FINITE_REASON = "No finite numeric values are available."
 NO_DATES_REASON = "No valid dates are available."
 NO_CATEGORIES_REASON = "No nonmissing category values are available."
 NOT_SUMMARIZED_REASON = "Identifier and free-text fields are not summarized as distributions."
+CSV_EXTENSION = ".csv"
+EXTENSION_REASON = "Only .csv files can be ingested."
+UNREADABLE_REASON = "The uploaded file could not be read: "
+MULTI_LINE_REASON = "Quoted fields span lines; read the file with multi_line."
 EMPTY_UPLOAD_REASON = "The uploaded dataset must contain at least one data row."
 
 # --- Fixed values: row interpretations (category, from a business rule, message, next step)

@@ -23,13 +23,13 @@ from plumbline.functions.scalars import (
 )
 from plumbline.operators.forest import Forest, ForestGate, fit_forest, forest_gate
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.sources.rows import ROW_NUMBER, data_columns, number_by
+from plumbline.sources.rows import ROW_NUMBER, data_columns, stored_by
 from plumbline.sources.storage import store
 
 METHODS = ("iqr", "z_score")
 FOREST = "isolation_forest"
+POSITION = "__position"
 STATS_FIELDS_PER_PASS = 32
-NEAR_PAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -128,6 +128,14 @@ class Review:
     gate: ForestGate | None = None
     forest: Forest | None = None
     source_columns: list[str] = field(default_factory=list)
+    _queue: list[DataFrame] = field(default_factory=list)
+
+    @property
+    def queue(self) -> DataFrame:
+        """The flagged rows numbered once in review order (``position`` from 1); pages are ranges of it."""
+        if not self._queue:
+            self._queue.append(stored_by(self.flagged, review_order(), "queue", name=POSITION))
+        return self._queue[0]
 
     @property
     def evaluated(self) -> bool:
@@ -146,20 +154,19 @@ def outside(df: DataFrame, bound: Bound) -> Column:
 def review(df: DataFrame, with_forest: bool = True) -> Review:
     """Detect anomalies in a numbered table.
 
-    With the forest, the flagged rows are stored: counts, pages and evidence then read those few
-    rows and do not score the table again.
+    With the forest, the scores are stored and joined by row number, and so are the flagged rows:
+    counts, pages and evidence then read those few rows.
     """
     fields = numeric_fields(df)
     stats = field_stats(df, fields)
     bounds = anomaly_bounds(df, stats)
     gate = forest = None
-    score = F.lit(None).cast("double")
+    rows = df.withColumn("forest_score", F.lit(None).cast("double"))
     if with_forest:
         gate = forest_gate(df, {f: (s.rows, s.varies) for f, s in stats.items()})
         forest = fit_forest(df, gate)
         if forest:
-            score = forest.score(df)
-    rows = df.withColumn("forest_score", score)
+            rows = df.join(forest.scores, ROW_NUMBER, "left")
     flags = [(b.signal, outside(df, b)) for b in bounds if b.evaluated]
     if forest:
         flags.append((FOREST, F.coalesce(F.col("forest_score") < 0, F.lit(False))))
@@ -189,6 +196,8 @@ def method_counts(found: Review) -> DataFrame:
     entries = [
         (b.method, b.field, b.evaluated, b.reason, b.evaluated_rows, b.signal) for b in found.bounds
     ]
+    if not found.fields:
+        entries = [(method, "", False, K.NO_FIELDS_REASON, None, method) for method in METHODS]
     if found.gate is not None:
         ready = found.forest is not None
         entries.append((
@@ -234,19 +243,14 @@ def anomaly_queue(found: Review) -> DataFrame:
 def anomaly_page(found: Review, offset: int = 0, limit: int = K.DEFAULT_PAGE) -> DataFrame:
     """One page of the queue, with the offset of the next page or NULL.
 
-    Near pages are a top-k. A top-k keeps offset + limit rows per task, so for far pages the queue
-    is sorted, stored and numbered, and the page is a range of positions.
+    The queue is sorted, stored and numbered once a review; a page is a range of positions.
     """
     if offset < 0 or not 1 <= limit <= K.MAX_PAGE:
         raise ValueError(f"The offset must not be negative and the limit must be 1 to {K.MAX_PAGE}.")
     total = found.flagged.count()
     following = offset + limit if offset + limit < total else None
-    if offset <= NEAR_PAGES:
-        page = found.flagged.orderBy(*review_order()).offset(offset).limit(limit)
-    else:
-        queue = number_by(found.flagged, review_order(), "queue", name="__position")
-        inside = (F.col("__position") > offset) & (F.col("__position") <= offset + limit)
-        page = queue.filter(inside).orderBy("__position").drop("__position")
+    inside = (F.col(POSITION) > offset) & (F.col(POSITION) <= offset + limit)
+    page = found.queue.filter(inside).orderBy(POSITION).drop(POSITION)
     return page.withColumn("next_offset", F.lit(following).cast("bigint"))
 
 

@@ -11,8 +11,6 @@ from plumbline.operators.quantiles import exact_quantiles
 from plumbline.sources.rows import ROW_NUMBER
 from plumbline.sources.storage import pin
 
-DISCRETE_PROBE_ROWS = 1_000
-
 
 def require_column(df: DataFrame, column: str) -> None:
     if column not in df.columns:
@@ -46,16 +44,13 @@ def numeric_usability(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def is_discrete(df: DataFrame, column: str) -> bool:
-    """At least 20 finite values and at most 12 distinct ones.
+    """At least 20 finite values and at most 12 distinct ones, over the whole column.
 
-    Some early rows with more distinct values settle it; only a column that looks discrete there
-    is read whole, and its distinct values are few in every task.
+    Values are counted with partial sums; one count more than 12 settles it.
     """
     values = df.select(finite_or_null(_value(column)).alias("value")).dropna()
-    early = values.take(DISCRETE_PROBE_ROWS)
-    if len(early) < K.MIN_DISCRETE_ROWS or len({r["value"] for r in early}) > K.MAX_DISCRETE_VALUES:
-        return False
-    return values.distinct().count() <= K.MAX_DISCRETE_VALUES
+    counts = values.groupBy("value").count().limit(K.MAX_DISCRETE_VALUES + 1).collect()
+    return len(counts) <= K.MAX_DISCRETE_VALUES and sum(r["count"] for r in counts) >= K.MIN_DISCRETE_ROWS
 
 
 def discrete_counts(df: DataFrame, column: str) -> DataFrame:
@@ -281,12 +276,15 @@ def summarize_column(df: DataFrame, column: str) -> tuple[str | None, DataFrame
     return None, None
 
 
-def missing_ranking(missing: DataFrame) -> DataFrame:
-    """Columns with missing cells, most first, twelve at most, with a band."""
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def missing_ranking(missing: DataFrame, limit: int | None = None) -> DataFrame:
+    """Columns with missing cells, most first, with a band; all of them unless a limit is given."""
     percent = F.col("missing_percentage")
     return (
-        missing.filter(F.col("missing_count") > 0)
-        .orderBy(F.col("missing_count").desc(), "ordinal").limit(K.RANKING_ROWS)
+        _first(missing.filter(F.col("missing_count") > 0).orderBy(F.col("missing_count").desc(), "ordinal"), limit)
         .select(
             "column_name", "missing_count", "missing_percentage",
             F.when(percent >= K.HIGH_SEVERITY_PERCENT, "high")
@@ -295,10 +293,8 @@ def missing_ranking(missing: DataFrame) -> DataFrame:
     )
 
 
-def signal_ranking(counts: DataFrame) -> DataFrame:
-    """Evaluated method and field pairs with flags, most first, twelve at most."""
-    return (
-        counts.filter((F.col("status") == "evaluated") & (F.col("flagged_rows") > 0))
-        .orderBy(F.col("flagged_rows").desc(), "ordinal").limit(K.RANKING_ROWS)
-        .select("method", "field", "flagged_rows")
-    )
+def signal_ranking(counts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Evaluated method and field pairs with flags, most first; all of them unless a limit is given."""
+    flagged = counts.filter((F.col("status") == "evaluated") & (F.col("flagged_rows") > 0))
+    ranked = _first(flagged.orderBy(F.col("flagged_rows").desc(), "ordinal"), limit)
+    return ranked.select("method", "field", "flagged_rows")

@@ -1,12 +1,14 @@
-"""Isolation forest (Liu, Ting and Zhou, 2008): bounded training, scoring of every complete row.
+"""Isolation forest (Liu, Ting and Zhou, 2008): 256 rows a tree, scoring of every complete row.
 
-The training sample and the trees have fixed maximum sizes, so the model is small whatever the
-table. Trees grow in parallel groups; the finished node table is broadcast and rows are scored in
-Arrow batches where they lie.
+Complete rows stand in the order of a seeded digest and each tree takes the next 256 of them, starting
+over when all are used. The model has a fixed size, whatever the table. Splits are drawn from digests of
+seed, tree and node, so the same rows give the same trees anywhere. Trees grow in parallel groups; the
+finished node table is broadcast and rows are scored once, in Arrow batches where they lie.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from dataclasses import dataclass
@@ -14,24 +16,25 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.constants import (
     FOREST_CONTAMINATION,
     FOREST_MIN_ROWS,
-    FOREST_TRAINING_ROWS,
     FOREST_TREE_ROWS,
     FOREST_TREES,
     SEED,
 )
 from plumbline.functions.scalars import finite_or_null, quoted
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.sources.rows import ROW_NUMBER
-from plumbline.sources.storage import pin
+from plumbline.sources.storage import store
 
 # Executors need not have this package installed: its small helpers travel with each task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, path double"
+SCORE_PLACES = 9
 _SAMPLE_KEY = "__sample_key"
 
 
@@ -74,14 +77,15 @@ def forest_gate(df: DataFrame, usable: dict[str, tuple[int, bool]]) -> ForestGat
     return ForestGate(fields, df.agg(F.count_if(complete)).first()[0])
 
 
-def forest_sample(df: DataFrame, gate: ForestGate, rows: int = FOREST_TRAINING_ROWS) -> DataFrame:
-    """At most ``rows`` complete rows: those with the smallest seeded digest of their row number.
+def forest_sample(df: DataFrame, gate: ForestGate, trees: int = FOREST_TREES) -> DataFrame:
+    """The complete rows the trees use, with their ``rank`` by a seeded digest of the row number.
 
-    The digest is uniform, so a bound on it leaves little more than the wanted rows before the
-    top-k; without that bound each task would send its own full top-k to one merge. The sample is
-    the same with and without the bound, which is widened in the unlikely case of too few rows.
-    The result is kept as literal rows: it is bounded by ``rows``.
+    These are trees x 256 rows, or all rows where there are fewer. The digest is uniform, so a bound
+    on it leaves little more than the wanted rows before the top-k; without that bound each task
+    would send its own full top-k to one merge. The sample is the same with and without the bound,
+    which is widened in the unlikely case of too few rows. The result is kept as literal rows.
     """
+    rows = trees * FOREST_TREE_ROWS
     matrix = _matrix(df, gate.fields)
     keyed = matrix.withColumn(
         _SAMPLE_KEY, F.md5(F.concat_ws("-", F.col(ROW_NUMBER).cast("string"), F.lit(str(SEED))))
@@ -90,15 +94,24 @@ def forest_sample(df: DataFrame, gate: ForestGate, rows: int = FOREST_TRAINING_R
     share = (rows + 10 * math.sqrt(rows)) / max(gate.complete_rows, 1)
     while True:
         bounded = keyed if share >= 1 else keyed.filter(F.col(_SAMPLE_KEY) < f"{int(share * 16 ** 8):08x}")
-        sample = pin(bounded.orderBy(_SAMPLE_KEY).limit(rows).drop(_SAMPLE_KEY))
-        if share >= 1 or sample.count() >= wanted:
-            return sample
+        first = bounded.orderBy(_SAMPLE_KEY).limit(rows).collect()
+        if share >= 1 or len(first) >= wanted:
+            break
         share *= 2
+    fields = ", ".join(f"x{i} double" for i in range(len(gate.fields)))
+    return df.sparkSession.createDataFrame(
+        [(rank, *row[:-1]) for rank, row in enumerate(first)], f"rank bigint, {ROW_NUMBER} bigint, {fields}"
+    )
+
+
+def _draw(tree: int, node: int) -> tuple[int, float]:
+    """A number to choose the field by and a share of its range, from the digest of seed, tree and node."""
+    digest = hashlib.md5(f"{SEED}-{tree}-{node}".encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:20], 16) / 16.0**12
 
 
 def _grow(tree: int, rows: np.ndarray) -> list[tuple]:
     """Random splits down to single rows or the depth limit; nodes numbered as in a binary heap."""
-    draw = np.random.default_rng([SEED, tree])
     limit = math.ceil(math.log2(max(len(rows), 2)))
     nodes, pending = [], [(0, 0, rows)]
     while pending:
@@ -108,10 +121,12 @@ def _grow(tree: int, rows: np.ndarray) -> list[tuple]:
         if depth == limit or not len(varying):
             nodes.append((tree, node, -1, 0.0, depth + _average_path(len(part))))
             continue
-        feature = int(draw.choice(varying))
-        # The split lies above the minimum, so that neither side is empty.
-        threshold = max(draw.uniform(low[feature], high[feature]), np.nextafter(low[feature], np.inf))
-        right = part[:, feature] >= threshold
+        number, share = _draw(tree, node)
+        feature = int(varying[number % len(varying)])
+        threshold = low[feature] + share * (high[feature] - low[feature])
+        if threshold >= high[feature]:  # by rounding; neither side may be empty
+            threshold = low[feature]
+        right = part[:, feature] > threshold
         nodes.append((tree, node, feature, float(threshold), 0.0))
         pending.append((2 * node + 2, depth + 1, part[right]))
         pending.append((2 * node + 1, depth + 1, part[~right]))
@@ -119,23 +134,22 @@ def _grow(tree: int, rows: np.ndarray) -> list[tuple]:
 
 
 def forest_model(sample: DataFrame, trees: int = FOREST_TREES) -> DataFrame:
-    """Node table of all trees; each tree sees up to 256 rows of the sample."""
+    """Node table of all trees; tree t has the ranks from 256 t on, modulo the number of ranks."""
     features = [c for c in sample.columns if c.startswith("x")]
-    ranked = Window.partitionBy("tree").orderBy("draw", ROW_NUMBER)
-    drawn = (
-        sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", F.xxhash64(ROW_NUMBER, "tree", F.lit(SEED)))
-        .withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= FOREST_TREE_ROWS)
-    )
+    total = sample.count()
+    each = min(FOREST_TREE_ROWS, total)
+    turns = sample.sparkSession.range(trees).select(
+        F.col("id").cast("int").alias("tree"),
+        F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("place"),
+    ).withColumn("rank", (F.col("tree") * FOREST_TREE_ROWS + F.col("place")) % total)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("rank")[features].to_numpy(dtype=float)
+        rows = pdf.sort_values("place")[features].to_numpy(dtype=float)
         return pd.DataFrame(
             _grow(int(pdf["tree"].iloc[0]), rows), columns=["tree", "node", "feature", "threshold", "path"]
         )
 
-    return drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    return turns.join(sample, "rank").groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
 def node_arrays(nodes: pd.DataFrame, tree_rows: int) -> tuple:
@@ -170,7 +184,7 @@ def _score(arrays: tuple, values: np.ndarray) -> np.ndarray:
     for feature, threshold, path in zip(features, thresholds, paths):
         node = np.zeros(rows, dtype=np.intp)
         for _ in range(levels):
-            hit = flat[feature[node] * rows + at] >= threshold[node]
+            hit = flat[feature[node] * rows + at] > threshold[node]
             node += node
             node += 1
             node += hit
@@ -183,35 +197,34 @@ class Forest:
     fields: list[str]
     evaluated_rows: int
     training_rows: int
-    arrays: tuple
+    contamination: float
     offset: float
+    scores: DataFrame  # row number, forest_score: stored, each complete row scored once
+
 
-    def score(self, df: DataFrame) -> Column:
-        """Decision score per row: below zero is unusual, NULL where a field is missing."""
-        shared = df.sparkSession.sparkContext.broadcast((self.arrays, self.offset))
+def score_rows(df: DataFrame, fields: list[str], arrays: tuple) -> DataFrame:
+    """(row number, score) of the complete rows, rounded to nine places so that the order in which paths
+    are added cannot change a result."""
+    matrix = _matrix(df, fields)
+    shared = df.sparkSession.sparkContext.broadcast(arrays)
 
-        @F.pandas_udf("double")
-        def decide(*columns: pd.Series) -> pd.Series:
-            arrays, offset = shared.value
-            values = np.vstack([c.to_numpy(dtype=float) for c in columns])
-            complete = np.isfinite(values).all(axis=0)
-            result = np.full(values.shape[1], np.nan)
-            if complete.any():
-                result[complete] = _score(arrays, np.ascontiguousarray(values[:, complete])) - offset
-            return pd.Series(result)
+    @F.pandas_udf("double")
+    def scores(*columns: pd.Series) -> pd.Series:
+        return pd.Series(_score(shared.value, np.vstack([c.to_numpy(dtype=float) for c in columns])))
 
-        score = decide(*[finite_or_null(quoted(f).cast("double")) for f in self.fields])
-        return F.nanvl(score, F.lit(None).cast("double"))
+    raw = scores.asNondeterministic()(*[F.col(f"x{i}") for i in range(len(fields))])
+    return matrix.select(ROW_NUMBER, F.round(raw, SCORE_PLACES).alias("score"))
 
 
-def fit_forest(df: DataFrame, gate: ForestGate) -> Forest | None:
-    """Train on the bounded sample; the cut-off is the 1 % quantile of the training scores."""
+def fit_forest(df: DataFrame, gate: ForestGate, trees: int = FOREST_TREES) -> Forest | None:
+    """Grow the trees and score all complete rows; the cut-off is the exact 1 % quantile of the scores."""
     if not gate.open:
         return None
-    sample = forest_sample(df, gate)
-    rows = sample.orderBy(ROW_NUMBER).toPandas()  # at most 10,000 rows by construction
-    nodes = forest_model(sample).toPandas()  # at most 100 trees of 511 nodes
-    arrays = node_arrays(nodes, min(FOREST_TREE_ROWS, len(rows)))
-    training = _score(arrays, rows.drop(columns=ROW_NUMBER).to_numpy(dtype=float).T.copy())
-    offset = float(np.percentile(training, 100 * FOREST_CONTAMINATION))
-    return Forest(gate.fields, gate.complete_rows, len(rows), arrays, offset)
+    sample = forest_sample(df, gate, trees)
+    nodes = forest_model(sample, trees).toPandas()  # at most 511 nodes a tree
+    arrays = node_arrays(nodes, min(FOREST_TREE_ROWS, gate.complete_rows))
+    scored = store(score_rows(df, gate.fields, arrays), "forest-scores")
+    offset = exact_quantiles(scored, {"score": gate.complete_rows}, [FOREST_CONTAMINATION])["score"][0]
+    decided = scored.select(ROW_NUMBER, F.round(F.col("score") - F.lit(offset), SCORE_PLACES).alias("forest_score"))
+    used = min(trees * FOREST_TREE_ROWS, gate.complete_rows)
+    return Forest(gate.fields, gate.complete_rows, used, FOREST_CONTAMINATION, offset, decided)

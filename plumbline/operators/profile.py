@@ -6,6 +6,8 @@ column, and values are pre-aggregated before they are shuffled.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -14,7 +16,6 @@ from plumbline.constants import (
     CATEGORY_MAX_DISTINCT,
     CATEGORY_MAX_SHARE,
     DATE_PROBE_SHARE,
-    DATE_PROBE_VALUES,
     SAMPLE_VALUES,
     TOP_VALUES,
 )
@@ -23,6 +24,11 @@ from plumbline.functions.scalars import finite_or_null, iso_text, parse_date, qu
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.uniqueness import duplicate_count
 from plumbline.sources.rows import ROW_NUMBER, data_columns
+from plumbline.sources.storage import store
+
+
+def round_half_up(value: float, places: int) -> Decimal:
+    return Decimal(repr(value)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)
 
 
 def value_text(df: DataFrame, name: str) -> Column:
@@ -110,6 +116,18 @@ def _distinct_text(df: DataFrame, name: str) -> Column:
     return quoted(name).cast("string")
 
 
+def _distinct_cells(df: DataFrame, names: list[str]) -> DataFrame:
+    every = data_columns(df)
+    cells = F.array(*[
+        F.struct(F.lit(every.index(n) + 1).alias("ordinal"), _distinct_text(df, n).alias("value")) for n in names
+    ])
+    return df.select(F.inline(cells)).filter(F.col("value").isNotNull())
+
+
+def _distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    return _distinct_cells(df, names).groupBy("ordinal", "value").agg(F.count("*").alias("value_count"))
+
+
 def column_unique(
     df: DataFrame, names: list[str] | None = None, relative_error: float | None = None
 ) -> DataFrame:
@@ -120,17 +138,10 @@ def column_unique(
     """
     names = data_columns(df) if names is None else names
     every = data_columns(df)
-    cells = F.array(*[
-        F.struct(F.lit(every.index(n) + 1).alias("ordinal"), _distinct_text(df, n).alias("value")) for n in names
-    ])
-    long = df.select(F.inline(cells)).filter(F.col("value").isNotNull())
     if relative_error is None:
-        counted = (
-            long.groupBy("ordinal", "value").agg(F.lit(1).alias("one"))
-            .groupBy("ordinal").agg(F.count("*").alias("unique_count"))
-        )
+        counted = _distinct_counts(df, names).groupBy("ordinal").agg(F.count("*").alias("unique_count"))
     else:
-        counted = long.groupBy("ordinal").agg(
+        counted = _distinct_cells(df, names).groupBy("ordinal").agg(
             F.approx_count_distinct("value", relative_error).alias("unique_count")
         )
     # One row per column: it keeps all-missing columns in the result.
@@ -183,15 +194,25 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def date_parse_ratio(df: DataFrame) -> DataFrame:
-    """(ordinal, probed, parsed, ratio) over the first thousand values of every text column."""
-    return (
-        first_values(df, text_columns(df), DATE_PROBE_VALUES)
-        .groupBy("ordinal")
-        .agg(
-            F.count("*").alias("probed_values"),
-            F.count_if(parse_date(F.col("value")).isNotNull()).alias("parsed_values"),
+    """(ordinal, values, parsed, ratio) over all values of every text column, in one aggregate."""
+    every, names = data_columns(df), text_columns(df)
+    schema = "ordinal int, probed_values bigint, parsed_values bigint, parse_ratio double"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    counted = df.agg(*[
+        F.struct(F.count(quoted(n)).alias("values"), F.count(parse_date(quoted(n))).alias("parsed")).alias(f"c{i}")
+        for i, n in enumerate(names)
+    ])
+    facts = F.array(*[
+        F.struct(
+            F.lit(every.index(n) + 1).alias("ordinal"),
+            F.col(f"c{i}.values").alias("probed_values"),
+            F.col(f"c{i}.parsed").alias("parsed_values"),
         )
-        .withColumn("parse_ratio", F.round(F.col("parsed_values") / F.col("probed_values"), 6))
+        for i, n in enumerate(names)
+    ])
+    return counted.select(F.inline(facts)).filter(F.col("probed_values") > 0).withColumn(
+        "parse_ratio", F.round(F.col("parsed_values") / F.col("probed_values"), 6)
     )
 
 
@@ -208,10 +229,10 @@ def _known_type(df: DataFrame, name: str) -> str | None:
 
 
 def _dated_columns(df: DataFrame, names: list[str]) -> set[str]:
-    """Text columns whose first thousand values are nearly all dates."""
+    """Text columns whose values are nearly all dates."""
     if not names:
         return set()
-    ratios = date_parse_ratio(df.select(ROW_NUMBER, *[quoted(n) for n in names])).collect()
+    ratios = date_parse_ratio(df.select(*[quoted(n) for n in names])).collect()
     return {
         names[r["ordinal"] - 1] for r in ratios
         if r["parsed_values"] / r["probed_values"] >= DATE_PROBE_SHARE
@@ -244,28 +265,36 @@ def logical_type_table(types: dict[str, str], df: DataFrame) -> DataFrame:
     )
 
 
+def _ordered(df: DataFrame, name: str) -> Column:
+    """A number with infinities, without NaN."""
+    return F.when(present(df, name), quoted(name).cast("double"))
+
+
+def _moments(df: DataFrame, name: str) -> Column:
+    value = _ordered(df, name)
+    return F.struct(F.count(value), F.avg(value), F.stddev_samp(value), F.min(value), F.max(value))
+
+
+def is_boolean(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.BooleanType)
+
+
 def numeric_summary(df: DataFrame, names: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles, max per numeric column; non-finite results become NULL."""
-    facts = df.agg(*[
-        expression.alias(f"{kind}{i}")
-        for i, name in enumerate(names)
-        for kind, expression in (
-            ("n", F.count_if(present(df, name))),
-            ("f", F.count(finite_or_null(quoted(name).cast("double")))),
-            ("a", F.avg(F.when(present(df, name), quoted(name).cast("double")))),
-            ("s", F.stddev_samp(F.when(present(df, name), quoted(name).cast("double")))),
-            ("l", F.min(F.when(present(df, name), quoted(name).cast("double")))),
-            ("h", F.max(F.when(present(df, name), quoted(name).cast("double")))),
-        )
-    ]).first()
-    quartiles = exact_quantiles(
-        df, {n: facts[f"f{i}"] for i, n in enumerate(names)}, [0.25, 0.5, 0.75]
-    )
+    """count, mean, std, min, quartiles, max per number column; non-finite results become NULL.
+
+    Infinities are values and are ranked as such. Boolean columns have ``boolean_summary``.
+    """
+    names = [n for n in names if not is_boolean(df, n)]
+    facts = df.agg(*[_moments(df, n).alias(str(i)) for i, n in enumerate(names)]).first() if names else []
+    return _summary_rows(df, {n: tuple(facts[i]) for i, n in enumerate(names)})
+
+
+def _summary_rows(df: DataFrame, facts: dict[str, tuple]) -> DataFrame:
+    quartiles = exact_quantiles(df, {n: f[0] for n, f in facts.items()}, [0.25, 0.5, 0.75], infinite=True)
     every = data_columns(df)
     rows = [
-        (every.index(n) + 1, n, facts[f"n{i}"], facts[f"a{i}"], facts[f"s{i}"], facts[f"l{i}"],
-         *quartiles[n], facts[f"h{i}"])
-        for i, n in enumerate(names)
+        (every.index(n) + 1, n, count, mean, deviation, low, *quartiles[n], high)
+        for n, (count, mean, deviation, low, high) in facts.items()
     ]
     measures = ("mean", "std", "minimum", "q25", "q50", "q75", "maximum")
     frame = df.sparkSession.createDataFrame(
@@ -278,6 +307,28 @@ def numeric_summary(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def boolean_summary(df: DataFrame, names: list[str]) -> DataFrame:
+    """(ordinal, column, count, unique, top, frequency) of boolean columns; a tie goes to false."""
+    names = [n for n in names if is_boolean(df, n)]
+    schema = "ordinal int, column_name string, value_count bigint, unique_count bigint, top_value string, frequency bigint"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    every = data_columns(df)
+    counted = df.agg(*[
+        F.struct(F.count_if(quoted(n)).alias("yes"), F.count_if(~quoted(n)).alias("no")).alias(f"c{i}")
+        for i, n in enumerate(names)
+    ])
+    facts = []
+    for i, n in enumerate(names):
+        yes, no = F.col(f"c{i}.yes"), F.col(f"c{i}.no")
+        facts.append(F.struct(
+            F.lit(every.index(n) + 1).alias("ordinal"), F.lit(n).alias("column_name"), (yes + no).alias("value_count"),
+            ((yes > 0).cast("bigint") + (no > 0).cast("bigint")).alias("unique_count"),
+            F.when(yes > no, "true").when(no > 0, "false").alias("top_value"), F.greatest(yes, no).alias("frequency"),
+        ))
+    return counted.select(F.inline(F.array(*facts)))
+
+
 def as_date(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.StringType):
         return parse_date(quoted(name))
@@ -287,6 +338,8 @@ def as_date(df: DataFrame, name: str) -> Column:
 def date_range(df: DataFrame, names: list[str]) -> DataFrame:
     """Earliest and latest date per date column, as ISO text."""
     every = data_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column_name string, minimum string, maximum string")
     found = df.agg(*[
         bound(as_date(df, n)).alias(f"{kind}{i}")
         for i, n in enumerate(names) for kind, bound in (("l", F.min), ("h", F.max))
@@ -304,31 +357,79 @@ def date_range(df: DataFrame, names: list[str]) -> DataFrame:
 
 def top_values(df: DataFrame, names: list[str], k: int = TOP_VALUES) -> DataFrame:
     """(ordinal, position, value, count): the k most common values, ties by value."""
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, value string, value_count bigint, position bigint")
+    return _most_common(value_counts(df, names), k)
+
+
+def _most_common(counts: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("ordinal").orderBy(F.col("value_count").desc(), "value")
     return (
-        value_counts(df, names)
-        .withColumn("position", F.row_number().over(order))
+        counts.withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= k)
         .withColumn("position", F.col("position").cast("bigint"))
     )
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: type names, missing and distinct counts.
+    """One row per column: type names, missing and distinct counts."""
+    return profile_table(df).columns
+
 
-    The counts come from one pass each and are collected, one row per column, because the logical
-    type of a text column depends on them.
+@dataclass(frozen=True)
+class Profile:
+    """All parts of a profile: each column is summarised as its logical type asks."""
+
+    types: dict[str, str]
+    columns: DataFrame
+    numbers: DataFrame
+    booleans: DataFrame
+    dates: DataFrame
+    common: DataFrame
+
+    def samples(self, df: DataFrame) -> DataFrame:
+        return column_samples(df)
+
+
+def profile_table(df: DataFrame) -> Profile:
+    """The whole profile from one wide aggregate and one stored frame of value counts.
+
+    The aggregate has counts, moments and date bounds of every column; the frame (ordinal, value,
+    count) gives distinct counts and the most common values. One row per column is collected.
     """
-    facts = column_missing(df).join(column_unique(df).drop("column_name"), "ordinal").collect()
-    types = {n: _known_type(df, n) for n in data_columns(df)}
-    types.update(dict.fromkeys(_dated_columns(df, [n for n, t in types.items() if t is None]), "datetime"))
-    return df.sparkSession.createDataFrame(
-        [
-            (r["ordinal"], r["column_name"], r["data_type"],
-             types[r["column_name"]] or _by_distinct(r["unique_count"], r["rows_count"]),
-             r["missing_count"], r["missing_percentage"], r["unique_count"])
-            for r in sorted(facts)
-        ],
-        "ordinal int, column_name string, data_type string, logical_type string, missing_count bigint, "
-        "missing_percentage double, unique_count bigint",
+    names, spark = data_columns(df), df.sparkSession
+    known = {n: _known_type(df, n) for n in names}
+    numbers = [n for n in names if known[n] == "numeric" and not is_boolean(df, n)]
+    dated = [n for n in names if known[n] == "datetime" or (known[n] is None and n in text_columns(df))]
+    facts = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count_if(present(df, n)).alias(f"p{i}") for i, n in enumerate(names)],
+        *[_moments(df, n).alias(f"m{i}") for i, n in enumerate(numbers)],
+        *[F.struct(F.count(d), iso_text(F.min(d)), iso_text(F.max(d))).alias(f"d{i}")
+          for i, d in enumerate(as_date(df, n) for n in dated)],
+    ).first()
+    counts = store(_distinct_counts(df, names), "value-counts")
+    unique = {r["ordinal"]: r["n"] for r in counts.groupBy("ordinal").agg(F.count("*").alias("n")).collect()}
+    rows, dates = facts["rows"], {n: tuple(facts[f"d{i}"]) for i, n in enumerate(dated)}
+    types, columns = {}, []
+    for i, name in enumerate(names):
+        filled, kind = facts[f"p{i}"], known[name]
+        if kind is None and name in dates and filled and dates[name][0] / filled >= DATE_PROBE_SHARE:
+            kind = "datetime"
+        types[name] = kind or _by_distinct(unique.get(i + 1, 0), rows)
+        columns.append((i + 1, name, df.schema[name].dataType.simpleString(), types[name], rows - filled,
+                        float(round_half_up(100.0 * (rows - filled) / rows, 2)) if rows else 0.0, unique.get(i + 1, 0)))
+    common = [i + 1 for i, n in enumerate(names) if types[n] == "categorical"]
+    return Profile(
+        types,
+        spark.createDataFrame(
+            columns,
+            "ordinal int, column_name string, data_type string, logical_type string, missing_count bigint, "
+            "missing_percentage double, unique_count bigint"),
+        _summary_rows(df, {n: tuple(facts[f"m{i}"]) for i, n in enumerate(numbers) if types[n] == "numeric"}),
+        boolean_summary(df, [n for n in names if types[n] == "numeric"]),
+        spark.createDataFrame(
+            [(names.index(n) + 1, n, low, high) for n, (_, low, high) in dates.items() if types[n] == "datetime"],
+            "ordinal int, column_name string, minimum string, maximum string"),
+        _most_common(counts.filter(F.col("ordinal").isin(common)), TOP_VALUES),
     )

@@ -1,11 +1,10 @@
 """Exact, linearly interpolated quantiles of many columns at any size.
 
-Spark's ``percentile`` is exact but merges every distinct value into one task. It is used while
-the counted rows stay under a limit. Above it, a small sketch proposes pivots around each wanted
-rank, one aggregate counts exactly what lies below and on every pivot, and the interval that
-holds the rank shrinks by orders of magnitude per round until its values fit one array. Every
-round is one column-pruned scan with map-side aggregation; no value is ever shuffled by itself.
-The sketch only steers: the result rests on the exact counts.
+A small sketch proposes pivots around each wanted rank, one aggregate counts exactly what lies below
+and on every pivot, and the interval that holds the rank shrinks by orders of magnitude per round
+until its values fit one array; where they fit from the start, no round is needed. Every round is
+one column-pruned scan with map-side aggregation; no value is ever shuffled by itself. The sketch
+only steers: the result rests on the exact counts, and one formula interpolates at every size.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.scalars import finite_or_null, quoted
 
-DIRECT_ROWS = 1_000_000
 GATHER_ROWS = 20_000
 SKETCH_ACCURACY = 2_000
 COLUMNS_PER_PASS = 16
@@ -46,40 +44,30 @@ def exact_quantiles(
     df: DataFrame,
     counts: dict[str, int],
     probabilities: list[float],
-    direct_rows: int = DIRECT_ROWS,
     gather_rows: int = GATHER_ROWS,
     accuracy: int = SKETCH_ACCURACY,
+    infinite: bool = False,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of the finite values per column; ``counts`` holds their exact numbers."""
+    """Quantiles of the finite values per column; ``counts`` holds their exact numbers. With
+    ``infinite`` infinities are ranked and counted too, and a quantile may be infinite or NaN."""
     found: dict[str, list[float | None]] = {
         column: [None] * len(probabilities) for column, rows in counts.items() if not rows
     }
-    small = [column for column, rows in counts.items() if 0 < rows <= direct_rows]
-    large = [column for column, rows in counts.items() if rows > direct_rows]
-    if small:
-        found.update(_direct(df, small, probabilities))
-    for start in range(0, len(large), COLUMNS_PER_PASS):
-        chunk = {column: counts[column] for column in large[start:start + COLUMNS_PER_PASS]}
-        found.update(_narrowed(df, chunk, probabilities, gather_rows, accuracy))
+    filled = [column for column, rows in counts.items() if rows]
+    values = df.select(*[_ranked(c, infinite).alias(c) for c in filled])
+    for start in range(0, len(filled), COLUMNS_PER_PASS):
+        chunk = {column: counts[column] for column in filled[start:start + COLUMNS_PER_PASS]}
+        found.update(_narrowed(values, chunk, probabilities, gather_rows, accuracy))
     return found
 
 
-def _value(column: str) -> Column:
-    return finite_or_null(quoted(column).cast("double"))
+def _ranked(column: str, infinite: bool) -> Column:
+    value = quoted(column).cast("double")
+    return F.when(~F.isnan(value), value) if infinite else finite_or_null(value)
 
 
-def _direct(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict:
-    wanted = F.array(*[F.lit(p) for p in probabilities])
-    parts = []
-    for start in range(0, len(columns), COLUMNS_PER_SCAN):
-        chunk = columns[start:start + COLUMNS_PER_SCAN]
-        found = F.array(*[F.percentile(_value(column), wanted) for column in chunk])
-        parts.append(df.agg(F.lit(start).alias("start"), found.alias("found")))
-    return {
-        columns[row["start"] + i]: list(values)
-        for row in reduce(DataFrame.unionAll, parts).collect()
-        for i, values in enumerate(row["found"])
-    }
+def _value(column: str) -> Column:
+    return quoted(column)
 
 
 def _narrowed(
@@ -108,7 +96,8 @@ def _narrowed(
             position = positions[column, p]
             low = targets[column, math.floor(position)].value
             high = targets[column, math.ceil(position)].value
-            result[column].append(low + (high - low) * (position - math.floor(position)))
+            share = position - math.floor(position)
+            result[column].append(low if not share or low == high else low + (high - low) * share)
     return result
 
 

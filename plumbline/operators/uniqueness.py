@@ -6,80 +6,48 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.scalars import quoted
 from plumbline.sources.rows import ROW_NUMBER, data_columns
-from plumbline.sources.storage import store
 
-BROADCAST_DIGESTS = 1_000_000  # eight bytes each
 _DIGEST = "__digest"
+_FIRST = "__first"
 
 
 def _cell(df: DataFrame, name: str) -> Column:
-    """NaN is a missing value, so it equals NULL."""
+    """NaN is a missing value, so it equals NULL; both zeros are one value."""
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(quoted(name)), quoted(name))
+        return F.when(~F.isnan(quoted(name)), quoted(name) + F.lit(0.0))
     return quoted(name)
 
 
-def _digest(df: DataFrame, names: list[str]) -> Column:
-    """64 bits per row. The hash skips NULLs, so which cells are missing is hashed as well."""
-    cells = [_cell(df, n) for n in names]
-    gaps = F.concat_ws("", *[F.when(c.isNull(), "1").otherwise("0") for c in cells])
-    return F.xxhash64(*cells, gaps)
-
-
-def _repeated_digests(df: DataFrame, names: list[str]) -> DataFrame:
-    """Digests that occur more than once, stored: eight bytes per row are all that is shuffled."""
-    counted = df.select(_digest(df, names).alias(_DIGEST)).groupBy(_DIGEST).agg(F.count("*").alias("copies"))
-    return store(counted.filter(F.col("copies") > 1).select(_DIGEST), "repeated")
-
-
-def _candidates(df: DataFrame, names: list[str]) -> DataFrame | None:
-    """Rows that may have a copy: all duplicates and the odd hash collision; None if there are none.
-
-    A checked number of digests is broadcast, so only candidates leave the scan. Beyond it, much
-    of the table is repeated and every row is a candidate: grouping whole rows, combined inside
-    each task first, is then the cheaper way.
-    """
-    repeated = _repeated_digests(df, names)
-    found = repeated.count()
-    if not found:
-        return None
-    cells = [_cell(df, n).alias(f"k{i}") for i, n in enumerate(names)]
-    keep = [ROW_NUMBER] if ROW_NUMBER in df.columns else []
-    rows = df.select(*keep, *cells, _digest(df, names).alias(_DIGEST))
-    if found <= BROADCAST_DIGESTS:
-        rows = rows.join(F.broadcast(repeated), _DIGEST, "left_semi")
-    return rows.drop(_DIGEST)
+def row_digest(df: DataFrame, names: list[str]) -> Column:
+    """SHA-256 of the row's cells, each behind its length, missing ones marked: 32 bytes that stand for
+    the row, since no two texts of this form are the same unless the cells are."""
+    texts = [_cell(df, n).cast("string") for n in names]
+    cells = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.unhex(F.sha2(F.concat_ws(",", *cells).cast("binary"), 256))
 
 
 def duplicate_count(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row: how many rows repeat an earlier one.
 
-    The rows behind repeated digests are compared cell by cell, so a collision cannot count as a
-    duplicate. A row copied a million times is summed inside each task before it travels.
+    One scan and one grouping by digest. A row copied a million times is summed inside each task
+    before it travels.
     """
     names = data_columns(df) if names is None else names
-    candidates = _candidates(df, names)
-    if candidates is None:
-        return df.sparkSession.createDataFrame([(0,)], "duplicate_rows bigint")
-    return (
-        candidates.groupBy(*[f"k{i}" for i in range(len(names))]).agg((F.count("*") - 1).alias("repeats"))
-        .agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("duplicate_rows"))
-    )
+    counted = df.select(row_digest(df, names).alias(_DIGEST)).groupBy(_DIGEST).agg((F.count("*") - 1).alias("repeats"))
+    return counted.agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("duplicate_rows"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """The repeats themselves: every copy but the first by row number.
 
-    The first copy is a minimum per group, pre-aggregated in each task, and the repeats are what
-    an anti join on the unique row number leaves. No task ever holds a whole group of copies.
+    The first copy is a minimum per digest, pre-aggregated in each task; only digests that occur
+    twice are joined back, one row each, so that Spark can split the rows of a hot one.
     """
     names = data_columns(df)
-    candidates = _candidates(df, names)
-    if candidates is None:
-        return df.filter(F.lit(False)).select(ROW_NUMBER, *[quoted(n) for n in names])
-    firsts = candidates.groupBy(*[f"k{i}" for i in range(len(names))]).agg(
-        F.min(ROW_NUMBER).alias(ROW_NUMBER)
-    )
-    return candidates.join(firsts.select(ROW_NUMBER), ROW_NUMBER, "left_anti").select(
-        ROW_NUMBER, *[F.col(f"k{i}").alias(name) for i, name in enumerate(names)]
+    rows = df.select(ROW_NUMBER, *[quoted(n) for n in names], row_digest(df, names).alias(_DIGEST))
+    firsts = (
+        rows.groupBy(_DIGEST).agg(F.min(ROW_NUMBER).alias(_FIRST), F.count("*").alias("copies"))
+        .filter(F.col("copies") > 1).drop("copies")
     )
+    repeats = rows.join(firsts, _DIGEST).filter(F.col(ROW_NUMBER) != F.col(_FIRST))
+    return repeats.select(ROW_NUMBER, *[quoted(n) for n in names])

@@ -37,7 +37,13 @@ RETAIL = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "U
 RETAIL_FIELDS = ["UnitPrice", "SuppKey", "OrderKey", "PartKey", "LineTotal"]
 HEADERS = {
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "benchmark": ["item_id", "text"],
+    "conversations": ["conv_id", "turn", "role", "text"],
     "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "pages": ["page_id", "url", "html"],
+    "region": ["r_regionkey", "r_name"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
     "labels": ["doc_id", "quality", "toxic"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -49,7 +55,11 @@ HEADERS = {
 }
 NUMERIC = {
     "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+    "conversations": ["turn"],
     "documents": ["n_chars"],
+    "embeddings": ["label"],
+    "nation": ["n_nationkey", "n_regionkey"],
+    "region": ["r_regionkey"],
     "events": ["value"],
     "labels": ["quality", "toxic"],
     "lineitem": HEADERS["lineitem"][:8],
@@ -69,7 +79,7 @@ def text(value: str) -> str:
 
 
 def retail(body: str, *ctes: str) -> str:
-    return "WITH " + ", ".join([BASE.strip(), *ctes]) + "\n" + body
+    return "WITH RECURSIVE " + ", ".join([BASE.strip(), *ctes]) + "\n" + body
 
 
 def union(parts) -> str:
@@ -267,29 +277,101 @@ def values_cte(fields: list[str], source: str) -> str:
         for i, f in enumerate(fields, 1)) + ")"
 
 
-SIGNALS = """
-hits AS (
-  SELECT v.row_number, b.method, b.field, b.field_order, v.value, b.lower_bound, b.upper_bound,
+TREES, TREE_ROWS = K.FOREST_TREES, K.FOREST_TREE_ROWS
+EULER = "0.5772156649015329"
+
+
+def average_path(rows: str) -> str:
+    return (f"CASE WHEN {rows} <= 1 THEN 0.0 WHEN {rows} = 2 THEN 1.0 ELSE "
+            f"2.0 * (ln({rows} - 1.0) + {EULER}) - 2.0 * ({rows} - 1.0) / {rows} END")
+
+
+def split(source: str, fields: int) -> str:
+    """Rows of tree nodes with the field and threshold their node is split by, NULL in leaves."""
+    def each(bound):
+        return "[" + ", ".join(f"{bound}(x[{i}]) OVER node_rows" for i in range(1, fields + 1)) + "]"
+
+    return f"""(
+  SELECT *, CASE WHEN raw >= highs[feature + 1] THEN lows[feature + 1] ELSE raw END AS threshold FROM (
+    SELECT *, lows[feature + 1] + share * (highs[feature + 1] - lows[feature + 1]) AS raw FROM (
+      SELECT *, CASE WHEN depth < (SELECT depth_limit FROM sizes) AND len(varying) > 0
+                     THEN varying[CAST(number % len(varying) AS INT) + 1] END AS feature FROM (
+        SELECT *, list_filter(range(0, {fields}), lambda i: lows[i + 1] < highs[i + 1]) AS varying,
+          CAST(('0x' || substr(digest, 1, 8)) AS BIGINT) AS number,
+          CAST(CAST(('0x' || substr(digest, 9, 12)) AS BIGINT) AS DOUBLE) / CAST(281474976710656 AS DOUBLE) AS share
+        FROM (SELECT *, {each('min')} AS lows, {each('max')} AS highs, count(*) OVER node_rows AS node_size,
+                md5(concat('{K.SEED}-', tree, '-', node)) AS digest
+              FROM {source} WINDOW node_rows AS (PARTITION BY tree, node))))))"""
+
+
+def forest_ctes(fields: list[str], source: str) -> list[str]:
+    """The same forest: rows by digest, 256 a tree, splits from digests, exact 1 % cut-off over all rows."""
+    step = "SELECT row_number, x, 0 AS node, tree FROM matrix, range({}) t(tree)".format(TREES)
+    for _ in range(8):
+        step = (f"SELECT w.row_number, w.x, CASE WHEN m.feature IS NULL THEN w.node WHEN w.x[m.feature + 1] > m.threshold "
+                f"THEN 2 * w.node + 2 ELSE 2 * w.node + 1 END AS node, w.tree FROM ({step}) w "
+                "JOIN model m ON w.tree = m.tree AND w.node = m.node")
+    return [
+        f"matrix AS MATERIALIZED (SELECT row_number, [{', '.join(f'CAST({f} AS DOUBLE)' for f in fields)}] AS x FROM {source} "
+        f"WHERE {' AND '.join(f + ' IS NOT NULL' for f in fields)})",
+        f"sizes AS MATERIALIZED (SELECT least({TREES * TREE_ROWS}, count(*)) AS pool_rows, least({TREE_ROWS}, count(*)) AS tree_rows, "
+        f"CAST(ceil(log2(greatest(least({TREE_ROWS}, count(*)), 2))) AS INT) AS depth_limit FROM matrix)",
+        f"pool AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY md5(concat(CAST(row_number AS VARCHAR), '-{K.SEED}'))) - 1 AS rank "
+        f"FROM matrix QUALIFY rank < {TREES * TREE_ROWS})",
+        f"grown AS (SELECT seat.tree, CAST(0 AS BIGINT) AS node, 0 AS depth, x FROM (SELECT tree, (tree * {TREE_ROWS} + place) % pool_rows AS rank "
+        f"FROM range({TREES}) t(tree), sizes, range({TREE_ROWS}) p(place) WHERE place < tree_rows) seat JOIN pool ON seat.rank = pool.rank "
+        "UNION ALL SELECT tree, 2 * node + CASE WHEN x[feature + 1] > threshold THEN 2 ELSE 1 END, depth + 1, x FROM "
+        + split("grown", len(fields)) + " WHERE feature IS NOT NULL)",
+        "model AS MATERIALIZED (SELECT tree, node, any_value(feature) AS feature, any_value(threshold) AS threshold, "
+        f"any_value(CASE WHEN feature IS NULL THEN depth + {average_path('node_size')} ELSE 0.0 END) AS path FROM "
+        + split("grown", len(fields)) + " GROUP BY tree, node)",
+        "tree_scores AS MATERIALIZED (SELECT w.row_number, round(-pow(2.0, -(sum(m.path) / " + f"{TREES}.0" + ") / "
+        f"(SELECT {average_path('tree_rows')} FROM sizes)), 9) AS score FROM ({step}) w "
+        "JOIN model m ON w.tree = m.tree AND w.node = m.node GROUP BY w.row_number)",
+        f"forest AS MATERIALIZED (SELECT row_number, round(score - (SELECT quantile_cont(score, {K.FOREST_CONTAMINATION}) FROM tree_scores), 9) "
+        "AS forest_score FROM tree_scores)",
+    ]
+
+
+NO_FOREST = ["forest AS (SELECT CAST(0 AS BIGINT) AS row_number, CAST(NULL AS DOUBLE) AS forest_score WHERE false)"]
+SIGNALS = f"""
+crossed AS (
+  SELECT v.row_number, b.method, b.field, concat(b.method, ':', b.field) AS signal,
+    CASE b.method WHEN 'iqr' THEN 1 ELSE 2 END AS method_order, b.field_order, v.value,
     CASE WHEN v.value < b.lower_bound THEN 'below' ELSE 'above' END AS direction,
     CASE WHEN v.value < b.lower_bound THEN b.lower_bound ELSE b.upper_bound END AS boundary,
-    row_number() OVER (PARTITION BY v.row_number ORDER BY b.method, b.field_order) AS position
+    concat(b.field, ' is ', CASE WHEN v.value < b.lower_bound THEN 'below' ELSE 'above' END, ' the ',
+           CASE b.method WHEN 'iqr' THEN 'IQR' ELSE 'Z-score' END, ' boundary.') AS message
   FROM field_values v JOIN bounds b ON v.field_order = b.field_order
-  WHERE v.value < b.lower_bound OR v.value > b.upper_bound),
-evidence AS (
-  SELECT *, concat(field, ' is ', direction, ' the ', CASE method WHEN 'iqr' THEN 'IQR' ELSE 'Z-score' END,
-                   ' boundary.') AS message FROM hits),
-flagged AS (
-  SELECT row_number, count(*) AS votes, string_agg(concat(method, ':', field), ', ' ORDER BY position) AS signals,
-    string_agg(message, '; ' ORDER BY position) AS evidence
-  FROM evidence GROUP BY row_number)
-"""
-COUNTS = """
-method_counts AS (
-  SELECT CAST(row_number() OVER (ORDER BY b.method, b.field_order) AS INT) AS ordinal, b.method, b.field, 'evaluated' AS status,
-    CAST(NULL AS VARCHAR) AS reason, b.evaluated_rows, count(h.row_number) AS flagged_rows
-  FROM bounds b LEFT JOIN hits h ON b.method = h.method AND b.field = h.field
-  GROUP BY b.method, b.field, b.field_order, b.evaluated_rows)
+  WHERE v.value < b.lower_bound OR v.value > b.upper_bound
+  UNION ALL
+  SELECT row_number, 'isolation_forest', '{", ".join(RETAIL_FIELDS)}', 'isolation_forest', 3, 1, round(forest_score, 6), 'below', 0.0,
+    {text(K.FOREST_EVIDENCE)}
+  FROM forest WHERE forest_score < 0),
+evidence AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY row_number ORDER BY method_order, field_order) AS position FROM crossed),
+flagged AS MATERIALIZED (
+  SELECT e.row_number, count(*) AS votes, string_agg(signal, ', ' ORDER BY position) AS signals,
+    string_agg(message, '; ' ORDER BY position) AS evidence, any_value(forest_score) AS forest_score
+  FROM evidence e LEFT JOIN forest f ON e.row_number = f.row_number GROUP BY e.row_number)
 """
+FOREST_EVALUATED = ("'" + ", ".join(RETAIL_FIELDS) + "'", "'evaluated'", "CAST(NULL AS VARCHAR)", "(SELECT count(*) FROM forest)",
+                    "(SELECT count(*) FROM forest WHERE forest_score < 0)")
+FOREST_CLOSED = ("''", "'not_evaluated'", text(K.FOREST_GATE_REASON), "CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)")
+
+
+def counts_cte(forest: tuple) -> str:
+    name, status, reason, rows, flags = forest
+    return f"""method_counts AS (
+  SELECT CAST(row_number() OVER (ORDER BY method_order, field_order) AS INT) AS ordinal, * EXCLUDE (method_order, field_order) FROM (
+    SELECT b.method, b.field, 'evaluated' AS status, CAST(NULL AS VARCHAR) AS reason, b.evaluated_rows, count(h.row_number) AS flagged_rows,
+      CASE b.method WHEN 'iqr' THEN 1 ELSE 2 END AS method_order, b.field_order
+    FROM bounds b LEFT JOIN evidence h ON b.method = h.method AND b.field = h.field
+    GROUP BY b.method, b.field, b.field_order, b.evaluated_rows
+    UNION ALL SELECT 'isolation_forest', {name}, {status}, {reason}, {rows}, {flags}, 3, 1))"""
+
+
+REVIEW_ORDER = "votes DESC, coalesce(forest_score, 0.0) ASC, row_number"
 
 
 def reading_case(index: int) -> str:
@@ -306,27 +388,28 @@ def reading_case(index: int) -> str:
 
 READINGS = f"""
 readings AS (
-  SELECT r.*, coalesce(f.votes, 0) AS votes, coalesce(f.signals, '') AS signals, coalesce(f.evidence, '') AS evidence,
+  SELECT r.*, s.forest_score, coalesce(f.votes, 0) AS votes, coalesce(f.signals, '') AS signals, coalesce(f.evidence, '') AS evidence,
     {reading_case(0)} AS category, {reading_case(1)} AS business_rule, {reading_case(2)} AS message,
     {reading_case(3)} AS next_step
-  FROM retail r LEFT JOIN flagged f USING (row_number))
+  FROM retail r LEFT JOIN flagged f USING (row_number) LEFT JOIN forest s USING (row_number))
 """
 
 
 def anomalies(body: str) -> str:
     return retail(body, bounds_cte(RETAIL_FIELDS, "retail"), values_cte(RETAIL_FIELDS, "retail"),
-                  SIGNALS.strip(), COUNTS.strip(), READINGS.strip())
+                  *forest_ctes(RETAIL_FIELDS, "retail"), SIGNALS.strip(), counts_cte(FOREST_EVALUATED), READINGS.strip())
 
 
 def event_anomalies(body: str) -> str:
     numbered = "numbered AS (SELECT row_number() OVER (ORDER BY event_id) AS row_number, * FROM events)"
     return "WITH " + ", ".join([numbered, bounds_cte(["value"], "numbered"), values_cte(["value"], "numbered"),
-                                SIGNALS.strip(), COUNTS.strip()]) + "\n" + body
+                                *NO_FOREST, SIGNALS.strip(), counts_cte(FOREST_CLOSED)]) + "\n" + body
 
 
 EXPLANATION = f"""
 SELECT row_number, CASE WHEN votes > 0 THEN 'flagged' ELSE 'not_flagged' END AS status, votes, signals,
-  InvoiceNo AS invoice_number, UnitPrice AS unit_price, CAST(PartKey AS DOUBLE) AS part_key, evidence, category,
+  round(forest_score, 6) AS forest_score, InvoiceNo AS invoice_number, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in RETAIL_FIELDS)},
+  evidence, category,
   business_rule, next_step, CASE WHEN business_rule THEN message END AS business_context
 FROM readings"""
 
@@ -390,6 +473,13 @@ SQL: dict[str, str] = {
         f"SELECT 'negative_orders.csv', count(*), 6, 'rejected', {text(K.EMPTY_UPLOAD_REASON)} "
         "FROM orders WHERE o_totalprice < 0",
     ]),
+    "table_fingerprint": (lambda cells: f"""
+SELECT count(*) AS rows_count, CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS hash_sum,
+  CAST(sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS second_hash_sum
+FROM (SELECT md5(concat_ws(',', {cells})) AS h FROM orders)""")(", ".join(
+        f"coalesce(concat(strlen({v}), ':', {v}), '-')" for v in (
+            "CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus", "CAST(o_totalprice AS VARCHAR)",
+            "CAST(o_orderdate AS VARCHAR)", "o_orderpriority"))),
     "content_fingerprint": catalog("SELECT id, content_length, content_sha FROM catalog"),
     "catalog_valid_paths": catalog("SELECT id, file_path, resolved_path FROM valid"),
     "catalog_latest_distinct": catalog(
@@ -444,7 +534,7 @@ UNION ALL SELECT row_number - 50, {FAULT_COLUMNS} FROM numbered WHERE row_number
         f"count(coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%m/%d/%Y %H:%M'), try_strptime(v, '%Y/%m/%d'))) "
         f"AS parsed_values, round(count(coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%m/%d/%Y %H:%M'), "
         f"try_strptime(v, '%Y/%m/%d'))) / count(*), 6) AS parse_ratio "
-        f"FROM (SELECT {c} AS v FROM order_texts ORDER BY row_number LIMIT 1000)"
+        f"FROM (SELECT {c} AS v FROM order_texts)"
         for i, c in ((2, "iso_day"), (3, "us_minute"), (4, "partly"), (5, "o_orderpriority"))),
     "parse_dates_mixed": "SELECT o_orderkey, CASE WHEN left(o_orderpriority, 1) IN ('1', '2', '3', '4') "
                          "THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS parsed FROM orders",
@@ -470,11 +560,10 @@ FROM stems""",
                              "FROM missing_rows", MISSING_ROWS),
     "column_unique": retail("SELECT ordinal, column_name, unique_count FROM missing_rows", MISSING_ROWS),
     "column_samples": retail(
-        "SELECT CASE WHEN ordinal > 6 THEN ordinal - 1 ELSE ordinal END AS ordinal, position, value FROM "
+        "SELECT ordinal, position, value FROM "
         "(SELECT ordinal, row_number() OVER (PARTITION BY ordinal ORDER BY row_number) AS position, value FROM long) "
-        "WHERE position <= 5 AND ordinal NOT IN (6, 13)", LONG),
-    "numeric_summary": union(numeric_row(i, c, "lineitem") for i, c in
-                             ((5, "l_quantity"), (6, "l_extendedprice"), (7, "l_discount"), (8, "l_tax"))),
+        "WHERE position <= 5", LONG),
+    "numeric_summary": union(numeric_row(i, c, "lineitem") for i, c in enumerate(NUMERIC["lineitem"], 1)),
     "date_range": union(
         f"SELECT {i} AS ordinal, '{c}' AS column_name, strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS minimum, "
         f"strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS maximum FROM orders WHERE {test}"
@@ -482,7 +571,8 @@ FROM stems""",
     "top_values": retail(
         "SELECT * FROM (SELECT ordinal, value, count(*) AS value_count, "
         "row_number() OVER (PARTITION BY ordinal ORDER BY count(*) DESC, value) AS position "
-        "FROM long WHERE ordinal IN (3, 4, 8) GROUP BY ordinal, value) WHERE position <= 5", LONG),
+        "FROM long WHERE ordinal IN (SELECT ordinal FROM typed WHERE logical_type = 'categorical') GROUP BY ordinal, value) "
+        "WHERE position <= 5", LONG, MISSING_ROWS, LOGICAL),
     "column_profile": retail("SELECT ordinal, column_name, data_type, logical_type, missing_count, missing_percentage, "
                              "unique_count FROM typed", MISSING_ROWS, LOGICAL),
     # quality
@@ -546,27 +636,38 @@ FROM stems""",
         f"SELECT '{', '.join(RETAIL_FIELDS)}' AS fields, count(*) AS complete_rows, true AS is_open FROM retail "
         f"WHERE {' AND '.join(f + ' IS NOT NULL' for f in RETAIL_FIELDS)}"),
     "forest_sample": retail(
-        "SELECT row_number FROM retail ORDER BY md5(concat(CAST(row_number AS VARCHAR), '-42')) LIMIT 10000"),
+        f"SELECT row_number, row_number() OVER (ORDER BY md5(concat(CAST(row_number AS VARCHAR), '-{K.SEED}'))) - 1 AS rank FROM retail "
+        f"QUALIFY rank < {TREES * TREE_ROWS}"),
+    "forest_model": retail(
+        "SELECT CAST(tree AS INT) AS tree, CAST(node AS INT) AS node, CAST(coalesce(feature, -1) AS INT) AS feature, "
+        "round(coalesce(threshold, 0.0), 6) AS threshold, round(path, 6) AS path FROM model", *forest_ctes(RETAIL_FIELDS, "retail")),
+    "forest_scores": retail(
+        "SELECT r.row_number, round(forest_score, 6) AS forest_score FROM retail r LEFT JOIN forest USING (row_number)",
+        *forest_ctes(RETAIL_FIELDS, "retail")),
+    "forest_method_counts": anomalies("SELECT * FROM method_counts WHERE method = 'isolation_forest'"),
+    "forest_queue_page": anomalies(
+        f"SELECT row_number, votes, round(forest_score, 6) AS forest_score FROM flagged ORDER BY {REVIEW_ORDER} LIMIT 20"),
     "anomaly_votes": anomalies("SELECT row_number, votes, signals FROM readings"),
-    "anomaly_queue": anomalies("SELECT row_number, votes, signals FROM flagged ORDER BY votes DESC, row_number"),
+    "anomaly_queue": anomalies(f"SELECT row_number, votes, signals FROM flagged ORDER BY {REVIEW_ORDER}"),
     "anomaly_page": anomalies(
         "SELECT row_number, votes, (SELECT CAST(CASE WHEN count(*) > 40 THEN 40 END AS BIGINT) FROM flagged) AS next_offset "
-        "FROM flagged ORDER BY votes DESC, row_number LIMIT 20 OFFSET 20"),
+        f"FROM flagged ORDER BY {REVIEW_ORDER} LIMIT 20 OFFSET 20"),
     "anomaly_retail_context": anomalies(
         f"SELECT count(*) FILTER ({QTY} < 0 AND starts_with(InvoiceNo, 'C')) AS flagged_negative_quantity_with_cancellation, "
         f"count(*) FILTER ({QTY} < 0 AND NOT starts_with(InvoiceNo, 'C')) "
         f"AS flagged_negative_quantity_without_cancellation FROM readings WHERE votes > 0"),
     "anomaly_evidence": anomalies(
         "SELECT row_number, position, method, field, value AS observed_value, direction, round(boundary, 4) AS boundary, "
-        "round(abs(value - boundary), 4) AS distance_from_boundary, message FROM evidence"),
+        "round(round(abs(value - boundary), 6), 4) AS distance_from_boundary, message FROM evidence"),
     "row_interpretation": anomalies("SELECT row_number, category, business_rule, message, next_step FROM readings"),
     "row_explanation": anomalies(EXPLANATION),
     "row_lookup": anomalies(EXPLANATION + " WHERE row_number = 17"),
     # distributions
     "numeric_usability": retail(union(
         f"SELECT '{c}' AS column_name, count(*) AS rows_count, count(*) - count({c}) AS missing_count, "
-        f"count({c}) AS usable_count, CAST(0 AS BIGINT) AS excluded_nonfinite_count FROM retail"
-        for c in ("UnitPrice", "CustomerID", "LineTotal"))),
+        f"count(*) FILTER (isfinite(CAST({c} AS DOUBLE))) AS usable_count, "
+        f"count(*) FILTER (isinf(CAST({c} AS DOUBLE))) AS excluded_nonfinite_count FROM retail"
+        for c in ("UnitPrice", "CustomerID", "LineNumber", "SuppKey", "OrderKey", "PartKey", "LineTotal"))),
     "discrete_counts": "SELECT l_discount AS value, count(*) AS value_count, CASE WHEN l_discount = 0 THEN '0' "
                        "ELSE CAST(l_discount AS VARCHAR) END AS label FROM lineitem GROUP BY l_discount ORDER BY value",
     "histogram_full": "WITH" + histogram("lineitem", "l_extendedprice") + "\nSELECT * FROM bins",
@@ -593,36 +694,36 @@ UNION ALL SELECT 0, 'Other', CAST(sum(value_count) AS BIGINT) FROM counts WHERE
         MISSING_ROWS, LOGICAL),
     "missing_ranking": retail(
         f"SELECT column_name, missing_count, missing_percentage, {severity('missing_percentage')} AS band "
-        "FROM missing_rows WHERE missing_count > 0 ORDER BY missing_count DESC, ordinal LIMIT 12", MISSING_ROWS),
+        "FROM missing_rows WHERE missing_count > 0 ORDER BY missing_count DESC, ordinal", MISSING_ROWS),
     "signal_ranking": anomalies(
         "SELECT method, field, flagged_rows FROM method_counts WHERE flagged_rows > 0 "
-        "ORDER BY flagged_rows DESC, ordinal LIMIT 12"),
+        "ORDER BY flagged_rows DESC, ordinal"),
     # report
     "report_headline": retail(
         "SELECT concat(printf('%.2f', round(0.5 * mean + 0.5 * lowest, 2)), ' / 100') AS score, "
         f"concat({initcap(grade('round(0.5 * mean + 0.5 * lowest, 2)'))}, ' by configured checks') AS grade, "
         "format('{:,}', n) AS rows, '13' AS columns, format('{:,}', missing) AS missing_cells, "
         "format('{:,}', dups) AS duplicate_rows, (SELECT format('{:,}', count(*)) FROM flagged) AS flagged_rows, "
+        "round(mean, 2) AS weighted_mean, limiting AS limiting_dimension, lowest AS limiting_dimension_score, "
         "(SELECT count(*) FROM found WHERE severity = 'high') AS high_findings, "
         "(SELECT arg_min(message, ordinal) FROM found WHERE severity = 'high') AS first_high_finding "
         "FROM scored, overall",
-        FACTS.strip(), bounds_cte(RETAIL_FIELDS, "retail"), values_cte(RETAIL_FIELDS, "retail"), SIGNALS.strip()),
+        FACTS.strip(), bounds_cte(RETAIL_FIELDS, "retail"), values_cte(RETAIL_FIELDS, "retail"),
+        *forest_ctes(RETAIL_FIELDS, "retail"), SIGNALS.strip()),
     "report_dimensions": quality(
         f"SELECT ordinal, {initcap('dimension')} AS dimension, concat(CAST(round(weight * 100) AS INT), '%') AS weight, "
         "concat(printf('%.2f', score), ' / 100') AS score, coalesce(reason, 'Evaluated') AS reason FROM dimensions"),
     "report_findings": quality(
         f"SELECT position, {initcap('severity')} AS severity, concat_ws(' / ', {initcap('dimension')}, column_name) AS area, "
-        "format('{:,}', affected_records) AS affected, message AS evidence, "
-        "(SELECT greatest(count(*) - 50, 0) FROM found) AS omitted FROM (SELECT *, row_number() OVER "
-        "(ORDER BY severity_rank, affected_records DESC, ordinal) AS position FROM ranked) WHERE position <= 50"),
+        "format('{:,}', affected_records) AS affected, message AS evidence FROM (SELECT *, row_number() OVER "
+        "(ORDER BY severity_rank, affected_records DESC, ordinal) AS position FROM ranked)"),
     "report_columns": retail(
         f"SELECT ordinal, column_name, {initcap('logical_type')} AS type, concat(format('{{:,}}', missing_count), ' (', "
-        "printf('%.2f', missing_percentage), '%)') AS missing, format('{:,}', unique_count) AS \"unique\", "
-        "CAST(0 AS BIGINT) AS omitted FROM typed WHERE ordinal <= 40", MISSING_ROWS, LOGICAL),
+        "printf('%.2f', missing_percentage), '%)') AS missing, format('{:,}', unique_count) AS \"unique\" "
+        "FROM typed", MISSING_ROWS, LOGICAL),
     "report_methods": anomalies(
-        "SELECT ordinal, CASE method WHEN 'iqr' THEN 'IQR' ELSE 'Z-score' END AS method, field AS fields, "
-        "format('{:,}', flagged_rows) AS flags, 'Evaluated' AS reason, CAST(0 AS BIGINT) AS omitted "
-        "FROM method_counts WHERE ordinal <= 30"),
+        f"SELECT ordinal, CASE method WHEN 'iqr' THEN 'IQR' WHEN 'z_score' THEN 'Z-score' ELSE {text(K.METHOD_LABELS['isolation_forest'])} END "
+        "AS method, field AS fields, format('{:,}', flagged_rows) AS flags, 'Evaluated' AS reason FROM method_counts"),
     "report_notes": quality(union([
         "SELECT 1 AS ordinal, 'Retail field matches: transaction id: InvoiceNo; quantity: Quantity; unit price: UnitPrice; "
         "product id: StockCode; product name: Description; line total: LineTotal. "
@@ -641,5 +742,5 @@ UNION ALL SELECT 0, 'Other', CAST(sum(value_count) AS BIGINT) FROM counts WHERE
     ])),
     "report_examples": anomalies(
         f"SELECT row_number, {initcap('category')} AS category, message, evidence, next_step FROM readings "
-        "WHERE votes > 0 ORDER BY votes DESC, row_number LIMIT 5"),
+        f"WHERE votes > 0 ORDER BY {REVIEW_ORDER} LIMIT 5"),
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.names import identifier_expr, resolve_roles, role_table
 from plumbline.functions import scalars
@@ -19,14 +19,15 @@ from plumbline.operators import faults, uniqueness as copies
 from plumbline.plans import report
 from plumbline.plans.retail import stored_lines, stored_retail, table
 from plumbline.sources import catalog as cat, readers
-from plumbline.sources.rows import ROW_NUMBER, number_by
+from plumbline.sources.rows import ROW_NUMBER, data_columns, stored_by
 from plumbline.sources.storage import new_path, store_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 # The tables whose headers the header queries look at.
-HEADER_TABLES = ["customer", "documents", "events", "labels", "lineitem", "orders", "part", "supplier"]
+HEADER_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+                 "nation", "orders", "pages", "part", "region", "supplier"]
 CSV_TABLES = ["customer", "orders", "part", "supplier"]
 SEARCH_TEXT = "SRC1"
 EXPLAINED_ROW = 17
@@ -93,7 +94,7 @@ def content_fingerprint(spark, sf):
 
 @query
 def table_fingerprint(spark, sf):
-    return cat.table_fingerprint(table(spark, sf, "lineitem"))
+    return cat.table_fingerprint(table(spark, sf, "orders"))
 
 
 @query
@@ -215,7 +216,7 @@ def stored_order_dates(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", "pending").otherwise(F.date_format(day, "yyyy/MM/dd")).alias("partly"),
         F.col("o_orderpriority"),
     )
-    return store_once(spark, f"dates{sf}", lambda: number_by(texts, ["o_orderkey"], "dates-sorted"))
+    return store_once(spark, f"dates{sf}", lambda: stored_by(texts, ["o_orderkey"], "dates"))
 
 
 @query
@@ -286,14 +287,14 @@ def column_unique(spark, sf):
 
 @query
 def column_samples(spark, sf):
-    return profile.column_samples(stored_retail(spark, sf).drop("UnitPrice", "LineTotal"))
+    return profile.column_samples(stored_retail(spark, sf))
 
 
 @query
 def numeric_summary(spark, sf):
-    fields = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    df = table(spark, sf, "lineitem")
     return rounded(
-        profile.numeric_summary(table(spark, sf, "lineitem"), fields),
+        profile.numeric_summary(df, anomaly.numeric_fields(df)),
         "mean", "std", "minimum", "q25", "q50", "q75", "maximum",
     )
 
@@ -305,7 +306,8 @@ def date_range(spark, sf):
 
 @query
 def top_values(spark, sf):
-    return profile.top_values(stored_retail(spark, sf), ["Description", "Quantity", "Country"])
+    df = stored_retail(spark, sf)
+    return profile.top_values(df, [n for n, kind in profile.logical_types(df).items() if kind == "categorical"])
 
 
 @query
@@ -397,14 +399,21 @@ def quality_issues_ranked(spark, sf):
 
 # --- anomalies ---------------------------------------------------------------------
 
-def statistical_review(spark: SparkSession, sf: str) -> anomaly.Review:
-    """Quartile range and standard score only: both have an SQL twin."""
-    return anomaly.review(stored_retail(spark, sf), with_forest=False)
+_reviews: dict[tuple[str, str], anomaly.Review] = {}
+
+
+def retail_review(spark: SparkSession, sf: str) -> anomaly.Review:
+    """All three methods over the retail table. Its parts are stored tables, so one review an
+    application serves all queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _reviews:
+        _reviews[key] = anomaly.review(stored_retail(spark, sf))
+    return _reviews[key]
 
 
 def stored_events(spark: SparkSession, sf: str) -> DataFrame:
     return store_once(
-        spark, f"events{sf}", lambda: number_by(table(spark, sf, "events"), ["event_id"], "events-sorted")
+        spark, f"events{sf}", lambda: stored_by(table(spark, sf, "events"), ["event_id"], "events")
     )
 
 
@@ -417,22 +426,22 @@ def anomaly_bounds(spark, sf):
 
 @query
 def anomaly_method_counts(spark, sf):
-    return anomaly.method_counts(statistical_review(spark, sf))
+    return anomaly.method_counts(retail_review(spark, sf))
 
 
 @query
 def anomaly_event_counts(spark, sf):
-    return anomaly.method_counts(anomaly.review(stored_events(spark, sf), with_forest=False))
+    return anomaly.method_counts(anomaly.review(stored_events(spark, sf)))
 
 
 @query
 def anomaly_method_status(spark, sf):
-    return anomaly.method_status(anomaly.method_counts(statistical_review(spark, sf)))
+    return anomaly.method_status(anomaly.method_counts(retail_review(spark, sf)))
 
 
 @query
 def anomaly_summary(spark, sf):
-    return anomaly.anomaly_summary(statistical_review(spark, sf))
+    return anomaly.anomaly_summary(retail_review(spark, sf))
 
 
 def _gate(df: DataFrame) -> forest.ForestGate:
@@ -452,7 +461,7 @@ def forest_gate(spark, sf):
 @query
 def forest_sample(spark, sf):
     df = stored_retail(spark, sf)
-    return forest.forest_sample(df, _gate(df)).select(ROW_NUMBER)
+    return forest.forest_sample(df, _gate(df)).select(ROW_NUMBER, "rank")
 
 
 @query
@@ -463,20 +472,17 @@ def forest_model(spark, sf):
 
 @query
 def forest_scores(spark, sf):
-    df = stored_retail(spark, sf)
-    fitted = forest.fit_forest(df, _gate(df))
-    return df.select(ROW_NUMBER, F.round(fitted.score(df), 6).alias("forest_score"))
+    return retail_review(spark, sf).rows.select(ROW_NUMBER, F.round("forest_score", 6).alias("forest_score"))
 
 
 @query
 def forest_method_counts(spark, sf):
-    return anomaly.method_counts(anomaly.review(stored_retail(spark, sf)))
+    return anomaly.method_counts(retail_review(spark, sf)).filter(F.col("method") == anomaly.FOREST)
 
 
 @query
 def forest_queue_page(spark, sf):
-    found = anomaly.review(stored_retail(spark, sf))
-    return anomaly.anomaly_page(found).select(ROW_NUMBER, "votes", F.round("forest_score", 6).alias("forest_score"))
+    return anomaly.anomaly_page(retail_review(spark, sf)).select(ROW_NUMBER, "votes", F.round("forest_score", 6).alias("forest_score"))
 
 
 def _signals(df: DataFrame) -> DataFrame:
@@ -485,41 +491,42 @@ def _signals(df: DataFrame) -> DataFrame:
 
 @query
 def anomaly_votes(spark, sf):
-    return _signals(statistical_review(spark, sf).rows)
+    return _signals(retail_review(spark, sf).rows)
 
 
 @query
 def anomaly_queue(spark, sf):
-    return _signals(anomaly.anomaly_queue(statistical_review(spark, sf)))
+    return _signals(anomaly.anomaly_queue(retail_review(spark, sf)))
 
 
 @query
 def anomaly_page(spark, sf):
-    page = anomaly.anomaly_page(statistical_review(spark, sf), PAGE_OFFSET, PAGE_LIMIT)
+    page = anomaly.anomaly_page(retail_review(spark, sf), PAGE_OFFSET, PAGE_LIMIT)
     return page.select(ROW_NUMBER, "votes", "next_offset")
 
 
 @query
 def anomaly_retail_context(spark, sf):
-    return anomaly.retail_context(statistical_review(spark, sf))
+    return anomaly.retail_context(retail_review(spark, sf))
 
 
 @query
 def anomaly_evidence(spark, sf):
     return rounded(
-        explain.anomaly_evidence(statistical_review(spark, sf)), "boundary", "distance_from_boundary"
+        explain.anomaly_evidence(retail_review(spark, sf)), "boundary", "distance_from_boundary"
     )
 
 
 @query
 def row_interpretation(spark, sf):
-    return explain.row_interpretation(statistical_review(spark, sf))
+    return explain.row_interpretation(retail_review(spark, sf))
 
 
 def _flat_explanation(df: DataFrame) -> DataFrame:
     return df.select(
         ROW_NUMBER, "status", "votes", F.array_join("signals", ", ").alias("signals"), "invoice_number",
-        F.col("values")["UnitPrice"].alias("unit_price"), F.col("values")["PartKey"].alias("part_key"),
+        F.round("forest_score", 6).alias("forest_score"),
+        *[F.col("values")[f].alias(f) for f in ("UnitPrice", "SuppKey", "OrderKey", "PartKey", "LineTotal")],
         F.array_join(F.transform("evidence", lambda e: e["message"]), "; ").alias("evidence"),
         "interpretation.category", "interpretation.business_rule", "interpretation.next_step",
         "business_context",
@@ -529,19 +536,21 @@ def _flat_explanation(df: DataFrame) -> DataFrame:
 @query
 def row_explanation(spark, sf):
     """Every row explained; one row is the same frame filtered by its number."""
-    return _flat_explanation(explain.explain_rows(statistical_review(spark, sf)))
+    return _flat_explanation(explain.explain_rows(retail_review(spark, sf)))
 
 
 @query
 def row_lookup(spark, sf):
-    return _flat_explanation(explain.explain_row(statistical_review(spark, sf), EXPLAINED_ROW))
+    return _flat_explanation(explain.explain_row(retail_review(spark, sf), EXPLAINED_ROW))
 
 
 # --- distributions -----------------------------------------------------------------
 
 @query
 def numeric_usability(spark, sf):
-    return distribution.numeric_usability(stored_retail(spark, sf), ["UnitPrice", "CustomerID", "LineTotal"])
+    df = stored_retail(spark, sf)
+    numbers = [n for n in data_columns(df) if isinstance(df.schema[n].dataType, T.NumericType)]
+    return distribution.numeric_usability(df, numbers)
 
 
 @query
@@ -613,14 +622,14 @@ def missing_ranking(spark, sf):
 
 @query
 def signal_ranking(spark, sf):
-    return distribution.signal_ranking(anomaly.method_counts(statistical_review(spark, sf)))
+    return distribution.signal_ranking(anomaly.method_counts(retail_review(spark, sf)))
 
 
 # --- report ------------------------------------------------------------------------
 
 @query
 def report_headline(spark, sf):
-    return report.report_headline(_assessment(spark, sf).pinned(), statistical_review(spark, sf))
+    return report.report_headline(_assessment(spark, sf).pinned(), retail_review(spark, sf))
 
 
 @query
@@ -640,7 +649,7 @@ def report_columns(spark, sf):
 
 @query
 def report_methods(spark, sf):
-    return report.report_methods(anomaly.method_counts(statistical_review(spark, sf)))
+    return report.report_methods(anomaly.method_counts(retail_review(spark, sf)))
 
 
 @query
@@ -650,7 +659,7 @@ def report_notes(spark, sf):
 
 @query
 def report_examples(spark, sf):
-    return report.report_examples(statistical_review(spark, sf))
+    return report.report_examples(retail_review(spark, sf))
 
 
 @query

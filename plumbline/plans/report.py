@@ -40,10 +40,12 @@ def _grade_text(grade: Column) -> Column:
 
 
 def report_headline(assessment: Assessment, found: Review) -> DataFrame:
-    """Score, grade, size, missing cells, duplicates, flagged rows, and the severe findings."""
+    """Score with its breakdown, grade, size, missing cells, duplicates, flagged rows, severe findings."""
     issues = quality_issues(assessment).filter(F.col("severity") == "high")
     facts = _fold(
-        overall_quality(assessment).select("rows_count", "overall_quality_score", "quality_grade"),
+        overall_quality(assessment).select(
+            "rows_count", "overall_quality_score", "quality_grade", "weighted_mean", "limiting_dimension",
+            "limiting_dimension_score"),
         assessment.scores.select("missing_values", "duplicate_rows"),
         found.flagged.agg(F.count("*").alias("flagged_rows")),
         issues.agg(
@@ -60,7 +62,7 @@ def report_headline(assessment: Assessment, found: Review) -> DataFrame:
         number_text(F.coalesce("missing_values", F.lit(0))).alias("missing_cells"),
         number_text(F.col("duplicate_rows")).alias("duplicate_rows"),
         (number_text(F.col("flagged_rows")) if found.evaluated else F.lit("Not evaluated")).alias("flagged_rows"),
-        "high_findings", "first_high_finding",
+        "high_findings", "first_high_finding", "weighted_mean", "limiting_dimension", "limiting_dimension_score",
     )
 
 
@@ -77,45 +79,35 @@ def report_dimensions(assessment: Assessment) -> DataFrame:
 
 
 def report_findings(assessment: Assessment) -> DataFrame:
-    """The fifty most urgent findings, and how many were left out. Issues are bounded by the schema."""
+    """All findings, the most urgent first. Issues are bounded by the schema."""
     issues = quality_issues(assessment)
     whole = Window.orderBy(severity_rank(F.col("severity")), F.col("affected_records").desc(), "ordinal")
     area = F.concat_ws(" / ", F.initcap("dimension"), F.col("column_name"))
     return (
         issues.withColumn("position", F.row_number().over(whole).cast("bigint"))
-        .withColumn("omitted", F.greatest(
-            F.count("*").over(Window.partitionBy()) - K.REPORT_FINDINGS, F.lit(0)).cast("bigint"))
-        .filter(F.col("position") <= K.REPORT_FINDINGS)
         .select("position", F.initcap("severity").alias("severity"), area.alias("area"),
                 number_text(F.col("affected_records")).alias("affected"),
-                report_text(F.col("message"), 320).alias("evidence"), "omitted")
+                report_text(F.col("message")).alias("evidence"))
     )
 
 
 def report_columns(profile: DataFrame) -> DataFrame:
-    """The first forty columns in source order, and how many were left out."""
+    """All columns in source order."""
     missing = F.concat(
         number_text(F.col("missing_count")), F.lit(" ("), F.format_number("missing_percentage", 2), F.lit("%)")
     )
-    return (
-        profile.withColumn("omitted", F.greatest(
-            F.count("*").over(Window.partitionBy()) - K.REPORT_COLUMNS, F.lit(0)).cast("bigint"))
-        .filter(F.col("ordinal") <= K.REPORT_COLUMNS)
-        .select("ordinal", report_text(F.col("column_name"), 320).alias("column_name"),
-                F.initcap("logical_type").alias("type"), missing.alias("missing"),
-                number_text(F.col("unique_count")).alias("unique"), "omitted")
+    return profile.select(
+        "ordinal", report_text(F.col("column_name")).alias("column_name"), F.initcap("logical_type").alias("type"),
+        missing.alias("missing"), number_text(F.col("unique_count")).alias("unique"),
     )
 
 
 def report_methods(counts: DataFrame) -> DataFrame:
-    """The first thirty method and field rows with flags or the reason for none."""
+    """All method and field rows with flags or the reason for none."""
     flags = F.when(F.col("status") == "evaluated", number_text(F.col("flagged_rows"))).otherwise("Not evaluated")
-    return (
-        counts.withColumn("omitted", F.greatest(
-            F.count("*").over(Window.partitionBy()) - K.REPORT_METHODS, F.lit(0)).cast("bigint"))
-        .filter(F.col("ordinal") <= K.REPORT_METHODS)
-        .select("ordinal", display_label(F.col("method")).alias("method"), F.col("field").alias("fields"),
-                flags.alias("flags"), F.coalesce("reason", F.lit("Evaluated")).alias("reason"), "omitted")
+    return counts.select(
+        "ordinal", display_label(F.col("method")).alias("method"), F.col("field").alias("fields"),
+        flags.alias("flags"), F.coalesce("reason", F.lit("Evaluated")).alias("reason"),
     )
 
 
@@ -180,14 +172,18 @@ class Report:
         for name, table in self.tables.items():
             table.write.parquet(f"{folder}/{name}")
 
-    def markdown(self) -> str:
-        """A small text rendering; every table is bounded by the report limits."""
+    def markdown(self, limit: int | None = None) -> str:
+        """A text rendering of the first ``limit`` rows of each table, all of them by default; what a
+        limit leaves out is counted. The tables are bounded by the schema."""
         parts = ["# Dataset quality assessment"]
         for name, table in self.tables.items():
             parts += ["", f"## {name.replace('_', ' ').capitalize()}", "",
                       "| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
-            for row in table.collect():
+            rows = table.collect()
+            for row in rows[:limit]:
                 parts.append("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in row) + " |")
+            if limit is not None and len(rows) > limit:
+                parts.append(f"\n{len(rows) - limit} more rows")
         return "\n".join(parts) + "\n"
 
 

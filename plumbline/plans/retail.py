@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.sources.rows import number_by
+from plumbline.sources.rows import stored_by
 from plumbline.sources.storage import store_once
 
 RETAIL_COLUMNS = [
@@ -67,7 +67,7 @@ def stored_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The retail table as ingested: numbered in key order and stored once per application."""
     label = f"retail{sf_dir}"
     return store_once(
-        spark, label, lambda: number_by(retail_lines(spark, sf_dir), ROW_KEYS, "retail-sorted").drop("Copy")
+        spark, label, lambda: stored_by(retail_lines(spark, sf_dir), ROW_KEYS, "retail").drop("Copy")
     )
 
 
@@ -76,5 +76,5 @@ def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
     return store_once(
         spark, f"lineitem{sf_dir}",
-        lambda: number_by(table(spark, sf_dir, "lineitem"), keys, "lineitem-sorted"),
+        lambda: stored_by(table(spark, sf_dir, "lineitem"), keys, "lineitem"),
     )

@@ -26,26 +26,21 @@ def with_fingerprint(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def file_fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file path, byte length, SHA-256) of stored files; one file must fit a task (2 GB)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.col("path").alias("file_path"),
-        F.col("length").alias("content_length"),
-        F.sha2("content", 256).alias("content_sha"),
-    )
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """Order-free fingerprint of a table of any size: row count and two sums over the rows' MD5.
 
+    Cells are written with their length, missing ones marked, so different rows have different texts.
+    """
+    cells = [
+        F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-"))
+        for t in (quoted(n).cast("string") for n in data_columns(df))
+    ]
+    digest = F.md5(F.concat_ws(",", *cells).cast("binary"))
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table of any size: row count and two sums of row hashes."""
-    names = data_columns(df)
-    gaps = F.concat_ws("", *[F.when(quoted(n).isNull(), "1").otherwise("0") for n in names])
-    cells = [quoted(n) for n in names]
-    return df.agg(
-        F.count("*").alias("rows_count"),
-        F.sum(F.xxhash64(*cells, gaps).cast("decimal(38,0)")).alias("hash_sum"),
-        F.sum(F.xxhash64(gaps, *reversed(cells)).cast("decimal(38,0)")).alias("reverse_hash_sum"),
-    )
+    def part(start: int) -> Column:
+        return F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)"))
+
+    return df.agg(F.count("*").alias("rows_count"), part(1).alias("hash_sum"), part(16).alias("second_hash_sum"))
 
 
 def normal_path(path: Column) -> Column:
@@ -79,7 +74,8 @@ def latest_distinct(catalog: DataFrame, allowed_paths: DataFrame | None = None)
     """
     if allowed_paths is not None:
         catalog = catalog.join(allowed_paths.select("file_path").distinct(), "file_path", "left_semi")
-    newest = catalog.groupBy(*CONTENT).agg(F.max("id").alias("id"))
+    readable = catalog.filter(F.col("content_sha").isNotNull())  # a record without content is no dataset
+    newest = readable.groupBy(*CONTENT).agg(F.max("id").alias("id"))
     return catalog.join(newest.select("id"), "id", "left_semi")
 
 
@@ -122,7 +118,9 @@ def removal_counts(marked: DataFrame) -> DataFrame:
 
 
 def refresh(catalog: DataFrame, sources: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Update the records whose path a source has, insert the other sources, keep the rest.
+    """Update the record whose path a source has, insert the other sources, keep the rest.
+
+    Of several records with one path the one with the least id is updated.
 
     ``names`` may give a display name per path; otherwise the file name of the path is used. New
     records get their id from the store that saves them.
@@ -139,7 +137,9 @@ def refresh(catalog: DataFrame, sources: DataFrame, names: DataFrame | None = No
         F.lit(True).alias("refreshed"),
     )
     known = catalog.select("id", "file_name", "file_path", "rows_count", "columns_count", F.lit(True).alias("known"))
-    merged = known.join(incoming, "file_path", "full_outer")
+    first = known.groupBy("file_path").agg(F.min("id").alias("first_id"))
+    known = known.join(first, "file_path").withColumn("slot", F.when(F.col("id") == F.col("first_id"), 0).otherwise(1))
+    merged = known.join(incoming.withColumn("slot", F.lit(0)), ["file_path", "slot"], "full_outer")
     return merged.select(
         "id",
         F.coalesce("new_name", "file_name").alias("file_name"),

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.constants import EMPTY_UPLOAD_REASON, MISSING_TEXTS
+from pyspark.errors import AnalysisException, ParseException, PySparkException
+
+from plumbline.constants import (
+    CSV_EXTENSION, EMPTY_UPLOAD_REASON, EXTENSION_REASON, MISSING_TEXTS, MULTI_LINE_REASON, UNREADABLE_REASON,
+)
 from plumbline.functions.scalars import quoted, text_number
-from plumbline.sources.rows import data_columns, number_csv
+from plumbline.sources.catalog import table_fingerprint
+from plumbline.sources.rows import ROW_NUMBER, number_csv
 
 # The shapes of whole numbers and truth values in text.
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,19}\s*$"
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 REJECTED = "rejected"
 CORRUPT = "__corrupt"
+# Spark's error classes for input that cannot be read as text of this form.
+READ_ERRORS = ("FAILED_READ_FILE", "MALFORMED_CSV_RECORD", "MALFORMED_RECORD_IN_PARSING", "TextParsingException")
 
 
 def has_multi_line_fields(spark: SparkSession, path: str) -> bool:
@@ -21,16 +28,16 @@ def has_multi_line_fields(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Every field as text, missing texts as NULL, the raw text of rows that do not fit the header.
 
-    Files are split among tasks unless a field spans lines, which needs whole files.
+    Files are split among tasks. Where quoted fields span lines the caller says so (``multi_line``),
+    and each file is read by one task; without that word such a file is refused.
     """
-    reader = spark.read.options(
-        header=True, quote='"', escape='"', emptyValue="", nullValue="",
-        multiLine=has_multi_line_fields(spark, path),
-    )
-    names = reader.csv(path, inferSchema=False).columns
+    if not multi_line and has_multi_line_fields(spark, path):
+        raise ValueError(MULTI_LINE_REASON)
+    reader = spark.read.options(header=True, quote='"', escape='"', emptyValue="", nullValue="", multiLine=multi_line)
+    names = _distinct_names(spark, path, reader)
     fields = [T.StructField(n, T.StringType()) for n in [*names, CORRUPT]]
     raw = reader.csv(path, schema=T.StructType(fields), columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
     return raw.select(*[
@@ -38,6 +45,20 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     ], CORRUPT, "_metadata")
 
 
+def _distinct_names(spark: SparkSession, path: str, reader) -> list[str]:
+    """The header's names; a repeated one gets .1, .2 and so on."""
+    names = reader.csv(path, inferSchema=False).columns
+    if len(set(n.rstrip("0123456789") for n in names)) == len(names):
+        return names  # nothing that could be a repeated name with the reader's own number
+    head = spark.read.options(header=False, quote='"', escape='"').csv(path).first()
+    listed, seen = [], {}
+    for name, own in zip(head or names, names):
+        name = own if name is None else name
+        seen[name] = seen.get(name, -1) + 1
+        listed.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return listed if len(set(listed)) == len(listed) else names
+
+
 def _source_columns(text: DataFrame) -> list[str]:
     return [n for n in text.columns if n not in (CORRUPT, "_metadata")]
 
@@ -86,37 +107,65 @@ def _typed(name: str, kind: str) -> Column:
     return F.trim(value).try_cast(kind).alias(name)
 
 
-def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A delimited file with inferred column types (one pass to infer, one to read)."""
-    text = read_text_csv(spark, path)
+    text = read_text_csv(spark, path, multi_line)
     return text.select(*[_typed(n, kind) for n, kind in infer_types(text).items()])
 
 
-def read_numbered_csv(spark: SparkSession, path: str, label: str) -> DataFrame:
+def read_numbered_csv(spark: SparkSession, path: str, label: str, multi_line: bool = False) -> DataFrame:
     """The same with source-order row numbers."""
-    text = read_text_csv(spark, path)
+    text = read_text_csv(spark, path, multi_line)
     typed = [_typed(n, kind) for n, kind in infer_types(text).items()]
     return number_csv(text.select(*typed, "_metadata"), label)
 
 
-def ingest_csv(spark: SparkSession, path: str, target: str) -> DataFrame:
+METADATA = (
+    "file_name string, file_path string, rows_count bigint, columns_count bigint, status string, reason string, "
+    "content_length bigint, content_sha string, dataset_id bigint"
+)
+
+
+def ingest_csv(
+    spark: SparkSession, path: str, target: str, catalog: DataFrame | None = None, multi_line: bool = False
+) -> DataFrame:
     """Normalise a delimited file to a numbered Parquet table; one row of metadata.
 
-    Unreadable and empty input is rejected with its reason and leaves nothing to read.
+    Files of another extension, unreadable and empty ones are rejected with their reason and leave
+    nothing to read; other errors (a full disk, a lost cluster) are raised. With a catalog (id,
+    rows_count, columns_count, content_length, content_sha) a file whose data one of its datasets has
+    is answered with the newest such dataset and not kept again.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    rows = columns = None
+
+    def answer(status, reason=None, file_path=None, rows=None, columns=None, length=None, sha=None, dataset=None):
+        return spark.createDataFrame([(name, file_path, rows, columns, status, reason, length, sha, dataset)], METADATA)
+
+    if not name.lower().endswith(CSV_EXTENSION):
+        return answer(REJECTED, EXTENSION_REASON)
+    try:
+        table = read_numbered_csv(spark, path, "ingest", multi_line)
+    except (ValueError, AnalysisException, ParseException) as error:
+        return answer(REJECTED, UNREADABLE_REASON + str(error).splitlines()[0])
     try:
-        table = read_numbered_csv(spark, path, "ingest")
         table.write.parquet(target)
-        stored = spark.read.parquet(target)
-        rows, columns = stored.count(), len(data_columns(stored))
-        reason = None if rows else EMPTY_UPLOAD_REASON
-    except Exception as error:  # any reader error makes this one input a reject, not the batch
-        reason = f"The uploaded file could not be read: {str(error).splitlines()[0]}"
-    return spark.createDataFrame(
-        [(name, target if reason is None else None, rows, columns,
-          "ingested" if reason is None else REJECTED, reason)],
-        "file_name string, file_path string, rows_count bigint, columns_count bigint, "
-        "status string, reason string",
-    )
+    except PySparkException as error:
+        if not any(mark in str(error) for mark in READ_ERRORS):
+            raise
+        return answer(REJECTED, UNREADABLE_REASON + str(error).splitlines()[0])
+    stored = spark.read.parquet(target)
+    data = stored.drop(ROW_NUMBER)
+    facts = table_fingerprint(data).first()
+    rows, columns = facts["rows_count"], len(data.columns)
+    if not rows:
+        return answer(REJECTED, EMPTY_UPLOAD_REASON, rows=0, columns=columns)
+    length, sha = rows * columns, f"{facts['hash_sum']}-{facts['second_hash_sum']}"
+    if catalog is not None:
+        same = (
+            (F.col("rows_count") == rows) & (F.col("columns_count") == columns)
+            & (F.col("content_length") == length) & (F.col("content_sha") == sha)
+        )
+        known = catalog.filter(same).agg(F.max("id")).first()[0]
+        if known is not None:
+            return answer("reused", None, None, rows, columns, length, sha, known)
+    return answer("ingested", None, target, rows, columns, length, sha)

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.sources.storage import store
+from plumbline.sources.storage import discard, store
 
 ROW_NUMBER = "row_number"
 _SEQUENCE = "__sequence"
 _PART = "__part"
 _START = "__start"
-MAX_BROADCAST_FILES = 100_000  # about 10 MB of paths; beyond it the join is shuffled
 _LOW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -23,12 +22,12 @@ def _dense(staged: DataFrame, name: str) -> DataFrame:
     part = F.shiftright(F.col(_SEQUENCE), _LOW_BITS)
     position = F.col(_SEQUENCE).bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
     sizes = staged.groupBy(part.alias(_PART)).agg(F.count("*").alias("__rows"))
-    # One row per written partition, so the global window and the broadcast stay small.
+    # One row per written partition, so the global window stays small.
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(_PART, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias(_START))
     return (
         staged.withColumn(_PART, part)
-        .join(F.broadcast(starts), _PART)
+        .join(starts, _PART)
         .withColumn(name, (F.col(_START) + position + 1).cast("bigint"))
         .drop(_PART, _START, _SEQUENCE)
     )
@@ -47,6 +46,14 @@ def number_by(
     )
 
 
+def stored_by(df: DataFrame, keys: list[str | Column], label: str, name: str = ROW_NUMBER) -> DataFrame:
+    """The numbered table, stored; the sorted copy it was numbered from is deleted."""
+    staged = store(df.orderBy(*keys).withColumn(_SEQUENCE, F.monotonically_increasing_id()), f"{label}-sorted")
+    numbered = store(_dense(staged, name), label)
+    discard(staged)
+    return numbered
+
+
 def number_files(df: DataFrame) -> DataFrame:
     """Row numbers in (file path, position in file) order for a Parquet source; nothing is shuffled
     but one count per file."""
@@ -58,8 +65,6 @@ def number_files(df: DataFrame) -> DataFrame:
     sizes = located.groupBy(_PART).agg(F.count("*").alias("__rows"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(_PART, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias(_START))
-    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
-        starts = F.broadcast(starts)
     return (
         located.join(starts, _PART)
         .withColumn(ROW_NUMBER, (F.col(_START) + F.col(_SEQUENCE) + 1).cast("bigint"))
@@ -87,8 +92,6 @@ def number_csv(df: DataFrame, label: str) -> DataFrame:
     )
     before = Window.orderBy(_PART, "__offset").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn(_START, F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
-    if splits.count() <= MAX_BROADCAST_FILES:
-        starts = F.broadcast(starts)
     return (
         staged.join(starts, [_PART, "__offset"])
         .withColumn(

@@ -12,9 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MOST_PINNED_ROWS = 100_000
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str], DataFrame] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,15 +42,25 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
 
 def store_once(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored table for a label, written on its first use in this application."""
+    """The stored table for a label; ``build`` stores it on its first use in this application."""
     key = (spark.sparkContext.applicationId, label)
     if key not in _stored:
-        path = new_path(spark, "".join(c if c.isalnum() else "-" for c in label))
-        build().write.parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        _stored[key] = build()
+    return _stored[key]
 
 
-def pin(df: DataFrame) -> DataFrame:
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``store`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(settings).delete(path, True)
+
+
+def pin(df: DataFrame, most: int = MOST_PINNED_ROWS) -> DataFrame:
     """Keep a frame of aggregated facts, whose size is bounded by the schema, as literal rows."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"More than {most} rows cannot be kept as literals.")
+    return df.sparkSession.createDataFrame(rows, df.schema)

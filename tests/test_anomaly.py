@@ -1,5 +1,6 @@
 """Flags, votes, queue, pages, readings and the forest."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,13 +39,12 @@ def test_pages_partition_the_queue(numbered):
         A.anomaly_page(found, 0, 101)
 
 
-def test_far_pages_equal_near_pages(numbered, monkeypatch):
+def test_pages_are_ranges_of_the_queue(numbered):
     rows = [(10 + i % 3, 20 + i % 4) for i in range(40)] + [(500 + i, 900 - i) for i in range(6)]
     found = A.review(numbered(rows, "Quantity bigint, UnitPrice bigint"))
-    near = [r["row_number"] for r in A.anomaly_page(found, 2, 3).collect()]
-    monkeypatch.setattr(A, "NEAR_PAGES", 0)
-    far = A.anomaly_page(found, 2, 3).collect()
-    assert [r["row_number"] for r in far] == near and "__position" not in far[0]
+    whole = [r["row_number"] for r in A.anomaly_queue(found).collect()]
+    page = A.anomaly_page(found, 2, 3).collect()
+    assert [r["row_number"] for r in page] == whole[2:5] and A.POSITION not in page[0]
 
 
 def test_readings(numbered):
@@ -66,6 +66,9 @@ def test_no_numeric_field(numbered):
     found = A.review(numbered([("a",), ("b",), ("c",)], "Category string"))
     assert not found.evaluated
     assert A.anomaly_summary(found).first()["anomaly_rows_count"] is None
+    counts = {r["method"]: (r["status"], r["field"], r["reason"]) for r in A.method_counts(found).collect()}
+    assert set(counts) == {"iqr", "z_score", "isolation_forest"}
+    assert counts["iqr"] == ("not_evaluated", "", "No usable fields")
     explained = E.explain_row(found, 2).first()
     assert explained["status"] == "not_evaluated" and explained["interpretation"]["category"] == "not_evaluated"
     with pytest.raises(ValueError):
@@ -103,17 +106,28 @@ def test_signals_do_not_depend_on_partitions(planted):
 def test_forest_sample_is_bounded_and_exact(numbered):
     table = numbered([(float(i), float(i * 7 % 101)) for i in range(3_000)], "a double, b double")
     gate = FR.ForestGate(["a", "b"], 3_000)
-    bounded = {r[0] for r in FR.forest_sample(table, gate, 100).select("row_number").collect()}
+    bounded = [r[0] for r in FR.forest_sample(table, gate, 2).orderBy("rank").select("row_number").collect()]
     keys = table.select("row_number", F.md5(F.concat(F.col("row_number").cast("string"), F.lit("-42"))).alias("k"))
-    expected = {r[0] for r in keys.orderBy("k").limit(100).collect()}
+    expected = [r[0] for r in keys.orderBy("k").limit(512).collect()]
     assert bounded == expected
 
 
+def test_flagged_rows_are_scored_once(numbered):
+    rows = [(float(i % 50), float(i * 13 % 47)) for i in range(300)]
+    found = A.review(numbered(rows, "a double, b double"))
+    for frame in (found.rows, found.rows.filter("votes > 0"), found.flagged):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan  # the scores are stored
+    scores = FR.score_rows(found.rows, ["a", "b"], (np.zeros((1, 1), int), np.zeros((1, 1)), np.ones((1, 1)), 1.0))
+    plan = scores.filter("score < 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_forest_finds_the_far_point(numbered):
     rows = [(float(i % 50), float(i * 13 % 47)) for i in range(2_000)] + [(5_000.0, -5_000.0)]
     table = numbered(rows, "a double, b double")
     fitted = FR.fit_forest(table, FR.ForestGate(["a", "b"], len(rows)))
-    scored = table.select("row_number", fitted.score(table).alias("s"))
+    scored = fitted.scores.select("row_number", F.col("forest_score").alias("s"))
     assert scored.orderBy("s").first()["row_number"] == len(rows)
     share = scored.filter("s < 0").count() / len(rows)
     assert 0.002 < share <= 0.0105

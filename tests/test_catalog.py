@@ -73,14 +73,6 @@ def test_search_order(records, spark):
     assert ids(C.search(records, "B.c")) == [2]
 
 
-def test_file_fingerprints(spark, tmp_path):
-    (tmp_path / "one.csv").write_text("a\n1\n")
-    (tmp_path / "two.csv").write_text("a\n1\n")
-    (tmp_path / "three.csv").write_text("a\n2\n")
-    found = C.file_fingerprints(spark, str(tmp_path), "*.csv")
-    assert found.count() == 3 and found.select(*C.CONTENT).distinct().count() == 2
-
-
 def test_table_fingerprint_ignores_order(spark):
     table = spark.createDataFrame([(i, None if i % 3 else "x") for i in range(100)], "a bigint, b string")
     swapped = table.select(F.col("b").alias("a"), F.col("a").alias("b"))

@@ -35,6 +35,35 @@ def test_numeric_summary_hides_non_finite(numbered):
     found = P.numeric_summary(numbered([(1.0,), (2.0,), (float("inf"),)], "Amount double"), ["Amount"]).first()
     assert found["value_count"] == 3 and found["mean"] is None and found["maximum"] is None
     assert found["minimum"] == 1.0
+    found = P.numeric_summary(numbered([(1.0,), (2.0,), (3.0,), (float("inf"),)], "Amount double"), ["Amount"]).first()
+    assert (found["q25"], found["q50"], found["q75"]) == (1.75, 2.5, None)
+
+
+def test_booleans_and_empty_lists(numbered):
+    table = numbered([(True, 1), (False, 2), (True, 3), (None, 4)], "Flag boolean, N bigint")
+    assert [tuple(r) for r in P.boolean_summary(table, ["Flag", "N"]).collect()] == [(1, "Flag", 3, 2, "true", 2)]
+    assert [r["column_name"] for r in P.numeric_summary(table, ["Flag", "N"]).collect()] == ["N"]
+    assert P.numeric_summary(table, []).count() == P.date_parse_ratio(table).count() == P.date_range(table, []).count() == 0
+    assert P.top_values(table, []).count() == P.boolean_summary(table, ["N"]).count() == 0
+
+
+def test_dates_that_turn_to_junk_late_are_text(numbered):
+    rows = [(f"2025-01-{i % 28 + 1:02d}",) for i in range(1_000)] + [(f"junk {i}",) for i in range(1_000)]
+    table = numbered(rows, "Day string")
+    assert P.logical_types(table) == {"Day": "text"}
+    assert P.date_parse_ratio(table).first()["parse_ratio"] == 0.5
+
+
+def test_assembled_profile_picks_what_each_column_needs(numbered):
+    rows = [(i, f"2025-01-{i % 28 + 1:02d}", "ab"[i % 2], float(i) if i % 4 else None, i % 3 == 0) for i in range(1, 41)]
+    table = numbered(rows, "UserID bigint, Day string, Kind string, Amount double, Flag boolean")
+    found = P.profile_table(table)
+    assert found.types == P.logical_types(table)
+    assert [r["column_name"] for r in found.numbers.collect()] == ["Amount"]
+    assert [r["column_name"] for r in found.booleans.collect()] == ["Flag"]
+    assert [(r["column_name"], r["maximum"]) for r in found.dates.collect()] == [("Day", "2025-01-28T00:00:00")]
+    assert {(r["ordinal"], r["value"], r["value_count"]) for r in found.common.collect()} == {(3, "a", 20), (3, "b", 20)}
+    assert found.samples(table).count() == 25
 
 
 def test_text_by_distinct_share(numbered):
@@ -72,7 +101,8 @@ def test_narrowed_quantiles_equal_numpy(spark, gather):
     shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     counts = dict.fromkeys(table.columns, len(rows))
     direct = exact_quantiles(table, counts, shares)
-    narrow = exact_quantiles(table, counts, shares, direct_rows=1, gather_rows=gather, accuracy=50)
+    narrow = exact_quantiles(table, counts, shares, gather_rows=gather, accuracy=50)
+    assert direct == narrow
     for name, values in (("spread", spread), ("hot", hot)):
         expected = np.quantile(values, shares)
         assert np.allclose(direct[name], expected, rtol=1e-12)
@@ -126,7 +156,9 @@ def test_csv_types_and_missing_texts(spark, tmp_path):
 def test_csv_fields_may_span_lines(spark, tmp_path):
     path = tmp_path / "lines.csv"
     path.write_text('n,note\n1,"two\nlines"\n2,"a, ""b"""\n3\n')
-    found = readers.read_numbered_csv(spark, str(path), "multi").orderBy("row_number").collect()
+    with pytest.raises(ValueError, match="span lines"):
+        readers.read_numbered_csv(spark, str(path), "multi")
+    found = readers.read_numbered_csv(spark, str(path), "multi", multi_line=True).orderBy("row_number").collect()
     assert [(r["row_number"], r["n"], r["note"]) for r in found] == [(1, 1, "two\nlines"), (2, 2, 'a, "b"'), (3, 3, None)]
 
 
@@ -144,6 +176,24 @@ def test_ingest_rejects_empty_and_unreadable(spark, tmp_path):
     assert missing["status"] == "rejected" and missing["reason"].startswith("The uploaded file could not be read")
 
 
+def test_repeated_headers_get_numbers(spark, tmp_path):
+    (tmp_path / "twice.csv").write_text("a,a,b\n1,2,3\n")
+    assert readers.read_typed_csv(spark, str(tmp_path / "twice.csv")).columns == ["a", "a.1", "b"]
+
+
+def test_ingest_reuses_identical_data_and_checks_the_extension(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("n,w\n1,a\n2,b\n")
+    (tmp_path / "two.csv").write_text("n,w\n1,a\n2,b\n")
+    (tmp_path / "three.txt").write_text("n,w\n1,a\n")
+    first = readers.ingest_csv(spark, str(tmp_path / "one.csv"), str(tmp_path / "o1"))
+    assert first.first()["status"] == "ingested"
+    catalog = first.withColumn("id", F.lit(7).cast("bigint"))
+    again = readers.ingest_csv(spark, str(tmp_path / "two.csv"), str(tmp_path / "o2"), catalog).first()
+    assert (again["status"], again["dataset_id"], again["file_path"]) == ("reused", 7, None)
+    wrong = readers.ingest_csv(spark, str(tmp_path / "three.txt"), str(tmp_path / "o3")).first()
+    assert wrong["status"] == "rejected" and "CSV" in wrong["reason"].upper()
+
+
 def test_lenient_numbers(spark):
     texts = ["1", " -2.5 ", "1e3", ".5", "5.", "1d", "0x1p3", "inf", "nan", "", "abc", "1,000", None]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
