@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -53,37 +54,33 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 def span_ends(pieces: list[tuple[int, int, str]]) -> list[int]:
     """For each sentence the end of the shortest run from it with enough sentences and words, or -1."""
-    words = np.cumsum([0, *[p[2].count(" ") + 1 for p in pieces]])
-    ends, n = [], len(pieces)
-    for start in range(n):
-        end = max(start + SPAN_SENTENCES, int(np.searchsorted(words, words[start] + SPAN_WORDS)))
-        ends.append(end if end <= n else -1)
-    return ends
+    words, count = np.cumsum([0, *[p[2].count(" ") + 1 for p in pieces]]), len(pieces)
+    ends = np.maximum(np.arange(count) + SPAN_SENTENCES, np.searchsorted(words, words[:-1] + SPAN_WORDS))
+    return np.where(ends <= count, ends, -1).tolist()
 
 
 def span_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(first sentence, signed hash) of every span of a text."""
     pieces = sentences(text) if text else []
-    starts, hashes = [], []
-    for start, end in enumerate(span_ends(pieces)):
-        if end > 0:
-            body = "\n".join([p[2] for p in pieces[start:end]]).encode("utf-8", "surrogatepass")
-            starts.append(start)
-            hashes.append(xxhash.xxh64_intdigest(body))
-    return np.array(starts, np.int64), np.array(hashes, np.uint64).view(np.int64)
+    bodies = [p[2].encode("utf-8", "surrogatepass") for p in pieces]
+    places = [0, *accumulate(len(b) + 1 for b in bodies)]
+    joined, digest = b"\n".join(bodies), xxhash.xxh64_intdigest
+    runs = [(start, end) for start, end in enumerate(span_ends(pieces)) if end > 0]
+    hashes = [digest(joined[places[start]:places[end] - 1]) for start, end in runs]
+    return np.array([start for start, _ in runs], np.int64), np.array(hashes, np.uint64).view(np.int64)
 
 
 def without_spans(text: str | None, starts) -> tuple[str | None, int, int, int]:
     """(what is left, sentences, removed sentences, removed words) when the spans at ``starts`` go."""
     pieces = sentences(text) if text else []
+    if starts is None or not len(starts):
+        return text, len(pieces), 0, 0
     ends = span_ends(pieces)
     gone = np.zeros(len(pieces) + 1, np.int64)
-    for start in starts if starts is not None else []:
+    for start in starts:
         gone[start] += 1
         gone[ends[start]] -= 1
     gone = np.cumsum(gone)[:-1] > 0
-    if not gone.any():
-        return text, len(pieces), 0, 0
     words = sum(p[2].count(" ") + 1 for p, g in zip(pieces, gone) if g)
     return "".join([text[s:e] for (s, e, _), g in zip(pieces, gone) if not g]), len(pieces), int(gone.sum()), words
 
@@ -91,7 +88,7 @@ def without_spans(text: str | None, starts) -> tuple[str | None, int, int, int]:
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, twin, starts): spans that an earlier document, or an earlier place of the same one, has.
 
-    The first place of a span is the least by doc_id (null last), text hash and position. Spans are
+    The first place of a span is the least by doc_id (null last), text hash and position. Spans are stored once and
     counted with partial sums, so one that a third of all documents share is one row in the join.
     ``twin`` tells texts of one doc_id apart; rows equal in both are one document.
     """
@@ -106,7 +103,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
                 "twin": np.repeat(batch["twin"].to_numpy(np.int64), counts), "start": np.concatenate([p[0] for p in parts]),
             })
 
-    found = texts.mapInPandas(spans, "span long, doc_id long, twin long, start long")
+    found = store(texts.mapInPandas(spans, "span long, doc_id long, twin long, start int"), "all-spans")
     place = F.struct("doc_id", "twin", "start")
     firsts = found.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     later = found.join(firsts.select("span", "first"), "span").filter(place != F.col("first"))
