@@ -26,7 +26,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
 
 
-def session() -> SparkSession:
+def session(folder: str) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .config("spark.ui.enabled", "false")
@@ -35,6 +35,7 @@ def session() -> SparkSession:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"{folder}/shared")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,14 +43,10 @@ def session() -> SparkSession:
 
 
 def profile_all(df):
-    kinds = {}
-    for row in profile.column_profile(df).collect():
-        kinds.setdefault(row["logical_type"], []).append(row["column_name"])
+    found = profile.profile_table(df)
+    for part in (found.columns, found.samples, found.numbers, found.booleans, found.dates, found.common):
+        part.collect()
     profile.profile_summary(df).collect()
-    profile.column_samples(df).collect()
-    profile.numeric_summary(df, kinds["numeric"]).collect()
-    profile.date_range(df, kinds["datetime"]).collect()
-    profile.top_values(df, kinds["categorical"]).collect()
 
 
 def quality_all(df):
@@ -78,8 +75,13 @@ def report_all(df):
 
 
 def main() -> None:
-    spark = session()
-    csv = f"{tempfile.mkdtemp(prefix='bench-')}/lineitem.csv"
+    with tempfile.TemporaryDirectory(prefix="bench-") as folder:
+        run(folder)
+
+
+def run(folder: str) -> None:
+    spark = session(folder)
+    csv = f"{folder}/lineitem.csv"
     table(spark, SF_DIR, "lineitem").write.csv(csv, header=True)
     jobs = {
         "store_retail": lambda: stored_retail(spark, SF_DIR).count(),
@@ -93,9 +95,9 @@ def main() -> None:
     for name in ("duplicate_rows", "invalid_rows", "column_unique", "numeric_summary", "histogram_full",
                  "time_buckets", "category_top_other", "anomaly_queue", "catalog_latest_distinct",
                  "catalog_find_duplicate", "report_text"):
-        def run(key=name):
+        def single(key=name):
             queries.REGISTRY[key](spark, SF_DIR).write.format("noop").mode("overwrite").save()
-        jobs[name] = run
+        jobs[name] = single
     times = {}
     for name, job in jobs.items():
         start = time.perf_counter()

@@ -380,15 +380,33 @@ def column_profile(df: DataFrame) -> DataFrame:
 class Profile:
     """All parts of a profile: each column is summarised as its logical type asks."""
 
+    source: DataFrame
     types: dict[str, str]
     columns: DataFrame
-    numbers: DataFrame
-    booleans: DataFrame
     dates: DataFrame
-    common: DataFrame
+    moments: dict[str, tuple]
+    counts: DataFrame
 
-    def samples(self, df: DataFrame) -> DataFrame:
-        return column_samples(df)
+    def of(self, kind: str) -> list[str]:
+        return [n for n, t in self.types.items() if t == kind]
+
+    @property
+    def numbers(self) -> DataFrame:
+        """Moments are known; the quartiles are sought when asked for."""
+        return _summary_rows(self.source, self.moments)
+
+    @property
+    def booleans(self) -> DataFrame:
+        return boolean_summary(self.source, self.of("numeric"))
+
+    @property
+    def common(self) -> DataFrame:
+        names = data_columns(self.source)
+        return _most_common(self.counts.filter(F.col("ordinal").isin([names.index(n) + 1 for n in self.of("categorical")])), TOP_VALUES)
+
+    @property
+    def samples(self) -> DataFrame:
+        return column_samples(self.source)
 
 
 def profile_table(df: DataFrame) -> Profile:
@@ -419,17 +437,16 @@ def profile_table(df: DataFrame) -> Profile:
         types[name] = kind or _by_distinct(unique.get(i + 1, 0), rows)
         columns.append((i + 1, name, df.schema[name].dataType.simpleString(), types[name], rows - filled,
                         float(round_half_up(100.0 * (rows - filled) / rows, 2)) if rows else 0.0, unique.get(i + 1, 0)))
-    common = [i + 1 for i, n in enumerate(names) if types[n] == "categorical"]
     return Profile(
+        df,
         types,
         spark.createDataFrame(
             columns,
             "ordinal int, column_name string, data_type string, logical_type string, missing_count bigint, "
             "missing_percentage double, unique_count bigint"),
-        _summary_rows(df, {n: tuple(facts[f"m{i}"]) for i, n in enumerate(numbers) if types[n] == "numeric"}),
-        boolean_summary(df, [n for n in names if types[n] == "numeric"]),
         spark.createDataFrame(
             [(names.index(n) + 1, n, low, high) for n, (_, low, high) in dates.items() if types[n] == "datetime"],
             "ordinal int, column_name string, minimum string, maximum string"),
-        _most_common(counts.filter(F.col("ordinal").isin(common)), TOP_VALUES),
+        {n: tuple(facts[f"m{i}"]) for i, n in enumerate(numbers) if types[n] == "numeric"},
+        counts,
     )

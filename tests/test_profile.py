@@ -63,7 +63,7 @@ def test_assembled_profile_picks_what_each_column_needs(numbered):
     assert [r["column_name"] for r in found.booleans.collect()] == ["Flag"]
     assert [(r["column_name"], r["maximum"]) for r in found.dates.collect()] == [("Day", "2025-01-28T00:00:00")]
     assert {(r["ordinal"], r["value"], r["value_count"]) for r in found.common.collect()} == {(3, "a", 20), (3, "b", 20)}
-    assert found.samples(table).count() == 25
+    assert found.samples.count() == 25
 
 
 def test_text_by_distinct_share(numbered):
