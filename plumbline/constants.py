@@ -91,6 +91,15 @@ DATE_FORMATS = (
 )
 
 # --- Fixed values: reasons and messages --------------------------------------------
+# Issue sentences; figures and column names go between and into the parts.
+MISSING_ISSUE = (" is missing in ", "% of records.")
+DUPLICATES_ISSUE = " duplicate rows were detected."
+MALFORMED_ISSUE = (" contains ", " nonnumeric or non-finite values.")
+DESCRIPTIONS_ISSUE = "{} values associated with multiple {} values were detected."
+TOTALS_ISSUE = " comparable {} values differ from {}."
+# Shapes of report names: file suffixes that are cut off, characters that file names may not have.
+REPORT_NAME_SUFFIX_PATTERN = r"(?i)\.(csv|xlsx)$"
+REPORT_NAME_ILLEGAL_PATTERN = r'[<>:"/\\|?*\x00-\x1f]'
 NO_FIELDS_REASON = "No usable fields"
 NO_ROWS_REASON = "The dataset has no data rows."
 CONCENTRATED_REASON = "Concentrated missing values reduce the score by up to 15 points."

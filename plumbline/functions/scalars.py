@@ -14,9 +14,11 @@ from plumbline.constants import (
     METHOD_LABELS,
     NO_DISCOUNT_TEXTS,
     REPORT_NAME_DEFAULT,
+    REPORT_NAME_ILLEGAL_PATTERN,
     REPORT_NAME_LENGTH,
     REPORT_NAME_PREFIX,
     REPORT_NAME_SUFFIX,
+    REPORT_NAME_SUFFIX_PATTERN,
 )
 
 # The texts that count as numbers. Spark's own cast also takes '1d' and '0x1p3'.
@@ -120,8 +122,8 @@ def number_text(value: Column, decimals: int = 0) -> Column:
 def report_name(file_name: Column) -> Column:
     """A safe download name from an uploaded file name."""
     base = F.substring_index(F.replace(file_name, F.lit("\\"), F.lit("/")), "/", -1)
-    stem = F.regexp_replace(base, r"(?i)\.(csv|xlsx)$", "")
-    stem = F.regexp_replace(stem, r'[<>:"/\\|?*\x00-\x1f]', "_")
+    stem = F.regexp_replace(base, REPORT_NAME_SUFFIX_PATTERN, "")
+    stem = F.regexp_replace(stem, REPORT_NAME_ILLEGAL_PATTERN, "_")
     stem = F.left(F.btrim(stem, F.lit(" .")), F.lit(REPORT_NAME_LENGTH))
     stem = F.when(stem == "", REPORT_NAME_DEFAULT).otherwise(stem)
     return F.concat(F.lit(REPORT_NAME_PREFIX), stem, F.lit(REPORT_NAME_SUFFIX))

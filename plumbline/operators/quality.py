@@ -363,29 +363,29 @@ def quality_issues(assessment: Assessment) -> DataFrame:
     roles = assessment.roles
     # dimension, column, affected, base, message before and after the figure, figure, fixed severity
     issues: list[tuple] = [
-        ("completeness", name, f"missing_{i}", "rows_count", f"{name} is missing in ", "% of records.", "percent", None)
+        ("completeness", name, f"missing_{i}", "rows_count", f"{name}{K.MISSING_ISSUE[0]}", K.MISSING_ISSUE[1], "percent", None)
         for i, name in enumerate(assessment.names)
     ]
-    issues.append(("uniqueness", None, "duplicate_rows", "rows_count", "", " duplicate rows were detected.", "count", None))
+    issues.append(("uniqueness", None, "duplicate_rows", "rows_count", "", K.DUPLICATES_ISSUE, "count", None))
     if roles.has("quantity", "unit_price"):
         quantity, price = roles.matches["quantity"], roles.matches["unit_price"]
         issues += [
             ("validity", quantity, "negative_quantity", "rows_count", K.NEGATIVE_QUANTITY_ISSUE, "", None, None),
             ("validity", price, "negative_price", "rows_count", K.NEGATIVE_PRICE_ISSUE, "", None, None),
-            *[("validity", column, count, "rows_count", f"{column} contains ",
-               " nonnumeric or non-finite values.", "count", None)
+            *[("validity", column, count, "rows_count", f"{column}{K.MALFORMED_ISSUE[0]}",
+               K.MALFORMED_ISSUE[1], "count", None)
               for column, count in ((quantity, "bad_quantity"), (price, "bad_price"))],
             ("validity", price, "zero_price", "rows_count", K.ZERO_PRICE_ISSUE, "", None, "info"),
         ]
     if roles.has("product_id", "product_name"):
         code, name = roles.matches["product_id"], roles.matches["product_name"]
         issues.append(("consistency", None, "codes_affected", "codes_checked",
-                       f"{code} values associated with multiple {name} values were detected.", "", None, None))
+                       K.DESCRIPTIONS_ISSUE.format(code, name), "", None, None))
     if roles.has("quantity", "unit_price", "line_total"):
         quantity, price, total = (roles.matches[r] for r in ("quantity", "unit_price", "line_total"))
         formula = f"{quantity} × {price}" + (" + tax" if roles.has("tax_amount") else "")
         issues.append(("consistency", total, "totals_affected", "totals_checked", "",
-                       f" comparable {total} values differ from {formula}.", "count", None))
+                       K.TOTALS_ISSUE.format(total, formula), "count", None))
 
     listed = F.array(*[
         F.struct(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline import constants as K
+from plumbline.plans import ledger
 
 BASE = """
 base AS (
@@ -334,6 +335,8 @@ def forest_ctes(fields: list[str], source: str) -> list[str]:
 
 
 NO_FOREST = ["forest AS (SELECT CAST(0 AS BIGINT) AS row_number, CAST(NULL AS DOUBLE) AS forest_score WHERE false)"]
+# Scores have nine places; half a unit of the sixth goes up, whatever the binary form says.
+SIX_PLACES = "-CAST((CAST(round(abs(forest_score) * 1e9) AS BIGINT) + 500) // 1000 AS DOUBLE) / 1e6"
 SIGNALS = f"""
 crossed AS (
   SELECT v.row_number, b.method, b.field, concat(b.method, ':', b.field) AS signal,
@@ -345,7 +348,7 @@ crossed AS (
   FROM field_values v JOIN bounds b ON v.field_order = b.field_order
   WHERE v.value < b.lower_bound OR v.value > b.upper_bound
   UNION ALL
-  SELECT row_number, 'isolation_forest', '{", ".join(RETAIL_FIELDS)}', 'isolation_forest', 3, 1, round(forest_score, 6), 'below', 0.0,
+  SELECT row_number, 'isolation_forest', '{", ".join(RETAIL_FIELDS)}', 'isolation_forest', 3, 1, {SIX_PLACES}, 'below', 0.0,
     {text(K.FOREST_EVIDENCE)}
   FROM forest WHERE forest_score < 0),
 evidence AS MATERIALIZED (
@@ -408,7 +411,7 @@ def event_anomalies(body: str) -> str:
 
 EXPLANATION = f"""
 SELECT row_number, CASE WHEN votes > 0 THEN 'flagged' ELSE 'not_flagged' END AS status, votes, signals,
-  round(forest_score, 6) AS forest_score, InvoiceNo AS invoice_number, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in RETAIL_FIELDS)},
+  forest_score, InvoiceNo AS invoice_number, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in RETAIL_FIELDS)},
   evidence, category,
   business_rule, next_step, CASE WHEN business_rule THEN message END AS business_context
 FROM readings"""
@@ -642,11 +645,11 @@ FROM stems""",
         "SELECT CAST(tree AS INT) AS tree, CAST(node AS INT) AS node, CAST(coalesce(feature, -1) AS INT) AS feature, "
         "round(coalesce(threshold, 0.0), 6) AS threshold, round(path, 6) AS path FROM model", *forest_ctes(RETAIL_FIELDS, "retail")),
     "forest_scores": retail(
-        "SELECT r.row_number, round(forest_score, 6) AS forest_score FROM retail r LEFT JOIN forest USING (row_number)",
+        "SELECT r.row_number, forest_score FROM retail r LEFT JOIN forest USING (row_number)",
         *forest_ctes(RETAIL_FIELDS, "retail")),
     "forest_method_counts": anomalies("SELECT * FROM method_counts WHERE method = 'isolation_forest'"),
     "forest_queue_page": anomalies(
-        f"SELECT row_number, votes, round(forest_score, 6) AS forest_score FROM flagged ORDER BY {REVIEW_ORDER} LIMIT 20"),
+        f"SELECT row_number, votes, forest_score FROM flagged ORDER BY {REVIEW_ORDER} LIMIT 20"),
     "anomaly_votes": anomalies("SELECT row_number, votes, signals FROM readings"),
     "anomaly_queue": anomalies(f"SELECT row_number, votes, signals FROM flagged ORDER BY {REVIEW_ORDER}"),
     "anomaly_page": anomalies(
@@ -744,3 +747,5 @@ UNION ALL SELECT 0, 'Other', CAST(sum(value_count) AS BIGINT) FROM counts WHERE
         f"SELECT row_number, {initcap('category')} AS category, message, evidence, next_step FROM readings "
         f"WHERE votes > 0 ORDER BY {REVIEW_ORDER} LIMIT 5"),
 }
+
+SQL.update(ledger.SQL)

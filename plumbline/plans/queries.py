@@ -16,7 +16,7 @@ from plumbline.functions import scalars
 from plumbline.functions.scalars import cancellation_marker, iso_text, parse_date, text_number
 from plumbline.operators import anomaly, distribution, explain, forest, profile, quality
 from plumbline.operators import faults, uniqueness as copies
-from plumbline.plans import report
+from plumbline.plans import ledger, report
 from plumbline.plans.retail import stored_lines, stored_retail, table
 from plumbline.sources import catalog as cat, readers
 from plumbline.sources.rows import ROW_NUMBER, data_columns, stored_by
@@ -472,7 +472,7 @@ def forest_model(spark, sf):
 
 @query
 def forest_scores(spark, sf):
-    return retail_review(spark, sf).rows.select(ROW_NUMBER, F.round("forest_score", 6).alias("forest_score"))
+    return retail_review(spark, sf).rows.select(ROW_NUMBER, "forest_score")
 
 
 @query
@@ -482,7 +482,7 @@ def forest_method_counts(spark, sf):
 
 @query
 def forest_queue_page(spark, sf):
-    return anomaly.anomaly_page(retail_review(spark, sf)).select(ROW_NUMBER, "votes", F.round("forest_score", 6).alias("forest_score"))
+    return anomaly.anomaly_page(retail_review(spark, sf)).select(ROW_NUMBER, "votes", "forest_score")
 
 
 def _signals(df: DataFrame) -> DataFrame:
@@ -525,7 +525,7 @@ def row_interpretation(spark, sf):
 def _flat_explanation(df: DataFrame) -> DataFrame:
     return df.select(
         ROW_NUMBER, "status", "votes", F.array_join("signals", ", ").alias("signals"), "invoice_number",
-        F.round("forest_score", 6).alias("forest_score"),
+        "forest_score",
         *[F.col("values")[f].alias(f) for f in ("UnitPrice", "SuppKey", "OrderKey", "PartKey", "LineTotal")],
         F.array_join(F.transform("evidence", lambda e: e["message"]), "; ").alias("evidence"),
         "interpretation.category", "interpretation.business_rule", "interpretation.next_step",
@@ -625,6 +625,10 @@ def signal_ranking(spark, sf):
     return distribution.signal_ranking(anomaly.method_counts(retail_review(spark, sf)))
 
 
+for _ledger_query in ledger.QUERIES:
+    query(_ledger_query)
+
+
 # --- report ------------------------------------------------------------------------
 
 @query
