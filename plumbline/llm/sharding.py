@@ -85,7 +85,7 @@ def with_slots(df: DataFrame, key: str, ties: list[str], shard: str = "shard") -
 
     A shard is split into blocks of the MD5's leading digits. Blocks are counted first (combined in
     each task) and numbered by themselves, so no task holds a shard. ``df`` is read twice: store it
-    if it is costly. The offsets are at most shards x 256 rows.
+    if it is costly. The offsets have the rows' own partitioning, so joining them moves nothing.
     """
     block = md5_block(df[key], SLOT_DIGITS)
     rows = df.withColumn("_block", block)
@@ -94,7 +94,7 @@ def with_slots(df: DataFrame, key: str, ties: list[str], shard: str = "shard") -
     offsets = counts.select(shard, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     order = [F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.col(key), *map(F.col, ties)]
     numbered = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(shard, "_block").orderBy(*order)))
-    joined = numbered.join(F.broadcast(offsets), [shard, "_block"])
+    joined = numbered.join(offsets, [shard, "_block"])
     return joined.select(*df.columns, (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias("slot"))
 
 
