@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.shared import packed, text_hash, unpacked
-from plumbline.sources.storage import store
+from plumbline.sources.storage import discard, store
 
 SPAN_SENTENCES = 3
 SPAN_WORDS = 20
@@ -106,8 +106,12 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     found = store(texts.mapInPandas(spans, "span long, doc_id long, twin long, start int"), "all-spans")
     place = F.struct("doc_id", "twin", "start")
     firsts = found.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    later = found.join(firsts.select("span", "first"), "span").filter(place != F.col("first"))
-    return later.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    firsts = store(firsts.select("span", "first"), "first-places")  # a plain join side, so that Spark can split a hot span
+    later = found.join(firsts, "span").filter(place != F.col("first"))
+    hits = store(later.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set("start")).alias("starts")), "spans")
+    discard(found)
+    discard(firsts)
+    return hits
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -116,7 +120,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     A span is a run of at least ``SPAN_SENTENCES`` sentences and ``SPAN_WORDS`` words; sentences inside
     any but its first occurrence go. Texts shorter than a span keep everything. Other columns stay.
     """
-    hits = store(repeated_spans(documents), "spans")
+    hits = repeated_spans(documents)
     rows = packed(documents, doc_id=F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), twin=text_hash(F.col("text")))
     joined = rows.join(hits, ["doc_id", "twin"], "left")
 
