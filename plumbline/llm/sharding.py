@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.llm.shared import md5_block
+from plumbline.llm.shared import md5_block, packed, unpacked
 from plumbline.sources.storage import store
 
 # Fixed value: the multiplier of the published jump hash's generator.
@@ -82,20 +82,21 @@ def assign_shards(df: DataFrame, key: str, shards: int, shard: str = "shard") ->
 
 def with_slots(df: DataFrame, key: str, ties: list[str], shard: str = "shard") -> DataFrame:
     """Add ``slot``: a gapless number from 0 within each shard, in order of the key's MD5, then ties.
+    An existing column of that name is replaced.
 
     A shard is split into blocks of the MD5's leading digits. Blocks are counted first (combined in
     each task) and numbered by themselves, so no task holds a shard. ``df`` is read twice: store it
     if it is costly. The offsets have the rows' own partitioning, so joining them moves nothing.
     """
-    block = md5_block(df[key], SLOT_DIGITS)
-    rows = df.withColumn("_block", block)
-    counts = rows.groupBy(shard, "_block").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    order = [F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.col(key), *map(F.col, ties)]
-    numbered = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(shard, "_block").orderBy(*order)))
-    joined = numbered.join(offsets, [shard, "_block"])
-    return joined.select(*df.columns, (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias("slot"))
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    parts = {f"tie{i}": F.col(name) for i, name in enumerate([key, *ties])}
+    rows = packed(df, shard=F.col(shard), block=md5_block(F.col(key), SLOT_DIGITS), digest=digest, **parts)
+    counts = rows.groupBy("shard", "block").agg(F.count("*").alias("count"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("shard", "block").orderBy("digest", *parts)
+    joined = rows.withColumn("rank", F.row_number().over(inside)).join(offsets, ["shard", "block"])
+    return joined.select(*unpacked(joined, ("slot",)), (F.col("before") + F.col("rank") - 1).cast("bigint").alias("slot"))
 
 
 def text_size(text: Column) -> Column:
