@@ -121,6 +121,7 @@ def anomaly_bounds(df: DataFrame, stats: dict[str, FieldStats]) -> list[Bound]:
 class Review:
     """A table with forest score, signals and votes per row, and what produced them."""
 
+    source: DataFrame
     rows: DataFrame
     flagged: DataFrame
     bounds: list[Bound]
@@ -179,7 +180,7 @@ def review(df: DataFrame, with_forest: bool = True) -> Review:
     flagged = rows.filter(F.col("votes") > 0)
     if forest:
         flagged = store(flagged, "flagged")
-    return Review(rows, flagged, bounds, fields, gate, forest, data_columns(df))
+    return Review(df, rows, flagged, bounds, fields, gate, forest, data_columns(df))
 
 
 def bounds_table(df: DataFrame, bounds: list[Bound]) -> DataFrame:
@@ -256,7 +257,7 @@ def anomaly_page(found: Review, offset: int = 0, limit: int = K.DEFAULT_PAGE) ->
 
 def anomaly_summary(found: Review) -> DataFrame:
     """Rows and distinct flagged rows: the two counts folded into one row, without a join."""
-    counted = found.rows.agg(F.count("*").alias("rows_count")).unionByName(
+    counted = found.source.agg(F.count("*").alias("rows_count")).unionByName(
         found.flagged.agg(F.count("*").alias("anomaly_rows_count")), allowMissingColumns=True
     )
     return counted.agg(

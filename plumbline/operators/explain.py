@@ -132,7 +132,7 @@ def explain_rows(found: Review, rows: DataFrame | None = None) -> DataFrame:
 
 def explain_row(found: Review, row_number: int) -> DataFrame:
     """One row by its number, flagged or not."""
-    last = found.rows.agg(F.max(ROW_NUMBER)).first()[0] or 0
+    last = found.source.agg(F.max(ROW_NUMBER)).first()[0] or 0
     if not 1 <= row_number <= last:
         raise ValueError(f"Row {row_number} is not in the table.")
     return explain_rows(found, found.rows.filter(F.col(ROW_NUMBER) == row_number))
