@@ -11,20 +11,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.llm.shared import packed, plain_word_parts, share, unpacked
-from plumbline.sources.storage import store
+from plumbline.sources.storage import discard, store
 
 CLASSES = ("ordinary", "toxic")
 ROWS_PER_CLASS = 3_000  # the bound of the labelled sample: rows of each class
 CALIBRATION_SHARE = 3  # one in so many sampled rows only calibrates
-RARE_SHARE = 0.015  # expressions in such a share of a class's documents, or in
-RARE_LEAST = 2  # so many of them, or fewer, are left to the shared counts
-CONTEXT_DOCUMENTS = 20  # pairs count only after contexts that both classes have so often
+DISCOUNT = 10.0  # of so many documents the discount leaves an eighth, of fewer less, of many more nearly all
+CONTEXT_DOCUMENTS = 100  # added to those of each context, so that pairs after rare contexts weigh less
 COPY_KEYS = 4
 COPY_WORDS = 5
-SHARED_PAIRS = 0.5  # of a pair's backoff that goes to the shared pairs, so that a passage is no class's own
-SURPLUS = 3.0  # and so is what a class has less than so many times as often as expected
 THRESHOLD = 0.7
 SLICE_WORDS = 1 << 18
+COUNTED_KEYS = 1 << 20  # counts that a task holds before it adds them up or hands them on
 NEWTON_STEPS = 50
 
 
@@ -35,9 +33,10 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Word numbers, and for each class (columns): the likelihood of a word after a context where the
-    class's pairs say something of their own (``pairs``), else the weight of the backoff after a context
-    and the words it backs off to. Word 0 stands for the words that are not known."""
+    """Word numbers, and for each class (columns) how many times as likely as in the shared distribution a
+    word is after a context: where the class's pairs say something of their own (``pairs``), else the weight
+    of the backoff after a context times that of the word. Word 0 stands for the words that are not known,
+    whose shared counts are the same in both classes."""
 
     numbers: dict[bytes, int]
     pairs: np.ndarray  # context * words + word, sorted
@@ -98,14 +97,13 @@ def text_ids(text: str | None, numbers: dict[bytes, int]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def _rare(documents: int) -> float:
-    return max(RARE_LEAST, RARE_SHARE * documents)
-
-
-def _excess(found: np.ndarray, expected: np.ndarray, documents: int) -> np.ndarray:
-    """What the discount leaves of a class's counts: nothing of rare expressions, nor of those that the
-    class has hardly more often than the shared counts lead to expect."""
-    return np.maximum(found - np.maximum(_rare(documents), SURPLUS * expected), 0.0)
+def _excess(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What the discount leaves of the counts of two classes (columns): of a rare expression little, though
+    never nothing, and no more than what a class has beyond the other one's share. In the larger class
+    more documents count as rare, as the smaller one's share says less."""
+    other = sizes[::-1]
+    rare = DISCOUNT * np.maximum(sizes / other, 1.0)
+    return np.maximum(found * (found / (found + rare)) ** 3 - found[:, ::-1] / other * sizes, 0.0)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -152,19 +150,14 @@ def _without_copies(texts: DataFrame) -> DataFrame:
 
 
 def _vocabulary(sample: DataFrame) -> dict[bytes, int]:
-    """Numbers of the words that the smaller class's rare ones must stay below."""
-    sizes = [r["count"] for r in sample.filter(~F.col("calibrates")).groupBy("class").count().collect()]
+    """Numbers of the words to learn from."""
 
     def per_batch(batches):
         for batch in batches:
-            seen: dict[bytes, int] = {}
-            for text in batch["text"]:
-                for word in set().union(*plain_word_parts(text)):
-                    seen[word] = seen.get(word, 0) + 1
-            yield pd.DataFrame({"word": list(seen), "documents": list(seen.values())})
+            yield pd.DataFrame({"word": list({word for text in batch["text"] for part in plain_word_parts(text) for word in part})})
 
-    counts = sample.mapInPandas(per_batch, "word binary, documents long").groupBy("word").agg(F.sum("documents").alias("n"))
-    words = counts.filter(F.col("n") > _rare(min(sizes, default=0))).select("word").toArrow()["word"]  # bounded by the sample
+    learnt = sample.filter(~F.col("calibrates")).select("text")
+    words = learnt.mapInPandas(per_batch, "word binary").distinct().toArrow()["word"]  # bounded by the sample
     return {word: number for number, word in enumerate(sorted(words.to_pylist()), 1)}
 
 
@@ -195,83 +188,139 @@ def _class_counts(sample: DataFrame, numbers) -> dict[str, np.ndarray]:
     return _columns(counts.groupBy("class", "pair").agg(F.sum("n").alias("n")))  # bounded by the sample
 
 
-def shared_counts(documents: DataFrame, numbers) -> DataFrame:
-    """(word, documents): in how many documents of the whole corpus each known word is, with word -1 for
-    the number of documents and word 0 for all words that are not known, once a document each.
-    Tasks add up their own counts before the shuffle."""
+def word_keys(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs from those of their words."""
+    mixed = (contexts * np.uint64(0x9E3779B97F4A7C15)) ^ (words + (contexts >> np.uint64(29)))
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def shared_counts(documents: DataFrame) -> DataFrame:
+    """(kind, key, documents), stored: in how many documents of the whole corpus each word (0) and each pair
+    (1) is, and how many pairs the documents have after each context (2). Tasks add up what they hold
+    before the shuffle; the table grows with the corpus."""
 
     def per_task(batches):
-        counts = np.zeros(len(numbers()) + 2, np.int64)
+        held: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+
+        def added():
+            keys, counts = [], []
+            for kind in range(3):
+                key, n = np.unique(np.concatenate(held[kind]), return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held[kind].clear()
+            kinds = np.repeat(np.arange(3, dtype=np.int8), [len(k) for k in keys])
+            return pd.DataFrame({"kind": kinds, "key": np.concatenate(keys).view(np.int64), "documents": np.concatenate(counts)})
+
         for batch in batches:
             for text in batch["text"]:
-                counts += np.bincount(_ids(set().union(*plain_word_parts(text)), numbers()) + 1, minlength=len(counts))
-                counts[0] += 1
-        yield pd.DataFrame({"word": np.arange(-1, len(counts) - 1), "documents": counts})
-
-    parts = documents.select("text").mapInPandas(per_task, "word long, documents long")
-    return parts.groupBy("word").agg(F.sum("documents").alias("documents"))
+                words, pairs, last = [], [], np.empty(0, np.uint64)
+                for part in plain_word_parts(text):
+                    distinct = {word: number for number, word in enumerate(set(part))}
+                    keys = word_keys(list(distinct))
+                    line = np.concatenate([last, keys[np.fromiter(map(distinct.get, part), np.int64, len(part))]])
+                    words.append(keys)
+                    if len(line) > 1:
+                        key, at = np.unique(pair_keys(line[:-1], line[1:]), return_index=True)
+                        pairs.append((key, line[at]))
+                    last = line[-1:]
+                if words:
+                    held[0].append(np.unique(np.concatenate(words)))
+                    size += len(held[0][-1])
+                if pairs:
+                    key, at = np.unique(np.concatenate([k for k, _ in pairs]), return_index=True)
+                    held[1].append(key)
+                    held[2].append(np.concatenate([c for _, c in pairs])[at])
+                    size += 2 * len(key)
+                if size >= COUNTED_KEYS:
+                    yield added()
+                    size = 0
+        if size:
+            for kind in range(3):
+                held[kind].append(np.empty(0, np.uint64))
+            yield added()
+
+    parts = documents.select("text").mapInPandas(per_task, "kind byte, key long, documents long")
+    return store(parts.groupBy("kind", "key").agg(F.sum("documents").alias("documents")), "shared-counts")
+
+
+def _looked_up(counts: DataFrame, sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind of the shared counts the sorted keys the sample asks for, and their counts."""
+    asked = sample.filter(~F.col("calibrates")).select("text")
+    wanted = shared_counts(asked)
+    found = _columns(counts.join(wanted.select("kind", "key"), ["kind", "key"]))  # bounded by the sample
+    discard(wanted)
+    out = []
+    for kind in range(3):
+        own = found["kind"] == kind
+        key = found["key"][own].astype(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        out.append((key[order], found["documents"][own].astype(float)[order]))
+    return out
+
+
+def _count(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The counts of keys; 0 for those that are not in the table."""
+    known, counts = table
+    if not len(known):
+        return np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, counts[at], 0.0)
 
 
 def fit_models(documents: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> tuple[Model, DataFrame]:
     """The two models, and the stored sample, part of which is left to calibrate them.
 
-    As Kneser-Ney counts contexts, not uses, an expression counts once a document. P(word | context)
-    discounts the class's pairs and gives what is taken off to the class's words; these are discounted
-    in turn, down to what the class has beyond the shared expectation, and the rest goes to the shared
-    distribution over all documents. So words that only a language or a source favours, and rare
-    ones, weigh the same in both models.
+    As Kneser-Ney counts contexts, not uses, an expression counts once a document. With shared
+    distributions S over all documents, a class's words are P(word) = own + rest * S(word), and its pairs
+    P(word | context) = own + rest * S(word | context) * P(word) / S(word): the shared pairs, adapted by the
+    class's words. ``own`` is what the discount leaves. Where neither class has something of its own, S
+    is the same factor of both and leaves the ratio, so that only the sample's words and pairs have to
+    be looked up in the shared counts, however many these are.
     """
     spark = documents.sparkSession
     sample = store(labelled_sample(documents, labels, rows), "toxicity-sample")
     vocabulary = _vocabulary(sample)
-    numbers = share(spark, vocabulary)
     size = len(vocabulary) + 1
-    counts = _class_counts(sample, numbers)
-    everywhere = _columns(shared_counts(documents, numbers))  # one row per known word
-    held = np.zeros(size + 1)
-    held[everywhere["word"].astype(np.int64) + 1] = everywhere["documents"]
-    corpus, held = max(held[0], 1.0), held[1:]
-    shared = (held + 1.0) / (held + 1.0).sum()
-
-    backoff, words = np.ones((size, 2)), np.tile(shared[:, None], (1, 2))
-    found = []
+    counts = _class_counts(sample, share(spark, vocabulary))
+    corpus = shared_counts(documents)
+    known_words, known_pairs, known_contexts = _looked_up(corpus, sample)
+    whole = corpus.filter("kind = 0").agg(F.sum(F.col("documents") + 1)).first()[0] or 1
+    discard(corpus)
+    keys = np.concatenate([np.zeros(1, np.uint64), word_keys(list(vocabulary))])
+    shared = (_count(known_words, keys) + 1.0) / whole
+
+    pairs = np.unique(counts["pair"][counts["pair"] >= 0].astype(np.int64))
+    sizes, single, seen = np.ones(2), np.zeros((size, 2)), np.zeros((len(pairs), 2))
     for kind in range(2):
         own = counts["class"] == kind
         pair, n = counts["pair"][own].astype(np.int64), counts["n"][own].astype(np.int64)
-        whole = int(n[pair == -1].sum())
-        single = np.zeros(size)
-        single[pair[pair < -1] + size + 1] = n[pair < -1]
-        excess = _excess(single, whole * held / corpus, whole)
-        excess[0] = 0.0
-        total = max(single.sum(), 1.0)
-        words[:, kind] = excess / total + (1 - excess.sum() / total) * shared
-        found.append((whole, pair[pair >= 0], n[pair >= 0]))
-
-    pairs = np.unique(np.concatenate([p for _, p, _ in found]))
-    seen = np.zeros((len(pairs), 2))
-    for kind, (_, pair, n) in enumerate(found):
-        seen[np.searchsorted(pairs, pair), kind] = n
-    sizes = np.array([max(whole, 1) for whole, _, _ in found], float)
-    usual = (seen / sizes) @ class_shares(labels)  # share of all documents that have the pair
-    totals = np.stack([np.maximum(np.bincount(pairs // size, seen[:, k], size), 1.0) for k in range(2)], axis=1)
-    trusted = (totals.min(axis=1) >= CONTEXT_DOCUMENTS)[pairs // size]
-    mass = np.zeros(seen.shape)
-    for kind in range(2):
-        excess = _excess(seen[:, kind], sizes[kind] * usual, int(sizes[kind]))
-        mass[:, kind] = np.where(trusted, excess, 0.0) / totals[pairs // size, kind]
-        backoff[:, kind] -= np.bincount(pairs // size, mass[:, kind], size)
-    worth = mass.sum(axis=1) > 0
-    context, word = pairs[worth] // size, pairs[worth] % size
-    after = usual[worth] / np.maximum(np.bincount(pairs // size, usual, size), 1e-12)[context]
-    below = SHARED_PAIRS * after[:, None] + (1 - SHARED_PAIRS) * words[word]
-    return Model(vocabulary, pairs[worth], mass[worth] + backoff[context] * below, backoff, words), sample
+        sizes[kind] = max(n[pair == -1].sum(), 1)
+        single[pair[pair < -1] + size + 1, kind] = n[pair < -1]
+        seen[np.searchsorted(pairs, pair[pair >= 0]), kind] = n[pair >= 0]
 
+    own = _excess(single, sizes) / np.maximum(single.sum(axis=0), 1.0)
+    words = own / shared[:, None] + 1 - own.sum(axis=0)
 
-def class_shares(labels: DataFrame) -> np.ndarray:
-    """How many of the labels that may be learnt from are of each class, as shares."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    counts = known.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    return np.array(counts, float) / max(sum(counts), 1)
+    context, word = pairs // size, pairs % size
+    mass = _excess(seen, sizes)
+    backoff = np.ones((size, 2))
+    for kind in range(2):
+        mass[:, kind] /= (np.bincount(context, seen[:, kind], size) + CONTEXT_DOCUMENTS)[context]
+        backoff[:, kind] -= np.bincount(context, mass[:, kind], size)
+    worth = mass.sum(axis=1) > 0
+    pairs, context, word, mass = pairs[worth], context[worth], word[worth], mass[worth]
+    after = _count(known_pairs, pair_keys(keys[context], keys[word])) + shared[word]
+    after /= _count(known_contexts, keys[context]) + 1.0
+    mass /= after[:, None]
+    mass += backoff[context] * words[word]
+    return Model(vocabulary, pairs, mass, backoff, words), sample
 
 
 def evidence_column(spark: SparkSession, model: Model, text: Column) -> Column:
@@ -284,6 +333,15 @@ def evidence_column(spark: SparkSession, model: Model, text: Column) -> Column:
     return evidence.asNondeterministic()(text)  # or a filter would run it twice
 
 
+def spread(values: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Middle and median distance from it of the ordinary texts' evidence."""
+    ordinary = values[~toxic]
+    if not len(ordinary):
+        return 0.0, 1.0
+    middle = float(np.median(ordinary))
+    return middle, float(np.median(np.abs(ordinary - middle))) or 1.0
+
+
 def calibrate(values: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve, both classes weighing the same; slightly damped so that
     separated classes keep a finite slope."""
@@ -313,9 +371,12 @@ def score_documents(
     model, sample = fit_models(documents, labels, rows)
     tested = sample.filter("calibrates").select("class", evidence_column(spark, model, F.col("text")).alias("x"))
     known = _columns(tested)
-    slope, offset = calibrate(known["x"].astype(float), known["class"] == 1)
+    values, toxic = known["x"].astype(float), known["class"] == 1
+    middle, width = spread(values, toxic)  # toxic texts' evidence varies with their length: few are far out
+    slope, offset = calibrate(np.arcsinh((values - middle) / width), toxic)
     found = packed(documents, evidence=evidence_column(spark, model, F.col(text)))
-    curve = 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(offset))))
+    place = F.asinh((F.col("evidence") - F.lit(middle)) / F.lit(width))
+    curve = 1.0 / (1.0 + F.exp(-(F.lit(slope) * place + F.lit(offset))))
     return found.select(*unpacked(found, (score,)), curve.alias(score))
 
 

@@ -80,3 +80,56 @@ def test_evidence_counts_expressions_once(monkeypatch):
     a, ab, ba = np.log(0.1 / 0.5), np.log(0.4 / 0.1), np.log(0.1 / 0.5)
     assert whole[4] == pytest.approx(a) and whole[5] == pytest.approx((a + ab + ba) / 3)
     assert whole[1] == whole[2] == 0
+
+
+def mixed_rows(share, copies=0):
+    """400 texts, some toxic, and copies of a passage that are labelled toxic."""
+    out, labels = [], []
+    for i in range(400):
+        bad = (i * 37) % 100 < share
+        words = [f"w{(i * 7 + k * k * (i % 11 + 1)) % 90}" for k in range(40)]
+        words[5:5] = ["awful", f"worse{i % 3}"] if bad else ["kind", f"better{i % 3}"]
+        out.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    for i in range(1_000, 1_000 + copies):
+        out.append((i, " ".join(f"w{k} w{k * k % 90}" for k in range(30))))
+        labels.append((i, 1))
+    return out, labels
+
+
+@pytest.mark.parametrize("share, copies", [(10, 0), (33, 0), (60, 0), (10, 200)])
+def test_both_models_learn_at_every_class_share(spark, docs, share, copies):
+    texts, labels = mixed_rows(share, copies)
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model, _ = toxicity.fit_models(docs(texts), known)
+    weights = {w: model.words[model.numbers[w]] for w in (b"awful", b"kind")}
+    assert weights[b"awful"][1] > 1.5 * weights[b"awful"][0] and weights[b"kind"][0] > 1.2 * weights[b"kind"][1], weights
+    test = [(t, r) for (i, _), (_, t), r in zip(texts, labels, model.evidence([t for _, t in texts])) if i < 1_000]
+    assert min(r for t, r in test if t) > max(r for t, r in test if not t)
+
+
+def test_rare_expressions_weigh_less_but_not_nothing(spark, docs):
+    texts, labels = mixed_rows(33)
+    turn = [i for i, t in labels if t and zlib.crc32(str(i).encode()) % 3 != 1]
+    rare = {i: "oncea onceb" for i in turn}
+    texts = [(i, f"{t} {rare[i]}" if i in turn[:4] else t) for i, t in texts]
+    model, _ = toxicity.fit_models(docs(texts), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    once, often = (model.words[model.numbers[w]] for w in (b"oncea", b"awful"))
+    assert 1 < once[1] / once[0] < often[1] / often[0]
+    pair = model.numbers[b"oncea"] * len(model.words) + model.numbers[b"onceb"]  # a context of one class alone
+    assert pair in model.pairs
+
+
+def test_shared_counts_hold_all_words_and_pairs(spark, docs, monkeypatch):
+    texts = [(i, f"a b a b x{i} y{i}") for i in range(300)] + [(900, None), (901, ""), (902, "a")]
+    whole = toxicity.shared_counts(docs(texts)).toPandas()
+    assert list(whole.groupby("kind").size()) == [602, 602, 302]
+    a, b = toxicity.word_keys([b"a", b"b"])
+    ab = toxicity.pair_keys(np.array([a]), np.array([b]))[0]
+    counts = {(r.kind, np.uint64(r.key % 2**64)): r.documents for r in whole.itertuples()}
+    assert counts[0, a] == 301 and counts[1, ab] == 300 and counts[2, a] == 300 and counts[2, b] == 600
+    monkeypatch.setattr(toxicity, "COUNTED_KEYS", 5)
+    monkeypatch.setattr(toxicity, "plain_word_parts", lambda t: shared.plain_word_parts(t, 4))
+    parts = toxicity.shared_counts(docs(texts)).toPandas()
+    order = ["kind", "key", "documents"]
+    assert whole[order].sort_values(order).values.tolist() == parts[order].sort_values(order).values.tolist()
