@@ -17,8 +17,7 @@ from plumbline.sources.storage import discard, store
 SPAN_SENTENCES = 3
 SPAN_WORDS = 20
 LAST_ID = 2**63 - 1
-LONG_SENTENCE = 16
-CUT_EVERY = 8
+LONG_SENTENCE = 12  # the most words of a piece; every passage of more than four times as many holds a whole span
 SENTENCE_END = re.compile(r"[.!?]+[^\w\s]*\s+|\n+")
 WORD = re.compile(r"\S+")
 
@@ -27,8 +26,9 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, words) of each sentence, white space behind it included; together all of the text.
 
     A sentence ends after closing signs or at a line break. One of more than ``LONG_SENTENCE`` words is
-    cut after every word whose CRC-32 is divisible by ``CUT_EVERY``, so that a passage inside a text
-    without signs is cut alike wherever it stands.
+    cut after the word with the least CRC-32, the last of equal ones, of any ``LONG_SENTENCE`` words in a
+    row. So no piece is longer, and a passage is cut alike wherever it stands but for that many words at
+    either end: one of more than 50 words keeps over 24 words between, three whole pieces or more.
     """
     found, start = [], 0
     ends = [m.end() for m in SENTENCE_END.finditer(text)]
@@ -37,11 +37,11 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         words = piece.split()
         if len(words) > LONG_SENTENCE:
             begin = start
-            for m in WORD.finditer(piece):
-                if zlib.crc32(m.group().encode("utf-8", "surrogatepass")) % CUT_EVERY == 0 and start + m.end() < end:
-                    found.append((begin, start + m.end(), " ".join(text[begin:start + m.end()].split())))
-                    begin = start + m.end()
-            found.append((begin, end, " ".join(text[begin:end].split())))
+            stops, first = [m.end() for m in WORD.finditer(piece)], 0
+            for word in cuts(words):
+                found.append((begin, start + stops[word], " ".join(words[first:word + 1])))
+                begin, first = start + stops[word], word + 1
+            found.append((begin, end, " ".join(words[first:])))
         elif words:
             found.append((start, end, " ".join(words)))
         elif end > start and found:  # white space alone goes with the sentence before
@@ -52,6 +52,14 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return [s for s in found if s[2]]
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Numbers of the words of a long sentence that a piece ends with, but for the last word."""
+    hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint32)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, LONG_SENTENCE)
+    least = np.arange(LONG_SENTENCE - 1, len(words)) - windows[:, ::-1].argmin(axis=1)
+    return [word for word in np.unique(least).tolist() if word < len(words) - 1]
+
+
 def span_ends(pieces: list[tuple[int, int, str]]) -> list[int]:
     """For each sentence the end of the shortest run from it with enough sentences and words, or -1."""
     words, count = np.cumsum([0, *[p[2].count(" ") + 1 for p in pieces]]), len(pieces)

@@ -224,3 +224,23 @@ def test_sentences_cover_the_text():
     text = "  lead. One two!  Three\n\nfour five" + " word" * 200 + " end"
     pieces = span_dedup.sentences(text)
     assert "".join(text[s:e] for s, e, _ in pieces) == text and pieces[0][2] == "lead."
+
+
+@pytest.mark.parametrize("variety", [1, 2, 5, 1_000])
+@pytest.mark.parametrize("signs", [False, True])
+def test_passages_over_50_words_hold_a_whole_span(variety, signs):
+    rng = np.random.default_rng(variety)
+
+    def words(count, most):
+        return [f"v{rng.integers(most)}" + ("." if signs and rng.random() < 0.08 else "") for _ in range(count)]
+
+    for _ in range(300):
+        passage = words(51, variety)
+        spans = []
+        for _ in range(2):
+            text = " ".join([*words(rng.integers(60), 10**9), "x", *passage, "y", *words(rng.integers(60), 10**9)])
+            pieces = span_dedup.sentences(text)
+            assert "".join(text[s:e] for s, e, _ in pieces) == text
+            assert max(len(p.split()) for _, _, p in pieces) <= span_dedup.LONG_SENTENCE
+            spans.append(set(span_dedup.span_hashes(text)[1].tolist()))
+        assert spans[0] & spans[1], passage
