@@ -54,10 +54,20 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 def cuts(words: list[str]) -> list[int]:
     """Numbers of the words of a long sentence that a piece ends with, but for the last word."""
-    hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint32)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, LONG_SENTENCE)
-    least = np.arange(LONG_SENTENCE - 1, len(words)) - windows[:, ::-1].argmin(axis=1)
-    return [word for word in np.unique(least).tolist() if word < len(words) - 1]
+    hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+    found, least = [], -1
+    for last in range(LONG_SENTENCE - 1, len(words)):
+        first = last - LONG_SENTENCE + 1
+        if least < first:
+            window = hashes[first:last + 1]
+            window.reverse()
+            least = last - window.index(min(window))
+        elif hashes[last] <= hashes[least]:
+            least = last
+        else:
+            continue
+        found.append(least)
+    return found[:-1] if found[-1] == len(words) - 1 else found
 
 
 def span_ends(pieces: list[tuple[int, int, str]]) -> list[int]:
