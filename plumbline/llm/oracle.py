@@ -172,3 +172,46 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = newest THEN '
        CASE WHEN page_id <> newest THEN newest END AS refers_to
 FROM b
 """
+
+SQL["op11_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT doc_id, p, lines[p] AS line, translate(trim(lines[p], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p FROM d)),
+k AS (
+  SELECT key, max(doc_id) AS last FROM l WHERE len(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT l.doc_id, p, line, coalesce(k.last <> l.doc_id, FALSE) AS gone FROM l LEFT JOIN k ON l.key = k.key)
+GROUP BY doc_id
+"""
+
+SQL["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) s(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.m, c.phrase, a, k, l.n AS l, r.n AS r,
+         CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE m = 3),
+most AS (SELECT lang, phrase, max(a) AS around FROM inner_phrases GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM b LEFT JOIN most USING (lang, phrase) WHERE around IS NULL OR 100 * around < 50 * a)
+SELECT lang, rank, phrase, a, l, r, t.n AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) JOIN t USING (lang)
+WHERE rank <= 2000
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import (
-    decontaminate, mixing, secret_scan, sharding, simhash, span_dedup, suffix_dedup, topk, toxicity, warc,
+    collocations, decontaminate, line_dedup, mixing, secret_scan, sharding, simhash, span_dedup, suffix_dedup, topk, toxicity, warc,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +76,18 @@ def op9_warc(spark, sf):
 @query
 def op10_shards(spark, sf):
     return sharding.shard_table(table(spark, sf, "documents"), 40)
+
+
+@query
+def op11_line_dedup(spark, sf):
+    return line_dedup.line_table(table(spark, sf, "documents"))
+
+
+@query
+def op12_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query
+def op13_whitening(spark, sf):
+    return whitening.whitening_table(table(spark, sf, "embeddings"))
