@@ -146,7 +146,6 @@ NOT_SUMMARIZED_REASON = "Identifier and free-text fields are not summarized as d
 CSV_EXTENSION = ".csv"
 EXTENSION_REASON = "Only .csv files can be ingested."
 UNREADABLE_REASON = "The uploaded file could not be read: "
-MULTI_LINE_REASON = "Quoted fields span lines; read the file with multi_line."
 EMPTY_UPLOAD_REASON = "The uploaded dataset must contain at least one data row."
 
 # --- Fixed values: row interpretations (category, from a business rule, message, next step)

@@ -469,12 +469,19 @@ SQL: dict[str, str] = {
     # sources and catalog
     "scan_typed_csv": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, "
                       "c_mktsegment FROM customer",
+    "scan_spanning_csv": "SELECT doc_id, " + ", ".join(
+        f"CASE WHEN {c} NOT IN ({', '.join(map(text, K.MISSING_TEXTS))}) THEN {c} END AS {c}" for c in ("text", "lang", "source")
+    ) + ", n_chars FROM documents",
     "ingest_summary": union([
-        *[f"SELECT '{t}.csv' AS file_name, count(*) AS rows_count, CAST({len(HEADERS[t])} AS BIGINT) AS columns_count, "
-          f"'ingested' AS status, CAST(NULL AS VARCHAR) AS reason FROM {t}"
-          for t in ("customer", "orders", "part", "supplier")],
-        f"SELECT 'negative_orders.csv', count(*), 6, 'rejected', {text(K.EMPTY_UPLOAD_REASON)} "
-        "FROM orders WHERE o_totalprice < 0",
+        *[f"SELECT '{name}' AS file_name, count(*) AS rows_count, (SELECT count(*) FROM (DESCRIBE {t})) AS columns_count, "
+          f"'{status}' AS status, CAST(NULL AS VARCHAR) AS reason, CAST({dataset} AS BIGINT) AS dataset_id FROM {t}"
+          for t, name, status, dataset in (
+              ("customer", "customer.csv", "ingested", "NULL"), ("orders", "orders.csv", "ingested", "NULL"),
+              ("part", "part.csv", "ingested", "NULL"), ("supplier", "supplier.csv", "ingested", "NULL"),
+              ("customer", "again.csv", "reused", "1"))],
+        f"SELECT 'negative_orders.csv', count(*), (SELECT count(*) FROM (DESCRIBE orders)), 'rejected', "
+        f"{text(K.EMPTY_UPLOAD_REASON)}, NULL FROM orders WHERE o_totalprice < 0",
+        f"SELECT 'named.txt', NULL, NULL, 'rejected', {text(K.EXTENSION_REASON)}, NULL",
     ]),
     "table_fingerprint": (lambda cells: f"""
 SELECT count(*) AS rows_count, CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS hash_sum,

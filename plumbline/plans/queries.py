@@ -20,7 +20,7 @@ from plumbline.plans import ledger, report
 from plumbline.plans.retail import stored_lines, stored_retail, table
 from plumbline.sources import catalog as cat, readers
 from plumbline.sources.rows import ROW_NUMBER, data_columns, stored_by
-from plumbline.sources.storage import new_path, store_once
+from plumbline.sources.storage import new_path, pin, store_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -56,15 +56,34 @@ def scan_typed_csv(spark, sf):
     return readers.read_typed_csv(spark, _as_csv(table(spark, sf, "customer"), "customer"))
 
 
+@query
+def scan_spanning_csv(spark, sf):
+    """Documents as delimited text: their quoted fields span lines and hold quotes and commas."""
+    path = f"{new_path(spark, 'csv')}/documents.csv"
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, sf, "documents").write.options(**exact).csv(path)
+    return readers.read_typed_csv(spark, path)
+
+
 @query
 def ingest_summary(spark, sf):
-    inputs = {name: table(spark, sf, name) for name in CSV_TABLES}
-    inputs["negative_orders"] = table(spark, sf, "orders").filter(F.col("o_totalprice") < 0)
-    parts = [
-        readers.ingest_csv(spark, _as_csv(df, name), new_path(spark, f"ingested-{name}"))
-        for name, df in inputs.items()
+    """Four files, then the first again, an empty one and one with another extension."""
+    kept = [
+        readers.ingest_csv(spark, _as_csv(table(spark, sf, name), name), new_path(spark, f"ingested-{name}"))
+        .withColumn("id", F.lit(i).cast("bigint"))
+        for i, name in enumerate(CSV_TABLES, 1)
+    ]
+    known = pin(cat.union_metadata(kept))
+    again = table(spark, sf, CSV_TABLES[0])
+    others = [
+        _as_csv(again.repartition(3), "again"),
+        _as_csv(table(spark, sf, "orders").filter(F.col("o_totalprice") < 0), "negative_orders"),
+        _as_csv(again, "named").removesuffix(".csv") + ".txt",
     ]
-    return cat.union_metadata(parts).select("file_name", "rows_count", "columns_count", "status", "reason")
+    answers = [readers.ingest_csv(spark, path, new_path(spark, "ingested"), known) for path in others]
+    return cat.union_metadata([known.drop("id"), *answers]).select(
+        "file_name", "rows_count", "columns_count", "status", "reason", "dataset_id"
+    )
 
 
 def document_catalog(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,21 +26,26 @@ def with_fingerprint(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table of any size: row count and two sums over the rows' MD5.
-
-    Cells are written with their length, missing ones marked, so different rows have different texts.
-    """
+def fingerprint_parts(columns: list[str]) -> list[Column]:
+    """The aggregates of ``table_fingerprint``, for a pass that does something else besides."""
     cells = [
         F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-"))
-        for t in (quoted(n).cast("string") for n in data_columns(df))
+        for t in (quoted(n).cast("string") for n in columns)
     ]
     digest = F.md5(F.concat_ws(",", *cells).cast("binary"))
 
     def part(start: int) -> Column:
         return F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)"))
 
-    return df.agg(F.count("*").alias("rows_count"), part(1).alias("hash_sum"), part(16).alias("second_hash_sum"))
+    return [F.count("*").alias("rows_count"), part(1).alias("hash_sum"), part(16).alias("second_hash_sum")]
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """Order-free fingerprint of a table of any size: row count and two sums over the rows' MD5.
+
+    Cells are written with their length, missing ones marked, so different rows have different texts.
+    """
+    return df.agg(*fingerprint_parts(data_columns(df)))
 
 
 def normal_path(path: Column) -> Column:

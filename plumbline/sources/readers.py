@@ -2,92 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 
 from plumbline.constants import (
-    CSV_EXTENSION, EMPTY_UPLOAD_REASON, EXTENSION_REASON, MISSING_TEXTS, MULTI_LINE_REASON, UNREADABLE_REASON,
+    CSV_EXTENSION, EMPTY_UPLOAD_REASON, EXTENSION_REASON, MISSING_TEXTS, UNREADABLE_REASON,
 )
 from plumbline.functions.scalars import quoted, text_number
-from plumbline.sources.catalog import table_fingerprint
-from plumbline.sources.rows import ROW_NUMBER, number_csv
+from plumbline.sources import records
+from plumbline.sources.catalog import fingerprint_parts
+from plumbline.sources.records import BLOCK, LENGTH, PART, PATH, PLAIN, SEQUENCE, SPLIT, TEXT
+from plumbline.sources.rows import ROW_NUMBER
+from plumbline.sources.storage import delete_folder, discard, folder_exists, move_folder, store
 
 # The shapes of whole numbers and truth values in text.
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,19}\s*$"
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 REJECTED = "rejected"
 CORRUPT = "__corrupt"
-# Spark's error classes for input that cannot be read as text of this form.
-READ_ERRORS = ("FAILED_READ_FILE", "MALFORMED_CSV_RECORD", "MALFORMED_RECORD_IN_PARSING", "TextParsingException")
+PARSER = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+# Spark's error conditions for input that cannot be read as text of this form.
+READ_CONDITIONS = ("FAILED_READ_FILE", "MALFORMED_CSV_RECORD", "MALFORMED_RECORD_IN_PARSING")
+MOST_PLANS = 3
 
 
-def has_multi_line_fields(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted field spans lines: some line then holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+@dataclass
+class CsvScan:
+    """What one pass over a delimited file tells: names, types, and for each split its records.
 
+    ``splits`` is a stored table, one row a split: its first place and the number of its first data row.
+    """
 
-def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Every field as text, missing texts as NULL, the raw text of rows that do not fit the header.
+    records: DataFrame
+    types: dict[str, str]
+    splits: DataFrame
+    rows: int
+    spanning: bool  # records were put together from several lines, and are stored
 
-    Files are split among tasks. Where quoted fields span lines the caller says so (``multi_line``),
-    and each file is read by one task; without that word such a file is refused.
-    """
-    if not multi_line and has_multi_line_fields(spark, path):
-        raise ValueError(MULTI_LINE_REASON)
-    reader = spark.read.options(header=True, quote='"', escape='"', emptyValue="", nullValue="", multiLine=multi_line)
-    names = _distinct_names(spark, path, reader)
-    fields = [T.StructField(n, T.StringType()) for n in [*names, CORRUPT]]
-    raw = reader.csv(path, schema=T.StructType(fields), columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
-    return raw.select(*[
-        F.when(~quoted(n).isin(*MISSING_TEXTS), quoted(n)).alias(n) for n in names
-    ], CORRUPT, "_metadata")
-
-
-def _distinct_names(spark: SparkSession, path: str, reader) -> list[str]:
-    """The header's names; a repeated one gets .1, .2 and so on."""
-    names = reader.csv(path, inferSchema=False).columns
-    if len(set(n.rstrip("0123456789") for n in names)) == len(names):
-        return names  # nothing that could be a repeated name with the reader's own number
-    head = spark.read.options(header=False, quote='"', escape='"').csv(path).first()
+    def discard(self) -> None:
+        discard(self.splits)
+        if self.spanning:
+            discard(self.records)
+
+
+def _fields(record: Column, width: int) -> Column:
+    """A record as a struct: f0, f1 and so on, and the raw text of a record that does not fit."""
+    fields = [T.StructField(f"f{i}", T.StringType()) for i in range(width)]
+    return F.from_csv(record, T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]).simpleString(), PARSER)
+
+
+def _value(place: int) -> Column:
+    """A field's text; missing texts are NULL."""
+    text = F.col("__fields").getField(f"f{place}")
+    return F.when(~text.isin(*MISSING_TEXTS), text)
+
+
+def _header(line: str, spark: SparkSession) -> list[str]:
+    """The names of a header record; a repeated one gets .1, .2 and so on, an empty one its place."""
+    width = line.count(",") + 1
+    row = spark.range(1).select(_fields(F.lit(line), width).alias("f")).select("f.*").first()
+    raw = [row[f"f{i}"] for i in range(width)]
+    if row[CORRUPT] is not None:  # commas inside quotes: fewer names than commas
+        raw = raw[:max((i for i, n in enumerate(raw) if n is not None), default=0) + 1]
     listed, seen = [], {}
-    for name, own in zip(head or names, names):
-        name = own if name is None else name
+    for place, name in enumerate(raw):
+        name = f"_c{place}" if name is None else name
         seen[name] = seen.get(name, -1) + 1
         listed.append(f"{name}.{seen[name]}" if seen[name] else name)
-    return listed if len(set(listed)) == len(listed) else names
+    return listed if len(set(listed)) == len(listed) else [f"_c{i}" for i in range(len(listed))]
 
 
-def _source_columns(text: DataFrame) -> list[str]:
-    return [n for n in text.columns if n not in (CORRUPT, "_metadata")]
+def _facts(width: int) -> list[Column]:
+    """For each field how many values it has, and how many of them are of each type."""
+    counters = []
+    for place in range(width):
+        value = _value(place)
+        counters += [
+            F.count(value).alias(f"filled{place}"),
+            F.count_if(value.rlike(INTEGER_PATTERN) & F.trim(value).try_cast("bigint").isNotNull()).alias(f"whole{place}"),
+            F.count(text_number(value)).alias(f"number{place}"),
+            F.count_if(value.isin(*BOOLEAN_TEXTS)).alias(f"truth{place}"),
+        ]
+    return counters
 
 
-def infer_types(text: DataFrame) -> dict[str, str]:
-    """The narrowest type that holds every non-missing value; all-missing columns are doubles.
-
-    A row with more fields than the header makes the file unreadable; a shorter row is filled up
-    with missing values.
-    """
-    columns = _source_columns(text)
-    unquoted = F.regexp_replace(CORRUPT, '"[^"]*"', "")
-    facts = text.agg(
-        F.max(F.size(F.split(unquoted, ","))).alias("widest"),
-        *[
-            F.struct(
-                F.count(value),
-                F.count_if(value.rlike(INTEGER_PATTERN) & F.trim(value).try_cast("bigint").isNotNull()),
-                F.count(text_number(value)),
-                F.count_if(value.isin(*BOOLEAN_TEXTS)),
-            ).alias(str(i))
-            for i, value in enumerate(map(quoted, columns))
-        ],
-    ).first()
-    if (facts["widest"] or 0) > len(columns):
-        raise ValueError(f"Expected {len(columns)} fields, saw {facts['widest']}.")
+def _types(names: list[str], facts: dict) -> dict[str, str]:
+    """The narrowest type that holds every non-missing value; all-missing columns are doubles."""
     types = {}
-    for i, name in enumerate(columns):
-        filled, whole, number, truth = facts[str(i)]
+    for place, name in enumerate(names):
+        filled, whole, number, truth = (facts[f"{kind}{place}"] or 0 for kind in ("filled", "whole", "number", "truth"))
         types[name] = (
             "double" if not filled
             else "bigint" if whole == filled
@@ -98,26 +105,109 @@ def infer_types(text: DataFrame) -> dict[str, str]:
     return types
 
 
-def _typed(name: str, kind: str) -> Column:
-    value = quoted(name)
+def scan_csv(spark: SparkSession, path: str) -> CsvScan:
+    """One pass over a delimited file: the types of its columns and the records of its splits.
+
+    The pass also looks whether a quoted field spans lines. Only then are the records cut anew, by
+    ``records.cut_records``, stored and looked at once more. A record with more fields than the header
+    makes the file unreadable; a shorter one is filled up with missing values. Each file of a folder
+    begins with a header, which is no data.
+    """
+    head = records.first_line(spark, path)
+    if head is None:
+        raise ValueError("No columns to parse from file.")
+    lines = records.line_records(spark, path)
+    scan = _scan(lines, _header(head, spark), records.line_code(F.col(TEXT)))
+    return scan if scan is not None else _scan_spanning(spark, path)
+
+
+def _scan_spanning(spark: SparkSession, path: str) -> CsvScan:
+    cut = store(records.cut_records(spark, path), "csv-records")
+    head = cut.filter((F.col(BLOCK) == 0) & (F.col(SEQUENCE) == 0)).orderBy(PATH).select(TEXT).first()
+    scan = _scan(cut, _header(head[0], spark), None)
+    scan.spanning = True
+    return scan
+
+
+def _scan(lines: DataFrame, names: list[str], code: Column | None) -> CsvScan | None:
+    """None if a line's code says that a field spans lines."""
+    width = len(names)
+    unquoted = F.regexp_replace(F.col("__fields").getField(CORRUPT), '"[^"]*"', "")
+    each = lines.withColumn("__fields", _fields(F.col(TEXT), width)).groupBy(*SPLIT).agg(
+        F.count("*").alias("rows"), F.min(SEQUENCE).alias("first"), F.min_by(TEXT, SEQUENCE).alias("head"),
+        (F.lit(0) if code is None else F.count_if(code != PLAIN)).alias("bent"),
+        F.max(F.size(F.split(unquoted, ","))).alias("widest"), *_facts(width),
+    )
+    splits = store(each, "csv-splits")
+    counted = [c for c in splits.columns if c.startswith(("filled", "whole", "number", "truth"))]
+    total = splits.agg(F.sum("bent").alias("bent"), F.max("widest").alias("widest"), F.sum("rows").alias("rows"),
+                       *[F.sum(c).alias(c) for c in counted]).first().asDict()
+    if total["bent"] or (total["widest"] or 0) > width:
+        discard(splits)
+        if total["bent"]:
+            return None
+        raise ValueError(f"Expected {width} fields, saw {total['widest']}.")
+    # The first record of a file is its header; what it added to the facts is taken off again.
+    begins = F.col(BLOCK) == F.min(BLOCK).over(Window.partitionBy(PATH))
+    marked = splits.withColumn("header", begins.cast("int"))
+    heads = marked.filter("header = 1").select(_fields(F.col("head"), width).alias("__fields"))
+    header = heads.agg(F.count("*").alias("rows"), *_facts(width)).first().asDict()
+    facts = {c: (total[c] or 0) - (header[c] or 0) for c in counted}
+    before = Window.orderBy(PATH, BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    start = F.coalesce(F.sum(F.col("rows") - F.col("header")).over(before), F.lit(0)) + 1
+    placed = store(marked.select(*SPLIT, "header", "first", start.alias("start")), "csv-starts")
+    discard(splits)
+    return CsvScan(lines, _types(names, facts), placed, (total["rows"] or 0) - header["rows"], False)
+
+
+def _typed(place: int, name: str, kind: str) -> Column:
+    value = _value(place)
     if kind == "double":
         return text_number(value).alias(name)
     if kind == "string":
-        return value
+        return value.alias(name)
     return F.trim(value).try_cast(kind).alias(name)
 
 
-def read_typed_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """A delimited file with inferred column types (one pass to infer, one to read)."""
-    text = read_text_csv(spark, path, multi_line)
-    return text.select(*[_typed(n, kind) for n, kind in infer_types(text).items()])
+def typed_records(scan: CsvScan) -> DataFrame:
+    """The data rows with their types and their number in the source.
+
+    A split is met again by its place, length and task, so a file that is split in another way than in
+    the first pass loses rows here rather than get wrong numbers: the caller compares the count.
+    """
+    named = scan.records.join(scan.splits, SPLIT)
+    place = F.col(SEQUENCE) - F.col("first") - F.col("header")
+    fields = named.filter(place >= 0).select(
+        _fields(F.col(TEXT), len(scan.types)).alias("__fields"), (F.col("start") + place).alias("__number")
+    )
+    typed = [_typed(i, n, kind) for i, (n, kind) in enumerate(scan.types.items())]
+    return fields.select(*typed, F.col("__number").cast("bigint").alias(ROW_NUMBER))
+
+
+def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited file with inferred column types: one pass to infer, one to read, both by as many
+    tasks as the file has splits. Quoted fields may span lines."""
+    return read_numbered_csv(spark, path).drop(ROW_NUMBER)
 
 
-def read_numbered_csv(spark: SparkSession, path: str, label: str, multi_line: bool = False) -> DataFrame:
-    """The same with source-order row numbers."""
-    text = read_text_csv(spark, path, multi_line)
-    typed = [_typed(n, kind) for n, kind in infer_types(text).items()]
-    return number_csv(text.select(*typed, "_metadata"), label)
+def read_numbered_csv(spark: SparkSession, path: str, label: str = "csv") -> DataFrame:
+    """The same with source-order row numbers, stored."""
+    from_file, table = _stored_csv(spark, path, lambda df: store(df, label))
+    from_file.discard()
+    return table
+
+
+def _stored_csv(spark: SparkSession, path: str, keep) -> tuple[CsvScan, DataFrame]:
+    """(scan, what ``keep`` made of the rows); both passes are made again if the splits have changed."""
+    for _ in range(MOST_PLANS):
+        scan = scan_csv(spark, path)
+        counted = Observation()
+        kept = keep(typed_records(scan).observe(counted, F.count("*").alias("rows")))
+        if counted.get["rows"] == scan.rows:
+            return scan, kept
+        scan.discard()
+        discard(kept)
+    raise RuntimeError("The file is split in another way each time it is read.")
 
 
 METADATA = (
@@ -126,15 +216,15 @@ METADATA = (
 )
 
 
-def ingest_csv(
-    spark: SparkSession, path: str, target: str, catalog: DataFrame | None = None, multi_line: bool = False
-) -> DataFrame:
+def ingest_csv(spark: SparkSession, path: str, target: str, catalog: DataFrame | None = None) -> DataFrame:
     """Normalise a delimited file to a numbered Parquet table; one row of metadata.
 
-    Files of another extension, unreadable and empty ones are rejected with their reason and leave
-    nothing to read; other errors (a full disk, a lost cluster) are raised. With a catalog (id,
-    rows_count, columns_count, content_length, content_sha) a file whose data one of its datasets has
-    is answered with the newest such dataset and not kept again.
+    One pass finds types and places, a second one writes the typed rows beside the target, once, and
+    takes their fingerprint on the way. Then the folder is renamed to ``target``, or deleted: files of
+    another extension, unreadable and empty ones are rejected with their reason, and with a catalog
+    (id, rows_count, columns_count, content_length, content_sha) a file whose data one of its datasets
+    has is answered with the newest such dataset. Neither leaves anything behind. Other errors (a full
+    disk, a lost cluster, a target that exists) are raised, and leave no table either.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
 
@@ -143,29 +233,45 @@ def ingest_csv(
 
     if not name.lower().endswith(CSV_EXTENSION):
         return answer(REJECTED, EXTENSION_REASON)
+    if folder_exists(spark, target):
+        raise FileExistsError(f"{target} exists.")
+    staging = f"{target.rstrip('/')}.{uuid.uuid4().hex}.staging"
+    taken = Observation()
+
+    def stage(rows: DataFrame) -> DataFrame:
+        nonlocal taken
+        taken = Observation()
+        columns = [c for c in rows.columns if c != ROW_NUMBER]
+        rows.observe(taken, *fingerprint_parts(columns)).write.mode("overwrite").parquet(staging)
+        return spark.read.schema(rows.schema).parquet(staging)
+
     try:
-        table = read_numbered_csv(spark, path, "ingest", multi_line)
+        scan, _ = _stored_csv(spark, path, stage)
+        scan.discard()
+        rows, columns = scan.rows, len(scan.types)
+        if not rows:
+            return answer(REJECTED, EMPTY_UPLOAD_REASON, rows=0, columns=columns)
+        facts = taken.get
+        length, sha = rows * columns, f"{facts['hash_sum']}-{facts['second_hash_sum']}"
+        known = None if catalog is None else _known(catalog, rows, columns, length, sha)
+        if known is not None:
+            return answer("reused", None, None, rows, columns, length, sha, known)
+        move_folder(spark, staging, target)
+        return answer("ingested", None, target, rows, columns, length, sha)
     except (ValueError, AnalysisException, ParseException) as error:
         return answer(REJECTED, UNREADABLE_REASON + str(error).splitlines()[0])
-    try:
-        table.write.parquet(target)
     except PySparkException as error:
-        if not any(mark in str(error) for mark in READ_ERRORS):
+        if not (error.getCondition() or "").startswith(READ_CONDITIONS):
             raise
         return answer(REJECTED, UNREADABLE_REASON + str(error).splitlines()[0])
-    stored = spark.read.parquet(target)
-    data = stored.drop(ROW_NUMBER)
-    facts = table_fingerprint(data).first()
-    rows, columns = facts["rows_count"], len(data.columns)
-    if not rows:
-        return answer(REJECTED, EMPTY_UPLOAD_REASON, rows=0, columns=columns)
-    length, sha = rows * columns, f"{facts['hash_sum']}-{facts['second_hash_sum']}"
-    if catalog is not None:
-        same = (
-            (F.col("rows_count") == rows) & (F.col("columns_count") == columns)
-            & (F.col("content_length") == length) & (F.col("content_sha") == sha)
-        )
-        known = catalog.filter(same).agg(F.max("id")).first()[0]
-        if known is not None:
-            return answer("reused", None, None, rows, columns, length, sha, known)
-    return answer("ingested", None, target, rows, columns, length, sha)
+    finally:
+        delete_folder(spark, staging)
+
+
+def _known(catalog: DataFrame, rows: int, columns: int, length: int, sha: str) -> int | None:
+    """The newest dataset of a catalog with the same data."""
+    same = (
+        (F.col("rows_count") == rows) & (F.col("columns_count") == columns)
+        & (F.col("content_length") == length) & (F.col("content_sha") == sha)
+    )
+    return catalog.filter(same).agg(F.max("id")).first()[0]

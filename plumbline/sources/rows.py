@@ -72,35 +72,6 @@ def number_files(df: DataFrame) -> DataFrame:
     )
 
 
-def number_csv(df: DataFrame, label: str) -> DataFrame:
-    """Row numbers in source order for a file scan that has no row index.
-
-    Each split is (path, start offset); rows keep their order inside it. Position and split are
-    stored first, so that a re-planned read cannot cut the files differently between two passes.
-    """
-    staged = store(
-        df.select(
-            *[F.col(f"`{c}`") for c in df.columns if c != "_metadata"],
-            F.col("_metadata.file_path").alias(_PART),
-            F.col("_metadata.file_block_start").alias("__offset"),
-            F.monotonically_increasing_id().alias(_SEQUENCE),
-        ),
-        label,
-    )
-    splits = staged.groupBy(_PART, "__offset").agg(
-        F.count("*").alias("__rows"), F.min(_SEQUENCE).alias("__first")
-    )
-    before = Window.orderBy(_PART, "__offset").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.withColumn(_START, F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
-    return (
-        staged.join(starts, [_PART, "__offset"])
-        .withColumn(
-            ROW_NUMBER, (F.col(_START) + F.col(_SEQUENCE) - F.col("__first") + 1).cast("bigint")
-        )
-        .drop(_PART, "__offset", _SEQUENCE, _START, "__first")
-    )
-
-
 def data_columns(df: DataFrame) -> list[str]:
     """The source columns, without the row number."""
     return [name for name in df.columns if name != ROW_NUMBER]

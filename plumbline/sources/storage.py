@@ -49,13 +49,35 @@ def store_once(spark: SparkSession, label: str, build: Callable[[], DataFrame])
     return _stored[key]
 
 
+def _located(spark: SparkSession, folder: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``store`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    settings = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(settings).delete(path, True)
+        delete_folder(df.sparkSession, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    system, path = _located(spark, folder)
+    system.delete(path, True)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    system, path = _located(spark, folder)
+    return system.exists(path)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a complete folder: readers of ``target`` see all of it or nothing."""
+    system, path = _located(spark, source)
+    _, goal = _located(spark, target)
+    if goal.getParent() is not None:
+        system.mkdirs(goal.getParent())
+    if system.exists(goal) or not system.rename(path, goal):
+        raise FileExistsError(f"{target} could not be taken by a new table.")
 
 
 def pin(df: DataFrame, most: int = MOST_PINNED_ROWS) -> DataFrame:

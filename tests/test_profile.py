@@ -128,72 +128,6 @@ def test_row_numbers_of_files(spark, tmp_path):
     assert tuple(stats) == (1, 1_000, 1_000)
 
 
-def test_csv_in_many_splits_keeps_file_order(spark, tmp_path):
-    path = tmp_path / "lines.csv"
-    path.write_text("n,word\n" + "".join(f"{i},w{i}\n" for i in range(20_000)))
-    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        found = readers.read_numbered_csv(spark, str(path), "csv-test")
-        assert found.filter(F.col("row_number") != F.col("n") + 1).count() == 0
-        assert found.count() == 20_000
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
-
-
-def test_csv_types_and_missing_texts(spark, tmp_path):
-    path = tmp_path / "typed.csv"
-    path.write_text('whole,number,truth,empty,word,mixed\n1,1.5,True,,"a,b",1d\nNA,inf,False,NULL,N/A,2\n3,1e3,true,nan,"q""q",3\n')
-    found = readers.read_typed_csv(spark, str(path))
-    assert dict(found.dtypes) == {"whole": "bigint", "number": "double", "truth": "boolean", "empty": "double",
-                                  "word": "string", "mixed": "string"}
-    rows = found.collect()
-    assert [r["whole"] for r in rows] == [1, None, 3]
-    assert [r["word"] for r in rows] == ["a,b", None, 'q"q']
-    assert rows[1]["number"] == float("inf")
-
-
-def test_csv_fields_may_span_lines(spark, tmp_path):
-    path = tmp_path / "lines.csv"
-    path.write_text('n,note\n1,"two\nlines"\n2,"a, ""b"""\n3\n')
-    with pytest.raises(ValueError, match="span lines"):
-        readers.read_numbered_csv(spark, str(path), "multi")
-    found = readers.read_numbered_csv(spark, str(path), "multi", multi_line=True).orderBy("row_number").collect()
-    assert [(r["row_number"], r["n"], r["note"]) for r in found] == [(1, 1, "two\nlines"), (2, 2, 'a, "b"'), (3, 3, None)]
-
-
-def test_csv_with_too_many_fields_is_rejected(spark, tmp_path):
-    (tmp_path / "wide.csv").write_text('a,b\n1,2\n"x, y",4,5\n')
-    rejected = readers.ingest_csv(spark, str(tmp_path / "wide.csv"), str(tmp_path / "out")).first()
-    assert rejected["status"] == "rejected" and "Expected 2 fields, saw 3" in rejected["reason"]
-
-
-def test_ingest_rejects_empty_and_unreadable(spark, tmp_path):
-    (tmp_path / "header.csv").write_text("Quantity,UnitPrice\n")
-    rejected = readers.ingest_csv(spark, str(tmp_path / "header.csv"), str(tmp_path / "a")).first()
-    assert rejected["status"] == "rejected" and rejected["rows_count"] == 0
-    missing = readers.ingest_csv(spark, str(tmp_path / "none.csv"), str(tmp_path / "b")).first()
-    assert missing["status"] == "rejected" and missing["reason"].startswith("The uploaded file could not be read")
-
-
-def test_repeated_headers_get_numbers(spark, tmp_path):
-    (tmp_path / "twice.csv").write_text("a,a,b\n1,2,3\n")
-    assert readers.read_typed_csv(spark, str(tmp_path / "twice.csv")).columns == ["a", "a.1", "b"]
-
-
-def test_ingest_reuses_identical_data_and_checks_the_extension(spark, tmp_path):
-    (tmp_path / "one.csv").write_text("n,w\n1,a\n2,b\n")
-    (tmp_path / "two.csv").write_text("n,w\n1,a\n2,b\n")
-    (tmp_path / "three.txt").write_text("n,w\n1,a\n")
-    first = readers.ingest_csv(spark, str(tmp_path / "one.csv"), str(tmp_path / "o1"))
-    assert first.first()["status"] == "ingested"
-    catalog = first.withColumn("id", F.lit(7).cast("bigint"))
-    again = readers.ingest_csv(spark, str(tmp_path / "two.csv"), str(tmp_path / "o2"), catalog).first()
-    assert (again["status"], again["dataset_id"], again["file_path"]) == ("reused", 7, None)
-    wrong = readers.ingest_csv(spark, str(tmp_path / "three.txt"), str(tmp_path / "o3")).first()
-    assert wrong["status"] == "rejected" and "CSV" in wrong["reason"].upper()
-
-
 def test_lenient_numbers(spark):
     texts = ["1", " -2.5 ", "1e3", ".5", "5.", "1d", "0x1p3", "inf", "nan", "", "abc", "1,000", None]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
