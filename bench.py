@@ -46,7 +46,7 @@ def profile_all(df):
     found = profile.profile_table(df)
     for part in (found.columns, found.samples, found.numbers, found.booleans, found.dates, found.common):
         part.collect()
-    profile.profile_summary(df).collect()
+    found.summary.collect()
 
 
 def quality_all(df):

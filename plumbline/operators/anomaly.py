@@ -22,7 +22,7 @@ from plumbline.functions.scalars import (
     to_number,
 )
 from plumbline.operators.forest import Forest, ForestGate, fit_forest, forest_gate
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.quantiles import exact_quantiles, quantile_sketch
 from plumbline.sources.rows import ROW_NUMBER, data_columns, stored_by
 from plumbline.sources.storage import store
 
@@ -30,6 +30,7 @@ METHODS = ("iqr", "z_score")
 FOREST = "isolation_forest"
 POSITION = "__position"
 STATS_FIELDS_PER_PASS = 32
+QUARTILES = [0.25, 0.75]
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,7 @@ class FieldStats:
     high: float | None
     mean: float | None
     deviation: float | None
+    sketch: list[float] | None = None
 
     @property
     def varies(self) -> bool:
@@ -76,12 +78,12 @@ def _number(name: str) -> Column:
 
 
 def field_stats(df: DataFrame, fields: list[str]) -> dict[str, FieldStats]:
-    """Counts, extremes and moments of the finite values; one aggregate per 32 fields."""
+    """Counts, extremes, moments and a sketch of the finite values; one aggregate per 32 fields."""
     stats = {}
     for start in range(0, len(fields), STATS_FIELDS_PER_PASS):
         chunk = fields[start:start + STATS_FIELDS_PER_PASS]
         row = df.agg(*[
-            F.struct(F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_pop(v)).alias(str(i))
+            F.struct(F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_pop(v), quantile_sketch(v, QUARTILES)).alias(str(i))
             for i, v in enumerate(map(_number, chunk))
         ]).first()
         stats.update({f: FieldStats(*row[str(i)]) for i, f in enumerate(chunk)})
@@ -110,7 +112,7 @@ def _bound(method: str, name: str, stats: FieldStats, quartiles: list[float | No
 def anomaly_bounds(df: DataFrame, stats: dict[str, FieldStats]) -> list[Bound]:
     """Bounds, or the reason there are none, per method and field."""
     usable = {f: s.rows for f, s in stats.items() if s.rows >= 4 and s.varies}
-    quartiles = exact_quantiles(df, usable, [0.25, 0.75])
+    quartiles = exact_quantiles(df, usable, QUARTILES, sketches={f: stats[f].sketch for f in usable})
     return [
         _bound(method, name, stats[name], quartiles.get(name, [None, None]))
         for method in METHODS for name in stats

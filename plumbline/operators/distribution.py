@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import constants as K
 from plumbline.functions.scalars import INFINITY, finite_or_null, quoted, six_digits
 from plumbline.operators.profile import as_date, logical_types, present, value_text
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.frequent import top_counts
+from plumbline.operators.quantiles import quantile_sketch, quantiles_and_neighbours
 from plumbline.sources.rows import ROW_NUMBER
 from plumbline.sources.storage import pin
 
+CENTRAL = [0.01, 0.99]  # quantiles that bound the typical range
+EVEN = [i / 16 for i in range(1, 16)]  # further ranks whose values tell whether there are many
+
 
 def require_column(df: DataFrame, column: str) -> None:
     if column not in df.columns:
@@ -43,14 +50,35 @@ def numeric_usability(df: DataFrame, columns: list[str]) -> DataFrame:
     ])))
 
 
-def is_discrete(df: DataFrame, column: str) -> bool:
+@dataclass(frozen=True)
+class NumericFacts:
+    """The finite values of a column: how many, the extremes, and values that stand in it at even ranks."""
+
+    rows: int
+    low: float | None
+    high: float | None
+    sketch: list[float]
+
+
+def numeric_facts(df: DataFrame, column: str) -> NumericFacts:
+    """One aggregate. The sketched values are real ones, so many different ones prove many values."""
+    require_column(df, column)
+    value = finite_or_null(_value(column))
+    row = df.agg(F.count(value), F.min(value), F.max(value), quantile_sketch(value, CENTRAL + EVEN)).first()
+    return NumericFacts(row[0], row[1], row[2], row[3] or [])
+
+
+def is_discrete(df: DataFrame, column: str, facts: NumericFacts | None = None) -> bool:
     """At least 20 finite values and at most 12 distinct ones, over the whole column.
 
-    Values are counted with partial sums; one count more than 12 settles it.
+    A sketch with more than 12 different values settles it without another scan. Else values are
+    counted with partial sums; one count more than 12 is enough.
     """
+    facts = facts or numeric_facts(df, column)
+    if facts.rows < K.MIN_DISCRETE_ROWS or len(set(facts.sketch)) > K.MAX_DISCRETE_VALUES:
+        return False
     values = df.select(finite_or_null(_value(column)).alias("value")).dropna()
-    counts = values.groupBy("value").count().limit(K.MAX_DISCRETE_VALUES + 1).collect()
-    return len(counts) <= K.MAX_DISCRETE_VALUES and sum(r["count"] for r in counts) >= K.MIN_DISCRETE_ROWS
+    return len(values.distinct().limit(K.MAX_DISCRETE_VALUES + 1).collect()) <= K.MAX_DISCRETE_VALUES
 
 
 def discrete_counts(df: DataFrame, column: str) -> DataFrame:
@@ -68,85 +96,150 @@ def _edges(low: float, high: float) -> list[float]:
     return [i * step + low for i in range(K.HISTOGRAM_BINS)] + [high]
 
 
-def histogram(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
-    """(bin, lower edge, upper edge, count) of the finite values in [low, high].
+@dataclass(frozen=True)
+class Bins:
+    """A closed range of values in 24 equal bins, the last one closed, or in one bin if it is a point.
 
-    24 equal bins, the last one closed; a constant column has one bin. Values are scaled by the
-    largest magnitude first, so that the range of extreme doubles stays finite.
+    Values are scaled by the largest magnitude first, so that the range of extreme doubles stays finite.
     """
-    spark = df.sparkSession
-    value = finite_or_null(_value(column))
-    inside = df.select(value.alias("value")).filter(F.col("value").between(low, high))
-    if low == high:
-        width = max(abs(low) * 0.01, 0.5)
-        edges = (low - width, low) if low > 0 else (low, low + width)
-        return inside.agg(F.count("*").alias("value_count")).select(
-            F.lit(1).cast("bigint").alias("bin"), F.lit(edges[0]).alias("lower_edge"),
-            F.lit(edges[1]).alias("upper_edge"), "value_count",
+
+    low: float
+    high: float
+
+    @property
+    def scale(self) -> float:
+        return max(abs(self.low), abs(self.high))
+
+    def edges(self) -> list[tuple[float, float]]:
+        if self.low == self.high:
+            width = max(abs(self.low) * 0.01, 0.5)
+            return [(self.low - width, self.low) if self.low > 0 else (self.low, self.low + width)]
+        edges = [e * self.scale for e in _edges(self.low / self.scale, self.high / self.scale)]
+        return list(zip(edges, edges[1:]))
+
+    def guess(self, value: Column) -> Column:
+        """The bin of a value from 0, by arithmetic; NULL outside the range."""
+        inside = value.between(self.low, self.high)
+        if self.low == self.high:
+            return F.when(inside, F.lit(0))
+        first, last = F.lit(self.low / self.scale), F.lit(self.high / self.scale)
+        place = F.floor((value / F.lit(self.scale) - first) / (last - first) * K.HISTOGRAM_BINS)
+        return F.when(inside, F.least(place, F.lit(K.HISTOGRAM_BINS - 1)).cast("int"))
+
+    def bin(self, value: Column, guess: Column) -> Column:
+        """The bin from 1. Rounding may put a value that sits on an edge into the neighbouring bin: the
+        edge itself is asked."""
+        if self.low == self.high:
+            return guess + 1
+        table = F.array(*[F.lit(e) for e in _edges(self.low / self.scale, self.high / self.scale)])
+        scaled = value / F.lit(self.scale)
+        return (
+            F.when(scaled < F.get(table, guess), guess)
+            .when((scaled >= F.get(table, guess + 1)) & (guess < K.HISTOGRAM_BINS - 1), guess + 2)
+            .otherwise(guess + 1)
         )
 
-    scale = max(abs(low), abs(high))
-    edges = _edges(low / scale, high / scale)
-    scaled = F.col("value") / F.lit(scale)
-    first, last = F.lit(edges[0]), F.lit(edges[-1])
-    guess = F.least(F.floor((scaled - first) / (last - first) * K.HISTOGRAM_BINS), F.lit(K.HISTOGRAM_BINS - 1))
-    # Rounding may put a value that sits on an edge into the neighbouring bin: ask the edge itself.
-    table = F.array(*[F.lit(e) for e in edges])
-    corrected = (
-        F.when(F.col("scaled") < F.get(table, F.col("guess")), F.col("guess") - 1)
-        .when((F.col("scaled") >= F.get(table, F.col("guess") + 1))
-              & (F.col("guess") < K.HISTOGRAM_BINS - 1), F.col("guess") + 1)
-        .otherwise(F.col("guess"))
-    )
-    counted = (
-        inside.select(scaled.alias("scaled"), guess.cast("int").alias("guess"))
-        .groupBy((corrected + 1).cast("bigint").alias("bin"))
-        .agg(F.count("*").alias("value_count"))
-    )
-    bins = spark.createDataFrame(
-        [(i + 1, edges[i] * scale, edges[i + 1] * scale) for i in range(K.HISTOGRAM_BINS)],
-        "bin bigint, lower_edge double, upper_edge double",
-    )
-    return bins.join(counted, "bin", "left").select(
-        "bin", "lower_edge", "upper_edge", F.coalesce("value_count", F.lit(0)).alias("value_count")
-    )
 
+def histograms(df: DataFrame, column: str, ranges: list[Bins]) -> list[DataFrame]:
+    """(bin, lower edge, upper edge, count) of the finite values in each range, all from one pass.
 
-def value_range(df: DataFrame, column: str) -> tuple[int, float | None, float | None]:
+    The counters, a few dozen, are summed in every task and collected.
+    """
     value = finite_or_null(_value(column))
-    return tuple(df.agg(F.count(value), F.min(value), F.max(value)).first())
+    guessed = df.select(value.alias("value")).dropna().select(
+        "value", *[r.guess(F.col("value")).alias(f"g{i}") for i, r in enumerate(ranges)]
+    )
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("range"), r.bin(F.col("value"), F.col(f"g{i}")).alias("bin")) for i, r in enumerate(ranges)
+    ])
+    placed = guessed.select(F.inline(cells)).filter(F.col("bin").isNotNull())
+    counts = {(r["range"], r["bin"]): r["count"] for r in placed.groupBy("range", "bin").count().collect()}
+    schema = "bin bigint, lower_edge double, upper_edge double, value_count bigint"
+    return [
+        df.sparkSession.createDataFrame([(b, *edge, counts.get((i, b), 0)) for b, edge in enumerate(r.edges(), 1)], schema)
+        for i, r in enumerate(ranges)
+    ]
 
 
-def full_histogram(df: DataFrame, column: str) -> DataFrame:
-    require_column(df, column)
-    rows, low, high = value_range(df, column)
-    if not rows:
-        raise ValueError(K.NO_FINITE_REASON)
-    return histogram(df, column, low, high)
+def histogram(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    return histograms(df, column, [Bins(low, high)])[0]
 
 
-def central_histogram(df: DataFrame, column: str) -> DataFrame:
-    """Histogram of the values between the 1 % and 99 % quantiles, both included, with the number
-    of values outside and the extremes of the whole column."""
-    require_column(df, column)
-    rows, low, high = value_range(df, column)
-    if not rows:
+def _some(df: DataFrame, column: str, facts: NumericFacts | None) -> NumericFacts:
+    facts = facts or numeric_facts(df, column)
+    if not facts.rows:
         raise ValueError(K.NO_FINITE_REASON)
-    scale = max(abs(low), abs(high))
-    lower = upper = 0.0
-    if scale:
-        scaled = df.select((_value(column) / F.lit(scale)).alias("scaled"))
-        quantiles = exact_quantiles(scaled, {"scaled": rows}, [0.01, 0.99])["scaled"]
-        lower, upper = (q * scale for q in quantiles)
+    return facts
+
+
+def full_histogram(df: DataFrame, column: str, facts: NumericFacts | None = None) -> DataFrame:
+    facts = _some(df, column, facts)
+    return histogram(df, column, facts.low, facts.high)
+
+
+@dataclass(frozen=True)
+class Central:
+    """The values between the 1 % and 99 % quantiles, both included: their extremes and number."""
+
+    low: float
+    high: float
+    rows: int
+
+
+def central_range(df: DataFrame, column: str, facts: NumericFacts) -> Central:
+    """Quantiles are those of the values over their largest magnitude, so that no difference overflows.
+    The values next to each quantile and their counts come with it, so the range needs no scan of its
+    own unless scaling has rounded a quantile past them."""
+    scale = max(abs(facts.low), abs(facts.high))
+    if not scale:
+        return Central(0.0, 0.0, facts.rows)
+    sketches = {column: facts.sketch} if facts.sketch else None
+    _, around = quantiles_and_neighbours(df, {column: facts.rows}, CENTRAL, sketches=sketches, shares_of=CENTRAL + EVEN)
+
+    def quantile(p: float, low: float, high: float) -> float:
+        share = p * (facts.rows - 1) - math.floor(p * (facts.rows - 1))
+        low, high = low / scale, high / scale
+        return (low if not share or low == high else low + (high - low) * share) * scale
+
+    low, high, below, on_low, _ = around[column][0]
+    bottom = quantile(CENTRAL[0], low, high)
+    first = (low, below) if low >= bottom else (high, below + on_low) if high >= bottom else None
+    low, high, below, on_low, on_high = around[column][1]
+    top = quantile(CENTRAL[1], low, high)
+    through = below + on_low + (on_high if high != low else 0)
+    last = (high, through) if high <= top else (low, below + on_low) if low <= top else None
+    if first and last and first[0] <= last[0]:
+        return Central(first[0], last[0], last[1] - first[1])
     value = finite_or_null(_value(column))
-    central = F.when(value.between(lower, upper), value)
-    inner = df.agg(F.min(central), F.max(central), F.count(central)).first()
-    return histogram(df, column, inner[0], inner[1]).select(
-        "*", F.lit(rows - inner[2]).cast("bigint").alias("outside_central_count"),
-        F.lit(low).alias("minimum"), F.lit(high).alias("maximum"),
+    inner = F.when(value.between(bottom, top), value)
+    return Central(*df.agg(F.min(inner), F.max(inner), F.count(inner)).first())
+
+
+def _with_extremes(bins: DataFrame, facts: NumericFacts, central: Central) -> DataFrame:
+    return bins.select(
+        "*", F.lit(facts.rows - central.rows).cast("bigint").alias("outside_central_count"),
+        F.lit(facts.low).alias("minimum"), F.lit(facts.high).alias("maximum"),
     )
 
 
+def central_histogram(df: DataFrame, column: str, facts: NumericFacts | None = None) -> DataFrame:
+    """Histogram of the values between the 1 % and 99 % quantiles, both included, with the number
+    of values outside and the extremes of the whole column."""
+    facts = _some(df, column, facts)
+    central = central_range(df, column, facts)
+    return _with_extremes(histogram(df, column, central.low, central.high), facts, central)
+
+
+def both_histograms(df: DataFrame, column: str, facts: NumericFacts | None = None) -> DataFrame:
+    """The full and the central histogram, told apart by ``range``: both are counted in one pass, so the
+    column is scanned three times in all, for its facts, its quantiles and its bins."""
+    facts = _some(df, column, facts)
+    central = central_range(df, column, facts)
+    full, inner = histograms(df, column, [Bins(facts.low, facts.high), Bins(central.low, central.high)])
+    parts = full.withColumn("range", F.lit("full")), _with_extremes(inner, facts, central).withColumn("range", F.lit("central"))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
 def time_buckets(df: DataFrame, column: str) -> DataFrame:
     """(unit, period, count, usable, invalid) by month, or by year over more than three years.
 
@@ -178,24 +271,14 @@ def time_buckets(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _category_counts(df: DataFrame, column: str) -> DataFrame:
-    require_column(df, column)
-    return (
-        df.select(value_text(df, column).alias("value")).dropna()
-        .groupBy("value").agg(F.count("*").alias("value_count"))
-    )
-
-
 def category_top_other(df: DataFrame, column: str, top: int = K.TOP_CATEGORIES) -> DataFrame:
     """(position, value, count): the most common values and one "Other" row for the rest.
 
-    The top is a top-k over the counts and is kept, being at most ``top`` rows. The remainder is a
-    subtraction, so the many rare values are never ranked. It has position 0.
+    The top comes from candidates (see ``frequent``), so rare values are neither shuffled nor ranked,
+    and the remainder is a subtraction. It has position 0.
     """
-    counts = _category_counts(df, column)
-    leading = pin(counts.orderBy(F.col("value_count").desc(), "value").limit(top))
-    by_count = Window.orderBy(F.col("value_count").desc(), "value")  # over the kept rows only
-    ranked = leading.withColumn("position", F.row_number().over(by_count).cast("bigint"))
+    require_column(df, column)
+    leading = pin(top_counts(df, {1: value_text(df, column)}, top).select("position", "value", "value_count"))
     filled = df.agg(F.count_if(present(df, column)).alias("signed"))
     other = (
         filled.unionAll(leading.agg(-F.sum("value_count")))
@@ -203,7 +286,7 @@ def category_top_other(df: DataFrame, column: str, top: int = K.TOP_CATEGORIES)
         .filter(F.col("value_count") > 0)
         .select(F.lit(0).cast("bigint").alias("position"), F.lit("Other").alias("value"), "value_count")
     )
-    return ranked.select("position", "value", "value_count").unionByName(other)
+    return leading.unionByName(other)
 
 
 def category_share(df: DataFrame, column: str) -> DataFrame:
@@ -225,11 +308,13 @@ def column_type(df: DataFrame, column: str) -> str:
     return logical_types(df.select(*keep, quoted(column)))[column]
 
 
-def distribution_kind(df: DataFrame, column: str, logical_type: str | None = None) -> str | None:
+def distribution_kind(
+    df: DataFrame, column: str, logical_type: str | None = None, facts: NumericFacts | None = None
+) -> str | None:
     """discrete, histogram, time or category; None where the column is not summarised."""
     kind = logical_type or column_type(df, column)
     if kind == "numeric":
-        return "discrete" if is_discrete(df, column) else "histogram"
+        return "discrete" if is_discrete(df, column, facts) else "histogram"
     return {"datetime": "time", "categorical": "category"}.get(kind)
 
 
@@ -260,15 +345,13 @@ def distribution_status(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def summarize_column(df: DataFrame, column: str) -> tuple[str | None, DataFrame | None]:
     """The distribution that fits the column, or (None, None) with its status elsewhere."""
-    kind = distribution_kind(df, column)
+    logical = column_type(df, column)
+    facts = numeric_facts(df, column) if logical == "numeric" else None
+    kind = distribution_kind(df, column, logical, facts)
     if kind == "discrete":
         return kind, discrete_counts(df, column)
     if kind == "histogram":
-        parts = [
-            full_histogram(df, column).withColumn("range", F.lit("full")),
-            central_histogram(df, column).withColumn("range", F.lit("central")),
-        ]
-        return kind, parts[0].unionByName(parts[1], allowMissingColumns=True)
+        return kind, both_histograms(df, column, facts)
     if kind == "time":
         return kind, time_buckets(df, column)
     if kind == "category":

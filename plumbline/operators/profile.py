@@ -21,10 +21,14 @@ from plumbline.constants import (
 )
 from plumbline.functions.names import is_identifier
 from plumbline.functions.scalars import finite_or_null, iso_text, parse_date, quoted
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.distinct import distinct_counts
+from plumbline.operators.frequent import top_counts
+from plumbline.operators.quantiles import exact_quantiles, quantile_sketch
 from plumbline.operators.uniqueness import duplicate_count
 from plumbline.sources.rows import ROW_NUMBER, data_columns
-from plumbline.sources.storage import store
+
+
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def round_half_up(value: float, places: int) -> Decimal:
@@ -104,11 +108,6 @@ def _long(df: DataFrame, names: list[str], keep: list[str], value: Column | None
     return df.select(*keep, F.inline(cells)).filter(F.col("value").isNotNull())
 
 
-def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """(ordinal, value text, count) of the named columns."""
-    return _long(df, names, []).groupBy("ordinal", "value").agg(F.count("*").alias("value_count"))
-
-
 def _distinct_text(df: DataFrame, name: str) -> Column:
     """Text that differs exactly where the values do; both zeros are one value."""
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
@@ -124,14 +123,10 @@ def _distinct_cells(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.inline(cells)).filter(F.col("value").isNotNull())
 
 
-def _distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    return _distinct_cells(df, names).groupBy("ordinal", "value").agg(F.count("*").alias("value_count"))
-
-
 def column_unique(
     df: DataFrame, names: list[str] | None = None, relative_error: float | None = None
 ) -> DataFrame:
-    """(ordinal, column, unique count) of all columns in one pass.
+    """(ordinal, column, unique count) of all columns; see ``distinct``.
 
     A hot value collapses in its own task before the shuffle. With a relative error the counts are
     sketched instead, and only the sketches are shuffled.
@@ -139,7 +134,7 @@ def column_unique(
     names = data_columns(df) if names is None else names
     every = data_columns(df)
     if relative_error is None:
-        counted = _distinct_counts(df, names).groupBy("ordinal").agg(F.count("*").alias("unique_count"))
+        counted = distinct_counts(df, {n: every.index(n) + 1 for n in names})
     else:
         counted = _distinct_cells(df, names).groupBy("ordinal").agg(
             F.approx_count_distinct("value", relative_error).alias("unique_count")
@@ -272,7 +267,9 @@ def _ordered(df: DataFrame, name: str) -> Column:
 
 def _moments(df: DataFrame, name: str) -> Column:
     value = _ordered(df, name)
-    return F.struct(F.count(value), F.avg(value), F.stddev_samp(value), F.min(value), F.max(value))
+    return F.struct(
+        F.count(value), F.avg(value), F.stddev_samp(value), F.min(value), F.max(value), quantile_sketch(value, QUARTILES)
+    )
 
 
 def is_boolean(df: DataFrame, name: str) -> bool:
@@ -290,11 +287,12 @@ def numeric_summary(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _summary_rows(df: DataFrame, facts: dict[str, tuple]) -> DataFrame:
-    quartiles = exact_quantiles(df, {n: f[0] for n, f in facts.items()}, [0.25, 0.5, 0.75], infinite=True)
+    counts, sketches = {n: f[0] for n, f in facts.items()}, {n: f[5] for n, f in facts.items()}
+    quartiles = exact_quantiles(df, counts, QUARTILES, infinite=True, sketches=sketches)
     every = data_columns(df)
     rows = [
         (every.index(n) + 1, n, count, mean, deviation, low, *quartiles[n], high)
-        for n, (count, mean, deviation, low, high) in facts.items()
+        for n, (count, mean, deviation, low, high, _) in facts.items()
     ]
     measures = ("mean", "std", "minimum", "q25", "q50", "q75", "maximum")
     frame = df.sparkSession.createDataFrame(
@@ -355,20 +353,10 @@ def date_range(df: DataFrame, names: list[str]) -> DataFrame:
     ])))
 
 
-def top_values(df: DataFrame, names: list[str], k: int = TOP_VALUES) -> DataFrame:
-    """(ordinal, position, value, count): the k most common values, ties by value."""
-    if not names:
-        return df.sparkSession.createDataFrame([], "ordinal int, value string, value_count bigint, position bigint")
-    return _most_common(value_counts(df, names), k)
-
-
-def _most_common(counts: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("ordinal").orderBy(F.col("value_count").desc(), "value")
-    return (
-        counts.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= k)
-        .withColumn("position", F.col("position").cast("bigint"))
-    )
+def top_values(df: DataFrame, names: list[str], k: int = TOP_VALUES, distinct: int = 0) -> DataFrame:
+    """(ordinal, position, value, count): the k most common values, ties by value; see ``frequent``."""
+    every = data_columns(df)
+    return top_counts(df, {every.index(n) + 1: value_text(df, n) for n in names}, k, distinct)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -381,11 +369,11 @@ class Profile:
     """All parts of a profile: each column is summarised as its logical type asks."""
 
     source: DataFrame
+    rows_count: int
     types: dict[str, str]
     columns: DataFrame
     dates: DataFrame
     moments: dict[str, tuple]
-    counts: DataFrame
 
     def of(self, kind: str) -> list[str]:
         return [n for n, t in self.types.items() if t == kind]
@@ -401,8 +389,24 @@ class Profile:
 
     @property
     def common(self) -> DataFrame:
-        names = data_columns(self.source)
-        return _most_common(self.counts.filter(F.col("ordinal").isin([names.index(n) + 1 for n in self.of("categorical")])), TOP_VALUES)
+        """The most common values of the categorical columns, sought when asked for."""
+        names = self.of("categorical")
+        known = {r["column_name"]: r["unique_count"] for r in self.columns.collect()}
+        return top_values(self.source, names, distinct=max((known[n] for n in names), default=0))
+
+    @property
+    def summary(self) -> DataFrame:
+        """The row of ``profile_summary``; only the duplicates are still to be counted."""
+        repeats = duplicate_count(self.source, data_columns(self.source))
+        missing = self.columns.agg(
+            F.sum("missing_count").alias("total_missing_values"),
+            F.count_if(F.col("missing_count") > 0).alias("columns_with_missing_values"),
+        ).first()
+        return repeats.select(
+            F.lit(self.rows_count).cast("bigint").alias("rows_count"), F.lit(len(self.types)).cast("bigint").alias("columns_count"),
+            F.col("duplicate_rows").alias("duplicate_rows_count"), F.lit(missing[0]).cast("bigint").alias("total_missing_values"),
+            F.lit(missing[1]).cast("bigint").alias("columns_with_missing_values"),
+        )
 
     @property
     def samples(self) -> DataFrame:
@@ -410,10 +414,10 @@ class Profile:
 
 
 def profile_table(df: DataFrame) -> Profile:
-    """The whole profile from one wide aggregate and one stored frame of value counts.
+    """The whole profile from one wide aggregate and the distinct counts.
 
-    The aggregate has counts, moments and date bounds of every column; the frame (ordinal, value,
-    count) gives distinct counts and the most common values. One row per column is collected.
+    The aggregate has counts, moments, quantile sketches and date bounds of every column. One row per
+    column is collected; quartiles, most common values and samples are sought when asked for.
     """
     names, spark = data_columns(df), df.sparkSession
     known = {n: _known_type(df, n) for n in names}
@@ -426,8 +430,7 @@ def profile_table(df: DataFrame) -> Profile:
         *[F.struct(F.count(d), iso_text(F.min(d)), iso_text(F.max(d))).alias(f"d{i}")
           for i, d in enumerate(as_date(df, n) for n in dated)],
     ).first()
-    counts = store(_distinct_counts(df, names), "value-counts")
-    unique = {r["ordinal"]: r["n"] for r in counts.groupBy("ordinal").agg(F.count("*").alias("n")).collect()}
+    unique = {r["ordinal"]: r["unique_count"] for r in distinct_counts(df, {n: i for i, n in enumerate(names, 1)}).collect()}
     rows, dates = facts["rows"], {n: tuple(facts[f"d{i}"]) for i, n in enumerate(dated)}
     types, columns = {}, []
     for i, name in enumerate(names):
@@ -439,6 +442,7 @@ def profile_table(df: DataFrame) -> Profile:
                         float(round_half_up(100.0 * (rows - filled) / rows, 2)) if rows else 0.0, unique.get(i + 1, 0)))
     return Profile(
         df,
+        rows,
         types,
         spark.createDataFrame(
             columns,
@@ -448,5 +452,4 @@ def profile_table(df: DataFrame) -> Profile:
             [(names.index(n) + 1, n, low, high) for n, (_, low, high) in dates.items() if types[n] == "datetime"],
             "ordinal int, column_name string, minimum string, maximum string"),
         {n: tuple(facts[f"m{i}"]) for i, n in enumerate(numbers) if types[n] == "numeric"},
-        counts,
     )

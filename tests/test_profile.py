@@ -101,7 +101,7 @@ def test_narrowed_quantiles_equal_numpy(spark, gather):
     shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     counts = dict.fromkeys(table.columns, len(rows))
     direct = exact_quantiles(table, counts, shares)
-    narrow = exact_quantiles(table, counts, shares, gather_rows=gather, accuracy=50)
+    narrow = exact_quantiles(table, counts, shares, gather_rows=gather)
     assert direct == narrow
     for name, values in (("spread", spread), ("hot", hot)):
         expected = np.quantile(values, shares)
