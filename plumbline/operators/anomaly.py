@@ -140,6 +140,10 @@ class Review:
             self._queue.append(stored_by(self.flagged, review_order(), "queue", name=POSITION))
         return self._queue[0]
 
+    def row(self, number: int) -> DataFrame:
+        """One row by its number; no other is scored."""
+        return flagged_rows(self.source.filter(F.col(ROW_NUMBER) == number), self.bounds, self.forest)
+
     @property
     def evaluated(self) -> bool:
         return self.forest is not None or any(b.evaluated for b in self.bounds)
@@ -157,32 +161,35 @@ def outside(df: DataFrame, bound: Bound) -> Column:
 def review(df: DataFrame, with_forest: bool = True) -> Review:
     """Detect anomalies in a numbered table.
 
-    With the forest, the scores are stored and joined by row number, and so are the flagged rows:
-    counts, pages and evidence then read those few rows.
+    Every row is scored and flagged in one pass without a join. With the forest the flagged rows are
+    stored: counts, pages and evidence then read those few rows.
     """
     fields = numeric_fields(df)
     stats = field_stats(df, fields)
     bounds = anomaly_bounds(df, stats)
     gate = forest = None
-    rows = df.withColumn("forest_score", F.lit(None).cast("double"))
     if with_forest:
         gate = forest_gate(df, {f: (s.rows, s.varies) for f, s in stats.items()})
         forest = fit_forest(df, gate)
-        if forest:
-            rows = df.join(forest.scores, ROW_NUMBER, "left")
+    rows = flagged_rows(df, bounds, forest)
+    flagged = rows.filter(F.col("votes") > 0)
+    if forest:
+        flagged = store(flagged, "flagged")
+    return Review(df, rows, flagged, bounds, fields, gate, forest, data_columns(df))
+
+
+def flagged_rows(df: DataFrame, bounds: list[Bound], forest: Forest | None) -> DataFrame:
+    """Rows with forest score, votes and signals, in one pass over them."""
+    rows = df.withColumn("forest_score", forest.score(df) if forest else F.lit(None).cast("double"))
     flags = [(b.signal, outside(df, b)) for b in bounds if b.evaluated]
     if forest:
         flags.append((FOREST, F.coalesce(F.col("forest_score") < 0, F.lit(False))))
     # Votes are counted apart from the names, so that the filter on them stays in generated code.
-    rows = rows.withColumns({
+    return rows.withColumns({
         "votes": reduce(lambda a, b: a + b, [hit.cast("bigint") for _, hit in flags], F.lit(0).cast("bigint")),
         "signals": F.array_compact(F.array(*[F.when(hit, name) for name, hit in flags]))
         if flags else F.array().cast("array<string>"),
     })
-    flagged = rows.filter(F.col("votes") > 0)
-    if forest:
-        flagged = store(flagged, "flagged")
-    return Review(df, rows, flagged, bounds, fields, gate, forest, data_columns(df))
 
 
 def bounds_table(df: DataFrame, bounds: list[Bound]) -> DataFrame:
@@ -195,7 +202,8 @@ def bounds_table(df: DataFrame, bounds: list[Bound]) -> DataFrame:
 
 
 def method_counts(found: Review) -> DataFrame:
-    """(ordinal, method, fields, status, reason, evaluated, flagged): one aggregate over the flags."""
+    """(ordinal, method, fields, status, reason, evaluated, flagged) and, for the forest, the rows its trees
+    were grown from and its contamination: one aggregate over the flags."""
     entries = [
         (b.method, b.field, b.evaluated, b.reason, b.evaluated_rows, b.signal) for b in found.bounds
     ]
@@ -215,6 +223,8 @@ def method_counts(found: Review) -> DataFrame:
             F.lit(reason).cast("string").alias("reason"),
             F.lit(evaluated).cast("bigint").alias("evaluated_rows"),
             (F.col(f"n{i}") if ok else F.lit(None).cast("bigint")).alias("flagged_rows"),
+            F.lit(found.forest.training_rows if ok and method == FOREST else None).cast("bigint").alias("training_rows"),
+            F.lit(found.forest.contamination if ok and method == FOREST else None).cast("double").alias("contamination"),
         )
         for i, (method, name, ok, reason, evaluated, _) in enumerate(entries, 1)
     ])

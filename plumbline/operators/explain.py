@@ -135,4 +135,4 @@ def explain_row(found: Review, row_number: int) -> DataFrame:
     last = found.source.agg(F.max(ROW_NUMBER)).first()[0] or 0
     if not 1 <= row_number <= last:
         raise ValueError(f"Row {row_number} is not in the table.")
-    return explain_rows(found, found.rows.filter(F.col(ROW_NUMBER) == row_number))
+    return explain_rows(found, found.row(row_number))

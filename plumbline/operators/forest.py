@@ -3,7 +3,7 @@
 Complete rows stand in the order of a seeded digest and each tree takes the next 256 of them, starting
 over when all are used. The model has a fixed size, whatever the table. Splits are drawn from digests of
 seed, tree and node, so the same rows give the same trees anywhere. Trees grow in parallel groups; the
-finished node table is broadcast and rows are scored once, in Arrow batches where they lie.
+finished node table is broadcast and rows are scored where they lie, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.constants import (
     FOREST_CONTAMINATION,
@@ -28,7 +28,7 @@ from plumbline.constants import (
 from plumbline.functions.scalars import finite_or_null, quoted
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.sources.rows import ROW_NUMBER
-from plumbline.sources.storage import store
+from plumbline.sources.storage import discard, store
 
 # Executors need not have this package installed: its small helpers travel with each task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -199,32 +199,42 @@ class Forest:
     training_rows: int
     contamination: float
     offset: float
-    scores: DataFrame  # row number, forest_score: stored, each complete row scored once
+    arrays: Broadcast  # the trees: at most 511 nodes each
 
+    def score(self, df: DataFrame) -> Column:
+        """The decision score of each complete row, in place; NULL for the others. Below 0 is unusual."""
+        return F.round(raw_score(df, self.fields, self.arrays) - F.lit(self.offset), SCORE_PLACES)
 
-def score_rows(df: DataFrame, fields: list[str], arrays: tuple) -> DataFrame:
-    """(row number, score) of the complete rows, rounded to nine places so that the order in which paths
-    are added cannot change a result."""
-    matrix = _matrix(df, fields)
-    shared = df.sparkSession.sparkContext.broadcast(arrays)
+
+def raw_score(df: DataFrame, fields: list[str], arrays: Broadcast) -> Column:
+    """The score of a row by the trees, rounded to nine places so that the order in which paths are added
+    cannot change a result; NULL where a field is missing or not finite."""
 
     @F.pandas_udf("double")
     def scores(*columns: pd.Series) -> pd.Series:
-        return pd.Series(_score(shared.value, np.vstack([c.to_numpy(dtype=float) for c in columns])))
+        values = np.vstack([c.to_numpy(dtype=float) for c in columns])
+        complete = ~np.isnan(values).any(axis=0)
+        found = np.full(values.shape[1], np.nan)
+        found[complete] = _score(arrays.value, np.ascontiguousarray(values[:, complete]))
+        return pd.Series(found)
 
-    raw = scores.asNondeterministic()(*[F.col(f"x{i}") for i in range(len(fields))])
-    return matrix.select(ROW_NUMBER, F.round(raw, SCORE_PLACES).alias("score"))
+    values = [finite_or_null(quoted(f).cast("double")) for f in fields]
+    return F.round(scores.asNondeterministic()(*values), SCORE_PLACES)
 
 
 def fit_forest(df: DataFrame, gate: ForestGate, trees: int = FOREST_TREES) -> Forest | None:
-    """Grow the trees and score all complete rows; the cut-off is the exact 1 % quantile of the scores."""
+    """Grow the trees; the cut-off is the exact 1 % quantile of the scores of all complete rows.
+
+    The scores alone, a double a row, are stored for it. Rows get theirs again where they are read,
+    which costs less than to bring a stored score back to each row by a join of the whole table.
+    """
     if not gate.open:
         return None
     sample = forest_sample(df, gate, trees)
     nodes = forest_model(sample, trees).toPandas()  # at most 511 nodes a tree
-    arrays = node_arrays(nodes, min(FOREST_TREE_ROWS, gate.complete_rows))
-    scored = store(score_rows(df, gate.fields, arrays), "forest-scores")
+    arrays = df.sparkSession.sparkContext.broadcast(node_arrays(nodes, min(FOREST_TREE_ROWS, gate.complete_rows)))
+    scored = store(df.select(raw_score(df, gate.fields, arrays).alias("score")).dropna(), "forest-scores")
     offset = exact_quantiles(scored, {"score": gate.complete_rows}, [FOREST_CONTAMINATION])["score"][0]
-    decided = scored.select(ROW_NUMBER, F.round(F.col("score") - F.lit(offset), SCORE_PLACES).alias("forest_score"))
+    discard(scored)
     used = min(trees * FOREST_TREE_ROWS, gate.complete_rows)
-    return Forest(gate.fields, gate.complete_rows, used, FOREST_CONTAMINATION, offset, decided)
+    return Forest(gate.fields, gate.complete_rows, used, FOREST_CONTAMINATION, offset, arrays)

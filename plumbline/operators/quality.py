@@ -272,7 +272,8 @@ def validity(assessment: Assessment) -> DataFrame:
 
 
 def consistency_checks(assessment: Assessment) -> DataFrame:
-    """One row per evaluated rule."""
+    """One row per evaluated rule. The line total says whether discounted rows are left out, and which
+    column's tax is added."""
     roles = assessment.roles
     product_columns = [roles.get("product_id"), roles.get("product_name")]
     total_columns = [roles.get(r) for r in ("quantity", "unit_price", "line_total")]
@@ -284,6 +285,8 @@ def consistency_checks(assessment: Assessment) -> DataFrame:
             F.col("codes_affected").alias("affected"),
             F.lit(None).cast("double").alias("coverage_percentage"),
             F.lit(", ".join(map(str, product_columns))).alias("columns"),
+            F.lit(None).cast("boolean").alias("discounted_rows_excluded"),
+            F.lit(None).cast("string").alias("tax_amount_column"),
         ),
         F.struct(
             F.lit("line_total").alias("rule"),
@@ -292,6 +295,8 @@ def consistency_checks(assessment: Assessment) -> DataFrame:
             F.col("totals_affected").alias("affected"),
             F.round(_percent(F.col("totals_checked"), F.col("rows_count")), 2).alias("coverage_percentage"),
             F.lit(", ".join(map(str, total_columns))).alias("columns"),
+            F.lit(roles.has("discount_applied")).alias("discounted_rows_excluded"),
+            F.lit(roles.get("tax_amount")).cast("string").alias("tax_amount_column"),
         ),
     )
     return (

@@ -171,7 +171,8 @@ _QUARTILE = (
 SQL = {
     "ledger_totals": _ledger(
         """SELECT 'line_total' AS rule, round(100 * (1 - affected / checked), 2) AS score, checked, affected,
-  round(100.0 * checked / n + 1e-9, 2) AS coverage_percentage, 'Qty, Unit price, Total' AS columns
+  round(100.0 * checked / n + 1e-9, 2) AS coverage_percentage, 'Qty, Unit price, Total' AS columns,
+  true AS discounted_rows_excluded, 'Tax 5%' AS tax_amount_column
 FROM (SELECT count(*) AS n, count(*) FILTER (comparable) AS checked, count(*) FILTER (comparable AND
         abs("Total" - ("Qty" * "Unit price" + "Tax 5%")) > greatest(0.02, 0.001 * abs("Total"))) AS affected
       FROM (SELECT *, "Qty" IS NOT NULL AND "Tax 5%" IS NOT NULL AND lower(trim("Discount Applied")) IN ('false', '0', 'no') AS comparable FROM ledger))"""),
@@ -225,7 +226,7 @@ UNION ALL SELECT 'ledger', 'unit_price', 'matched', 'Unit price'
 UNION ALL SELECT 'ledger_two_prices', 'unit_price', 'ambiguous', 'Unit price, Price Per Unit'""",
     "texts_only_methods": """
 SELECT CAST(ordinal AS INT) AS ordinal, method, '' AS field, 'not_evaluated' AS status, reason, CAST(NULL AS BIGINT) AS evaluated_rows,
-  CAST(NULL AS BIGINT) AS flagged_rows
+  CAST(NULL AS BIGINT) AS flagged_rows, CAST(NULL AS BIGINT) AS training_rows, CAST(NULL AS DOUBLE) AS contamination
 FROM (VALUES (1, 'iqr', 'No usable fields'), (2, 'z_score', 'No usable fields'), (3, 'isolation_forest', 'GATE')) v(ordinal, method, reason)
 """.replace("GATE", K.FOREST_GATE_REASON.replace("'", "''")),
     "schema_probe": """

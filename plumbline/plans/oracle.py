@@ -359,19 +359,21 @@ flagged AS MATERIALIZED (
   FROM evidence e LEFT JOIN forest f ON e.row_number = f.row_number GROUP BY e.row_number)
 """
 FOREST_EVALUATED = ("'" + ", ".join(RETAIL_FIELDS) + "'", "'evaluated'", "CAST(NULL AS VARCHAR)", "(SELECT count(*) FROM forest)",
-                    "(SELECT count(*) FROM forest WHERE forest_score < 0)")
-FOREST_CLOSED = ("''", "'not_evaluated'", text(K.FOREST_GATE_REASON), "CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)")
+                    "(SELECT count(*) FROM forest WHERE forest_score < 0)", "(SELECT CAST(pool_rows AS BIGINT) FROM sizes)",
+                    f"CAST({K.FOREST_CONTAMINATION} AS DOUBLE)")
+FOREST_CLOSED = ("''", "'not_evaluated'", text(K.FOREST_GATE_REASON), "CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)",
+                 "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)")
 
 
 def counts_cte(forest: tuple) -> str:
-    name, status, reason, rows, flags = forest
+    name, status, reason, rows, flags, training, contamination = forest
     return f"""method_counts AS (
   SELECT CAST(row_number() OVER (ORDER BY method_order, field_order) AS INT) AS ordinal, * EXCLUDE (method_order, field_order) FROM (
     SELECT b.method, b.field, 'evaluated' AS status, CAST(NULL AS VARCHAR) AS reason, b.evaluated_rows, count(h.row_number) AS flagged_rows,
-      CASE b.method WHEN 'iqr' THEN 1 ELSE 2 END AS method_order, b.field_order
+      CAST(NULL AS BIGINT) AS training_rows, CAST(NULL AS DOUBLE) AS contamination, CASE b.method WHEN 'iqr' THEN 1 ELSE 2 END AS method_order, b.field_order
     FROM bounds b LEFT JOIN evidence h ON b.method = h.method AND b.field = h.field
     GROUP BY b.method, b.field, b.field_order, b.evaluated_rows
-    UNION ALL SELECT 'isolation_forest', {name}, {status}, {reason}, {rows}, {flags}, 3, 1))"""
+    UNION ALL SELECT 'isolation_forest', {name}, {status}, {reason}, {rows}, {flags}, {training}, {contamination}, 3, 1))"""
 
 
 REVIEW_ORDER = "votes DESC, coalesce(forest_score, 0.0) ASC, row_number"
@@ -608,8 +610,8 @@ FROM stems""",
     "product_description": quality("SELECT codes AS codes_checked, bad_codes AS codes_affected FROM scored"),
     "line_total": quality(
         "SELECT 'line_total' AS rule, totals_score AS score, complete_rows AS checked, mismatches AS affected, "
-        "round(100.0 * complete_rows / n, 2) AS coverage_percentage, 'Quantity, UnitPrice, LineTotal' AS columns "
-        "FROM scored"),
+        "round(100.0 * complete_rows / n, 2) AS coverage_percentage, 'Quantity, UnitPrice, LineTotal' AS columns, "
+        "false AS discounted_rows_excluded, CAST(NULL AS VARCHAR) AS tax_amount_column FROM scored"),
     "line_total_mismatches": retail(
         "SELECT row_number, qty AS quantity, UnitPrice AS unit_price, LineTotal AS line_total, "
         "round(expected, 4) AS expected_total, round(LineTotal - expected, 4) AS difference FROM checked WHERE mismatch",

@@ -112,22 +112,34 @@ def test_forest_sample_is_bounded_and_exact(numbered):
     assert bounded == expected
 
 
-def test_flagged_rows_are_scored_once(numbered):
+def test_rows_are_scored_in_place(numbered, spark, tmp_path):
     rows = [(float(i % 50), float(i * 13 % 47)) for i in range(300)]
-    found = A.review(numbered(rows, "a double, b double"))
-    for frame in (found.rows, found.rows.filter("votes > 0"), found.flagged):
-        plan = frame._jdf.queryExecution().executedPlan().toString()
-        assert "ArrowEvalPython" not in plan  # the scores are stored
-    scores = FR.score_rows(found.rows, ["a", "b"], (np.zeros((1, 1), int), np.zeros((1, 1)), np.ones((1, 1)), 1.0))
-    plan = scores.filter("score < 0")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+    numbered(rows, "a double, b double").write.parquet(str(tmp_path / "t"))
+    found = A.review(spark.read.parquet(str(tmp_path / "t")))
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    for frame, times in ((found.rows, 1), (found.rows.filter("votes > 0"), 1), (found.flagged, 0)):
+        assert plan(frame).count("ArrowEvalPython") == times
+        assert "Join" not in plan(frame) and "Exchange" not in plan(frame)
+    assert "EqualTo(row_number,7)" in plan(found.row(7))  # no other row is read, so none is scored
+    assert found.row(7).collect() == found.rows.filter("row_number = 7").collect()
+
+
+def test_method_table_tells_how_the_forest_was_fitted(numbered):
+    rows = [(float(i % 50), float(i * 13 % 47)) for i in range(300)]
+    counts = {r["method"]: (r["training_rows"], r["contamination"]) for r in A.method_counts(A.review(numbered(rows, "a double, b double"))).collect()}
+    assert counts == {"iqr": (None, None), "z_score": (None, None), "isolation_forest": (300, 0.01)}
+    closed = A.method_counts(A.review(numbered(rows[:10], "a double, b double"))).filter("method = 'isolation_forest'").first()
+    assert (closed["training_rows"], closed["contamination"]) == (None, None)
 
 
 def test_forest_finds_the_far_point(numbered):
     rows = [(float(i % 50), float(i * 13 % 47)) for i in range(2_000)] + [(5_000.0, -5_000.0)]
     table = numbered(rows, "a double, b double")
     fitted = FR.fit_forest(table, FR.ForestGate(["a", "b"], len(rows)))
-    scored = fitted.scores.select("row_number", F.col("forest_score").alias("s"))
+    scored = table.select("row_number", fitted.score(table).alias("s"))
     assert scored.orderBy("s").first()["row_number"] == len(rows)
     share = scored.filter("s < 0").count() / len(rows)
     assert 0.002 < share <= 0.0105

@@ -1,10 +1,14 @@
 """Scores on small tables with known answers."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.functions.names import Roles, is_identifier, resolve_roles, role_table
 from plumbline.operators import quality as Q
-from plumbline.operators.uniqueness import duplicate_count, duplicate_rows
+from plumbline.operators import uniqueness as uniqueness_module
+from plumbline.operators.uniqueness import duplicate_count, duplicate_rows, possible_repeats, row_hash
 
 INF = float("inf")
 
@@ -124,6 +128,7 @@ def test_alternate_headers(numbered):
     assert (found["invalid_rows"], found["complete_input_rows"], found["coverage_percentage"]) == (1, 3, 100.0)
     check = one(Q.consistency_checks(assessment))
     assert (check["rule"], check["checked"], check["affected"]) == ("line_total", 3, 1)
+    assert (check["discounted_rows_excluded"], check["tax_amount_column"]) == (True, None)
 
 
 def test_tax_and_discount(numbered):
@@ -133,6 +138,7 @@ def test_tax_and_discount(numbered):
         "`Discount Applied` boolean")
     check = one(Q.consistency_checks(Q.assess(table)))
     assert (check["checked"], check["affected"], check["coverage_percentage"]) == (1, 0, 50.0)
+    assert (check["discounted_rows_excluded"], check["tax_amount_column"]) == (True, "Tax 5%")
 
 
 def test_float_discount_flags_exclude_every_row(numbered):
@@ -173,3 +179,36 @@ def test_hot_group_of_copies(numbered, partitions):
 
 def test_roles_need_exactly_one_header():
     assert Roles().has("quantity") is False
+
+
+def test_duplicates_leave_the_scan_through_a_filter(numbered):
+    rng = random.Random(4)
+    rows = [(rng.randrange(10**9), rng.choice([None, "a", "b"]), rng.choice([0.0, -0.0, float("nan"), None])) for _ in range(4_000)]
+    rows += [rng.choice(rows) for _ in range(300)] + [rows[0]] * 200
+    table = numbered(rows, "N bigint, S string, X double", 7)
+    wanted, seen = [], set()
+    for i, (n, s, x) in enumerate(rows, 1):
+        key = (n, s, None if x is None or x != x else abs(x))
+        wanted += [i] if key in seen else []
+        seen.add(key)
+    assert sorted(r["row_number"] for r in duplicate_rows(table).collect()) == wanted
+    assert duplicate_count(table).first()[0] == len(wanted)
+    possible = possible_repeats(table)
+    copied = table.select(row_hash(table, ["N", "S", "X"]).alias("h")).groupBy("h").count().filter("count > 1").agg(F.sum("count")).first()[0]
+    assert copied <= possible.count() <= copied + 0.02 * len(rows)
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in (possible, table)]
+    assert plans[0].count("Exchange hashpartitioning") == plans[1].count("Exchange hashpartitioning")
+    assert "BroadcastNestedLoopJoin" in plans[0]
+
+
+@pytest.mark.parametrize("words", [1, 2])
+def test_a_filter_that_is_too_small_loses_nothing(numbered, monkeypatch, words):
+    monkeypatch.setattr(uniqueness_module, "MOST_WORDS", words)
+    rows = [(i % 700, "x") for i in range(1_500)]
+    table = numbered(rows, "N bigint, S string", 4)
+    assert sorted(r["row_number"] for r in duplicate_rows(table).collect()) == list(range(701, 1_501))
+
+
+def test_tables_without_repeats(numbered):
+    assert duplicate_rows(numbered([(i,) for i in range(50)], "N bigint")).count() == 0
+    assert duplicate_rows(numbered([], "N bigint")).count() == 0
