@@ -758,3 +758,24 @@ UNION ALL SELECT 0, 'Other', CAST(sum(value_count) AS BIGINT) FROM counts WHERE
 }
 
 SQL.update(ledger.SQL)
+
+# The columns of each part of the report by name, and the query that has its rows.
+REPORT_PARTS = {
+    "headline": ("report_headline", "columns duplicate_rows first_high_finding flagged_rows grade high_findings limiting_dimension "
+                 "limiting_dimension_score missing_cells rows score weighted_mean"),
+    "dimensions": ("report_dimensions", "dimension ordinal reason score weight"),
+    "notes": ("report_notes", "note ordinal"),
+    "findings": ("report_findings", "affected area evidence position severity"),
+    "columns": ("report_columns", "column_name missing ordinal type unique"),
+    "methods": ("report_methods", "fields flags method ordinal reason"),
+    "examples": ("report_examples", "category evidence message next_step row_number"),
+    "retail_context": ("anomaly_retail_context", "flagged_negative_quantity_with_cancellation flagged_negative_quantity_without_cancellation"),
+}
+
+
+def report_part(name: str, key: str, columns: str) -> str:
+    cells = ", ".join(f"""coalesce(CAST("{c}" AS VARCHAR), '-')""" for c in columns.split())
+    return f"SELECT '{name}' AS part, concat_ws(' | ', {cells}) AS content FROM ({SQL[key]})"
+
+
+SQL["report_all"] = union(report_part(name, key, columns) for name, (key, columns) in REPORT_PARTS.items())

@@ -687,9 +687,14 @@ def report_examples(spark, sf):
 
 @query
 def report_all(spark, sf):
-    """All report parts with the forest, as (part, row as JSON)."""
-    tables = report.build_report(stored_retail(spark, sf)).tables
+    """All report parts with the forest, written as one report and read again: (part, its row as text)."""
+    folder = new_path(spark, "report")
+    report.build_report(stored_retail(spark, sf)).write(folder)
+
+    def row(part):
+        return F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(part.columns)])
+
+    tables = report.read_report(spark, folder).tables
     return reduce(DataFrame.unionByName, [
-        part.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("content"))
-        for name, part in tables.items()
+        part.select(F.lit(name).alias("part"), row(part).alias("content")) for name, part in tables.items()
     ])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline import constants as K
 from plumbline.functions.scalars import display_label, number_text, report_text
@@ -24,7 +26,7 @@ from plumbline.operators.quality import (
     severity_rank,
 )
 from plumbline.sources.rows import ROW_NUMBER
-from plumbline.sources.storage import pin
+from plumbline.sources.storage import delete_folder, folder_exists, folders_below, pin, replace_file
 
 
 def _fold(*facts: DataFrame) -> DataFrame:
@@ -163,14 +165,35 @@ def report_examples(found: Review, limit: int = K.REPORT_EXAMPLES) -> DataFrame:
     )
 
 
+MANIFEST = "manifest.json"
+ORDERED_BY = {"dimensions": "ordinal", "notes": "ordinal", "findings": "position", "columns": "ordinal", "methods": "ordinal"}
+
+
 @dataclass(frozen=True)
 class Report:
     tables: dict[str, DataFrame]
 
-    def write(self, folder: str) -> None:
-        """One Parquet table per part."""
-        for name, table in self.tables.items():
-            table.write.parquet(f"{folder}/{name}")
+    def write(self, folder: str) -> str:
+        """All parts as Parquet tables of one version; its name.
+
+        The version counts once its manifest has replaced the last one, in one step and after all parts
+        are written. A write that fails leaves the last report as it was. The version before stays for
+        those who still read it; earlier ones are deleted.
+        """
+        spark = next(iter(self.tables.values())).sparkSession
+        last = _manifest(spark, folder)
+        version = uuid.uuid4().hex
+        try:
+            for name, table in self.tables.items():
+                table.write.parquet(f"{folder}/{version}/{name}")
+            replace_file(spark, f"{folder}/{MANIFEST}", json.dumps({"version": version, "parts": list(self.tables)}))
+        except BaseException:
+            delete_folder(spark, f"{folder}/{version}")
+            raise
+        for name in folders_below(spark, folder):
+            if name not in (version, last and last["version"]):
+                delete_folder(spark, f"{folder}/{name}")
+        return version
 
     def markdown(self, limit: int | None = None) -> str:
         """A text rendering of the first ``limit`` rows of each table, all of them by default; what a
@@ -187,6 +210,20 @@ class Report:
         return "\n".join(parts) + "\n"
 
 
+def _manifest(spark: SparkSession, folder: str) -> dict | None:
+    path = f"{folder}/{MANIFEST}"
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if folder_exists(spark, path) else None
+
+
+def read_report(spark: SparkSession, folder: str) -> Report:
+    """The report that the manifest names, its tables in their order."""
+    found = _manifest(spark, folder)
+    if found is None:
+        raise ValueError(f"{folder} holds no report.")
+    tables = {name: spark.read.parquet(f"{folder}/{found['version']}/{name}") for name in found["parts"]}
+    return Report({n: t.orderBy(ORDERED_BY[n]) if n in ORDERED_BY else t for n, t in tables.items()})
+
+
 def build_report(df: DataFrame, with_forest: bool = True) -> Report:
     """All report tables of a numbered table. Facts and flags are computed once and shared.
 

@@ -80,6 +80,27 @@ def move_folder(spark: SparkSession, source: str, target: str) -> None:
         raise FileExistsError(f"{target} could not be taken by a new table.")
 
 
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in the place of another in one step: readers see the old one or the new one."""
+    system, goal = _located(spark, path)
+    hadoop, settings = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    draft = hadoop.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    stream = system.create(draft, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    rename = getattr(hadoop, "Options$Rename")
+    modes = spark.sparkContext._gateway.new_array(rename, 1)
+    modes[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(system.getUri(), settings).rename(system.makeQualified(draft), system.makeQualified(goal), modes)
+
+
+def folders_below(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder, the oldest first."""
+    system, path = _located(spark, folder)
+    found = [s for s in system.listStatus(path) if s.isDirectory()]
+    return [s.getPath().getName() for s in sorted(found, key=lambda s: s.getModificationTime())]
+
+
 def pin(df: DataFrame, most: int = MOST_PINNED_ROWS) -> DataFrame:
     """Keep a frame of aggregated facts, whose size is bounded by the schema, as literal rows."""
     rows = df.limit(most + 1).collect()

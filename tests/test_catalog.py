@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.faults import inject_faults
-from plumbline.plans.report import build_report
+from plumbline.plans.report import Report, build_report, read_report
 from plumbline.sources import catalog as C
 
 
@@ -103,6 +103,39 @@ def test_report(numbered, tmp_path, spark):
     assert "retail_context" not in report.tables
     example = report.tables["examples"].first()
     assert example["row_number"] == 4 and "Amount is above the IQR boundary." in example["evidence"]
-    report.write(str(tmp_path / "report"))
-    assert spark.read.parquet(str(tmp_path / "report" / "columns")).count() == 2
-    assert "## Headline" in report.markdown()
+    folder = str(tmp_path / "report")
+    report.write(folder)
+    stored = read_report(spark, folder)
+    assert list(stored.tables) == list(report.tables)
+    assert all(stored.tables[n].collect() == t.collect() for n, t in report.tables.items())
+    assert "## Headline" in report.markdown() == stored.markdown()
+
+
+def names(folder):
+    return sorted(p.name for p in folder.iterdir() if not p.name.startswith("."))
+
+
+def test_a_report_is_written_as_one(spark, tmp_path):
+    folder = tmp_path / "report"
+
+    def version(n):
+        return Report({"columns": spark.createDataFrame([(i, n) for i in range(3)], "ordinal int, n int"),
+                       "examples": spark.createDataFrame([(n,)], "n int")})
+
+    with pytest.raises(ValueError, match="no report"):
+        read_report(spark, str(folder))
+    first = version(1).write(str(folder))
+    assert names(folder) == sorted([first, "manifest.json"])
+    open_reader = read_report(spark, str(folder))
+    broken = Report({**version(2).tables, "examples": spark.range(1).select(F.raise_error(F.lit("lost")).alias("n"))})
+    with pytest.raises(Exception, match="lost"):
+        broken.write(str(folder))
+    assert names(folder) == sorted([first, "manifest.json"])
+    assert read_report(spark, str(folder)).tables["examples"].first()["n"] == 1
+    second = version(2).write(str(folder))
+    assert names(folder) == sorted([first, second, "manifest.json"])
+    assert open_reader.tables["examples"].first()["n"] == 1
+    third = version(3).write(str(folder))
+    assert names(folder) == sorted([second, third, "manifest.json"])
+    found = read_report(spark, str(folder)).tables
+    assert [tuple(r) for r in found["columns"].collect()] == [(0, 3), (1, 3), (2, 3)]
