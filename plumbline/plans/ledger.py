@@ -11,6 +11,7 @@ from plumbline.functions.names import role_table
 from plumbline.functions.scalars import says_no_discount
 from plumbline.operators import anomaly, distribution, profile, quality
 from plumbline.plans.retail import table
+from plumbline.plans.sql import IDENTIFIER, NUMBER_KINDS, column_facts, roles_of
 from plumbline.sources.rows import stored_by
 from plumbline.sources.storage import store_once
 
@@ -100,12 +101,12 @@ def ledger_summary(spark, sf):
 
 
 def ledger_roles(spark, sf):
-    """Roles of the ledger's headers and of the same with a second price header."""
-    headers = [c for c in stored_ledger(spark, sf).columns if c != "row_number"]
-    listed = [("ledger", i, name) for i, name in enumerate(headers, 1)]
-    listed += [("ledger_two_prices", i, name) for i, name in enumerate([*headers, "Price Per Unit"], 1)]
-    frame = spark.createDataFrame(listed, "table_name string, ordinal int, column_name string")
-    return role_table(frame).select("table_name", "role", "status", F.array_join("columns", ", ").alias("columns"))
+    """Roles of the ledger's filled columns, and of the same with a second price column."""
+    df = stored_ledger(spark, sf)
+    two_prices = df.withColumn("Price Per Unit", F.col("`Unit price`"))
+    parts = [profile.column_missing(t).withColumn("table_name", F.lit(name)) for name, t in (("ledger", df), ("ledger_two_prices", two_prices))]
+    filled = reduce(DataFrame.unionByName, parts).filter(F.col("missing_count") < F.col("rows_count"))
+    return role_table(filled).select("table_name", "role", "status", F.array_join("columns", ", ").alias("columns"))
 
 
 def texts_only_methods(spark, sf):
@@ -115,22 +116,22 @@ def texts_only_methods(spark, sf):
 
 
 def schema_probe(spark, sf):
-    """Columns that are asked for, and whether each table has them; an unknown one is refused."""
-    rows = []
-    for name in ("orders", "documents", "ledger"):
-        df = stored_ledger(spark, sf) if name == "ledger" else table(spark, sf, name)
-        for column in ("o_totalprice", "text", "Total"):
+    """Every header of three tables asked of each of them: refused, or scanned alone and counted."""
+    tables = {"orders": table(spark, sf, "orders"), "documents": table(spark, sf, "documents"), "ledger": stored_ledger(spark, sf).drop("row_number")}
+    asked = sorted({name for df in tables.values() for name in df.columns})
+    parts = []
+    for name, df in tables.items():
+        for column in asked:
             try:
                 distribution.require_column(df, column)
-                rows.append((name, column, True))
+                counted = df.agg(F.count(F.col(f"`{column}`")).alias("value_count"))
             except ValueError:
-                rows.append((name, column, False))
-    counts = reduce(DataFrame.unionByName, [
-        (stored_ledger(spark, sf) if name == "ledger" else table(spark, sf, name)).agg(F.count("*").alias("rows_count"))
-        .select(F.lit(name).alias("table_name"), "rows_count") for name in ("orders", "documents", "ledger")
-    ])
-    known = spark.createDataFrame(rows, "table_name string, column_name string, accepted boolean")
-    return known.join(counts, "table_name")
+                counted = df.limit(0).agg(F.lit(None).cast("bigint").alias("value_count"))
+            parts.append(counted.select(
+                F.lit(name).alias("table_name"), F.lit(column).alias("column_name"),
+                F.col("value_count").isNotNull().alias("accepted"), "value_count",
+            ))
+    return reduce(DataFrame.unionAll, parts)
 
 
 QUERIES = [
@@ -154,12 +155,17 @@ ledger AS (
 """
 
 
-def _ledger(body: str) -> str:
-    return "WITH " + LEDGER.strip() + "\n" + body
+LEDGER_DATA = "(SELECT * EXCLUDE (row_number) FROM ledger)"
+LEDGER_HEADERS = ["Order Key", "Line", "Part Key", "Invoice ID", "Qty", "Unit price", "Tax 5%", "Discount Applied", "Total", "Rate",
+                  "Flat", "Returned", "Status"]
+
+
+def _ledger(body: str, *ctes: str) -> str:
+    return "WITH " + ", ".join([LEDGER.strip(), *ctes]) + "\n" + body
 
 
 def _each(template: str, names: list[str]) -> str:
-    return " UNION ALL ".join(template.format(name=n, v=f'CAST("{n}" AS DOUBLE)') for n in names)
+    return " UNION ALL ".join(template.format(name=n, v=f'try_cast("{n}" AS DOUBLE)') for n in names)
 
 
 # An infinite quantile or moment is no figure: NULL. Ranks are taken over finite and infinite values alike.
@@ -191,24 +197,23 @@ FROM (SELECT count({v}) AS n, count(*) FILTER (isinf({v})) AS infinite, min({v})
         """SELECT '{name}' AS column_name, count(*) AS rows_count, count(*) - count({v}) AS missing_count,
   count(*) FILTER (isfinite({v})) AS usable_count, count(*) FILTER (isinf({v})) AS excluded_nonfinite_count FROM ledger""", NUMBERS)),
     "ledger_booleans": _ledger(
-        """SELECT 12 AS ordinal, 'Returned' AS column_name, count("Returned") AS value_count, count(DISTINCT "Returned") AS unique_count,
+        """SELECT any_value(place) AS ordinal, 'Returned' AS column_name, count("Returned") AS value_count, count(DISTINCT "Returned") AS unique_count,
   CASE WHEN count(*) FILTER ("Returned") > count(*) FILTER (NOT "Returned") THEN 'true' ELSE 'false' END AS top_value,
-  greatest(count(*) FILTER ("Returned"), count(*) FILTER (NOT "Returned")) AS frequency FROM ledger"""),
+  greatest(count(*) FILTER ("Returned"), count(*) FILTER (NOT "Returned")) AS frequency FROM ledger, ("""
+        + f"SELECT ordinal AS place FROM ({column_facts('ledger', LEDGER_DATA)}) WHERE column_name = 'Returned')"),
     "ledger_bounds": _ledger(_each(
         """SELECT m.method, '{name}' AS field, CASE WHEN low < high THEN 'evaluated' ELSE 'not_evaluated' END AS status,
   CASE WHEN low < high THEN NULL ELSE 'At least four finite values and two distinct values are required.' END AS reason,
   CASE WHEN low < high THEN n END AS evaluated_rows
 FROM (SELECT count(*) FILTER (isfinite({v})) AS n, min({v}) FILTER (isfinite({v})) AS low, max({v}) FILTER (isfinite({v})) AS high FROM ledger),
   (VALUES ('iqr'), ('z_score')) m(method)""", ["Order Key", "Line", "Part Key", *NUMBERS])),
-    "ledger_kinds": _ledger(" UNION ALL ".join([
-        _each("""SELECT '{name}' AS column_name, 'numeric' AS logical_type, CASE WHEN count(DISTINCT CASE WHEN isfinite({v}) THEN {v} END) <= 12
-  AND count(*) FILTER (isfinite({v})) >= 20 THEN 'discrete' ELSE 'histogram' END AS kind FROM ledger""",
-              ["Order Key", "Line", "Part Key", *NUMBERS]),
-        """SELECT 'Returned', 'numeric', CASE WHEN count("Returned") >= 20 THEN 'discrete' ELSE 'histogram' END FROM ledger""",
-        "SELECT 'Invoice ID', 'identifier', CAST(NULL AS VARCHAR)",
-        *[f"""SELECT '{n}', CASE WHEN count(DISTINCT "{n}") <= 50 THEN 'categorical' ELSE 'text' END,
-  CASE WHEN count(DISTINCT "{n}") <= 50 THEN 'category' END FROM ledger""" for n in ("Discount Applied", "Status")],
-    ])),
+    "ledger_kinds": _ledger("SELECT column_name, logical_type, CASE logical_type WHEN 'numeric' THEN CASE WHEN figures <= 12 AND finite >= 20 "
+        "THEN 'discrete' ELSE 'histogram' END WHEN 'datetime' THEN 'time' WHEN 'categorical' THEN 'category' END AS kind FROM (SELECT *, "
+        f"CASE WHEN {IDENTIFIER} THEN 'identifier' WHEN kind IN {NUMBER_KINDS} OR kind = 'BOOLEAN' THEN 'numeric' "
+        "WHEN unique_count <= 50 OR unique_count / rows_count <= 0.05 THEN 'categorical' ELSE 'text' END AS logical_type FROM ("
+        + _each("""SELECT '{name}' AS column_name, count(*) AS rows_count, any_value(typeof("{name}")) AS kind, count(DISTINCT "{name}") AS unique_count,
+  count(DISTINCT CASE WHEN isfinite({v}) THEN {v} END) AS figures, count(*) FILTER (isfinite({v})) AS finite FROM ledger""", LEDGER_HEADERS)
+        + "))"),
     "ledger_summary": _ledger(
         """SELECT 'Qty' AS column_name, 'histogram' AS kind, CAST(b.bin AS VARCHAR) AS label, count(x.bin) AS value_count
 FROM range(1, 25) b(bin) LEFT JOIN (
@@ -217,20 +222,15 @@ FROM range(1, 25) b(bin) LEFT JOIN (
       list_transform(range(0, 25), lambda i: CASE WHEN i = 24 THEN CAST(1.0 AS DOUBLE) ELSE i * ((1.0 - low / high) / 24) + low / high END) AS e
     FROM ledger, (SELECT min("Qty") AS low, max("Qty") AS high FROM ledger) WHERE "Qty" IS NOT NULL)) x ON x.bin = b.bin GROUP BY b.bin
 UNION ALL SELECT 'Status', 'category', "Status", count(*) FROM ledger GROUP BY "Status" """),
-    "ledger_roles": """
-WITH roles AS (SELECT unnest([
-  {'role': 'transaction_id', 'columns': 'Invoice ID'}, {'role': 'quantity', 'columns': 'Qty'}, {'role': 'line_total', 'columns': 'Total'},
-  {'role': 'tax_amount', 'columns': 'Tax 5%'}, {'role': 'discount_applied', 'columns': 'Discount Applied'}], recursive := true))
-SELECT t AS table_name, role, 'matched' AS status, columns FROM roles, (VALUES ('ledger'), ('ledger_two_prices')) n(t)
-UNION ALL SELECT 'ledger', 'unit_price', 'matched', 'Unit price'
-UNION ALL SELECT 'ledger_two_prices', 'unit_price', 'ambiguous', 'Unit price, Price Per Unit'""",
+    "ledger_roles": _ledger(roles_of("(" + column_facts("ledger", LEDGER_DATA) + " UNION ALL " + column_facts(
+        "ledger_two_prices", """(SELECT * EXCLUDE (row_number), "Unit price" AS "Price Per Unit" FROM ledger)""") + ")")),
     "texts_only_methods": """
 SELECT CAST(ordinal AS INT) AS ordinal, method, '' AS field, 'not_evaluated' AS status, reason, CAST(NULL AS BIGINT) AS evaluated_rows,
   CAST(NULL AS BIGINT) AS flagged_rows, CAST(NULL AS BIGINT) AS training_rows, CAST(NULL AS DOUBLE) AS contamination
 FROM (VALUES (1, 'iqr', 'No usable fields'), (2, 'z_score', 'No usable fields'), (3, 'isolation_forest', 'GATE')) v(ordinal, method, reason)
 """.replace("GATE", K.FOREST_GATE_REASON.replace("'", "''")),
-    "schema_probe": """
-SELECT table_name, column_name, (table_name, column_name) IN (('orders', 'o_totalprice'), ('documents', 'text'), ('ledger', 'Total')) AS accepted, rows_count
-FROM (SELECT 'orders' AS table_name, count(*) AS rows_count FROM orders UNION ALL SELECT 'documents', count(*) FROM documents
-      UNION ALL SELECT 'ledger', count(*) FROM lineitem), (VALUES ('o_totalprice'), ('text'), ('Total')) c(column_name)""",
+    "schema_probe": _ledger("SELECT t.table_name, a.column_name, f.filled IS NOT NULL AS accepted, f.filled AS value_count FROM "
+        "(SELECT DISTINCT column_name FROM facts) a CROSS JOIN (SELECT DISTINCT table_name FROM facts) t LEFT JOIN facts f "
+        "ON f.table_name = t.table_name AND f.column_name = a.column_name", "facts AS (" + " UNION ALL ".join([
+            column_facts("orders", "orders"), column_facts("documents", "documents"), column_facts("ledger", LEDGER_DATA)]) + ")"),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline import constants as K
 from plumbline.plans import ledger
+from plumbline.plans.sql import IDENTIFIER, NUMBER_KINDS, column_facts, roles_of, text, union
 
 BASE = """
 base AS (
@@ -54,39 +55,11 @@ HEADERS = {
     "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
     "retail": RETAIL,
 }
-NUMERIC = {
-    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
-    "conversations": ["turn"],
-    "documents": ["n_chars"],
-    "embeddings": ["label"],
-    "nation": ["n_nationkey", "n_regionkey"],
-    "region": ["r_regionkey"],
-    "events": ["value"],
-    "labels": ["quality", "toxic"],
-    "lineitem": HEADERS["lineitem"][:8],
-    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
-    "part": ["p_partkey", "p_size", "p_retailprice"],
-    "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"],
-    "retail": RETAIL_FIELDS,
-}
-IDENTIFIER = (
-    "list_has_any(regexp_split_to_array(lower(regexp_replace(column_name, '([a-z])([A-Z])', '\\1_\\2', 'g')), "
-    "'[^a-z0-9]+'), ['id', 'code', 'number', 'no'])"
-)
-
-
-def text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
-
-
+TABLES = [t for t in HEADERS if t != "retail"]
 def retail(body: str, *ctes: str) -> str:
     return "WITH RECURSIVE " + ", ".join([BASE.strip(), *ctes]) + "\n" + body
 
 
-def union(parts) -> str:
-    return "\nUNION ALL\n".join(parts)
-
-
 def severity(percent: str) -> str:
     return f"CASE WHEN {percent} >= 20 THEN 'high' WHEN {percent} >= 5 THEN 'medium' ELSE 'low' END"
 
@@ -226,17 +199,15 @@ LONG = "long AS (" + union(
 MISSING_ROWS = "missing_rows AS (" + union(
     f"SELECT {i} AS ordinal, '{c}' AS column_name, count(*) AS rows_count, count(*) - count({c}) AS missing_count, "
     f"round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_percentage, "
-    f"count(DISTINCT {c}) AS unique_count FROM retail"
+    f"count(DISTINCT {c}) AS unique_count, any_value(typeof({c})) AS kind, "
+    f"count(try_cast(CAST({c} AS VARCHAR) AS TIMESTAMP)) / count({c}) AS date_share FROM retail"
     for i, c in enumerate(RETAIL, 1)) + ")"
-SPARK_TYPES = dict(zip(RETAIL, ["string"] * 4 + ["timestamp_ntz", "double", "bigint", "string", "int",
-                                                "bigint", "bigint", "bigint", "double"]))
 LOGICAL = ("typed AS (SELECT *, CASE WHEN " + IDENTIFIER + " THEN 'identifier' "
-           "WHEN column_name = 'InvoiceDate' THEN 'datetime' "
-           f"WHEN column_name IN ({', '.join(map(text, RETAIL_FIELDS))}) THEN 'numeric' "
-           "WHEN unique_count <= 50 OR unique_count / rows_count <= 0.05 THEN 'categorical' ELSE 'text' END "
-           "AS logical_type, CASE column_name "
-           + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in SPARK_TYPES.items())
-           + " END AS data_type FROM missing_rows)")
+           f"WHEN kind IN ('DATE', 'TIMESTAMP') THEN 'datetime' WHEN kind IN {NUMBER_KINDS} OR kind = 'BOOLEAN' THEN 'numeric' "
+           f"WHEN date_share >= {K.DATE_PROBE_SHARE} THEN 'datetime' "
+           f"WHEN unique_count <= {K.CATEGORY_MAX_DISTINCT} OR unique_count / rows_count <= {K.CATEGORY_MAX_SHARE} THEN 'categorical' "
+           "ELSE 'text' END AS logical_type, CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+           "WHEN 'INTEGER' THEN 'int' ELSE lower(kind) END AS data_type FROM missing_rows)")
 ORDER_TEXTS = """
 order_texts AS (
   SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, o_orderkey,
@@ -467,6 +438,9 @@ SORTED_LINES = ("numbered AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_p
                 "AS row_number, * FROM lineitem)")
 FAULT_COLUMNS = "l_orderkey, l_partkey, l_returnflag, l_extendedprice, l_quantity"
 
+ALL_HEADERS = "headers AS (" + union(
+    [*[column_facts(t, t) for t in TABLES], column_facts("retail", "(SELECT * EXCLUDE (row_number) FROM retail)")]) + ")"
+
 SQL: dict[str, str] = {
     # sources and catalog
     "scan_typed_csv": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, "
@@ -528,18 +502,11 @@ SELECT row_number, l_orderkey, l_partkey,
 FROM numbered WHERE row_number NOT BETWEEN 351 AND 380
 UNION ALL SELECT row_number - 50, {FAULT_COLUMNS} FROM numbered WHERE row_number BETWEEN 401 AND 430""",
     # headers and roles
-    "identifier_columns": retail(f"SELECT table_name, column_name, rows_count, {IDENTIFIER} AS is_identifier FROM (" + union(
-        f"SELECT '{t}' AS table_name, unnest([{', '.join(map(text, columns))}]) AS column_name, "
-        f"(SELECT count(*) FROM {t}) AS rows_count" for t, columns in HEADERS.items()) + ")"),
-    "schema_roles": retail(union(
-        f"SELECT 'retail' AS table_name, '{role}' AS role, 'matched' AS status, '{column}' AS columns "
-        f"WHERE EXISTS (SELECT 1 FROM retail WHERE {column} IS NOT NULL)"
-        for role, column in (("transaction_id", "InvoiceNo"), ("product_id", "StockCode"),
-                             ("product_name", "Description"), ("quantity", "Quantity"),
-                             ("unit_price", "UnitPrice"), ("line_total", "LineTotal")))),
-    "numeric_fields": retail(union(
-        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS value_count FROM {t}"
-        for t, columns in NUMERIC.items() for c in columns)),
+    "identifier_columns": retail(f"SELECT table_name, column_name, rows_count, {IDENTIFIER} AS is_identifier FROM headers", ALL_HEADERS),
+    "schema_roles": retail(roles_of("headers"), ALL_HEADERS),
+    "numeric_fields": retail(
+        f"SELECT table_name, column_name, filled AS value_count FROM headers WHERE kind IN {NUMBER_KINDS} AND NOT {IDENTIFIER}",
+        ALL_HEADERS),
     "logical_types": retail("SELECT ordinal, column_name, logical_type FROM typed", MISSING_ROWS, LOGICAL),
     "date_parse_ratio": "WITH " + ORDER_TEXTS.strip() + "\n" + union(
         f"SELECT {i} AS ordinal, count(*) AS probed_values, "
@@ -575,7 +542,7 @@ FROM stems""",
         "SELECT ordinal, position, value FROM "
         "(SELECT ordinal, row_number() OVER (PARTITION BY ordinal ORDER BY row_number) AS position, value FROM long) "
         "WHERE position <= 5", LONG),
-    "numeric_summary": union(numeric_row(i, c, "lineitem") for i, c in enumerate(NUMERIC["lineitem"], 1)),
+    "numeric_summary": union(numeric_row(i, c, "lineitem") for i, c in enumerate(HEADERS["lineitem"][:8], 1)),
     "date_range": union(
         f"SELECT {i} AS ordinal, '{c}' AS column_name, strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS minimum, "
         f"strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS maximum FROM orders WHERE {test}"
