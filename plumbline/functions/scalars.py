@@ -75,13 +75,15 @@ def says_no_discount(value: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """Text to timestamp over the documented formats; anything else becomes NULL."""
+    # Every format begins with a digit and has eight characters or more: most other texts end here.
+    possible = (F.length(text) >= 8) & F.ascii(F.trim(text)).between(ord("0"), ord("9"))
     cleaned = F.regexp_replace(F.trim(text), r"(?<=\d)T(?=\d)", " ")
     parsed = None
     for shape, pattern in DATE_FORMATS:
         hit = cleaned.rlike(shape)
         value = F.try_to_timestamp(cleaned, F.lit(pattern))
         parsed = F.when(hit, value) if parsed is None else parsed.when(hit, value)
-    return parsed.cast("timestamp_ntz")
+    return F.when(possible, parsed.cast("timestamp_ntz"))
 
 
 def iso_text(moment: Column) -> Column:

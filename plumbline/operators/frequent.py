@@ -39,15 +39,35 @@ def _candidates(df: DataFrame, texts: dict[int, Column], k: int, tracked: int) -
     return found, filled, error
 
 
-def top_counts(df: DataFrame, texts: dict[int, Column], k: int, distinct: int = 0) -> DataFrame:
+def _whole(df: DataFrame, texts: dict[int, Column], k: int, distinct: dict[int, int]) -> list[tuple]:
+    """(ordinal, value, count, position) of columns whose values all fit a summary, which then counts
+    exactly: one scan, and k values a column leave it."""
+    settled, places = [], list(texts)
+    for start in range(0, len(places), COLUMNS_PER_PASS):
+        chunk = places[start:start + COLUMNS_PER_PASS]
+        sizes = {p: max(64, distinct[p] + 1) for p in chunk}  # missing cells are an item too
+        counted = df.select(*[texts[p].alias(f"v{p}") for p in chunk]).agg(
+            *[F.expr(f"approx_top_k(v{p}, {sizes[p]}, {sizes[p]})").alias(f"t{p}") for p in chunk])
+        row = counted.select(*[F.expr(
+            f"slice(array_sort(filter(t{p}, x -> x.item is not null), (a, b) -> case when a.count > b.count then -1 "
+            f"when a.count < b.count then 1 when a.item < b.item then -1 when a.item > b.item then 1 else 0 end), 1, {k})"
+        ).alias(f"t{p}") for p in chunk]).first()
+        settled += [(p, r["item"], r["count"], place) for p in chunk for place, r in enumerate(row[f"t{p}"] or [], 1)]
+    return settled
+
+
+def top_counts(df: DataFrame, texts: dict[int, Column], k: int, distinct: dict[int, int] | None = None) -> DataFrame:
     """(ordinal, value, value_count, position): the k most common texts of each column, ties by value.
 
-    ``texts`` maps ordinals to columns of text; NULL is no value. A caller that knows how many
-    ``distinct`` values a column has at most spares rounds with a summary too small for them.
+    ``texts`` maps ordinals to columns of text; NULL is no value. Where the caller knows how many
+    ``distinct`` values a column has and they fit a summary, that counts them exactly and suffices.
     """
     spark = df.sparkSession
-    open_columns, settled = dict(texts), []
-    for tracked in [r for r in ROUNDS if r >= min(distinct, ROUNDS[-1])]:
+    known = {p: text for p, text in texts.items() if (distinct or {}).get(p, ROUNDS[-1]) < ROUNDS[-1]}
+    settled = _whole(df, known, k, distinct or {})
+    texts = {p: text for p, text in texts.items() if p not in known}
+    open_columns = dict(texts)
+    for tracked in ROUNDS:
         if not open_columns:
             break
         found, filled, error = _candidates(df, open_columns, k, tracked)

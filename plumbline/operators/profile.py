@@ -6,10 +6,12 @@ column, and values are pre-aggregated before they are shuffled.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.constants import (
@@ -353,10 +355,12 @@ def date_range(df: DataFrame, names: list[str]) -> DataFrame:
     ])))
 
 
-def top_values(df: DataFrame, names: list[str], k: int = TOP_VALUES, distinct: int = 0) -> DataFrame:
-    """(ordinal, position, value, count): the k most common values, ties by value; see ``frequent``."""
-    every = data_columns(df)
-    return top_counts(df, {every.index(n) + 1: value_text(df, n) for n in names}, k, distinct)
+def top_values(df: DataFrame, names: list[str], k: int = TOP_VALUES, distinct: dict[str, int] | None = None) -> DataFrame:
+    """(ordinal, position, value, count): the k most common values, ties by value; see ``frequent``.
+    Distinct counts that are known already spare a scan."""
+    places = {n: i for i, n in enumerate(data_columns(df), 1) if n in names}
+    known = {places[n]: count for n, count in (distinct or {}).items() if n in places}
+    return top_counts(df, {i: value_text(df, n) for n, i in places.items()}, k, known)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -390,9 +394,7 @@ class Profile:
     @property
     def common(self) -> DataFrame:
         """The most common values of the categorical columns, sought when asked for."""
-        names = self.of("categorical")
-        known = {r["column_name"]: r["unique_count"] for r in self.columns.collect()}
-        return top_values(self.source, names, distinct=max((known[n] for n in names), default=0))
+        return top_values(self.source, self.of("categorical"), distinct={r["column_name"]: r["unique_count"] for r in self.columns.collect()})
 
     @property
     def summary(self) -> DataFrame:
@@ -423,14 +425,18 @@ def profile_table(df: DataFrame) -> Profile:
     known = {n: _known_type(df, n) for n in names}
     numbers = [n for n in names if known[n] == "numeric" and not is_boolean(df, n)]
     dated = [n for n in names if known[n] == "datetime" or (known[n] is None and n in text_columns(df))]
-    facts = df.agg(
+    wide = df.agg(
         F.count("*").alias("rows"),
         *[F.count_if(present(df, n)).alias(f"p{i}") for i, n in enumerate(names)],
         *[_moments(df, n).alias(f"m{i}") for i, n in enumerate(numbers)],
         *[F.struct(F.count(d), iso_text(F.min(d)), iso_text(F.max(d))).alias(f"d{i}")
           for i, d in enumerate(as_date(df, n) for n in dated)],
-    ).first()
-    unique = {r["ordinal"]: r["unique_count"] for r in distinct_counts(df, {n: i for i, n in enumerate(names, 1)}).collect()}
+    )
+    distinct = distinct_counts(df, {n: i for i, n in enumerate(names, 1)})
+    with ThreadPoolExecutor(2) as pool:  # neither needs the other
+        counted = pool.submit(inheritable_thread_target(spark)(distinct.collect))
+        facts = wide.first()
+        unique = {r["ordinal"]: r["unique_count"] for r in counted.result()}
     rows, dates = facts["rows"], {n: tuple(facts[f"d{i}"]) for i, n in enumerate(dated)}
     types, columns = {}, []
     for i, name in enumerate(names):

@@ -230,9 +230,9 @@ def build_report(df: DataFrame, with_forest: bool = True) -> Report:
     Quality, anomalies and profile do not depend on each other, so their jobs run side by side.
     """
     with ThreadPoolExecutor(3) as pool:
-        quality = pool.submit(inheritable_thread_target(lambda: assess(df).pinned()))
-        anomalies = pool.submit(inheritable_thread_target(lambda: review(df, with_forest)))
-        columns = pool.submit(inheritable_thread_target(lambda: column_profile(df)))
+        quality = pool.submit(inheritable_thread_target(df.sparkSession)(lambda: assess(df).pinned()))
+        anomalies = pool.submit(inheritable_thread_target(df.sparkSession)(lambda: review(df, with_forest)))
+        columns = pool.submit(inheritable_thread_target(df.sparkSession)(lambda: column_profile(df)))
         assessment, found, profile = quality.result(), anomalies.result(), columns.result()
     counts = pin(method_counts(found))
     tables = {

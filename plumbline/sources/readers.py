@@ -55,9 +55,8 @@ def _fields(record: Column, width: int) -> Column:
     return F.from_csv(record, T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]).simpleString(), PARSER)
 
 
-def _value(place: int) -> Column:
+def _present(text: Column) -> Column:
     """A field's text; missing texts are NULL."""
-    text = F.col("__fields").getField(f"f{place}")
     return F.when(~text.isin(*MISSING_TEXTS), text)
 
 
@@ -76,25 +75,34 @@ def _header(line: str, spark: SparkSession) -> list[str]:
     return listed if len(set(listed)) == len(listed) else [f"_c{i}" for i in range(len(listed))]
 
 
-def _facts(width: int) -> list[Column]:
-    """For each field how many values it has, and how many of them are of each type."""
-    counters = []
-    for place in range(width):
-        value = _value(place)
-        counters += [
-            F.count(value).alias(f"filled{place}"),
-            F.count_if(value.rlike(INTEGER_PATTERN) & F.trim(value).try_cast("bigint").isNotNull()).alias(f"whole{place}"),
-            F.count(text_number(value)).alias(f"number{place}"),
-            F.count_if(value.isin(*BOOLEAN_TEXTS)).alias(f"truth{place}"),
-        ]
-    return counters
+# Which texts a column may hold: the counters by which its type is chosen.
+KINDS = ("filled", "whole", "number", "truth")
 
 
-def _types(names: list[str], facts: dict) -> dict[str, str]:
+def _counters(text: Column) -> list[Column]:
+    value = _present(text)
+    return [
+        F.count(value).alias("filled"),
+        F.count_if(value.rlike(INTEGER_PATTERN) & F.trim(value).try_cast("bigint").isNotNull()).alias("whole"),
+        F.count(text_number(value)).alias("number"), F.count_if(value.isin(*BOOLEAN_TEXTS)).alias("truth"),
+    ]
+
+
+def _cells(lines: DataFrame, width: int, wanted: Column, *keep: str) -> DataFrame:
+    """(kept columns, place, text) of records: the fields from 0, the whole of it at -1, and at -2 again if it
+    does not fit. Of a record that is not wanted only the whole has a text."""
+    fields = F.col("__fields")
+    places = [(-1, F.col(TEXT)), (-2, fields.getField(CORRUPT)), *[(i, fields.getField(f"f{i}")) for i in range(width)]]
+    cells = F.array(*[F.struct(F.lit(place).alias("place"), text.alias("text")) for place, text in places])
+    parsed = lines.select(*keep, TEXT, F.when(wanted, _fields(F.col(TEXT), width)).alias("__fields"))
+    return parsed.select(*keep, F.inline(cells))
+
+
+def _types(names: list[str], facts: dict[int, dict[str, int]]) -> dict[str, str]:
     """The narrowest type that holds every non-missing value; all-missing columns are doubles."""
     types = {}
     for place, name in enumerate(names):
-        filled, whole, number, truth = (facts[f"{kind}{place}"] or 0 for kind in ("filled", "whole", "number", "truth"))
+        filled, whole, number, truth = (facts.get(place, {}).get(kind) or 0 for kind in KINDS)
         types[name] = (
             "double" if not filled
             else "bigint" if whole == filled
@@ -117,51 +125,72 @@ def scan_csv(spark: SparkSession, path: str) -> CsvScan:
     if head is None:
         raise ValueError("No columns to parse from file.")
     lines = records.line_records(spark, path)
-    scan = _scan(lines, _header(head, spark), records.line_code(F.col(TEXT)))
+    scan = _scan(lines, head, records.line_code)
     return scan if scan is not None else _scan_spanning(spark, path)
 
 
 def _scan_spanning(spark: SparkSession, path: str) -> CsvScan:
     cut = store(records.cut_records(spark, path), "csv-records")
     head = cut.filter((F.col(BLOCK) == 0) & (F.col(SEQUENCE) == 0)).orderBy(PATH).select(TEXT).first()
-    scan = _scan(cut, _header(head[0], spark), None)
+    scan = _scan(cut, head[0], None)
     scan.spanning = True
     return scan
 
 
-def _scan(lines: DataFrame, names: list[str], code: Column | None) -> CsvScan | None:
-    """None if a line's code says that a field spans lines."""
-    width = len(names)
-    unquoted = F.regexp_replace(F.col("__fields").getField(CORRUPT), '"[^"]*"', "")
-    each = lines.withColumn("__fields", _fields(F.col(TEXT), width)).groupBy(*SPLIT).agg(
-        F.count("*").alias("rows"), F.min(SEQUENCE).alias("first"), F.min_by(TEXT, SEQUENCE).alias("head"),
-        (F.lit(0) if code is None else F.count_if(code != PLAIN)).alias("bent"),
-        F.max(F.size(F.split(unquoted, ","))).alias("widest"), *_facts(width),
-    )
-    splits = store(each, "csv-splits")
-    counted = [c for c in splits.columns if c.startswith(("filled", "whole", "number", "truth"))]
-    total = splits.agg(F.sum("bent").alias("bent"), F.max("widest").alias("widest"), F.sum("rows").alias("rows"),
-                       *[F.sum(c).alias(c) for c in counted]).first().asDict()
-    if total["bent"] or (total["widest"] or 0) > width:
-        discard(splits)
-        if total["bent"]:
-            return None
-        raise ValueError(f"Expected {width} fields, saw {total['widest']}.")
-    # The first record of a file is its header; what it added to the facts is taken off again.
+def _scan(lines: DataFrame, head: str, code) -> CsvScan | None:
+    """None if the code of a line says that a field spans lines.
+
+    ``head`` is the header of one of the files. Records that equal it are kept out of the counts, so that
+    where each file begins with it and has it once, as nearly always, nothing is left to correct.
+    """
+    names = _header(head, lines.sparkSession)
+    like_head, place, text = F.col(TEXT) == F.lit(head), F.col("place"), F.col("text")
+    record, whole_head = place == -1, (place == -1) & (text == F.lit(head))
+    unquoted = F.regexp_replace(text, '"[^"]*"', "")
+    cells = _cells(lines, len(names), ~like_head, *SPLIT, SEQUENCE)
+    each = store(cells.groupBy(*SPLIT, "place").agg(
+        F.count("*").alias("rows"), F.min(SEQUENCE).alias("first"),
+        F.count_if(whole_head).alias("heads"), F.min(F.when(whole_head, F.col(SEQUENCE))).alias("first_head"),
+        (F.lit(0) if code is None else F.count_if(record & (code(text) != PLAIN))).alias("bent"),
+        F.max(F.when(place == -2, F.size(F.split(unquoted, ",")))).alias("widest"), *_counters(text),
+    ), "csv-splits")
     begins = F.col(BLOCK) == F.min(BLOCK).over(Window.partitionBy(PATH))
-    marked = splits.withColumn("header", begins.cast("int"))
-    heads = marked.filter("header = 1").select(_fields(F.col("head"), width).alias("__fields"))
-    header = heads.agg(F.count("*").alias("rows"), *_facts(width)).first().asDict()
-    facts = {c: (total[c] or 0) - (header[c] or 0) for c in counted}
+    splits = each.filter(record).withColumn("header", begins.cast("int"))
+    total = splits.agg(
+        F.sum("bent").alias("bent"), F.sum("rows").alias("rows"), F.sum("heads").alias("heads"), F.sum("header").alias("files"),
+        F.count_if((F.col("header") == 1) & (F.col("first") == F.col("first_head"))).alias("usual"),
+    ).first()
+    if total["bent"]:
+        discard(each)
+        return None
+    sums = each.groupBy("place").agg(F.max("widest").alias("widest"), *[F.sum(k).alias(k) for k in KINDS]).collect()
+    facts = {r["place"]: {k: r[k] for k in KINDS} for r in sums}
+    widest = max((r["widest"] or 0 for r in sums), default=0)
+    if widest > len(names):
+        discard(each)
+        raise ValueError(f"Expected {len(names)} fields, saw {widest}.")
+    if not total["files"] == total["heads"] == total["usual"]:
+        _correct(facts, lines, head, total["heads"], len(names))
     before = Window.orderBy(PATH, BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row a split
     start = F.coalesce(F.sum(F.col("rows") - F.col("header")).over(before), F.lit(0)) + 1
-    placed = store(marked.select(*SPLIT, "header", "first", start.alias("start")), "csv-starts")
-    discard(splits)
-    return CsvScan(lines, _types(names, facts), placed, (total["rows"] or 0) - header["rows"], False)
+    placed = store(splits.select(*SPLIT, "header", "first", start.alias("start")), "csv-starts")
+    discard(each)
+    return CsvScan(lines, _types(names, facts), placed, (total["rows"] or 0) - (total["files"] or 0), False)
+
+
+def _correct(facts: dict, lines: DataFrame, head: str, heads: int, width: int) -> None:
+    """Add the records like ``head`` that are data, and take off the headers that differ from it."""
+    own = lines.groupBy(PATH).agg(F.min_by(TEXT, F.struct(BLOCK, SEQUENCE)).alias(TEXT))
+    like = own.limit(1).select(F.lit(head).alias(TEXT))
+    for times, texts in ((heads, like), (-1, own)):
+        cells = _cells(texts, width, F.lit(True)).groupBy("place").agg(*_counters(F.col("text")))
+        for row in cells.filter("place >= 0").collect():
+            for kind in KINDS:
+                facts[row["place"]][kind] += times * row[kind]
 
 
 def _typed(place: int, name: str, kind: str) -> Column:
-    value = _value(place)
+    value = _present(F.col("__fields").getField(f"f{place}"))
     if kind == "double":
         return text_number(value).alias(name)
     if kind == "string":

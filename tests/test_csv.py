@@ -238,3 +238,17 @@ def test_types_do_not_count_headers(spark, tmp_path):
         (folder / f"{i}.csv").write_text(f"1,x\n{i},{i}.5\n\n  \n{i},NA\n")
     found = readers.read_typed_csv(spark, str(folder))
     assert dict(found.dtypes) == {"1": "bigint", "x": "double"} and found.count() == 6
+
+
+def test_headers_that_differ_and_data_like_the_header(spark, tmp_path):
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    (folder / "0.csv").write_text("n,7\n1,2\n")
+    (folder / "1.csv").write_text("m,8\n3,4\n")
+    found = readers.read_typed_csv(spark, str(folder))
+    assert dict(found.dtypes) == {"n": "bigint", "7": "bigint"} and found.count() == 2
+    path = tmp_path / "again.csv"
+    path.write_text("n,7\n1,2\nn,7\n4,5\n")
+    found = readers.read_numbered_csv(spark, str(path)).orderBy("row_number")
+    assert dict(found.dtypes) == {"n": "string", "7": "bigint", "row_number": "bigint"}
+    assert [tuple(r) for r in found.collect()] == [("1", 2, 1), ("n", 7, 2), ("4", 5, 3)]
