@@ -23,7 +23,7 @@ OFFSETS = BEFORE + 1
 BATCH_BYTES = 8 << 20  # text of one task's group
 SLICE_BYTES = 2 << 20
 KEYS_PER_BUCKET = 4 << 20
-CONTEXT_SHARE = 6  # batches whose shared contexts meet in one range
+CONTEXT_SHARE = 2  # batches whose shared contexts meet in one range, on average
 SPLITTER_SAMPLE = 1 << 14  # bounds what the driver reads to choose the splitters
 ALL_OFFSETS = (1 << OFFSETS) - 1
 LAST_ID = 2**63 - 1
@@ -248,6 +248,13 @@ def _leading(contexts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(contexts[:, BEFORE:BEFORE + 8]).view(">u8").ravel().astype(np.uint64)
 
 
+def _bytes_of(column: pa.ChunkedArray) -> np.ndarray:
+    """All bytes of a binary column, one value after the other, where they lie."""
+    values = pa.concat_arrays(column.chunks)
+    marks = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[marks[0]:marks[-1]]
+
+
 def _table(schema: pa.Schema, **columns) -> pa.Table:
     return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
@@ -281,7 +288,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     they send the distinct contexts, with the least doc_id of each, to the range of their leading bytes.
     There suffixes are sorted and compared, and the flags go back. A string that a third of all documents
     share is sent once a batch. Equal suffixes have equal leading bytes and meet in one range, so no
-    pair lies across a boundary. Batch and range sizes bound every task.
+    pair lies across a boundary. Batches are bounded; a range holds what ``CONTEXT_SHARE`` batches send on
+    average, and all suffixes with the same eight leading bytes, however many.
     """
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, math.ceil(size / BATCH_BYTES))
@@ -332,16 +340,13 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                       docs=[shared.owner[i].tobytes() for i in at], numbers=[i.astype(np.int32).tobytes() for i in at])
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        contexts = np.frombuffer(b"".join(r["part"] for r in rows), np.uint8).reshape(-1, CONTEXT + 2)
-        docs = np.frombuffer(b"".join(r["docs"] for r in rows), np.int64)
-        masks = shared_offsets(contexts, docs)
+        masks = shared_offsets(_bytes_of(table["part"]).reshape(-1, CONTEXT + 2), _bytes_of(table["docs"]).view(np.int64))
         back, at = [], 0
-        for r in rows:
-            numbers = np.frombuffer(r["numbers"], np.int32)
+        for batch, sent in zip(table["batch"].to_pylist(), table["numbers"]):
+            numbers = np.frombuffer(sent.as_buffer(), np.int32)
             own = masks[at:at + len(numbers)]
             at += len(numbers)
-            back.append((r["batch"], numbers[own > 0].tobytes(), own[own > 0].tobytes()))
+            back.append((batch, numbers[own > 0].tobytes(), own[own > 0].tobytes()))
         return _table(_BACK, batch=[b[0] for b in back], kind=[1] * len(back), numbers=[b[1] for b in back], masks=[b[2] for b in back])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
