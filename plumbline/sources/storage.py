@@ -102,8 +102,7 @@ def folders_below(spark: SparkSession, folder: str) -> list[str]:
 
 
 def pin(df: DataFrame, most: int = MOST_PINNED_ROWS) -> DataFrame:
-    """Keep a frame of aggregated facts, whose size is bounded by the schema, as literal rows."""
+    """Keep a frame of aggregated facts, whose size follows the schema: as literal rows, or, beyond
+    ``most`` of them, as a stored table."""
     rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"More than {most} rows cannot be kept as literals.")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return store(df, "pinned") if len(rows) > most else df.sparkSession.createDataFrame(rows, df.schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.faults import inject_faults
 from plumbline.plans.report import Report, build_report, read_report
 from plumbline.sources import catalog as C
+from plumbline.sources.storage import pin
 
 
 @pytest.fixture
@@ -139,3 +140,11 @@ def test_a_report_is_written_as_one(spark, tmp_path):
     assert names(folder) == sorted([second, third, "manifest.json"])
     found = read_report(spark, str(folder)).tables
     assert [tuple(r) for r in found["columns"].collect()] == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_facts_of_very_wide_tables_are_stored(spark):
+    facts = spark.range(50).select("id", (F.col("id") * 2).alias("n"))
+    for most in (10, 50):
+        kept = pin(facts, most)
+        assert sorted(kept.collect()) == sorted(facts.collect()) and kept.dtypes == facts.dtypes
+    assert not pin(facts, 50).inputFiles() and pin(facts, 10).inputFiles()
