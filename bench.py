@@ -43,10 +43,8 @@ def session(folder: str) -> SparkSession:
 
 
 def profile_all(df):
-    found = profile.profile_table(df)
-    for part in (found.columns, found.samples, found.numbers, found.booleans, found.dates, found.common):
+    for part in profile.complete_profile(df).values():
         part.collect()
-    found.summary.collect()
 
 
 def quality_all(df):

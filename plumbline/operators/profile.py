@@ -28,6 +28,7 @@ from plumbline.operators.frequent import top_counts
 from plumbline.operators.quantiles import exact_quantiles, quantile_sketch
 from plumbline.operators.uniqueness import duplicate_count
 from plumbline.sources.rows import ROW_NUMBER, data_columns
+from plumbline.sources.storage import pin
 
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -399,7 +400,9 @@ class Profile:
     @property
     def summary(self) -> DataFrame:
         """The row of ``profile_summary``; only the duplicates are still to be counted."""
-        repeats = duplicate_count(self.source, data_columns(self.source))
+        return self.summary_with(duplicate_count(self.source, data_columns(self.source)))
+
+    def summary_with(self, repeats: DataFrame) -> DataFrame:
         missing = self.columns.agg(
             F.sum("missing_count").alias("total_missing_values"),
             F.count_if(F.col("missing_count") > 0).alias("columns_with_missing_values"),
@@ -459,3 +462,23 @@ def profile_table(df: DataFrame) -> Profile:
             "ordinal int, column_name string, minimum string, maximum string"),
         {n: tuple(facts[f"m{i}"]) for i, n in enumerate(numbers) if types[n] == "numeric"},
     )
+
+
+def complete_profile(df: DataFrame) -> dict[str, DataFrame]:
+    """All parts of a profile, computed and kept: summary, columns, samples, numbers, booleans, dates, common.
+
+    Parts that do not need each other's results run side by side, so that one is planned and compiled
+    while another one computes.
+    """
+    run = inheritable_thread_target(df.sparkSession)
+    with ThreadPoolExecutor(6) as pool:
+        repeats = pool.submit(run(lambda: pin(duplicate_count(df, data_columns(df)))))
+        samples = pool.submit(run(lambda: pin(column_samples(df))))
+        found = profile_table(df)
+        later = {
+            part: pool.submit(run(lambda part=part: pin(getattr(found, part)))) for part in ("numbers", "booleans", "common")
+        }
+        return {
+            "summary": pin(found.summary_with(repeats.result())), "columns": found.columns, "dates": found.dates,
+            "samples": samples.result(), **{part: job.result() for part, job in later.items()},
+        }

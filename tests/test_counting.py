@@ -149,6 +149,16 @@ def test_discreteness_needs_no_count_where_the_sketch_proves_it(spark, monkeypat
     assert not distribution.is_discrete(nearly, "v")
 
 
+def test_a_complete_profile_has_the_parts_one_by_one(numbered):
+    rows = [(i % 7, f"w{i % 3}", i / 7 if i % 5 else None, i % 2 == 0, f"2024-0{i % 9 + 1}-11") for i in range(200)]
+    df = numbered(rows, "n bigint, s string, x double, b boolean, d string")
+    found, parts = profile.complete_profile(df), profile.profile_table(df)
+    assert set(found) == {"summary", "columns", "dates", "samples", "numbers", "booleans", "common"}
+    for name, frame in found.items():
+        assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, getattr(parts, name).collect())), name
+    assert found["summary"].collect() == profile.profile_summary(df).collect()
+
+
 def test_profile_summary_from_the_profile(numbered):
     df = numbered([(1, "a", None), (1, "a", None), (2, None, 1.5)], "n bigint, s string, x double")
     assert profile.profile_table(df).summary.collect() == profile.profile_summary(df).collect()
