@@ -7,9 +7,11 @@ pass as literals, so flags, votes and signals are one codegen projection over th
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline import constants as K
@@ -166,11 +168,13 @@ def review(df: DataFrame, with_forest: bool = True) -> Review:
     """
     fields = numeric_fields(df)
     stats = field_stats(df, fields)
-    bounds = anomaly_bounds(df, stats)
     gate = forest = None
-    if with_forest:
-        gate = forest_gate(df, {f: (s.rows, s.varies) for f, s in stats.items()})
-        forest = fit_forest(df, gate)
+    with ThreadPoolExecutor(1) as pool:  # bounds and forest need the stats alone
+        bounding = pool.submit(inheritable_thread_target(df.sparkSession)(lambda: anomaly_bounds(df, stats)))
+        if with_forest:
+            gate = forest_gate(df, {f: (s.rows, s.varies) for f, s in stats.items()})
+            forest = fit_forest(df, gate)
+        bounds = bounding.result()
     rows = flagged_rows(df, bounds, forest)
     flagged = rows.filter(F.col("votes") > 0)
     if forest:
