@@ -212,3 +212,16 @@ def test_a_filter_that_is_too_small_loses_nothing(numbered, monkeypatch, words):
 def test_tables_without_repeats(numbered):
     assert duplicate_rows(numbered([(i,) for i in range(50)], "N bigint")).count() == 0
     assert duplicate_rows(numbered([], "N bigint")).count() == 0
+
+
+def test_results_of_the_scan_do_not_count_duplicates(numbered, capsys):
+    """Duplicate rows are counted in Python tasks, which Spark does not leave out by itself."""
+    df = numbered([("1", "A", "2", 1.0), ("1", "A", "2", 1.0), ("2", None, "x", -1.0)],
+                  "InvoiceNo string, StockCode string, Quantity string, UnitPrice double")
+    assessment = Q.assess(df)
+    for result in (Q.validity, Q.completeness):
+        capsys.readouterr()
+        result(assessment).explain()
+        assert "MapInArrow" not in capsys.readouterr().out
+        assert result(assessment).collect() == result(assessment.pinned()).collect()
+    assert Q.uniqueness(assessment).first()["duplicate_rows"] == 1
