@@ -86,3 +86,8 @@ def test_a_range_of_the_retail_table_is_of_bounded_size(spark, monkeypatch):
     base = retail.retail_base(spark, "/root/testdata/sf0.001")
     sizes = [r["count"] for r in base.groupBy(F.spark_partition_id().alias("range")).count().collect()]
     assert len(sizes) >= 50 and max(sizes) < 500
+
+
+def test_numbered_tables_are_stored_small(spark):
+    stored = rows.stored_by(spark.range(100).select("id"), ["id"], "small")
+    assert all(".zstd." in name for name in stored.inputFiles())
