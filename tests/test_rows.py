@@ -91,3 +91,20 @@ def test_a_range_of_the_retail_table_is_of_bounded_size(spark, monkeypatch):
 def test_numbered_tables_are_stored_small(spark):
     stored = rows.stored_by(spark.range(100).select("id"), ["id"], "small")
     assert all(".zstd." in name for name in stored.inputFiles())
+
+
+@pytest.mark.parametrize("name", ["ledger_numbers", "ledger_summary", "ledger_roles", "ledger_totals", "ledger_kinds"])
+def test_ledger_queries_without_row_numbers_store_nothing(spark, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("The ledger was numbered and stored.")
+
+    monkeypatch.setattr(ledger, "stored_ledger", refuse)
+    assert getattr(ledger, name)(spark, "/root/testdata/sf0.001").count()
+
+
+def test_the_ledger_is_the_stored_one(spark):
+    sf = "/root/testdata/sf0.001"
+    stored = ledger.stored_ledger(spark, sf).drop("row_number")
+    read = ledger.ledger_table(spark, sf)
+    assert read.schema.simpleString() == stored.schema.simpleString()
+    assert read.exceptAll(stored).isEmpty() and stored.exceptAll(read).isEmpty()
