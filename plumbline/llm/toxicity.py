@@ -199,19 +199,34 @@ def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def shared_counts(documents: DataFrame) -> DataFrame:
+def shared_counts(documents: DataFrame, asked=None) -> DataFrame:
     """(kind, key, documents), stored: in how many documents of the whole corpus each word (0) and each pair
     (1) is, and how many pairs the documents have after each context (2). Tasks add up what they hold
-    before the shuffle; the table grows with the corpus."""
+    before the shuffle. ``asked`` gives in any task the sorted pairs and contexts that are wanted: all
+    documents are counted for these, and no others travel; a task sends each once. Without it the
+    table holds all that the corpus has."""
 
     def per_task(batches):
         held: list[list[np.ndarray]] = [[], [], []]
         size = 0
+        known = dict(zip((1, 2), asked())) if asked else {}
+        totals = {kind: np.zeros(len(keys), np.int64) for kind, keys in known.items()}
 
-        def added():
+        def places(kind, keys):
+            at = np.searchsorted(known[kind], keys)
+            at[at == len(known[kind])] = 0
+            return at[known[kind][at] == keys] if len(known[kind]) else at[:0]
+
+        def added(last=False):
             keys, counts = [], []
             for kind in range(3):
-                key, n = np.unique(np.concatenate(held[kind]), return_counts=True)
+                if kind in known:
+                    at = np.concatenate([*held[kind], np.empty(0, np.int64)])
+                    totals[kind] += np.bincount(at, minlength=len(totals[kind]))
+                    found = np.flatnonzero(totals[kind]) if last else np.empty(0, np.int64)
+                    key, n = known[kind][found], totals[kind][found]
+                else:
+                    key, n = np.unique(np.concatenate([*held[kind], np.empty(0, np.uint64)]), return_counts=True)
                 keys.append(key)
                 counts.append(n)
                 held[kind].clear()
@@ -235,27 +250,32 @@ def shared_counts(documents: DataFrame) -> DataFrame:
                     size += len(held[0][-1])
                 if pairs:
                     key, at = np.unique(np.concatenate([k for k, _ in pairs]), return_index=True)
+                    context = np.concatenate([c for _, c in pairs])[at]
+                    if known:
+                        key, context = places(1, key), places(2, context)
                     held[1].append(key)
-                    held[2].append(np.concatenate([c for _, c in pairs])[at])
-                    size += 2 * len(key)
+                    held[2].append(context)
+                    size += len(key) + len(context)
                 if size >= COUNTED_KEYS:
                     yield added()
                     size = 0
-        if size:
-            for kind in range(3):
-                held[kind].append(np.empty(0, np.uint64))
-            yield added()
+        if size or any(t.any() for t in totals.values()):
+            yield added(last=True)
 
     parts = documents.select("text").mapInPandas(per_task, "kind byte, key long, documents long")
     return store(parts.groupBy("kind", "key").agg(F.sum("documents").alias("documents")), "shared-counts")
 
 
-def _looked_up(counts: DataFrame, sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+def asked_keys(wanted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted pairs and contexts of a table of counts."""
+    listed = _columns(wanted.filter("kind > 0").select("kind", "key"))  # bounded by the sample
+    pairs, contexts = (np.sort(listed["key"][listed["kind"] == kind].astype(np.int64).view(np.uint64)) for kind in (1, 2))
+    return pairs, contexts
+
+
+def _looked_up(counts: DataFrame, wanted: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of the shared counts the sorted keys the sample asks for, and their counts."""
-    asked = sample.filter(~F.col("calibrates")).select("text")
-    wanted = shared_counts(asked)
     found = _columns(counts.join(wanted.select("kind", "key"), ["kind", "key"]))  # bounded by the sample
-    discard(wanted)
     out = []
     for kind in range(3):
         own = found["kind"] == kind
@@ -289,8 +309,10 @@ def fit_models(documents: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLA
     vocabulary = _vocabulary(sample)
     size = len(vocabulary) + 1
     counts = _class_counts(sample, share(spark, vocabulary))
-    corpus = shared_counts(documents)
-    known_words, known_pairs, known_contexts = _looked_up(corpus, sample)
+    wanted = shared_counts(sample.filter(~F.col("calibrates")).select("text"))
+    corpus = shared_counts(documents, share(spark, asked_keys(wanted)))
+    known_words, known_pairs, known_contexts = _looked_up(corpus, wanted)
+    discard(wanted)
     whole = corpus.filter("kind = 0").agg(F.sum(F.col("documents") + 1)).first()[0] or 1
     discard(corpus)
     keys = np.concatenate([np.zeros(1, np.uint64), word_keys(list(vocabulary))])

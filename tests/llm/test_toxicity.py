@@ -133,3 +133,30 @@ def test_shared_counts_hold_all_words_and_pairs(spark, docs, monkeypatch):
     parts = toxicity.shared_counts(docs(texts)).toPandas()
     order = ["kind", "key", "documents"]
     assert whole[order].sort_values(order).values.tolist() == parts[order].sort_values(order).values.tolist()
+
+
+def test_asked_counts_are_those_of_the_whole(spark, docs, monkeypatch):
+    """Of pairs and contexts only the asked ones travel, with the counts they have in all documents."""
+    texts = [(i, f"a b a b x{i} y{i}") for i in range(300)] + [(900, None), (901, ""), (902, "a")]
+    whole = toxicity.shared_counts(docs(texts)).toPandas()
+    asked = toxicity.asked_keys(toxicity.shared_counts(docs([(1, "b a b x7 never")])))
+    for keys in (1 << 20, 5):
+        monkeypatch.setattr(toxicity, "COUNTED_KEYS", keys)
+        found = toxicity.shared_counts(docs(texts), shared.share(spark, asked)).toPandas()
+        wanted = [whole[whole.kind == 0]]
+        for kind in (1, 2):
+            own = whole[whole.kind == kind]
+            wanted.append(own[np.isin(own.key.to_numpy(np.int64).view(np.uint64), asked[kind - 1])])
+        rows = sorted(map(tuple, np.concatenate([w[["kind", "key", "documents"]].to_numpy() for w in wanted]).tolist()))
+        assert sorted(map(tuple, found[["kind", "key", "documents"]].to_numpy().tolist())) == rows
+    assert sum(found.kind == 1) == 3 and sum(found.kind == 2) == 3
+    nothing = shared.share(spark, (np.empty(0, np.uint64), np.empty(0, np.uint64)))
+    assert set(toxicity.shared_counts(docs(texts), nothing).toPandas().kind) == {0}
+
+
+def test_the_counts_of_the_corpus_are_those_asked_for(spark, docs, monkeypatch):
+    calls, count = [], toxicity.shared_counts
+    monkeypatch.setattr(toxicity, "shared_counts", lambda d, *asked: calls.append(bool(asked)) or count(d, *asked))
+    texts, labels = rows()
+    toxicity.fit_models(docs(texts), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert calls == [False, True]
