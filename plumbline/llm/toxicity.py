@@ -17,6 +17,7 @@ CLASSES = ("ordinary", "toxic")
 ROWS_PER_CLASS = 3_000  # the bound of the labelled sample: rows of each class
 CALIBRATION_SHARE = 3  # one in so many sampled rows only calibrates
 DISCOUNT = 10.0  # of so many documents the discount leaves an eighth, of fewer less, of many more nearly all
+MARGIN = 2.0  # times as often as the other class has an expression is no evidence yet
 CONTEXT_DOCUMENTS = 100  # added to those of each context, so that pairs after rare contexts weigh less
 COPY_KEYS = 4
 COPY_WORDS = 5
@@ -97,13 +98,29 @@ def text_ids(text: str | None, numbers: dict[bytes, int]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def _excess(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _expected(single: np.ndarray, seen: np.ndarray, context: np.ndarray, word: np.ndarray, sizes: np.ndarray):
+    """The counts of words and pairs that each class (columns) would have if it were like the other one: by
+    their numbers of documents or, where that is more, by what follows the same contexts. A class with
+    more texts of one language or subject has more of all their words, but not more of them after a context."""
+    words, pairs = (counts[:, ::-1] * (sizes / sizes[::-1]) for counts in (single, seen))
+    for kind in range(2):
+        own, other = (np.bincount(context, seen[:, k], len(single)) for k in (kind, 1 - kind))
+        after = seen[:, 1 - kind] * (own / np.maximum(other, 1.0))[context]
+        words[:, kind] = np.maximum(words[:, kind], np.bincount(word, after, len(single)))
+        pairs[:, kind] = np.maximum(pairs[:, kind], after)
+    return words, pairs
+
+
+def _excess(found: np.ndarray, expected: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """What the discount leaves of the counts of two classes (columns): of a rare expression little, though
-    never nothing, and no more than what a class has beyond the other one's share. In the larger class
-    more documents count as rare, as the smaller one's share says less."""
-    other = sizes[::-1]
-    rare = DISCOUNT * np.maximum(sizes / other, 1.0)
-    return np.maximum(found * (found / (found + rare)) ** 3 - found[:, ::-1] / other * sizes, 0.0)
+    never nothing, and no more than what a class has beyond ``MARGIN`` times what is expected of it. In the
+    larger class more documents count as rare, as the smaller one's share says less."""
+    rare = DISCOUNT * np.maximum(sizes / sizes[::-1], 1.0)
+    left = found / (found + rare)
+    left **= 3
+    left *= found
+    left -= MARGIN * expected
+    return np.maximum(left, 0.0, out=left)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -326,12 +343,14 @@ def fit_models(documents: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLA
         sizes[kind] = max(n[pair == -1].sum(), 1)
         single[pair[pair < -1] + size + 1, kind] = n[pair < -1]
         seen[np.searchsorted(pairs, pair[pair >= 0]), kind] = n[pair >= 0]
-
-    own = _excess(single, sizes) / np.maximum(single.sum(axis=0), 1.0)
-    words = own / shared[:, None] + 1 - own.sum(axis=0)
+    del counts, own, pair, n
 
     context, word = pairs // size, pairs % size
-    mass = _excess(seen, sizes)
+    like_words, like_pairs = _expected(single, seen, context, word, sizes)
+    own = _excess(single, like_words, sizes) / np.maximum(single.sum(axis=0), 1.0)
+    words = own / shared[:, None] + 1 - own.sum(axis=0)
+    mass = _excess(seen, like_pairs, sizes)
+    del like_pairs
     backoff = np.ones((size, 2))
     for kind in range(2):
         mass[:, kind] /= (np.bincount(context, seen[:, kind], size) + CONTEXT_DOCUMENTS)[context]

@@ -160,3 +160,24 @@ def test_the_counts_of_the_corpus_are_those_asked_for(spark, docs, monkeypatch):
     texts, labels = rows()
     toxicity.fit_models(docs(texts), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     assert calls == [False, True]
+
+
+@pytest.mark.parametrize("toxic_share, ordinary_share", [(40, 15), (15, 40)])
+def test_a_language_that_one_class_has_more_often_is_no_evidence(spark, docs, toxic_share, ordinary_share):
+    """Common words of a language must not call its clean texts toxic, nor hide its toxic ones."""
+    rng = np.random.default_rng(5)
+    texts, labels, kinds = [], [], {}
+    for i in range(1_800):
+        bad = i % 3 == 0
+        second = bool(rng.integers(100) < (toxic_share if bad else ordinary_share))
+        words = [f"{'v' if second else 'w'}{k}" for k in rng.integers(0, 12, 60)]
+        if bad:
+            words[5:5] = ["awful", f"worse{i % 4}"]
+        texts.append((i, " ".join(words)))
+        kinds[i] = (bad, second)
+        if i % 10:
+            labels.append((i, int(bad)))
+    found = toxicity.toxicity_table(docs(texts), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    for second in (False, True):
+        called = {bad: np.mean([r.predicted for r in found if kinds[r.doc_id] == (bad, second)]) for bad in (False, True)}
+        assert called[True] > 0.95 and called[False] < 0.05, (second, called)
